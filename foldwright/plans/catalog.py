@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foldwright.constants import EVAL_FOLD_PREFIX, EVAL_MEAN, EVAL_STD, GROUP, LABEL, METRIC_COLUMNS, ROW, SPLIT, TARGET
+from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, METRIC_COLUMNS, ROW, SEED, SPLIT,
+                                  TARGET)
 from foldwright.functions.columns import label_from_target, round_even
 from foldwright.operators import cube as C
 from foldwright.operators import folds as FO
+from foldwright.operators import forest as R
 from foldwright.operators import leakage as L
 from foldwright.operators import metrics as M
 from foldwright.operators import profile as P
@@ -17,6 +19,8 @@ from foldwright.operators import vectors as V
 from foldwright.operators.predictions import prediction_table
 from foldwright.operators.weights import class_weights
 from foldwright.plans import audit, rates
+from foldwright.plans import evaluate as E
+from foldwright.plans import select as S
 from foldwright.session import materialize
 from foldwright.sources.orders import FEATURES, KEPT, LEAKY, PAGE, labelled, ternary_features
 
@@ -242,3 +246,75 @@ def sql_checked() -> dict:
         "one_se_choice": _selection(1),
         "feature_ranking": _selection(2),
     }
+
+
+# Learned models: whole tables, forests kept small in trees and depth -------------------------
+
+QUERY_FOREST = {"numTrees": 8, "maxDepth": 4, "subsamplingRate": 0.8, "bootstrap": False,
+                "featureSubsetStrategy": "0.6", "seed": SEED}
+QUERY_SPACE = {"n_estimators": range(5, 13), "max_depth": [3, 4, 5], "min_samples_leaf": range(1, 10),
+               "max_features": ["sqrt", "log2", 0.5, 0.75, None], "class_weight": [None, "balanced"],
+               "criterion": ["gini", "entropy"]}
+QUERY_TRIAL = {"n_estimators": 8, "max_depth": 4, "max_features": 0.75, "criterion": "gini"}
+QUERY_DRAWS = 2
+
+
+def _train(spark, d):
+    train = S.folded_train(materialize(clean_dataset(spark, d), "clean", [SPLIT]), KEPT)
+    return train, S.fold_vectors(train, KEPT)
+
+
+def _fold_forests(train):
+    params, balanced = R.spark_params(QUERY_TRIAL)
+    return R.fit_folds(train, KEPT, params, range(5), balanced)
+
+
+def forest_fold_auc(spark, d):
+    train, vectors = _train(spark, d)
+    return R.fold_aucs(R.fit_folds(train, KEPT, QUERY_FOREST, range(5)), vectors)
+
+
+def mean_abs_contribution(spark, d):
+    train, vectors = _train(spark, d)
+    return S.cv_step(train, vectors, KEPT, QUERY_FOREST, range(5))[1]
+
+
+def rfe_history(spark, d):
+    train, vectors = _train(spark, d)
+    return spark.createDataFrame(S.eliminate(train, vectors, KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
+
+
+def search_trials(spark, d):
+    train, vectors = _train(spark, d)
+    return R.search(train, vectors, KEPT, range(5), QUERY_SPACE, QUERY_DRAWS)[0]
+
+
+def forest_importance(spark, d):
+    train, _ = _train(spark, d)
+    return R.feature_importance(spark, R.fit_forest(train, KEPT, R.spark_params(QUERY_TRIAL)[0]))
+
+
+def forest_test_predictions(spark, d):
+    clean = materialize(clean_dataset(spark, d), "clean", [SPLIT])
+    model = R.fit_forest(clean.where(F.col(SPLIT) == "train"), KEPT, R.spark_params(QUERY_TRIAL)[0])
+    return prediction_table(R.score(model, clean.where(F.col(SPLIT) == "test")), KEPT, "test")
+
+
+def forest_oof_predictions(spark, d):
+    train, _ = _train(spark, d)
+    scored = R.score_folds(_fold_forests(train), train).withColumn("cv_fold", F.col("fold") + 1)
+    return prediction_table(scored, KEPT, "train_oof", ["cv_fold"])
+
+
+def leakage_comparison(spark, d):
+    rows = materialize(_rows_with(spark, d, lambda g: FO.holdout_groups(g, 5)).select(
+        ROW, *FEATURES, LABEL, SPLIT), "raw-split", [SPLIT])
+    counts = E.leakage_runs(rows, FEATURES, KEPT, QUERY_TRIAL).unionByName(
+        E.reference_run(rows, KEPT, QUERY_TRIAL, EVAL_TEST))
+    return rounded(M.compute_metrics(materialize(counts, "score-counts")).drop("confusion_matrix"))
+
+
+def learned() -> dict:
+    return {f.__name__: f for f in (
+        forest_fold_auc, mean_abs_contribution, rfe_history, search_trials, forest_importance,
+        forest_test_predictions, forest_oof_predictions, leakage_comparison)}
