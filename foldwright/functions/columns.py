@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldwright.constants import (LOG_LOSS_CLIP, META_COLS, NEGATIVE_CLASS, POSITIVE_CLASS,
-                                  POSITIVE_CODE, ROW, TARGET)
+from foldwright.constants import (LOG_LOSS_CLIP, META_COLS, NEGATIVE_CLASS, POSITIVE_CLASS, POSITIVE_CODE,
+                                  ROW, TARGET)
 
 
 def feature_cols(df) -> list[str]:
@@ -18,9 +18,13 @@ def feature_cols(df) -> list[str]:
 
 
 def group_key(features: Sequence[str]) -> Column:
-    """48-bit key of a feature vector: 12 hex digits of the MD5 of its comma-joined values."""
+    """48-bit key of a feature vector: 12 hex digits of the MD5 of its comma-joined values.
+
+    The key is never null. Saying so keeps joins on it from adding a null check, which would
+    hash every row a second time below the scan.
+    """
     text = F.concat_ws(",", *[F.col(c).cast("string") for c in features])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def seeded_draw(seed: int, key: Column) -> Column:
@@ -37,14 +41,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def ratio_or_zero(a: Column, b: Column) -> Column:
-    return F.coalesce(ratio(a, b), F.lit(0.0))
+def rounded_sql(expression: str, digits: int) -> str:
+    """Scale, round half to even, scale back."""
+    return f"rint(({expression}) * 1e{digits}D) / 1e{digits}D"
 
 
-def round_even(c: Column, digits: int) -> Column:
-    """Scale, round half to even, scale back."""
-    scale = float(10 ** digits)
-    return F.rint(c * F.lit(scale)) / F.lit(scale)
+def round_even(name: str, digits: int) -> Column:
+    return F.expr(rounded_sql(f"`{name}`", digits))
 
 
 def clipped(p: Column) -> Column:

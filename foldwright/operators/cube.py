@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwright.functions.columns import ratio, round_even
+from foldwright.functions.columns import ratio, rounded_sql
 
 
 def contingency_cube(vectors: DataFrame, features: Sequence[str], tags: Sequence[str] = ("fold",)) -> DataFrame:
@@ -72,8 +72,10 @@ def single_feature_auc(rates: DataFrame) -> DataFrame:
         "feature", F.greatest(F.col("_auc"), 1 - F.col("_auc")).alias("single_feature_auc"))
 
 
-def _value_map(feature: str):
-    return F.map_from_entries(F.collect_list(F.when(F.col("feature") == feature, F.struct("value", "rate"))))
+def value_map(feature: str, entry: str = "rate"):
+    """Aggregate: map from the values of one feature to an expression over its cube cell."""
+    return F.expr(f"map_from_entries(collect_list(CASE WHEN feature = '{feature}' "
+                  f"THEN struct(value, {entry}) END)) AS `_r_{feature}`")
 
 
 def rate_lookup(rates: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -81,19 +83,15 @@ def rate_lookup(rates: DataFrame, features: Sequence[str]) -> DataFrame:
 
     At most folds x features x 256 entries, so it can always be broadcast.
     """
-    return rates.groupBy("fold").agg(*[_value_map(f).alias(f"_r_{f}") for f in features])
+    return rates.groupBy("fold").agg(*[value_map(f) for f in features])
 
 
-def mean_rate_score(features: Sequence[str], default=None):
+def mean_rate_score(features: Sequence[str], default: str | None = None):
     """Average over the features of the looked-up rate, rounded to 9 decimals so that ties agree."""
-    rates = []
-    for f in features:
-        rate = F.try_element_at(F.col(f"_r_{f}"), F.col(f))
-        rates.append(rate if default is None else F.coalesce(rate, default))
-    total = rates[0]
-    for r in rates[1:]:
-        total = total + r
-    return round_even(total / F.lit(float(len(rates))), 9)
+    found = [f"try_element_at(`_r_{f}`, `{f}`)" for f in features]
+    if default:
+        found = [f"coalesce({rate}, {default})" for rate in found]
+    return F.expr(rounded_sql(f"({' + '.join(found)}) / {len(found)}D", 9))
 
 
 def out_of_fold_score(df: DataFrame, rates: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -107,10 +105,8 @@ def held_out_score(df: DataFrame, train_cube: DataFrame, features: Sequence[str]
 
     The rates of all features and the overall rate form a single broadcast row.
     """
-    rates = train_rates(train_cube)
-    first = F.col("feature") == features[0]
-    overall = ratio(F.sum(F.when(first, F.col("pos"))), F.sum(F.when(first, F.col("n"))))
-    maps = [_value_map(f).alias(f"_r_{f}") for f in features]
-    lookup = rates.agg(*maps, overall.alias("_overall")).withColumn("_one", F.lit(1))
+    first = f"CASE WHEN feature = '{features[0]}' THEN"
+    overall = F.expr(f"try_divide(sum({first} pos END), sum({first} n END)) AS _overall")
+    lookup = train_rates(train_cube).agg(*[value_map(f) for f in features], overall, F.expr("max(1) AS _one"))
     tagged = df.withColumn("_one", F.lit(1)).join(F.broadcast(lookup), "_one")
-    return tagged.select(*df.columns, mean_rate_score(features, F.col("_overall")).alias("score"))
+    return tagged.select(*df.columns, mean_rate_score(features, "_overall").alias("score"))

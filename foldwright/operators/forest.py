@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from foldwright.constants import LABEL, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
 from foldwright.operators.weights import with_class_weight
-from foldwright.session import materialize
+from foldwright.session import materialize, small_table
 
 # Deepest tree Spark trains; stands for "unlimited".
 MAX_DEPTH = 30
@@ -91,7 +91,7 @@ def fold_aucs(models: Mapping[int, PipelineModel], vectors: DataFrame) -> DataFr
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Impurity importance per feature, strongest first. One row per feature."""
     rows = [(f, float(v)) for f, v in zip(model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return small_table(spark, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 # Randomised search ------------------------------------------------------------------------
@@ -139,6 +139,6 @@ def search(train: DataFrame, vectors: DataFrame, features: Sequence[str], folds:
         records += [(i, named, k, aucs[k], mean) for k in sorted(aucs)]
         if best is None or mean > best[1]:
             best = (trial, mean, models)
-    table = train.sparkSession.createDataFrame(
+    table = small_table(train.sparkSession, 
         records, "trial int, params map<string,string>, fold int, auc double, mean_auc double")
     return table, *best

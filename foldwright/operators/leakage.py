@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwright.constants import (LEAKY_FEATURES, PAGE_CATEGORY, PAGE_FEATURES, PAGE_REASON,
                                   SUSPICIOUS_AUC)
 from foldwright.operators.cube import mutual_information, out_of_fold_rates, single_feature_auc
+from foldwright.session import small_table
 
 DEFAULT_MODE, URL_ONLY_MODE = "default", "url-only"
 REGISTRY_SCHEMA = "feature string, category string, reason string, mode string"
@@ -18,8 +19,8 @@ REGISTRY_SCHEMA = "feature string, category string, reason string, mode string"
 def registry(spark: SparkSession, leaky: Sequence[tuple] = tuple(LEAKY_FEATURES),
              page_features: Sequence[str] = tuple(PAGE_FEATURES)) -> DataFrame:
     """Documented leaks plus the page features that only url-only mode removes."""
-    documented = spark.createDataFrame([(*r, DEFAULT_MODE) for r in leaky], REGISTRY_SCHEMA)
-    page = spark.createDataFrame([(f, PAGE_CATEGORY, PAGE_REASON, URL_ONLY_MODE) for f in page_features],
+    documented = small_table(spark, [(*r, DEFAULT_MODE) for r in leaky], REGISTRY_SCHEMA)
+    page = small_table(spark, [(f, PAGE_CATEGORY, PAGE_REASON, URL_ONLY_MODE) for f in page_features],
                                  REGISTRY_SCHEMA)
     return documented.unionByName(page)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldwright.constants import (DECISION_THRESHOLD, EVAL_FOLD_PREFIX, EVAL_MEAN, EVAL_OOF, EVAL_STD, LABEL,
                                   METRIC_COLUMNS, METRIC_LABELS, NEGATIVE_CLASS, POSITIVE_CLASS)
-from foldwright.functions.columns import clipped, predicted, ratio, ratio_or_zero, round_even
+from foldwright.functions.columns import clipped, predicted, round_even
 from foldwright.operators.running import prefix_sums
 
 
@@ -94,37 +94,39 @@ def losses(counts: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:
     return counts.groupBy(*by).agg(log_loss.alias("log_loss"), brier.alias("brier_score"))
 
 
-def threshold_expressions() -> dict:
-    """The count-based metrics as expressions over double columns tp, fp, tn, fn."""
-    tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
-    n = tp + fp + tn + fn
-    recall, specificity = ratio_or_zero(tp, tp + fn), ratio(tn, tn + fp)
-    f_pos, f_neg = ratio_or_zero(2 * tp, 2 * tp + fp + fn), ratio_or_zero(2 * tn, 2 * tn + fp + fn)
+# Count-based metrics over double columns tp, fp, tn, fn. Undefined ratios are null, except
+# that precision, recall and the F scores are zero.
+_N, _RECALL, _SPECIFICITY = "(tp + fp + tn + fn)", "ifnull(try_divide(tp, tp + fn), 0D)", "try_divide(tn, tn + fp)"
+_F_POS = "ifnull(try_divide(2 * tp, 2 * tp + fp + fn), 0D)"
+_F_NEG = "ifnull(try_divide(2 * tn, 2 * tn + fp + fn), 0D)"
+_CHANCE = f"(((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / ({_N} * {_N}))"
+THRESHOLD_METRICS = {
+    "accuracy": f"(tp + tn) / {_N}",
     # With one class absent, balanced accuracy is the recall of the other.
-    balanced = F.when(tp + fn == 0, specificity).when(tn + fp == 0, recall).otherwise((recall + specificity) / 2)
-    agree = ratio(tp + tn, n)
-    chance = ratio((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp), n * n)
-    spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return {
-        "accuracy": agree,
-        "balanced_accuracy": balanced,
-        "precision": ratio_or_zero(tp, tp + fp),
-        "recall": recall,
-        "specificity": specificity,
-        "npv": ratio(tn, tn + fn),
-        "f1": f_pos,
-        "f1_macro": (f_pos + f_neg) / 2,
-        "f1_weighted": ratio(f_pos * (tp + fn) + f_neg * (tn + fp), n),
-        "f2": ratio_or_zero(5 * tp, 5 * tp + 4 * fn + fp),
-        "false_positive_rate": ratio(fp, fp + tn),
-        "false_negative_rate": ratio(fn, fn + tp),
-        "mcc": ratio_or_zero(tp * tn - fp * fn, spread),
-        "cohen_kappa": ratio(agree - chance, 1 - chance),
-    }
+    "balanced_accuracy": f"CASE WHEN tp + fn = 0 THEN {_SPECIFICITY} WHEN tn + fp = 0 THEN {_RECALL} "
+                         f"ELSE ({_RECALL} + {_SPECIFICITY}) / 2 END",
+    "precision": "ifnull(try_divide(tp, tp + fp), 0D)",
+    "recall": _RECALL,
+    "specificity": _SPECIFICITY,
+    "npv": "try_divide(tn, tn + fn)",
+    "f1": _F_POS,
+    "f1_macro": f"({_F_POS} + {_F_NEG}) / 2",
+    "f1_weighted": f"({_F_POS} * (tp + fn) + {_F_NEG} * (tn + fp)) / {_N}",
+    "f2": "ifnull(try_divide(5 * tp, 5 * tp + 4 * fn + fp), 0D)",
+    "false_positive_rate": "try_divide(fp, fp + tn)",
+    "false_negative_rate": "try_divide(fn, fn + tp)",
+    "mcc": "ifnull(try_divide(tp * tn - fp * fn, sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), 0D)",
+    "cohen_kappa": f"try_divide((tp + tn) / {_N} - {_CHANCE}, 1 - {_CHANCE})",
+}
+_THRESHOLD_SQL = [f"{e} AS {m}" for m, e in THRESHOLD_METRICS.items()]
+
+
+def _as_double(cells: DataFrame) -> DataFrame:
+    return cells.withColumns({c: F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn")})
 
 
 def threshold_metrics(cells: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:
-    return cells.select(*by, *[e.alias(m) for m, e in threshold_expressions().items()])
+    return _as_double(cells).selectExpr(*by, *_THRESHOLD_SQL)
 
 
 def compute_metrics(counts: DataFrame, by: Sequence[str] = ("evaluation",),
@@ -138,28 +140,28 @@ def compute_metrics(counts: DataFrame, by: Sequence[str] = ("evaluation",),
     log_loss, brier = _losses()
     hit = predicted(F.col("score"), threshold) == 1
     base = _ranked(counts, by).groupBy(*by).agg(
-        (F.sum("pos") + F.sum("neg")).alias("n_samples"), F.sum("pos").alias("n_phishing"),
-        F.sum("neg").alias("n_legitimate"), *_cells(hit), auc.alias("roc_auc"), precision.alias("pr_auc"),
-        log_loss.alias("log_loss"), brier.alias("brier_score"))
-    full = base.select("*", F.lit(threshold).alias("threshold"),
-                       *[e.alias(m) for m, e in threshold_expressions().items()])
-    return full.select(*by, *METRIC_COLUMNS,
-                       F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"))
+        F.sum("pos").alias("n_phishing"), F.sum("neg").alias("n_legitimate"), *_cells(hit),
+        auc.alias("roc_auc"), precision.alias("pr_auc"), log_loss.alias("log_loss"), brier.alias("brier_score"))
+    full = _as_double(base).selectExpr(
+        "*", "n_phishing + n_legitimate AS n_samples", f"{threshold}D AS threshold", *_THRESHOLD_SQL)
+    cells = [f"cast({c} AS bigint) AS {c}" if c in ("tp", "fp", "tn", "fn") else c for c in METRIC_COLUMNS]
+    return full.selectExpr(*by, *cells,
+                           "cast(array(array(tn, fp), array(fn, tp)) AS array<array<bigint>>) AS confusion_matrix")
 
 
 def fold_statistics(metrics: DataFrame) -> DataFrame:
     """Mean and sample standard deviation of every metric over the fold evaluations."""
     folds = metrics.where(F.col("evaluation").startswith(EVAL_FOLD_PREFIX))
-    stats = folds.agg(*[f(F.col(m).cast("double")).alias(f"{tag}_{m}") for m in METRIC_COLUMNS
-                        for tag, f in (("mean", F.avg), ("std", F.stddev_samp))])
-    rows = [F.struct(F.lit(name).alias("evaluation"), *[F.col(f"{tag}_{m}").alias(m) for m in METRIC_COLUMNS])
+    stats = folds.agg(*[F.expr(f"{f}(cast({m} AS double)) AS {tag}_{m}") for m in METRIC_COLUMNS
+                        for tag, f in (("mean", "avg"), ("std", "stddev_samp"))])
+    rows = [f"named_struct('evaluation', '{name}', " + ", ".join(f"'{m}', {tag}_{m}" for m in METRIC_COLUMNS) + ")"
             for name, tag in ((EVAL_MEAN, "mean"), (EVAL_STD, "std"))]
-    return stats.select(F.inline(F.array(*rows)))
+    return stats.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def metrics_summary(metrics: DataFrame) -> DataFrame:
     """Every evaluation plus fold mean and deviation; counts widen to double."""
-    wide = metrics.select("evaluation", *[F.col(m).cast("double") for m in METRIC_COLUMNS])
+    wide = metrics.selectExpr("evaluation", *[f"cast({m} AS double) AS {m}" for m in METRIC_COLUMNS])
     return wide.unionByName(fold_statistics(metrics))
 
 
@@ -168,30 +170,22 @@ def metrics_display(summary: DataFrame) -> DataFrame:
     names = list(METRIC_LABELS)
     label = F.create_map(*[F.lit(x) for pair in METRIC_LABELS.items() for x in pair])[F.col("metric")]
     return summary.unpivot(["evaluation"], names, "metric", "value").select(
-        "evaluation", "metric", label.alias("label"), F.format_string("%.4f", round_even(F.col("value"), 4)).alias("text"))
+        "evaluation", "metric", label.alias("label"), F.format_string("%.4f", round_even("value", 4)).alias("text"))
 
 
 def class_report(cells: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy, macro and weighted rows."""
-    tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
-
-    def one(hit, false, missed):
-        return (ratio_or_zero(hit, hit + false), ratio_or_zero(hit, hit + missed),
-                ratio_or_zero(2 * hit, 2 * hit + false + missed), hit + missed)
-
-    legit, phish = one(tn, fn, fp), one(tp, fp, fn)
-    n = legit[3] + phish[3]
-    macro = [(a + b) / 2 for a, b in zip(legit[:3], phish[:3])]
-    weighted = [ratio(a * legit[3] + b * phish[3], n) for a, b in zip(legit[:3], phish[:3])]
-    none = F.lit(None).cast("double")
-    rows = [(0, NEGATIVE_CLASS, *legit), (1, POSITIVE_CLASS, *phish),
-            (2, "accuracy", none, none, ratio(tp + tn, n), n),
-            (3, "macro avg", *macro, n), (4, "weighted avg", *weighted, n)]
-    fields = ("position", "class", "precision", "recall", "f1", "support")
-    structs = [F.struct(*[(v if hasattr(v, "cast") else F.lit(v)).alias(k) for k, v in zip(fields, row)])
-               for row in rows]
-    return (cells.select(*by, F.inline(F.array(*structs)))
-            .withColumn("support", F.col("support").cast("long")))
+    wide = _as_double(cells).selectExpr(
+        *by, f"{_N} AS n", "tp + fn AS n1", "tn + fp AS n0", f"(tp + tn) / {_N} AS accuracy",
+        "ifnull(try_divide(tp, tp + fp), 0D) AS p1", f"{_RECALL} AS r1", f"{_F_POS} AS f1",
+        "ifnull(try_divide(tn, tn + fn), 0D) AS p0", f"ifnull({_SPECIFICITY}, 0D) AS r0", f"{_F_NEG} AS f0")
+    rows = [(NEGATIVE_CLASS, "p0", "r0", "f0", "n0"), (POSITIVE_CLASS, "p1", "r1", "f1", "n1"),
+            ("accuracy", "cast(NULL AS double)", "cast(NULL AS double)", "accuracy", "n"),
+            ("macro avg", *[f"({m}0 + {m}1) / 2" for m in "prf"], "n"),
+            ("weighted avg", *[f"({m}0 * n0 + {m}1 * n1) / n" for m in "prf"], "n")]
+    structs = [f"named_struct('position', {i}, 'class', '{name}', 'precision', {p}, 'recall', {r}, 'f1', {f}, "
+               f"'support', cast({support} AS bigint))" for i, (name, p, r, f, support) in enumerate(rows)]
+    return wide.selectExpr(*by, f"inline(array({', '.join(structs)}))")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.constants import DECISION_THRESHOLD, GROUP, LABEL, ROW, SPLIT
-from foldwright.functions.columns import class_name, outcome, predicted, round_even
+from foldwright.functions.columns import class_name, outcome, predicted, rounded_sql
 
 
 def prediction_table(scored: DataFrame, features: Sequence[str], split, extra: Sequence[str] = (),
@@ -23,6 +23,7 @@ def prediction_table(scored: DataFrame, features: Sequence[str], split, extra: S
         F.col(ROW), F.col(GROUP), (split if hasattr(split, "cast") else F.lit(split)).alias(SPLIT),
         y.alias("true_label"), class_name(y).alias("true_class"),
         pred.alias("predicted_label"), class_name(pred).alias("predicted_class"),
-        round_even(p, 6).alias("prob_phishing"), round_even(1 - p, 6).alias("prob_legitimate"),
+        F.expr(rounded_sql(score, 6)).alias("prob_phishing"),
+        F.expr(rounded_sql(f"1 - {score}", 6)).alias("prob_legitimate"),
         (y == pred).alias("correct"), outcome(y, pred).alias("outcome"),
         *extra, *features)

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Order = list[tuple[str, str]]
 
 
-def _by(order: Order):
-    return [F.desc(c) if way == "desc" else F.asc(c) for c, way in order]
-
-
 def prefix_sums(df: DataFrame, by: list[str], levels: list[Order], order: Order,
                 measures: list[str]) -> DataFrame:
     """Add ``<m>_before``: the sum of ``m`` over all rows ahead of this one within ``by``.
@@ -28,21 +22,20 @@ def prefix_sums(df: DataFrame, by: list[str], levels: list[Order], order: Order,
     depth = len(levels)
     keys = [by + sum(names[:i], []) for i in range(depth + 1)]
 
-    def ahead(m: str, partition: list[str], ordering: Order):
-        w = Window.partitionBy(*partition).orderBy(*_by(ordering))
-        return F.coalesce(F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    def ahead(m: str, partition: list[str], ordering: Order, name: str):
+        sort = ", ".join(f"{c} {way}" for c, way in ordering)
+        return F.expr(f"coalesce(sum({m}) OVER (PARTITION BY {', '.join(partition)} ORDER BY {sort} "
+                      f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {name}")
 
-    totals = df.groupBy(*keys[depth]).agg(*[F.sum(m).alias(m) for m in measures])
+    sums = [F.expr(f"sum({m}) AS {m}") for m in measures]
+    totals = df.groupBy(*keys[depth]).agg(*sums)
     offsets = None
     for i in range(depth, 0, -1):
-        step = totals.select(*keys[i], *[ahead(m, keys[i - 1], levels[i - 1]).alias(f"_{m}_{i}")
-                                         for m in measures])
+        step = totals.select(*keys[i], *[ahead(m, keys[i - 1], levels[i - 1], f"_{m}_{i}") for m in measures])
         offsets = step if offsets is None else offsets.join(step, keys[i])
         if i > 1:
-            totals = totals.groupBy(*keys[i - 1]).agg(*[F.sum(m).alias(m) for m in measures])
+            totals = totals.groupBy(*keys[i - 1]).agg(*sums)
 
-    local = df.select("*", *[ahead(m, keys[depth], order).alias(f"_{m}_0") for m in measures])
-    joined = local.join(offsets, keys[depth])
-    whole = {f"{m}_before": reduce(lambda a, b: a + b, [F.col(f"_{m}_{i}") for i in range(depth + 1)])
-             for m in measures}
-    return joined.select(*df.columns, *[c.alias(name) for name, c in whole.items()])
+    local = df.select("*", *[ahead(m, keys[depth], order, f"_{m}_0") for m in measures])
+    before = [F.expr(" + ".join(f"_{m}_{i}" for i in range(depth + 1)) + f" AS {m}_before") for m in measures]
+    return local.join(offsets, keys[depth]).select(*df.columns, *before)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwright.functions.columns import round_even
+from foldwright.functions.columns import round_even, rounded_sql
+from foldwright.operators.cube import value_map
 
 
 def selection_curve(fold_aucs: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def additive_elimination(importance: DataFrame, features: Sequence[str]) -> Data
     recursive order is the order of the first step. Importance is compared at 9 decimals.
     """
     place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
-    weakest = Window.partitionBy(F.lit(1)).orderBy(round_even(F.col("initial_mean_abs_shap"), 9), place)
+    weakest = Window.partitionBy(F.lit(1)).orderBy(round_even("initial_mean_abs_shap", 9), place)
     return importance.select("feature", F.row_number().over(weakest).alias("elim_step"))
 
 
@@ -87,15 +88,12 @@ def nested_scores(vectors: DataFrame, rates: DataFrame, steps: DataFrame, featur
     """
     total = len(features)
     ranked = rates.join(F.broadcast(steps), "feature")
-    maps = [F.map_from_entries(F.collect_list(F.when(F.col("feature") == f, F.struct(
-        "value", F.struct((F.lit(total + 1) - F.col("elim_step")).alias("rank"), "rate").alias("entry"))
-    ))).alias(f"_r_{f}") for f in features]
-    lookup = ranked.groupBy("fold").agg(*maps)
-    by_rank = F.sort_array(F.array(*[F.element_at(F.col(f"_r_{f}"), F.col(f)) for f in features]))
+    entry = f"struct({total + 1} - elim_step AS rank, rate)"
+    lookup = ranked.groupBy("fold").agg(*[value_map(f, entry) for f in features])
+    by_rank = F.expr("sort_array(array(" + ", ".join(f"element_at(`_r_{f}`, `{f}`)" for f in features) + "))")
     scored = (vectors.join(F.broadcast(lookup), "fold")
               .select("fold", "n", "pos", by_rank.alias("_by_rank"))
               .select("fold", "n", "pos", "_by_rank",
                       F.explode(F.sequence(F.lit(1), F.lit(total))).alias("n_features")))
-    mean = F.aggregate(F.slice("_by_rank", 1, F.col("n_features")), F.lit(0.0),
-                       lambda acc, e: acc + e["rate"]) / F.col("n_features")
-    return scored.select("n_features", "fold", round_even(mean, 9).alias("score"), "n", "pos")
+    mean = "aggregate(slice(_by_rank, 1, n_features), 0D, (acc, e) -> acc + e.rate) / n_features"
+    return scored.select("n_features", "fold", F.expr(rounded_sql(mean, 9)).alias("score"), "n", "pos")

@@ -19,19 +19,17 @@ from foldwright.operators.vectors import attach_by_group, group_table, vector_ta
 from foldwright.session import materialize
 
 
-def stored_vectors(df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """The vector table, written once: folds, cube, profile and scores all read it."""
-    return materialize(vector_table(df, features, extra), "vectors")
-
-
 def tag_folds(vectors: DataFrame, k: int = N_FOLDS) -> DataFrame:
-    """Add ``fold`` to a stored vector table through its groups."""
+    """Add ``fold`` to a vector table through its groups.
+
+    Both sides of the join start from the same aggregate, whose shuffle is run once.
+    """
     folds = deal_folds(group_table(vectors), k).select(GROUP, "fold")
     return vectors.join(folds, GROUP).select(*vectors.columns, "fold")
 
 
 def stored_folds(df: DataFrame, features: Sequence[str], k: int = N_FOLDS) -> DataFrame:
-    return materialize(tag_folds(stored_vectors(df, features), k), "folds")
+    return materialize(tag_folds(vector_table(df, features), k), "folds")
 
 
 def group_columns(tagged: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,7 +60,7 @@ def remove_leaky(raw: DataFrame, entries: DataFrame, url_only: bool = False,
     """
     features = feature_cols(raw)
     rows = raw.withColumn(LABEL, label_from_target())
-    vectors = stored_vectors(rows, features)
+    vectors = materialize(vector_table(rows, features), "vectors")
     groups = group_table(vectors)
     diag = materialize(diagnostics(contingency_cube(tag_folds(vectors), features), entries), "diagnostics")
     drops = drop_set(entries, url_only)

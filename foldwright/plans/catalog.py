@@ -21,13 +21,13 @@ from foldwright.operators.weights import class_weights
 from foldwright.plans import audit, rates
 from foldwright.plans import evaluate as E
 from foldwright.plans import select as S
-from foldwright.session import materialize
+from foldwright.session import materialize, small_table
 from foldwright.sources.orders import FEATURES, KEPT, LEAKY, PAGE, labelled, ternary_features
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[round_even(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType)
-                       else F.col(f.name) for f in df.schema])
+    return df.select(*[round_even(f.name, digits).alias(f.name) if isinstance(f.dataType, DoubleType)
+                       else f.name for f in df.schema])
 
 
 # Shared steps -----------------------------------------------------------------------------
@@ -45,7 +45,7 @@ def _folds(spark, d):
 
 
 def _folded(spark, d):
-    return audit.tag_folds(audit.stored_vectors(labelled(spark, d), FEATURES))
+    return audit.tag_folds(_vectors(spark, d))
 
 
 def _cube(spark, d):
@@ -60,9 +60,13 @@ def _drops(spark, url_only=False):
     return L.drop_set(L.registry(spark, LEAKY, PAGE), url_only)
 
 
+def _rows(spark, d):
+    return materialize(labelled(spark, d), "rows")
+
+
 def _rows_with(spark, d, tag):
     """Stored rows, and the groups of their vectors tagged by ``tag``, joined by group key."""
-    rows = materialize(labelled(spark, d), "rows")
+    rows = _rows(spark, d)
     groups = materialize(tag(V.group_table(V.vector_table(rows, FEATURES))), "groups")
     columns = [c for c in groups.columns if c not in (GROUP, "n", "pos")]
     return V.attach_by_group(V.with_group_id(rows, FEATURES), groups, columns)
@@ -83,7 +87,7 @@ def _stored_counts(spark, d):
 
 
 def _summary(spark, d):
-    return M.metrics_summary(rates.evaluate_rates(labelled(spark, d), FEATURES, KEPT))
+    return M.metrics_summary(rates.evaluate_rates(_rows(spark, d), FEATURES, KEPT))
 
 
 # Queries ----------------------------------------------------------------------------------
@@ -123,8 +127,7 @@ def group_overlap(spark, d):
 
 
 def stratified_random_split(spark, d):
-    rows = materialize(labelled(spark, d).select(ROW, LABEL), "rows")
-    return FO.random_holdout(rows)
+    return FO.random_holdout(materialize(labelled(spark, d).select(ROW, LABEL), "rows"))
 
 
 def mutual_information(spark, d):
@@ -149,7 +152,7 @@ def clean_dataset(spark, d):
 
 
 def _scored_rows(spark, d):
-    rows = materialize(labelled(spark, d), "rows")
+    rows = _rows(spark, d)
     folded = audit.stored_folds(rows, FEATURES)
     rated = C.out_of_fold_rates(C.contingency_cube(folded, FEATURES))
     tagged = V.attach_by_group(V.with_group_id(rows, FEATURES), audit.group_columns(folded, ["fold"]), ["fold"])
@@ -281,7 +284,7 @@ def mean_abs_contribution(spark, d):
 
 def rfe_history(spark, d):
     train, vectors = _train(spark, d)
-    return spark.createDataFrame(S.eliminate(train, vectors, KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
+    return small_table(spark, S.eliminate(train, vectors, KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
 
 
 def search_trials(spark, d):

@@ -16,7 +16,7 @@ from foldwright.operators.metrics import (compute_metrics, fold_and_pooled, rank
 from foldwright.operators.selection import (additive_elimination, feature_ranking, nested_scores,
                                             one_se_choice, rate_contributions, selection_curve)
 from foldwright.operators.vectors import group_table, vector_table
-from foldwright.plans.audit import stored_vectors, tag_folds
+from foldwright.plans.audit import tag_folds
 from foldwright.session import materialize
 
 
@@ -31,7 +31,7 @@ def reference_names(n_features: int) -> dict[str, str]:
 
 def split_vectors(df: DataFrame, features: Sequence[str], n_folds: int = N_FOLDS) -> DataFrame:
     """Stored vectors with their hold-out side."""
-    vectors = stored_vectors(df, features)
+    vectors = vector_table(df, features)
     sides = holdout_groups(group_table(vectors), n_folds).select("group_id", SPLIT)
     return materialize(vectors.join(sides, "group_id").select(*vectors.columns, SPLIT), "split-vectors")
 

@@ -16,7 +16,7 @@ from foldwright.operators.folds import deal_folds
 from foldwright.operators.forest import fit_folds, fold_aucs, in_parallel
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
 from foldwright.operators.vectors import attach_by_group, vector_table
-from foldwright.session import materialize
+from foldwright.session import materialize, small_table
 
 
 def folded_train(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -> DataFrame:
@@ -86,11 +86,11 @@ def select_features(clean: DataFrame, params: Mapping = SELECTION_FOREST, k: int
     train = folded_train(clean, features, k)
     vectors = fold_vectors(train, features)
     rows, order, initial = eliminate(train, vectors, features, params, range(k), parallelism)
-    history = spark.createDataFrame(rows, HISTORY_SCHEMA)
+    history = small_table(spark, rows, HISTORY_SCHEMA)
     curve = selection_curve(history)
     choice = one_se_choice(curve)
-    steps = spark.createDataFrame([(f, i) for i, f in enumerate(order, 1)], "feature string, elim_step int")
-    importance = spark.createDataFrame(list(initial.items()), "feature string, initial_mean_abs_shap double")
+    steps = small_table(spark, [(f, i) for i, f in enumerate(order, 1)], "feature string, elim_step int")
+    importance = small_table(spark, list(initial.items()), "feature string, initial_mean_abs_shap double")
     ranking = feature_ranking(steps, importance,
                               mutual_information(contingency_cube(vectors, features, tags=())), choice)
     size = choice.first().chosen_n_features

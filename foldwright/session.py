@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -56,3 +60,10 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few driver-side rows (names, parameters, fold scores) as a table without Python tasks."""
+    fields = StructType.fromDDL(schema)
+    records = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(fields)), schema=fields)

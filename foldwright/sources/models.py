@@ -6,11 +6,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from foldwright.constants import POSITIVE_CLASS
+from foldwright.session import small_table
 
 
 def save_model(spark: SparkSession, model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
-    about = spark.createDataFrame([(model.stages[0].getInputCols(), POSITIVE_CLASS)],
+    about = small_table(spark, [(model.stages[0].getInputCols(), POSITIVE_CLASS)],
                                   "features array<string>, positive_class string")
     about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
 

@@ -15,6 +15,12 @@ PAGE = ["f_maxprice", "f_maxqty"]
 KEPT = [f for f in FEATURES if f != "f_gross"]
 
 
+# The columns that are read; a given schema also saves the footer pass that infers one.
+ORDERS = "o_orderkey bigint, o_orderstatus string, o_orderpriority string"
+LINEITEM = ("l_orderkey bigint, l_quantity double, l_extendedprice double, l_discount double, "
+            "l_returnflag string, l_linestatus string")
+
+
 def _three(c, low, high):
     return F.when(c <= low, -1).when(c <= high, 0).otherwise(1)
 
@@ -25,8 +31,8 @@ def ternary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are aggregated on the order key before the join, so both sides of the join are
     already partitioned or small, and a busy order shuffles as one row per map task.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    items = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
     lines = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
@@ -36,7 +42,7 @@ def ternary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_or(F.col("l_returnflag") == "R").alias("returned"),
         F.bool_or(F.col("l_linestatus") == "F").alias("finished"),
     )
-    j = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey", "left").fillna(
+    j = orders.join(lines, "o_orderkey", "left").fillna(
         {"n": 0, "revenue": 0.0, "gross": 0.0, "price": 0.0, "quantity": 0.0, "returned": False, "finished": False})
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     rules = {

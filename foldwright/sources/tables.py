@@ -34,7 +34,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def six_decimals(summary: DataFrame) -> DataFrame:
     """The summary as text with six decimals; an undefined metric is an empty field."""
     return summary.select("evaluation", *[
-        F.when(F.col(m).isNotNull(), F.format_string("%.6f", round_even(F.col(m), 6))).alias(m)
+        F.when(F.col(m).isNotNull(), F.format_string("%.6f", round_even(m, 6))).alias(m)
         for m in METRIC_COLUMNS])
 
 
