@@ -22,6 +22,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwright.operators.metrics import union_all
 from foldwright.session import scratch_path
 
 # Vectors handled at once by one task; bounds the size of its work arrays.
@@ -46,31 +47,31 @@ def leaf_paths(spark: SparkSession, model: PipelineModel) -> list[dict]:
         "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", weight.alias("weight"),
         F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).collect()
-    trees: dict[int, dict] = {}
-    for n in nodes:
-        trees.setdefault(n.treeID, {})[n.id] = n
-    return [_tree_leaves(trees[t]) for t in sorted(trees)]
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).toPandas()
+    return [_tree_leaves(tree.set_index("id").sort_index()) for _, tree in nodes.groupby("treeID")]
 
 
-def _tree_leaves(nodes: Mapping) -> dict:
+def _tree_leaves(nodes: pd.DataFrame) -> dict:
+    """Walk one tree; node numbers run from 0 without gaps."""
+    left, right, weight, value, feature, cut = (
+        nodes[c].to_numpy() for c in ("leftChild", "rightChild", "weight", "value", "feature", "cut"))
     leaves = []
     todo = [(0, {})]
     while todo:
         at, box = todo.pop()
-        node = nodes[at]
-        if node.leftChild < 0:
-            leaves.append((box, node.value))
+        if left[at] < 0:
+            leaves.append((box, value[at]))
             continue
-        low, high, share = box.get(node.feature, (-np.inf, np.inf, 1.0))
-        for child, side in ((node.leftChild, (low, min(high, node.cut))),
-                            (node.rightChild, (max(low, node.cut), high))):
-            todo.append((child, {**box, node.feature: (*side, share * nodes[child].weight / node.weight)}))
+        f = int(feature[at])
+        low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
+        for child, side in ((left[at], (low, min(high, cut[at]))), (right[at], (max(low, cut[at]), high))):
+            todo.append((child, {**box, f: (*side, share * weight[child] / weight[at])}))
     width = max(1, max(len(box) for box, _ in leaves))
     shape = (len(leaves), width)
     # Padding acts as a feature that every row satisfies with share one: it changes nothing.
-    out = {"feature": np.zeros(shape, int), "low": np.full(shape, -np.inf), "high": np.full(shape, np.inf),
-           "share": np.ones(shape), "value": np.array([v for _, v in leaves])}
+    out = {"feature": np.zeros(shape, np.int16), "low": np.full(shape, -np.inf, np.float32),
+           "high": np.full(shape, np.inf, np.float32), "share": np.ones(shape),
+           "value": np.array([v for _, v in leaves])}
     for i, (box, _) in enumerate(leaves):
         for j, (f, (low, high, share)) in enumerate(box.items()):
             for name, v in (("feature", f), ("low", low), ("high", high), ("share", share)):
@@ -101,25 +102,29 @@ def contributions(vectors: DataFrame, forests: Mapping[int, list[dict]], feature
     """(fold, features, n, phi, bias) for every distinct vector of a fold, by that fold's forest.
 
     Vectors are first collapsed to the given features. The explicit partition count keeps
-    this small but compute-heavy table spread over all cores.
+    this small but compute-heavy table spread over all cores. A task only fetches the forest
+    of its fold: at most trees x 2^depth leaves of 18 bytes per path feature.
     """
     spark = vectors.sparkSession
     names = list(features)
-    shared = spark.sparkContext.broadcast(dict(forests))
-    distinct = (vectors.groupBy("fold", *names).agg(F.sum("n").alias("n"))
-                .repartition(spark.sparkContext.defaultParallelism, "fold", *names))
-
-    def explain(batches):
-        for batch in batches:
-            for fold, part in batch.groupby("fold"):
-                for start in range(0, len(part), BLOCK):
-                    block = part.iloc[start:start + BLOCK].reset_index(drop=True)
-                    phi, bias = shapley(shared.value[int(fold)], block[names].to_numpy(float))
-                    yield pd.DataFrame({**{c: block[c] for c in ("fold", *names, "n")},
-                                        "phi": list(phi), "bias": bias})
-
+    distinct = vectors.groupBy("fold", *names).agg(F.sum("n").alias("n"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
-    return distinct.mapInPandas(explain, f"{fields}, phi array<double>, bias double")
+
+    def explain_with(forest):
+        def explain(batches):
+            for batch in batches:
+                for start in range(0, len(batch), BLOCK):
+                    block = batch.iloc[start:start + BLOCK]
+                    phi, bias = shapley(forest.value, block[names].to_numpy(float))
+                    yield block.assign(phi=list(phi), bias=bias)
+        return explain
+
+    def one(fold, trees):
+        part = distinct.where(F.col("fold") == fold).repartition(spark.sparkContext.defaultParallelism, *names)
+        return part.mapInPandas(explain_with(spark.sparkContext.broadcast(trees)),
+                                f"{fields}, phi array<double>, bias double")
+
+    return union_all([one(k, trees) for k, trees in forests.items()])
 
 
 def mean_abs_contribution(explained: DataFrame, features: Sequence[str]) -> DataFrame:

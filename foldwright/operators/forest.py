@@ -5,6 +5,9 @@ variance of a 0/1 label is half its Gini impurity, so the splits are the same, a
 predicts its share of positives. Spark's classification trees merge sibling leaves that
 agree on the majority class, which coarsens the probabilities and with them every ranking
 metric; the regression trees only merge leaves that predict the same share.
+
+Forests are fitted and evaluated on distinct vectors with row count ``n`` and positives
+``pos``; rows are read once, when that table is built, however many fits follow.
 """
 
 from __future__ import annotations
@@ -28,27 +31,50 @@ from foldwright.operators.metrics import ranking_metrics, union_all, vector_scor
 from foldwright.operators.weights import with_class_weight
 from foldwright.session import materialize, small_table
 
+# Rows of one (vector, label) pair that are sampled one by one; see training_rows.
+COPIES = 1000
+
 # Deepest tree Spark trains; stands for "unlimited".
 MAX_DEPTH = 30
 
 
 def _learner(params: Mapping):
-    params = {"featureSubsetStrategy": "sqrt", "featuresCol": "_x", "labelCol": LABEL, **params}
+    params = {"featureSubsetStrategy": "sqrt", "featuresCol": "_x", "labelCol": LABEL, "weightCol": "weight",
+              **params}
     impurity = params.pop("impurity", "gini")
     if impurity == "gini":
         return RandomForestRegressor(**params)
     return RandomForestClassifier(impurity=impurity, **params)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], params: Mapping,
-               balanced: bool = False) -> PipelineModel:
-    """Fit on the rows of ``train``; copies count, since every tree samples rows."""
-    rows = train.select(*features, LABEL)
-    learner = _learner(params)
+def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False) -> DataFrame:
+    """The rows behind a vector table as (features, label, weight).
+
+    Trees sample rows, so every copy becomes a row again, with weight one. Only the copies
+    of one (vector, label) pair beyond ``COPIES`` are shared out as weight: the total weight
+    is always the number of rows, and a vector that holds a third of the table trains as
+    ``COPIES`` rows. The explicit repartition spreads the small table before it grows.
+    """
+    spark = vectors.sparkSession
+    labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+              .selectExpr(*[f"`{f}`" for f in features],
+                          f"inline(array(struct(1 AS {LABEL}, pos AS m), struct(0 AS {LABEL}, n - pos AS m)))")
+              .where("m > 0"))
     if balanced:
-        rows, learner = with_class_weight(rows), learner.setWeightCol("weight")
+        labels = with_class_weight(labels)
+    else:
+        labels = labels.withColumn("class_weight", F.lit(1.0))
+    spread = labels.repartition(spark.sparkContext.defaultParallelism, *features, LABEL)
+    return spread.selectExpr(
+        *[f"`{f}`" for f in features], LABEL,
+        f"explode(array_repeat(class_weight * m / least(m, {COPIES}), int(least(m, {COPIES})))) AS weight")
+
+
+def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping,
+               balanced: bool = False) -> PipelineModel:
+    rows = training_rows(vectors, features, balanced)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    model = learner.fit(assembler.transform(rows).drop(*features))
+    model = _learner(params).fit(assembler.transform(rows).drop(*features))
     return PipelineModel([assembler, model])
 
 
@@ -67,12 +93,12 @@ def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelis
         return pool.map(inheritable_thread_target(spark)(work), items)
 
 
-def fit_folds(train: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
+def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
               balanced: bool = False, parallelism: int = 4) -> dict[int, PipelineModel]:
-    """One forest per fold, fitted on the other folds. ``train`` is stored partitioned by fold."""
+    """One forest per fold of a fold-tagged vector table, fitted on the other folds."""
     models = in_parallel(
-        train.sparkSession,
-        lambda k: fit_forest(train.where(F.col("fold") != k), features, params, balanced), list(folds), parallelism)
+        vectors.sparkSession,
+        lambda k: fit_forest(vectors.where(F.col("fold") != k), features, params, balanced), list(folds), parallelism)
     return dict(zip(folds, models))
 
 
@@ -122,8 +148,8 @@ def spark_params(trial: Mapping, seed: int = SEED) -> tuple[dict, bool]:
     return out, trial.get("class_weight") == "balanced"
 
 
-def search(train: DataFrame, vectors: DataFrame, features: Sequence[str], folds: Sequence[int],
-           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = 4):
+def search(vectors: DataFrame, features: Sequence[str], folds: Sequence[int],
+           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = 4) -> tuple:
     """Randomised search by mean fold ROC-AUC; the first trial with the highest mean wins.
 
     Returns (trial table, best trial, its mean AUC, its fold forests). Per trial only one
@@ -132,13 +158,13 @@ def search(train: DataFrame, vectors: DataFrame, features: Sequence[str], folds:
     records, best = [], None
     for i, trial in enumerate(draw_trials(space, n_iter, seed)):
         params, balanced = spark_params(trial, seed)
-        models = fit_folds(train, features, params, folds, balanced, parallelism)
+        models = fit_folds(vectors, features, params, folds, balanced, parallelism)
         aucs = {r.fold: r.auc for r in fold_aucs(models, vectors).collect()}
         mean = sum(aucs.values()) / len(aucs)
         named = {k: str(v) for k, v in trial.items()}
         records += [(i, named, k, aucs[k], mean) for k in sorted(aucs)]
         if best is None or mean > best[1]:
             best = (trial, mean, models)
-    table = small_table(train.sparkSession, 
-        records, "trial int, params map<string,string>, fold int, auc double, mean_auc double")
+    table = small_table(
+        vectors.sparkSession, records, "trial int, params map<string,string>, fold int, auc double, mean_auc double")
     return table, *best

@@ -18,16 +18,16 @@ def with_group_id(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumn(GROUP, group_key(features))
 
 
-def vector_table(df: DataFrame, features: Sequence[str], extra: Sequence[str] = (),
-                 key_features: Sequence[str] | None = None) -> DataFrame:
-    """One row per distinct vector (and ``extra`` tag): row count ``n``, positives ``pos``, group key.
+def count_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row count ``n`` and positives ``pos`` per key. Copies collapse map-side, so a key that
+    fills a third of the table shuffles as one row per map task."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(LABEL).cast("long")).alias("pos"))
 
-    Copies collapse map-side, so a vector that fills a third of the table shuffles as one
-    row per map task. The key is hashed once per vector, not once per row.
-    """
-    out = df.groupBy(*features, *extra).agg(F.count(F.lit(1)).alias("n"),
-                                            F.sum(F.col(LABEL).cast("long")).alias("pos"))
-    return out.withColumn(GROUP, group_key(key_features or features))
+
+def vector_table(df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct full vector (and ``extra`` tag) with ``n``, ``pos`` and the group key,
+    which is hashed once per vector, not once per row."""
+    return count_rows(df, [*features, *extra]).withColumn(GROUP, group_key(features))
 
 
 def group_table(vectors: DataFrame) -> DataFrame:
@@ -35,18 +35,16 @@ def group_table(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(GROUP).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def attach_by_group(rows: DataFrame, groups: DataFrame, columns: Sequence[str],
+def attach_by_group(rows: DataFrame, lookup: DataFrame, columns: Sequence[str], on: Sequence[str] = (GROUP,),
                     hot_rows: int = HOT_ROWS, row_key: str = ROW) -> DataFrame:
-    """Inner join ``columns`` of ``groups`` (which carries ``n``) onto rows by group key.
+    """Inner join ``columns`` of a lookup (one row per ``on`` key, with its row count ``n``) onto rows.
 
-    A group with more than ``hot_rows`` rows is dealt over ceil(n / hot_rows) salted
-    copies of its lookup row. Only those groups are broadcast: there are fewer than
-    rows / hot_rows of them.
+    A key with more than ``hot_rows`` rows is dealt over ceil(n / hot_rows) salted copies of
+    its lookup row. Only those keys are broadcast: there are fewer than rows / hot_rows of them.
     """
     parts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int")
-    hot = groups.where(F.col("n") > hot_rows).select(GROUP, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), GROUP, "left").withColumn(
+    hot = lookup.where(F.col("n") > hot_rows).select(*on, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(hot), list(on), "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_key), F.col("_parts")).cast("int"), F.lit(0)))
-    lookup = groups.select(GROUP, *columns,
-                           F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
-    return salted.join(lookup, [GROUP, "_salt"]).select(*rows.columns, *columns)
+    copies = lookup.select(*on, *columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
+    return salted.join(copies, [*on, "_salt"]).select(*rows.columns, *columns)

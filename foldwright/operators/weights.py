@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.constants import LABEL
-from foldwright.operators.profile import class_counts
 
 
-def class_weights(df: DataFrame) -> DataFrame:
-    """n / (classes * n_class) per class, from the rows that are fitted. Two rows."""
+def class_weights(counts: DataFrame) -> DataFrame:
+    """n / (classes * n_class) from class counts ``n``. Two rows."""
     everything = Window.partitionBy(F.lit(1))
     total, classes = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
-    return class_counts(df).select(LABEL, "n", (total / (classes * F.col("n"))).alias("weight"))
+    return counts.select(LABEL, "n", (total / (classes * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(class_weights(df).select(LABEL, "weight")), LABEL)
+def with_class_weight(labels: DataFrame) -> DataFrame:
+    """Add ``class_weight`` to a table of labels with row counts ``m``, from the rows it holds."""
+    counts = labels.groupBy(LABEL).agg(F.sum("m").alias("n"))
+    weights = class_weights(counts).select(LABEL, F.col("weight").alias("class_weight"))
+    return labels.join(F.broadcast(weights), LABEL)

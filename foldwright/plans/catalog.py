@@ -213,7 +213,7 @@ def sql_checked() -> dict:
         "duplicate_rows": duplicate_rows,
         "conflict_vectors": conflict_vectors,
         "class_counts": lambda s, d: P.class_counts(labelled(s, d)),
-        "class_weights": lambda s, d: rounded(class_weights(labelled(s, d))),
+        "class_weights": lambda s, d: rounded(class_weights(P.class_counts(labelled(s, d)))),
         "group_folds": _folds,
         "row_folds": row_folds,
         "fold_balance": lambda s, d: rounded(P.fold_balance(_folds(s, d))),
@@ -262,58 +262,56 @@ QUERY_TRIAL = {"n_estimators": 8, "max_depth": 4, "max_features": 0.75, "criteri
 QUERY_DRAWS = 2
 
 
-def _train(spark, d):
-    train = S.folded_train(materialize(clean_dataset(spark, d), "clean", [SPLIT]), KEPT)
-    return train, S.fold_vectors(train, KEPT)
+def _clean(spark, d):
+    return materialize(clean_dataset(spark, d), "clean", [SPLIT])
 
 
-def _fold_forests(train):
-    params, balanced = R.spark_params(QUERY_TRIAL)
-    return R.fit_folds(train, KEPT, params, range(5), balanced)
+def _train_vectors(spark, d):
+    """Fold-tagged vectors of the train side, straight from the split vector table."""
+    split = rates.split_vectors(labelled(spark, d), FEATURES)
+    return rates.train_folds(split)
 
 
 def forest_fold_auc(spark, d):
-    train, vectors = _train(spark, d)
-    return R.fold_aucs(R.fit_folds(train, KEPT, QUERY_FOREST, range(5)), vectors)
+    vectors = _train_vectors(spark, d)
+    return R.fold_aucs(R.fit_folds(vectors, KEPT, QUERY_FOREST, range(5)), vectors)
 
 
 def mean_abs_contribution(spark, d):
-    train, vectors = _train(spark, d)
-    return S.cv_step(train, vectors, KEPT, QUERY_FOREST, range(5))[1]
+    return S.cv_step(_train_vectors(spark, d), KEPT, QUERY_FOREST, range(5))[1]
 
 
 def rfe_history(spark, d):
-    train, vectors = _train(spark, d)
-    return small_table(spark, S.eliminate(train, vectors, KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
+    return small_table(spark, S.eliminate(_train_vectors(spark, d), KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
 
 
 def search_trials(spark, d):
-    train, vectors = _train(spark, d)
-    return R.search(train, vectors, KEPT, range(5), QUERY_SPACE, QUERY_DRAWS)[0]
+    return R.search(_train_vectors(spark, d), KEPT, range(5), QUERY_SPACE, QUERY_DRAWS)[0]
 
 
 def forest_importance(spark, d):
-    train, _ = _train(spark, d)
-    return R.feature_importance(spark, R.fit_forest(train, KEPT, R.spark_params(QUERY_TRIAL)[0]))
+    return R.feature_importance(spark, R.fit_forest(_train_vectors(spark, d), KEPT, R.spark_params(QUERY_TRIAL)[0]))
 
 
 def forest_test_predictions(spark, d):
-    clean = materialize(clean_dataset(spark, d), "clean", [SPLIT])
-    model = R.fit_forest(clean.where(F.col(SPLIT) == "train"), KEPT, R.spark_params(QUERY_TRIAL)[0])
+    clean = _clean(spark, d)
+    train = V.count_rows(clean.where(F.col(SPLIT) == "train"), KEPT)
+    model = R.fit_forest(train, KEPT, R.spark_params(QUERY_TRIAL)[0])
     return prediction_table(R.score(model, clean.where(F.col(SPLIT) == "test")), KEPT, "test")
 
 
 def forest_oof_predictions(spark, d):
-    train, _ = _train(spark, d)
-    scored = R.score_folds(_fold_forests(train), train).withColumn("cv_fold", F.col("fold") + 1)
-    return prediction_table(scored, KEPT, "train_oof", ["cv_fold"])
+    clean = _clean(spark, d)
+    vectors = S.train_vectors(clean, KEPT)
+    models = R.fit_folds(vectors, KEPT, R.spark_params(QUERY_TRIAL)[0], range(5))
+    return E.oof_predictions(clean, materialize(R.score_folds(models, vectors), "oof-scores"), KEPT)
 
 
 def leakage_comparison(spark, d):
-    rows = materialize(_rows_with(spark, d, lambda g: FO.holdout_groups(g, 5)).select(
-        ROW, *FEATURES, LABEL, SPLIT), "raw-split", [SPLIT])
-    counts = E.leakage_runs(rows, FEATURES, KEPT, QUERY_TRIAL).unionByName(
-        E.reference_run(rows, KEPT, QUERY_TRIAL, EVAL_TEST))
+    rows = _rows(spark, d)
+    split = rates.split_vectors(rows, FEATURES)
+    counts = E.leakage_runs(rows, split, FEATURES, KEPT, QUERY_TRIAL).unionByName(
+        E.reference_run(split, KEPT, QUERY_TRIAL, EVAL_TEST))
     return rounded(M.compute_metrics(materialize(counts, "score-counts")).drop("confusion_matrix"))
 
 

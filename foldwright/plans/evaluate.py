@@ -9,16 +9,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.constants import (EVAL_OOF, EVAL_TEST, LABEL, N_FOLDS, ROW, SEARCH_DRAWS, SEARCH_SPACE, SPLIT)
+from foldwright.constants import (EVAL_OOF, EVAL_TEST, GROUP, LABEL, N_FOLDS, ROW, SEARCH_DRAWS, SEARCH_SPACE,
+                                  SPLIT)
 from foldwright.functions.columns import feature_cols, label_from_target
 from foldwright.operators.folds import random_holdout
 from foldwright.operators.forest import (feature_importance, fit_forest, score, score_folds, search, spark_params)
 from foldwright.operators.metrics import (class_report, compute_metrics, confusion_matrix, fold_and_pooled,
-                                          metrics_summary, score_counts, union_all, vector_score_counts)
+                                          metrics_summary, union_all, vector_score_counts)
 from foldwright.operators.predictions import prediction_table
-from foldwright.operators.vectors import vector_table
+from foldwright.operators.vectors import attach_by_group, count_rows, vector_table
 from foldwright.plans.rates import reference_names
-from foldwright.plans.select import fold_vectors, folded_train
+from foldwright.plans.select import train_vectors
 from foldwright.session import materialize
 
 
@@ -37,60 +38,72 @@ class Evaluation:
     importance: DataFrame
 
 
-def reference_run(rows: DataFrame, features: Sequence[str], trial: Mapping, name: str) -> DataFrame:
-    """Fit on the train side, score the test side as distinct vectors: score counts under ``name``."""
+def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, name: str) -> DataFrame:
+    """Fit on the train side of a split vector table, score the test side: score counts under ``name``."""
     params, balanced = spark_params(trial)
-    model = fit_forest(rows.where(F.col(SPLIT) == "train"), features, params, balanced)
-    test = vector_table(rows.where(F.col(SPLIT) == "test"), features)
-    scored = score(model, test).withColumn("evaluation", F.lit(name))
+    model = fit_forest(vectors.where(F.col(SPLIT) == "train"), features, params, balanced)
+    scored = score(model, vectors.where(F.col(SPLIT) == "test")).withColumn("evaluation", F.lit(name))
     return vector_score_counts(scored, ["evaluation"])
 
 
-def leakage_runs(rows: DataFrame, features: Sequence[str], selected: Sequence[str], trial: Mapping,
-                 prefix: str = "reference: ") -> DataFrame:
-    """Score counts of the three comparison runs; ``rows`` has all features, label and group split."""
+def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], selected: Sequence[str],
+                 trial: Mapping, prefix: str = "reference: ") -> DataFrame:
+    """Score counts of the three comparison runs, refitted with the same parameters.
+
+    ``rows`` has all features and the label, ``split`` is the group-split vector table.
+    """
     names = reference_names(len(features))
-    loose = materialize(random_holdout(rows.drop(SPLIT)), "random-split", [SPLIT])
+    loose = materialize(vector_table(random_holdout(rows), features, [SPLIT]), "random-vectors")
     return union_all([
         reference_run(loose, features, trial, prefix + names["all_random"]),
-        reference_run(rows, features, trial, prefix + names["all_group"]),
+        reference_run(split, features, trial, prefix + names["all_group"]),
         reference_run(loose, selected, trial, prefix + names["selected_random"]),
     ])
 
 
+def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]) -> DataFrame:
+    """Out-of-fold prediction of every train row.
+
+    ``scored`` holds one score per (group, vector). Rows need a join to learn their fold
+    anyway; the score rides along, so no tree is walked once per copy.
+    """
+    train = clean.where(F.col(SPLIT) == "train").select(ROW, *selected, LABEL, GROUP)
+    rows = attach_by_group(train, scored, ["fold", "score"], on=[GROUP, *selected])
+    return prediction_table(rows.withColumn("cv_fold", F.col("fold") + 1), selected, "train_oof", ["cv_fold"])
+
+
 def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str],
                        n_iter: int = SEARCH_DRAWS, space: Mapping = SEARCH_SPACE, k: int = N_FOLDS,
                        parallelism: int = 4) -> Evaluation:
     """``clean`` is the output of step 1, ``raw`` its input, ``selected`` the outcome of step 2."""
     spark, selected = clean.sparkSession, list(selected)
-    train = folded_train(clean, selected, k)
+    vectors = train_vectors(clean, selected, k)
     test = clean.where(F.col(SPLIT) == "test")
-    vectors = fold_vectors(train, selected)
 
-    trials, best, cv_auc, fold_models = search(train, vectors, selected, range(k), space, n_iter,
-                                               parallelism=parallelism)
+    trials, best, cv_auc, fold_models = search(vectors, selected, range(k), space, n_iter, parallelism=parallelism)
     params, balanced = spark_params(best)
-    model = fit_forest(train, selected, params, balanced)
+    model = fit_forest(vectors, selected, params, balanced)
 
     # The fold forests of the winning trial are the out-of-fold forests: same rows, same seed.
-    scored_test = materialize(score(model, test), "test-scores")
-    scored_oof = materialize(score_folds(fold_models, train).withColumn("cv_fold", F.col("fold") + 1),
-                             "oof-scores")
+    scored = materialize(score_folds(fold_models, vectors), "oof-scores")
+    held_out = score(model, count_rows(test, selected)).withColumn("evaluation", F.lit(EVAL_TEST))
 
-    full = raw.withColumn(LABEL, label_from_target())
+    rows = raw.withColumn(LABEL, label_from_target())
     features = feature_cols(raw)
-    sided = materialize(full.join(clean.select(ROW, SPLIT), ROW).select(ROW, *features, LABEL, SPLIT),
-                        "raw-split", [SPLIT])
+    # The side of a group is read off the clean table, so both steps share one split.
+    sides = clean.groupBy(GROUP).agg(F.min(SPLIT).alias(SPLIT))
+    split = materialize(vector_table(rows, features).join(sides, GROUP), "split-vectors")
     counts = materialize(union_all([
-        score_counts(scored_test.withColumn("evaluation", F.lit(EVAL_TEST)), ["evaluation"]),
-        fold_and_pooled(score_counts(scored_oof, ["cv_fold"]), pooled=EVAL_OOF),
-        leakage_runs(sided, features, selected, best),
+        vector_score_counts(held_out, ["evaluation"]),
+        fold_and_pooled(vector_score_counts(scored.withColumn("cv_fold", F.col("fold") + 1), ["cv_fold"]),
+                        pooled=EVAL_OOF),
+        leakage_runs(rows, split, features, selected, best),
     ]), "score-counts")
     metrics = materialize(compute_metrics(counts), "metrics")
-    held_out = confusion_matrix(counts.where(F.col("evaluation") == EVAL_TEST))
     return Evaluation(
         model=model, features=selected, best_params=best, cv_roc_auc=cv_auc, trials=trials,
-        test_predictions=prediction_table(scored_test, selected, "test"),
-        oof_predictions=prediction_table(scored_oof, selected, "train_oof", ["cv_fold"]),
+        test_predictions=prediction_table(score(model, test), selected, "test"),
+        oof_predictions=oof_predictions(clean, scored, selected),
         metrics=metrics, summary=metrics_summary(metrics),
-        class_report=class_report(held_out), importance=feature_importance(spark, model))
+        class_report=class_report(confusion_matrix(counts.where(F.col("evaluation") == EVAL_TEST))),
+        importance=feature_importance(spark, model))

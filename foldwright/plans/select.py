@@ -8,39 +8,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.constants import GROUP, LABEL, N_FOLDS, ROW, SELECTION_FOREST, SPLIT
+from foldwright.constants import GROUP, N_FOLDS, SELECTION_FOREST, SPLIT
 from foldwright.functions.columns import feature_cols
 from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution
 from foldwright.operators.cube import contingency_cube, mutual_information
-from foldwright.operators.folds import deal_folds
 from foldwright.operators.forest import fit_folds, fold_aucs, in_parallel
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
-from foldwright.operators.vectors import attach_by_group, vector_table
+from foldwright.operators.vectors import count_rows
+from foldwright.plans.audit import tag_folds
 from foldwright.session import materialize, small_table
 
 
-def folded_train(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -> DataFrame:
-    """Train rows of a clean table with ``fold``, stored once and partitioned by fold.
+def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -> DataFrame:
+    """Stored (features, group) counts of the train side with their fold.
 
-    Every fit reads all folds but one, which the partitioning prunes.
+    The one pass over the train rows of steps 2 and 3: folds, fits, scores and
+    contributions depend on nothing else.
     """
-    train = clean.where(F.col(SPLIT) == "train").select(ROW, *features, LABEL, GROUP)
-    groups = train.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"),
-                                      F.sum(F.col(LABEL).cast("long")).alias("pos"))
-    folds = materialize(deal_folds(groups, k), "group-folds")
-    return materialize(attach_by_group(train, folds, ["fold"]), "train-folds", ["fold"])
+    train = count_rows(clean.where(F.col(SPLIT) == "train"), [*features, GROUP])
+    return materialize(tag_folds(train, k), "train-vectors")
 
 
-def fold_vectors(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Distinct vectors per fold with multiplicity; scores and contributions depend on nothing else."""
-    return materialize(vector_table(train, features, ["fold"]).drop(GROUP), "fold-vectors")
-
-
-def cv_step(train: DataFrame, vectors: DataFrame, features: Sequence[str], params: Mapping,
-            folds: Sequence[int], parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
+            parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
-    spark = train.sparkSession
-    models = fit_folds(train, features, params, folds, parallelism=parallelism)
+    spark = vectors.sparkSession
+    models = fit_folds(vectors, features, params, folds, parallelism=parallelism)
     paths = dict(zip(models, in_parallel(spark, lambda m: leaf_paths(spark, m), list(models.values()), parallelism)))
     return (fold_aucs(models, vectors),
             mean_abs_contribution(contributions(vectors, paths, features), features))
@@ -56,8 +49,8 @@ class Selection:
     dropped: list[str]
 
 
-def eliminate(train: DataFrame, vectors: DataFrame, features: Sequence[str], params: Mapping,
-              folds: Sequence[int] = range(N_FOLDS), parallelism: int = 4):
+def eliminate(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int] = range(N_FOLDS),
+              parallelism: int = 4):
     """Drop the weakest feature until none is left.
 
     Returns (history rows, elimination order, importances of the full set). A step sends one
@@ -65,7 +58,7 @@ def eliminate(train: DataFrame, vectors: DataFrame, features: Sequence[str], par
     """
     remaining, history, order, initial = list(features), [], [], None
     while remaining:
-        aucs, shap = cv_step(train, vectors, remaining, params, folds, parallelism)
+        aucs, shap = cv_step(vectors, remaining, params, folds, parallelism)
         strength = {r.feature: r.mean_abs_shap for r in shap.collect()}
         initial = initial or strength
         weakest = min(remaining, key=lambda f: strength[f])
@@ -83,9 +76,8 @@ def select_features(clean: DataFrame, params: Mapping = SELECTION_FOREST, k: int
     """Selection on the train side of a clean table; the test side is never read."""
     spark = clean.sparkSession
     features = feature_cols(clean)
-    train = folded_train(clean, features, k)
-    vectors = fold_vectors(train, features)
-    rows, order, initial = eliminate(train, vectors, features, params, range(k), parallelism)
+    vectors = train_vectors(clean, features, k)
+    rows, order, initial = eliminate(vectors, features, params, range(k), parallelism)
     history = small_table(spark, rows, HISTORY_SCHEMA)
     curve = selection_curve(history)
     choice = one_se_choice(curve)
