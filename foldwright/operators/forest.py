@@ -26,7 +26,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.constants import LABEL, SEED
+from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
 from foldwright.operators.weights import with_class_weight
 from foldwright.session import materialize, small_table
@@ -94,7 +94,7 @@ def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelis
 
 
 def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
-              balanced: bool = False, parallelism: int = 4) -> dict[int, PipelineModel]:
+              balanced: bool = False, parallelism: int = N_FOLDS) -> dict[int, PipelineModel]:
     """One forest per fold of a fold-tagged vector table, fitted on the other folds."""
     models = in_parallel(
         vectors.sparkSession,
@@ -149,7 +149,7 @@ def spark_params(trial: Mapping, seed: int = SEED) -> tuple[dict, bool]:
 
 
 def search(vectors: DataFrame, features: Sequence[str], folds: Sequence[int],
-           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = 4) -> tuple:
+           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = N_FOLDS) -> tuple:
     """Randomised search by mean fold ROC-AUC; the first trial with the highest mean wins.
 
     Returns (trial table, best trial, its mean AUC, its fold forests). Per trial only one

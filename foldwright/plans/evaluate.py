@@ -74,7 +74,7 @@ def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]
 
 def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str],
                        n_iter: int = SEARCH_DRAWS, space: Mapping = SEARCH_SPACE, k: int = N_FOLDS,
-                       parallelism: int = 4) -> Evaluation:
+                       parallelism: int = N_FOLDS) -> Evaluation:
     """``clean`` is the output of step 1, ``raw`` its input, ``selected`` the outcome of step 2."""
     spark, selected = clean.sparkSession, list(selected)
     vectors = train_vectors(clean, selected, k)

@@ -12,7 +12,7 @@ from foldwright.constants import GROUP, N_FOLDS, SELECTION_FOREST, SPLIT
 from foldwright.functions.columns import feature_cols
 from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution
 from foldwright.operators.cube import contingency_cube, mutual_information
-from foldwright.operators.forest import fit_folds, fold_aucs, in_parallel
+from foldwright.operators.forest import fit_forest, fold_aucs, in_parallel
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
 from foldwright.operators.vectors import count_rows
 from foldwright.plans.audit import tag_folds
@@ -30,11 +30,16 @@ def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -
 
 
 def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
-            parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+            parallelism: int = N_FOLDS) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
     spark = vectors.sparkSession
-    models = fit_folds(vectors, features, params, folds, parallelism=parallelism)
-    paths = dict(zip(models, in_parallel(spark, lambda m: leaf_paths(spark, m), list(models.values()), parallelism)))
+
+    def fit(fold):
+        model = fit_forest(vectors.where(F.col("fold") != fold), features, params)
+        return model, leaf_paths(spark, model)
+
+    fitted = dict(zip(folds, in_parallel(spark, fit, list(folds), parallelism)))
+    models, paths = ({k: pair[i] for k, pair in fitted.items()} for i in (0, 1))
     return (fold_aucs(models, vectors),
             mean_abs_contribution(contributions(vectors, paths, features), features))
 
@@ -50,7 +55,7 @@ class Selection:
 
 
 def eliminate(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int] = range(N_FOLDS),
-              parallelism: int = 4):
+              parallelism: int = N_FOLDS):
     """Drop the weakest feature until none is left.
 
     Returns (history rows, elimination order, importances of the full set). A step sends one
@@ -72,7 +77,7 @@ HISTORY_SCHEMA = "n_features int, fold int, auc double, features array<string>,
 
 
 def select_features(clean: DataFrame, params: Mapping = SELECTION_FOREST, k: int = N_FOLDS,
-                    parallelism: int = 4) -> Selection:
+                    parallelism: int = N_FOLDS) -> Selection:
     """Selection on the train side of a clean table; the test side is never read."""
     spark = clean.sparkSession
     features = feature_cols(clean)
