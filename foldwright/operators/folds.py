@@ -15,14 +15,14 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
 
     Groups are ranked by how far and to which side they tilt the class balance, then by
     size, then by a seeded draw, and dealt back and forth over the folds. The rank is a
-    running count: tilt and size form one bucket level, three hex digits of the draw the
-    next, so the many groups of equal size spread over 4096 buckets.
+    running count: tilt and size form one bucket level, four hex digits of the draw the
+    next, so the many groups of equal size spread over 65536 buckets.
     """
     tilt = 2 * F.col("pos") - F.col("n")
     ranked = prefix_sums(
         groups.select("*", F.signum(tilt).cast("int").alias("_side"), F.abs(tilt).alias("_tilt"),
                       seeded_draw(seed, F.col(GROUP)).alias("_draw"), F.lit(1).cast("long").alias("_one"))
-        .withColumn("_bucket", F.substring("_draw", 1, 3)),
+        .withColumn("_bucket", F.substring("_draw", 1, 4)),
         by=["_side"],
         levels=[[("_tilt", "desc"), ("n", "desc")], [("_bucket", "asc")]],
         order=[("_draw", "asc"), (GROUP, "asc")],
@@ -55,13 +55,15 @@ def random_holdout(rows: DataFrame, share: float = TEST_SHARE, seed: int = SEED,
                         F.substring(draw, 1, 4).alias("_bucket"))
     counts = drawn.groupBy(LABEL, "_bucket").agg(F.count(F.lit(1)).alias("m"))
 
-    # Two classes: the quota table has two rows.
+    # Two classes: the quota table has two rows. The test side has ceil(share x rows) rows; every
+    # class gets the floor of its part, and what is left goes to the largest remainder.
     classes = counts.groupBy(LABEL).agg(F.sum("m").alias("n"))
     everything = Window.partitionBy(F.lit(1))
-    exact = F.col("n") * F.lit(share)
+    whole = F.sum("n").over(everything)
+    exact = F.col("n") / whole * F.ceil(whole * F.lit(share))
     quota = (
-        classes.withColumns({"_floor": F.floor(exact), "_rest": exact - F.floor(exact),
-                             "_total": F.ceil(F.sum("n").over(everything) * F.lit(share))})
+        classes.select(LABEL, exact.alias("_exact"), F.ceil(whole * F.lit(share)).alias("_total"))
+        .withColumns({"_floor": F.floor("_exact"), "_rest": F.col("_exact") - F.floor("_exact")})
         .withColumns({"_left": F.col("_total") - F.sum("_floor").over(everything),
                       "_place": F.row_number().over(everything.orderBy(F.desc("_rest"), F.desc(LABEL)))})
         .select(LABEL, (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))

@@ -40,10 +40,11 @@ def fold_and_pooled(counts: DataFrame, fold: str = "cv_fold", pooled: str = EVAL
 def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Positives and negatives above every distinct score.
 
-    Scores fall into buckets of 1/1024 and 1/1048576, so no window holds a whole evaluation.
+    Scores fall into buckets of 2^-16 and 2^-32: a window sorts at most 65536 bucket totals,
+    or the scores that agree to nine decimals, however the scores are spread.
     """
-    buckets = counts.withColumns({"_coarse": F.floor(F.col("score") * 1024.0),
-                                  "_fine": F.floor(F.col("score") * 1048576.0)})
+    buckets = counts.withColumns({"_coarse": F.floor(F.col("score") * float(2 ** 16)),
+                                  "_fine": F.floor(F.col("score") * float(2 ** 32))})
     return prefix_sums(buckets, list(by), [[("_coarse", "desc")], [("_fine", "desc")]], [("score", "desc")],
                        ["pos", "neg"])
 

@@ -251,14 +251,14 @@ TRAIN = ",".join([
     "train_rows AS (SELECT * FROM held WHERE split = 'train')", groups("train_groups", "train_rows"),
     deal("train_dealt", "train_groups"),
     "train_folded AS (SELECT l.*, f.fold FROM train_rows l JOIN train_dealt f USING (group_id))"])
-# Per class the floor of the share, then one more for the largest remainder.
+# Per class the floor of its part of the test side, then one more for the largest remainder.
 RANDOM = """
 quota AS (
-  SELECT is_phishing, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, is_phishing DESC) <= short
-                              THEN 1 ELSE 0 END AS quota
-  FROM (SELECT is_phishing, floor(n * 0.2::DOUBLE) AS whole, n * 0.2::DOUBLE - floor(n * 0.2::DOUBLE) AS rest,
-               ceil(sum(n) OVER () * 0.2::DOUBLE) - sum(floor(n * 0.2::DOUBLE)) OVER () AS short
-        FROM (SELECT is_phishing, count(*) AS n FROM labelled GROUP BY is_phishing))),
+  SELECT is_phishing, floor(part) + CASE WHEN row_number() OVER (ORDER BY part - floor(part) DESC, is_phishing DESC)
+                                              <= side - sum(floor(part)) OVER () THEN 1 ELSE 0 END AS quota
+  FROM (SELECT is_phishing, side, n::DOUBLE / total * side AS part
+        FROM (SELECT is_phishing, n, sum(n) OVER () AS total, ceil(sum(n) OVER () * 0.2::DOUBLE) AS side
+              FROM (SELECT is_phishing, count(*) AS n FROM labelled GROUP BY is_phishing)))),
 loose AS (
   SELECT l.* EXCLUDE (place), CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY is_phishing

@@ -38,6 +38,12 @@ class Evaluation:
     importance: DataFrame
 
 
+def evaluate(model: PipelineModel, vectors: DataFrame, name: str = EVAL_TEST) -> DataFrame:
+    """Metric record of a model on a vector table with ``n`` and ``pos``."""
+    scored = score(model, vectors).withColumn("evaluation", F.lit(name))
+    return compute_metrics(vector_score_counts(scored, ["evaluation"]))
+
+
 def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, name: str) -> DataFrame:
     """Fit on the train side of a split vector table, score the test side: score counts under ``name``."""
     params, balanced = spark_params(trial)

@@ -17,7 +17,8 @@ from foldwright.operators import vectors as V
 from foldwright.operators.predictions import prediction_table
 from foldwright.operators.running import prefix_sums
 from foldwright.operators.weights import class_weights
-from foldwright.plans import audit
+from foldwright.plans import audit, rates
+from tests.conftest import SMALL
 
 FEATURES = ["a", "b"]
 
@@ -101,9 +102,10 @@ def test_random_holdout_takes_the_smallest_draws_of_each_class(spark):
     rows = df.select("row_index", "is_phishing").collect()
     got = {r.row_index: r.split for r in FO.random_holdout(df).collect()}
     counts = {y: sum(r.is_phishing == y for r in rows) for y in (0, 1)}
-    quota = {y: math.floor(n * 0.2) for y, n in counts.items()}
-    short = math.ceil(501 * 0.2) - sum(quota.values())
-    for y in sorted(counts, key=lambda y: -(counts[y] * 0.2 % 1))[:short]:
+    side = math.ceil(501 * 0.2)
+    part = {y: n / 501 * side for y, n in counts.items()}
+    quota = {y: math.floor(p) for y, p in part.items()}
+    for y in sorted(part, key=lambda y: -(part[y] % 1))[:side - sum(quota.values())]:
         quota[y] += 1
     for y in (0, 1):
         drawn = sorted((hashlib.md5(f"42:{r.row_index}".encode()).hexdigest(), r.row_index)
@@ -224,3 +226,11 @@ def test_balanced_class_weights(spark):
     got = {r.is_phishing: r.weight for r in class_weights(P.class_counts(
         table(spark, [(0, 0, 0)] * 3 + [(0, 0, 1)]))).collect()}
     assert got == {0: pytest.approx(4 / 6), 1: pytest.approx(2.0)}
+
+
+def test_leaky_feature_lifts_the_scores(spark):
+    from foldwright.sources.orders import FEATURES as ALL, KEPT, labelled
+    got = {r.evaluation: r.roc_auc for r in rates.evaluate_rates(labelled(spark, SMALL), ALL, KEPT).collect()}
+    names = rates.reference_names(len(ALL))
+    assert got[f"reference: {names['all_group']}"] > got["test_holdout"]
+    assert got[f"reference: {names['all_random']}"] > got[f"reference: {names['selected_random']}"]
