@@ -34,6 +34,9 @@ from foldwright.session import materialize, small_table
 # Rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
 
+# Training rows per task.
+ROWS_PER_TASK = 20_000
+
 # Deepest tree Spark trains; stands for "unlimited".
 MAX_DEPTH = 30
 
@@ -47,7 +50,14 @@ def _learner(params: Mapping):
     return RandomForestClassifier(impurity=impurity, **params)
 
 
-def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False) -> DataFrame:
+def training_partitions(vectors: DataFrame) -> int:
+    """Tasks for a fit: by the number of training rows, at most one per core of the cluster."""
+    rows = vectors.selectExpr(f"sum(least(pos, {COPIES}) + least(n - pos, {COPIES})) AS rows").first().rows or 0
+    return max(1, min(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK)))
+
+
+def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False,
+                  partitions: int | None = None) -> DataFrame:
     """The rows behind a vector table as (features, label, weight).
 
     Trees sample rows, so every copy becomes a row again, with weight one. Only the copies
@@ -55,7 +65,6 @@ def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool =
     is always the number of rows, and a vector that holds a third of the table trains as
     ``COPIES`` rows. The explicit repartition spreads the small table before it grows.
     """
-    spark = vectors.sparkSession
     labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
               .selectExpr(*[f"`{f}`" for f in features],
                           f"inline(array(struct(1 AS {LABEL}, pos AS m), struct(0 AS {LABEL}, n - pos AS m)))")
@@ -64,15 +73,15 @@ def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool =
         labels = with_class_weight(labels)
     else:
         labels = labels.withColumn("class_weight", F.lit(1.0))
-    spread = labels.repartition(spark.sparkContext.defaultParallelism, *features, LABEL)
+    spread = labels.repartition(partitions or training_partitions(vectors), *features, LABEL)
     return spread.selectExpr(
         *[f"`{f}`" for f in features], LABEL,
         f"explode(array_repeat(class_weight * m / least(m, {COPIES}), int(least(m, {COPIES})))) AS weight")
 
 
-def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping,
-               balanced: bool = False) -> PipelineModel:
-    rows = training_rows(vectors, features, balanced)
+def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping, balanced: bool = False,
+               partitions: int | None = None) -> PipelineModel:
+    rows = training_rows(vectors, features, balanced, partitions)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     model = _learner(params).fit(assembler.transform(rows).drop(*features))
     return PipelineModel([assembler, model])
@@ -96,9 +105,11 @@ def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelis
 def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
               balanced: bool = False, parallelism: int = N_FOLDS) -> dict[int, PipelineModel]:
     """One forest per fold of a fold-tagged vector table, fitted on the other folds."""
+    tasks = training_partitions(vectors)
     models = in_parallel(
         vectors.sparkSession,
-        lambda k: fit_forest(vectors.where(F.col("fold") != k), features, params, balanced), list(folds), parallelism)
+        lambda k: fit_forest(vectors.where(F.col("fold") != k), features, params, balanced, tasks),
+        list(folds), parallelism)
     return dict(zip(folds, models))
 
 

@@ -12,7 +12,7 @@ from foldwright.constants import GROUP, N_FOLDS, SELECTION_FOREST, SPLIT
 from foldwright.functions.columns import feature_cols
 from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution
 from foldwright.operators.cube import contingency_cube, mutual_information
-from foldwright.operators.forest import fit_forest, fold_aucs, in_parallel
+from foldwright.operators.forest import fit_forest, fold_aucs, in_parallel, training_partitions
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
 from foldwright.operators.vectors import count_rows
 from foldwright.plans.audit import tag_folds
@@ -32,10 +32,10 @@ def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -
 def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
             parallelism: int = N_FOLDS) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
-    spark = vectors.sparkSession
+    spark, tasks = vectors.sparkSession, training_partitions(vectors)
 
     def fit(fold):
-        model = fit_forest(vectors.where(F.col("fold") != fold), features, params)
+        model = fit_forest(vectors.where(F.col("fold") != fold), features, params, partitions=tasks)
         return model, leaf_paths(spark, model)
 
     fitted = dict(zip(folds, in_parallel(spark, fit, list(folds), parallelism)))
