@@ -55,27 +55,21 @@ def random_holdout(rows: DataFrame, share: float = TEST_SHARE, seed: int = SEED,
                         F.substring(draw, 1, 4).alias("_bucket"))
     counts = drawn.groupBy(LABEL, "_bucket").agg(F.count(F.lit(1)).alias("m"))
 
-    # Two classes: the quota table has two rows. The test side has ceil(share x rows) rows; every
-    # class gets the floor of its part, and what is left goes to the largest remainder.
-    classes = counts.groupBy(LABEL).agg(F.sum("m").alias("n"))
-    everything = Window.partitionBy(F.lit(1))
-    whole = F.sum("n").over(everything)
-    exact = F.col("n") / whole * F.ceil(whole * F.lit(share))
-    quota = (
-        classes.select(LABEL, exact.alias("_exact"), F.ceil(whole * F.lit(share)).alias("_total"))
-        .withColumns({"_floor": F.floor("_exact"), "_rest": F.col("_exact") - F.floor("_exact")})
-        .withColumns({"_left": F.col("_total") - F.sum("_floor").over(everything),
-                      "_place": F.row_number().over(everything.orderBy(F.desc("_rest"), F.desc(LABEL)))})
-        .select(LABEL, (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))
-    )
-
-    # At most 65536 buckets per class.
-    run = Window.partitionBy(LABEL).orderBy("_bucket")
+    # At most 65536 buckets per class. The test side has ceil(share x rows) rows; each of the two
+    # classes gets the floor of its part, and the larger remainder takes the row that is left.
+    run = Window.partitionBy(LABEL).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
-        counts.withColumn("_upto", F.sum("m").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(quota), LABEL)
-        .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("m") < F.col("quota")))
-        .select(LABEL, "_bucket", (F.col("quota") - F.col("_upto") + F.col("m")).alias("_need"))
+        counts.select("*", F.sum("m").over(run).alias("_upto"),
+                      F.sum("m").over(Window.partitionBy(LABEL)).alias("_class"),
+                      F.sum("m").over(Window.partitionBy(F.lit(1))).alias("_rows"))
+        .withColumn("_side", F.ceil(F.col("_rows") * F.lit(share)))
+        .withColumn("_part", F.col("_class") / F.col("_rows") * F.col("_side"))
+        .withColumn("_other", F.col("_side") - F.col("_part"))
+        .withColumn("_quota", F.expr(
+            f"floor(_part) + int(floor(_part) + floor(_other) < _side AND (_part - floor(_part), {LABEL}) "
+            f"> (_other - floor(_other), 1 - {LABEL}))"))
+        .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("m") < F.col("_quota")))
+        .select(LABEL, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("m")).alias("_need"))
     )
     in_edge = Window.partitionBy(LABEL).orderBy("_draw", row_key)
     limits = (
