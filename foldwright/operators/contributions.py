@@ -13,10 +13,12 @@ The integrand is a polynomial of degree d - 1, so Gauss-Legendre nodes give it e
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from foldwright.operators.metrics import union_all
 from foldwright.session import scratch_path
 
+# Ship the functions of this module with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Vectors handled at once by one task; bounds the size of its work arrays.
 BLOCK = 256
 

@@ -268,8 +268,8 @@ def _clean(spark, d):
 
 def _train_vectors(spark, d):
     """Fold-tagged vectors of the train side, straight from the split vector table."""
-    split = rates.split_vectors(labelled(spark, d), FEATURES)
-    return rates.train_folds(split)
+    train = rates.split_vectors(labelled(spark, d), FEATURES).where(F.col(SPLIT) == "train").drop(SPLIT)
+    return materialize(audit.tag_folds(train), "train-vectors", ["fold"])
 
 
 def forest_fold_auc(spark, d):

@@ -23,10 +23,10 @@ def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -
     """Stored (features, group) counts of the train side with their fold.
 
     The one pass over the train rows of steps 2 and 3: folds, fits, scores and
-    contributions depend on nothing else.
+    contributions depend on nothing else. Stored by fold, so a fold is left out by pruning.
     """
     train = count_rows(clean.where(F.col(SPLIT) == "train"), [*features, GROUP])
-    return materialize(tag_folds(train, k), "train-vectors")
+    return materialize(tag_folds(train, k), "train-vectors", ["fold"])
 
 
 def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],

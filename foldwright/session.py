@@ -33,13 +33,13 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: executors on other
     machines could not read it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="foldwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+    if context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="foldwright-"))
+        return context.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
