@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.operators.metrics import union_all
-from foldwright.session import scratch_path
+from foldwright.session import scratch_path, tasks_for
 
 # Ship the functions of this module with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,6 +33,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Vectors handled at once by one task; bounds the size of its work arrays.
 BLOCK = 256
 
+# Vectors per task: a forest of 300 deep trees takes some seconds for this many.
+VECTORS_PER_TASK = 500
+
 
 def leaf_paths(spark: SparkSession, model: PipelineModel) -> list[dict]:
     """Per tree, the box and the shares of every leaf as padded arrays (leaves x path features).
@@ -106,13 +109,14 @@ def shapley(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
 def contributions(vectors: DataFrame, forests: Mapping[int, list[dict]], features: Sequence[str]) -> DataFrame:
     """(fold, features, n, phi, bias) for every distinct vector of a fold, by that fold's forest.
 
-    Vectors are first collapsed to the given features. The explicit partition count keeps
-    this small but compute-heavy table spread over all cores. A task only fetches the forest
+    Vectors are first collapsed to the given features, then spread by their number, as the
+    table is small and the work is not. A task only fetches the forest
     of its fold: at most trees x 2^depth leaves of 18 bytes per path feature.
     """
     spark = vectors.sparkSession
     names = list(features)
     distinct = vectors.groupBy("fold", *names).agg(F.sum("n").alias("n"))
+    tasks = tasks_for(spark, vectors.count() // max(1, len(forests)), VECTORS_PER_TASK)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
 
     def explain_with(forest):
@@ -125,7 +129,7 @@ def contributions(vectors: DataFrame, forests: Mapping[int, list[dict]], feature
         return explain
 
     def one(fold, trees):
-        part = distinct.where(F.col("fold") == fold).repartition(spark.sparkContext.defaultParallelism, *names)
+        part = distinct.where(F.col("fold") == fold).repartition(tasks, *names)
         return part.mapInPandas(explain_with(spark.sparkContext.broadcast(trees)),
                                 f"{fields}, phi array<double>, bias double")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
 from foldwright.operators.weights import with_class_weight
-from foldwright.session import materialize, small_table
+from foldwright.session import materialize, small_table, tasks_for
 
 # Rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
@@ -51,9 +51,9 @@ def _learner(params: Mapping):
 
 
 def training_partitions(vectors: DataFrame) -> int:
-    """Tasks for a fit: by the number of training rows, at most one per core of the cluster."""
+    """Tasks for a fit, by the number of training rows."""
     rows = vectors.selectExpr(f"sum(least(pos, {COPIES}) + least(n - pos, {COPIES})) AS rows").first().rows or 0
-    return max(1, min(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK)))
+    return tasks_for(vectors.sparkSession, rows, ROWS_PER_TASK)
 
 
 def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False,

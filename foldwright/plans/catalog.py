@@ -15,6 +15,7 @@ from foldwright.operators import forest as R
 from foldwright.operators import leakage as L
 from foldwright.operators import metrics as M
 from foldwright.operators import profile as P
+from foldwright.operators import reports
 from foldwright.operators import vectors as V
 from foldwright.operators.predictions import prediction_table
 from foldwright.operators.weights import class_weights
@@ -146,9 +147,17 @@ def removed_features(spark, d, url_only=False):
     return rounded(L.removed_features(_diagnostics(spark, d), _drops(spark, url_only)))
 
 
+def _held_rows(spark, d):
+    return _rows_with(spark, d, lambda g: FO.holdout_groups(g, 5))
+
+
 def clean_dataset(spark, d):
-    held = _rows_with(spark, d, lambda g: FO.holdout_groups(g, 5))
-    return held.select(ROW, *KEPT, LABEL, GROUP, SPLIT)
+    return _held_rows(spark, d).select(ROW, *KEPT, LABEL, GROUP, SPLIT)
+
+
+def clean_dataset_url_only(spark, d):
+    kept = [f for f in KEPT if f not in PAGE]
+    return _held_rows(spark, d).select(ROW, *kept, LABEL, GROUP, SPLIT)
 
 
 def _scored_rows(spark, d):
@@ -168,6 +177,14 @@ def predictions(spark, d):
     return prediction_table(scored, KEPT, "train_oof", ["cv_fold"])
 
 
+def test_predictions(spark, d):
+    """Hold-out rows scored by the rates of the train vectors; one broadcast row, no shuffle of the rows."""
+    clean = materialize(clean_dataset(spark, d), "clean", [SPLIT])
+    train = V.count_rows(clean.where(F.col(SPLIT) == "train"), KEPT)
+    scored = C.held_out_score(clean.where(F.col(SPLIT) == "test"), C.contingency_cube(train, KEPT, tags=()), KEPT)
+    return prediction_table(scored, KEPT, "test")
+
+
 def confusion_matrix(spark, d):
     return M.confusion_matrix(_counts(spark, d)).drop("confusion_matrix")
 
@@ -198,6 +215,23 @@ def metrics_summary_text(spark, d):
     return summary.select("evaluation", *[F.format_string("%.6f", F.col(m)).alias(m) for m in METRIC_COLUMNS])
 
 
+def leakage_report(spark, d):
+    """The audit as one nested row."""
+    folded = materialize(_folded(spark, d), "folds")
+    diag = materialize(L.diagnostics(C.contingency_cube(folded, FEATURES), L.registry(spark, LEAKY, PAGE)), "diagnostics")
+    return reports.leakage_report(P.profile(folded), L.removed_features(diag, _drops(spark)), diag, KEPT, "default")
+
+
+def selection_report(spark, d):
+    """The mean-rate selection as one nested row."""
+    curve, choice, ranking = rates.select_by_rates(labelled(spark, d), FEATURES, KEPT)
+    ranking = materialize(ranking, "ranking")
+    # One row per feature: names for the header of the report.
+    names = {r.feature for r in ranking.where("selected").select("feature").collect()}
+    return reports.selection_report(choice, ranking, curve, [f for f in KEPT if f in names],
+                                    [f for f in KEPT if f not in names], "mean-rate RFE, 5 group folds, 1-SE rule")
+
+
 def _selection(part):
     def run(spark, d):
         return rounded(rates.select_by_rates(labelled(spark, d), FEATURES, KEPT)[part])
@@ -232,8 +266,10 @@ def sql_checked() -> dict:
         "kept_features_url_only": lambda s, d: kept_features(s, d, True),
         "flagged_kept": lambda s, d: rounded(L.flagged_kept(_diagnostics(s, d), _drops(s))),
         "clean_dataset": clean_dataset,
+        "clean_dataset_url_only": clean_dataset_url_only,
         "oof_score": oof_score,
         "prediction_table": predictions,
+        "test_prediction_table": test_predictions,
         "confusion_matrix": confusion_matrix,
         "threshold_metrics": threshold_metrics,
         "roc_auc": roc_auc,
@@ -315,7 +351,9 @@ def leakage_comparison(spark, d):
     return rounded(M.compute_metrics(materialize(counts, "score-counts")).drop("confusion_matrix"))
 
 
-def learned() -> dict:
+def without_twin() -> dict:
+    """Nested reports and learned models: rows only."""
     return {f.__name__: f for f in (
+        leakage_report, selection_report,
         forest_fold_auc, mean_abs_contribution, rfe_history, search_trials, forest_importance,
         forest_test_predictions, forest_oof_predictions, leakage_comparison)}

@@ -131,7 +131,7 @@ def oof_score(name: str, table: str, rates: str, features, extra: str = "") -> s
 {name} AS (SELECT t.*{extra}, {mean_rate(features)} AS score FROM {table} t {rate_maps(rates, features)})"""
 
 
-def held_out(name: str, table: str, features, evaluation: str) -> str:
+def held_out(name: str, table: str, features, evaluation: str, columns: str = "is_phishing") -> str:
     """Score test rows by the rates of the train rows; unseen values get the train rate."""
     rates = " ".join(
         f"LEFT JOIN (SELECT {f} AS v, avg(is_phishing) AS rate FROM {table} WHERE split = 'train' GROUP BY {f}) "
@@ -139,7 +139,7 @@ def held_out(name: str, table: str, features, evaluation: str) -> str:
     score = " + ".join(f"coalesce(h_{f}.rate, a.rate)" for f in features)
     return f"""
 {name} AS (
-  SELECT '{evaluation}' AS evaluation, is_phishing, {r(f"({score}) / {float(len(features))}", 9)} AS score
+  SELECT '{evaluation}' AS evaluation, {columns}, {r(f"({score}) / {float(len(features))}", 9)} AS score
   FROM {table} t {rates}, (SELECT avg(is_phishing) AS rate FROM {table} WHERE split = 'train') a
   WHERE split = 'test')"""
 
@@ -373,6 +373,17 @@ def _class_report() -> str:
         _report(3, "macro avg", (*macro, n)), _report(4, "weighted avg", (*weighted, n))])
 
 
+def _predictions(source: str, split: str, extra: str = "") -> str:
+    return f"""SELECT row_index, group_id, {split} AS split,
+  is_phishing AS true_label, CASE WHEN is_phishing = 1 THEN 'phishing' ELSE 'legitimate' END AS true_class,
+  CAST(score >= 0.5 AS INTEGER) AS predicted_label,
+  CASE WHEN score >= 0.5 THEN 'phishing' ELSE 'legitimate' END AS predicted_class,
+  {r('score')} AS prob_phishing, {r('1 - score')} AS prob_legitimate, (score >= 0.5) = (is_phishing = 1) AS correct,
+  CASE WHEN is_phishing = 1 THEN CASE WHEN score >= 0.5 THEN 'TP' ELSE 'FN' END
+       ELSE CASE WHEN score >= 0.5 THEN 'FP' ELSE 'TN' END END AS outcome,
+  {extra}{_names(KEPT)} FROM {source}"""
+
+
 def statements() -> dict[str, str]:
     diag_columns = f"feature, {r('single_feature_auc')} AS single_feature_auc, {r('mutual_info')} AS mutual_info"
     default, any_mode = _drops("mode = 'default'"), _drops("true")
@@ -431,14 +442,12 @@ FROM diag WHERE feature NOT IN {any_mode}"""),
         "clean_dataset": _with([*BASE, HELD],
                                f"SELECT row_index, {_names(KEPT)}, {LABEL}, group_id, split FROM held"),
         "oof_score": _with(SCORED, "SELECT row_index, group_id, is_phishing, fold, score FROM scored"),
-        "prediction_table": _with(SCORED, f"""SELECT row_index, group_id, 'train_oof' AS split,
-  is_phishing AS true_label, CASE WHEN is_phishing = 1 THEN 'phishing' ELSE 'legitimate' END AS true_class,
-  CAST(score >= 0.5 AS INTEGER) AS predicted_label,
-  CASE WHEN score >= 0.5 THEN 'phishing' ELSE 'legitimate' END AS predicted_class,
-  {r('score')} AS prob_phishing, {r('1 - score')} AS prob_legitimate, (score >= 0.5) = (is_phishing = 1) AS correct,
-  CASE WHEN is_phishing = 1 THEN CASE WHEN score >= 0.5 THEN 'TP' ELSE 'FN' END
-       ELSE CASE WHEN score >= 0.5 THEN 'FP' ELSE 'TN' END END AS outcome,
-  fold + 1 AS cv_fold, {_names(KEPT)} FROM scored"""),
+        "clean_dataset_url_only": _with([*BASE, HELD], "SELECT row_index, "
+                                        + _names([f for f in KEPT if f not in PAGE])
+                                        + f", {LABEL}, group_id, split FROM held"),
+        "prediction_table": _with(SCORED, _predictions("scored", "'train_oof'", "fold + 1 AS cv_fold, ")),
+        "test_prediction_table": _with([*BASE, HELD, held_out("scored", "held", KEPT, "test_holdout", "t.*")],
+                                       _predictions("scored", "split")),
         "confusion_matrix": _with([*SCORED, cells("c", "evaluations")], f"SELECT evaluation, "
                                   f"{_record(['tn', 'fp', 'fn', 'tp'])} FROM c"),
         "threshold_metrics": _with(MEASURED, f"SELECT evaluation, {_rounded(threshold_values())} FROM m"),

@@ -43,6 +43,12 @@ def scratch_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
+    """Tasks for a small but compute-heavy table: by its size, up to the width of the session."""
+    widest = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(widest, -(-items // per_task)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/foldwright/{name}-{uuid.uuid4().hex}"
 
