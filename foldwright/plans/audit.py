@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.constants import GROUP, LABEL, N_FOLDS, ROW, SPLIT, TARGET
+from foldwright.constants import GROUP, LABEL, N_FOLDS, ROW, SPLIT
 from foldwright.functions.columns import feature_cols, label_from_target
 from foldwright.operators.cube import contingency_cube
 from foldwright.operators.folds import deal_folds, holdout_groups

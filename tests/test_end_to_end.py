@@ -25,7 +25,8 @@ def run(spark, tmp_path_factory):
     rng = np.random.default_rng(42)
     values = rng.choice([-1, 0, 1], size=(100, 3))
     raw = spark.createDataFrame([(i, *map(int, v), -1 if i % 2 == 0 else 1) for i, v in enumerate(values)],
-                                "row_index long, URL_Length byte, having_IP_Address byte, Prefix_Suffix byte, Result byte")
+                                "row_index long, URL_Length byte, having_IP_Address byte, Prefix_Suffix byte, "
+                                "Result byte")
     out = str(tmp_path_factory.mktemp("out"))
     audit = remove_leaky(raw, L.registry(spark))
     O.write_audit(audit, out)
