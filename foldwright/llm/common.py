@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldwright.session import materialize, scratch_path
 
-__all__ = ["bounded_batches", "free_name", "materialize", "scratch_path", "table"]
+__all__ = ["bounded_batches", "bounded_sample", "free_name", "materialize", "scratch_path", "table"]
 
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -28,3 +29,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows of ``df`` by a hash of ``keys``; all of them if ``df`` has no more.
+
+    A threshold on the hash leaves about four times as many before the cut, so that tasks send few to the driver.
+    """
+    total = df.count()
+    draw = free_name(df, "draw")
+    drawn = df.withColumn(draw, F.pmod(F.xxhash64(*keys), F.lit(1 << 40)))
+    if total > 4 * rows:
+        drawn = drawn.where(F.col(draw) < (4 * rows << 40) // total)
+    return drawn.orderBy(draw, *keys).limit(rows).drop(draw)

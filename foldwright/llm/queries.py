@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.common import table
 from foldwright.llm.minimax_shards import minimax_shards
+from foldwright.llm.tag_paths import extract
+from foldwright.llm.two_tier_bpe import encode_decode_digests
 from foldwright.llm.warc_zstd import round_trip
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
 
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
+                                 public_tokenizers.PATTERN)
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), 24)
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import bounded_batches, materialize, scratch_path
+from foldwright.llm.common import bounded_batches, bounded_sample, materialize, scratch_path
 
 #: Fixed values of the file format: the magic numbers of dictionary, separator, dictionary body and record frame.
 DICTIONARY_MAGIC, SEPARATOR_MAGIC, BODY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xEC30A437, 0xFD2FB528
@@ -42,9 +42,8 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def fit_dictionary(pages: DataFrame, n_pages: int = DICTIONARY_PAGES) -> bytes:
     """A dictionary from a bounded sample of pages; empty if the sample is too small to train one."""
-    sample = (pages.where(F.length("html") > 0)
-              .select(F.substring("html", 1, DICTIONARY_CHARS).alias("html"), F.xxhash64("page_id", "html").alias("draw"))
-              .orderBy("draw").limit(n_pages).collect())
+    sample = (bounded_sample(pages.select("page_id", "html").where(F.length("html") > 0), n_pages, "page_id")
+              .select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in sample]).as_bytes()
     except zstandard.ZstdError:
