@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.common import table
+from foldwright.llm.learned_partitions import search
 from foldwright.llm.minimax_shards import minimax_shards
+from foldwright.llm.role_repair import repair
+from foldwright.llm.semantic_votes import quality
 from foldwright.llm.tag_paths import extract
 from foldwright.llm.two_tier_bpe import encode_decode_digests
 from foldwright.llm.warc_zstd import round_trip
@@ -24,6 +27,18 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_semantic_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                                  public_tokenizers.PATTERN)
