@@ -12,7 +12,9 @@ from foldwright.llm.learned_partitions import search
 from foldwright.llm.minimax_shards import minimax_shards
 from foldwright.llm.role_repair import repair
 from foldwright.llm.semantic_votes import quality
+from foldwright.llm.surrogates import replaced
 from foldwright.llm.tag_paths import extract
+from foldwright.llm.templates import leaks
 from foldwright.llm.two_tier_bpe import encode_decode_digests
 from foldwright.llm.warc_zstd import round_trip
 
@@ -27,6 +29,14 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counted="mentions")
+
+
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_semantic_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
