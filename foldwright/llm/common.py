@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from foldwright.session import materialize, scratch_path
 
-__all__ = ["bounded_batches", "bounded_sample", "free_name", "materialize", "scratch_path", "table"]
+__all__ = ["bounded_batches", "bounded_sample", "free_name", "materialize", "scratch_path", "small_enough", "table"]
 
+#: Rows of a narrow table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -42,3 +44,8 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     if total > 4 * rows:
         drawn = drawn.where(F.col(draw) < (4 * rows << 40) // total)
     return drawn.orderBy(draw, *keys).limit(rows).drop(draw)
+
+
+def small_enough(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few narrow columns, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

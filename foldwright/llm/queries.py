@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.common import table
+from foldwright.llm.count_rtree import components
 from foldwright.llm.learned_partitions import search
 from foldwright.llm.minimax_shards import minimax_shards
 from foldwright.llm.role_repair import repair
@@ -58,6 +59,10 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op10_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import bounded_batches, bounded_sample
+from foldwright.llm.common import bounded_batches, bounded_sample, free_name
 
 SAMPLE_ROWS = 4096
 #: Hashed trigrams, marks of length and of repetition, latent dimensions, voters, power of the similarity.
@@ -175,3 +175,10 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     score = scorer(docs.sparkSession, fit(labelled(docs, labels, sample_rows)))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = ACCEPT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns."""
+    score = scorer(docs.sparkSession, fit(labelled(docs, labels, sample_rows)))
+    mark = free_name(docs, "score")
+    return docs.withColumn(mark, score(F.col("text"))).where(F.col(mark) >= least).drop(mark)

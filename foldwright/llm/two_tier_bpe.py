@@ -150,36 +150,37 @@ def _codec(pattern: str, joined: bytes, lengths: tuple[int, ...], seeds: tuple[i
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded of every row of ``docs`` (doc_id, text); ids as little-endian 32-bit integers."""
-    return _coded(docs, rank_path, pattern, digests=False)
+    return _coded(docs, rank_path, pattern, ["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def encode_decode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode_decode``, with digests in place of the bytes."""
-    return _coded(docs, rank_path, pattern, digests=True)
+def encode_decode_digests(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``, and the ids if wanted."""
+    return _coded(docs, rank_path, pattern, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
 
-def _coded(docs: DataFrame, rank_path: str, pattern: str, digests: bool) -> DataFrame:
+KINDS = {"doc_id": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids": ("binary", pa.binary()),
+         "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+
+
+def _coded(docs: DataFrame, rank_path: str, pattern: str, wanted: list[str]) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     entries = read_ranks(rank_path)
     whole = PerfectHash(entries)
     shared = spark.sparkContext.broadcast((pattern, b"".join(entries), tuple(map(len, entries)), tuple(whole.seeds),
                                            tuple(whole.slots)))
-    names, kind = (("ids_sha256", "decoded_sha256"), "string") if digests else (("ids", "decoded"), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*shared.value)
         for batch in batches:
-            counts, encoded, decoded = [], [], []
-            for text in batch.column(1):
+            out: dict[str, list] = {name: [] for name in wanted}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = codec.encode(text.as_py() or "")
                 back = codec.decode(ids)
-                counts.append(len(ids) // 4)
-                encoded.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                decoded.append(hashlib.sha256(back).hexdigest() if digests else back)
-            kind_ = pa.string() if digests else pa.binary()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, kind_),
-                                              pa.array(decoded, kind_)], names=["doc_id", "n_tokens", *names])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id long, n_tokens long, {names[0]} {kind}, {names[1]} {kind}")
+                row = {"doc_id": doc_id, "n_tokens": len(ids) // 4, "ids": ids, "decoded": back,
+                       "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
+                for name in wanted:
+                    out[name].append(row[name])
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], KINDS[n][1]) for n in wanted], names=wanted)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {KINDS[n][0]}" for n in wanted))
