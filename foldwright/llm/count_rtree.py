@@ -17,8 +17,8 @@ never need to meet, so no link between components is missed.
 
 Sets are compared by 64-bit hashes of shingles and 128-bit digests of sets. Defined results: a document without words or
 with a null text has an empty set and links with nothing; with fewer words than a shingle its whole sequence is one;
-rows without doc_id have no component; of a repeated doc_id every text is a document of its own under that id; an empty
-table gives an empty result. Columns other than doc_id and text are not read.
+rows without doc_id have no component; the texts of a repeated doc_id are one document in whose cells each of them
+stands; an empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from foldwright.llm.common import bounded_batches, materialize, small_enough
 WORDS, PERCENT = 3, 90
 #: Coordinates of a point, ratio of the sizes of a band, groups that a document may have empty without looking at them.
 COORDINATES, BAND, EMPTY = 32, 1.5, 1
-#: Rounds of one against all before the rest of a cell meets, and the pairs below which it meets at once.
-ROUNDS, FEW_PAIRS = 8, 200_000
+#: Rounds of one against all before the rest of a cell meets, and the pairs for each cell and member at which it meets.
+ROUNDS, PAIRS_PER_MEMBER = 8, 4
 CACHED_WORDS = 500_000
 #: Width of a box in logarithms of the set size, and in standard deviations of half the coordinates.
 BOX_SIZE, BOX_SPREAD = 0.03, 0.5
@@ -111,40 +111,29 @@ def _tokenised(docs: DataFrame, words: int, schema: str, made: Callable[[list, l
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _digests(sets: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
-    full = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-    return full, [int.from_bytes(d[:8], "little", signed=True) for d in full]
-
-
-def points(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node (64 bits of the set's digest), counts of every row."""
-
-    def made(ids: pa.Array, sets: list[np.ndarray]) -> dict:
-        counts = [np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32) for s in sets]
-        return {"doc_id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(_digests(sets)[1], pa.int64()),
-                "counts": pa.array(counts, pa.list_(pa.int32()))}
-
-    return _tokenised(docs, words, "doc_id long, n long, node long, counts array<int>", made)
-
-
-def in_cells(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """node and cell of every row, once for each of its cells."""
+def points(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, node (64 bits of the set's digest), counts, cells of every row."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> dict:
+        digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+        counts = [np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES) for s in sets]
         keys = [cells(s, percent) for s in sets]
-        nodes = np.repeat(np.array(_digests(sets)[1], np.int64), [len(k) for k in keys])
-        return {"node": pa.array(nodes), "cell": pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))}
+        ends = np.cumsum([0, *map(len, keys)])
+        return {"doc_id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(digests, pa.binary()),
+                "counts": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES,
+                                                   np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int32)),
+                "cells": pa.ListArray.from_arrays(ends.astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))}
 
-    return _tokenised(docs, words, "node long, cell long", made)
+    return _tokenised(docs, words, "doc_id long, n long, node binary, counts array<int>, cells array<long>", made)
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node and tokens (64-bit hashes, sorted) of every row."""
+    """node (the doc_id) and tokens (64-bit hashes, sorted) of every row."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> dict:
-        return {"doc_id": ids, "node": pa.array(_digests(sets)[1], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
+        return {"node": ids, "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    return _tokenised(docs, words, "doc_id long, node long, tokens binary", made)
+    return _tokenised(docs, words, "node long, tokens binary", made)
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -221,30 +210,31 @@ def _rest(few: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """node and part of the nodes that share a cell with another one; a part is a component of links.
 
-    ``nodes``: node, doc_id (of one row with that set), n, counts.
+    ``nodes``: node (the smallest doc_id with that set), n, counts, cells.
     """
-    cells_of = in_cells(docs, words, percent)
-    shared = materialize(cells_of.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    spread = nodes.select("node", F.explode("cells").alias("cell"))
+    shared = materialize(spread.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                          .where("low != high").select("cell"), "cells")
-    members = materialize(in_cells(docs, words, percent).join(small_enough(shared), "cell").distinct(), "members")
-    wanted = materialize(members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "n", "counts"), "cell-nodes")
-    texts = docs.select("doc_id", "text").join(small_enough(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = materialize(token_sets(texts, words).join(small_enough(wanted.select("node", "doc_id")), ["node", "doc_id"], "left_semi")
-                       .dropDuplicates(["node"]).select("node", "tokens"), "token-sets")
-    known = wanted.select("node", "n", "counts")
-    labels = wanted.select("node", F.col("node").alias("part"))
+    members = materialize(spread.join(small_enough(shared), "cell").distinct(), "members")
+    inside = materialize(members.select("node").distinct(), "cell-nodes")
+    known = materialize(nodes.join(small_enough(inside), "node").select("node", "n", "counts").distinct(), "cell-points")
+    texts = docs.select("doc_id", "text").join(small_enough(inside.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
+    sets = materialize(token_sets(texts, words).distinct(), "token-sets")
+    labels = inside.select("node", F.col("node").alias("part"))
+    enough = PAIRS_PER_MEMBER * members.count()
     met: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         rows = materialize(members.join(labels, "node"), "cell-rows")
         sizes = rows.groupBy("cell", "part").count().groupBy("cell").agg(
             F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("n_parts"))
-        open_cells = materialize(sizes.where("n_parts > 1").select("cell", F.col("top.part").alias("main"), "size"), "open-cells")
+        # The two documents of a cell of two have met in the first round.
+        open_cells = materialize(sizes.where(f"n_parts > 1 and (size > 2 or {turn} = 0)").select("cell", F.col("top.part").alias("main"), "size"), "open-cells")
         rows = materialize(rows.join(open_cells, "cell").join(known, "node"), "open-rows")
         few = rows.where("part != main")
         load = few.agg(F.sum("size")).first()[0]
         if load is None:
             break
-        last = load <= FEW_PAIRS or turn == ROUNDS
+        last = load <= enough or turn == ROUNDS
         if last:
             pairs = _rest(few.drop("main", "size"), rows.drop("main", "size"), percent)
         else:
@@ -270,16 +260,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bounded_batches(docs.sparkSession)
-    every = materialize(points(docs, words), "points")
-    nodes = materialize(every.where("n > 0 and doc_id is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "n", "counts")).alias("first")).select("node", "first.*"), "nodes")
+    every = materialize(points(docs, words, percent), "points")
+    firsts = materialize(every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    nodes = every.join(small_enough(firsts), ["node", "doc_id"], "left_semi").select(
+        F.col("doc_id").alias("node"), "n", "counts", "cells")
     labels = parts(docs.where("doc_id is not null"), nodes, words, percent)
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
-        "node", "doc_id", F.coalesce("part", "node").alias("part"))
+    named = firsts.select("node", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "node", "doc_id", F.coalesce("part", "doc_id").alias("part"))
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     component = materialize(named.join(least, "part").select("node", "component_id"), "components")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node"))
-                        .alias("node")).join(component, "node", "left").select(
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node")).join(small_enough(component), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
