@@ -30,16 +30,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import bounded_batches, materialize, small_enough
 
 WORDS, PERCENT = 3, 90
-#: Coordinates of a point, ratio of the sizes of a band, groups that a document may have empty without looking at them.
-COORDINATES, BAND, EMPTY = 32, 1.5, 1
+#: Coordinates of a point, ratio of the sizes of a band, share of further groups, so that small groups need no cell.
+COORDINATES, BAND, SKIPPED = 32, 1.5, 0.33
 #: Rounds of one against all before the rest of a cell meets, and the pairs for each cell and member at which it meets.
 ROUNDS, PAIRS_PER_MEMBER = 8, 4
+#: A round that links fewer than one pair in so many is the last of its kind.
+STALLED = 50
 CACHED_WORDS = 500_000
 #: Width of a box in logarithms of the set size, and in standard deviations of half the coordinates.
 BOX_SIZE, BOX_SPREAD = 0.03, 0.5
@@ -90,12 +92,15 @@ def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for band in range(band_of(n), band_of(largest) + 1):
         top = int(BAND ** (band + 1)) + 1
-        groups = spare(top, top, percent) + 1 + EMPTY
+        allowed = spare(top, top, percent)
+        skipped = max(1, int(SKIPPED * allowed))
+        groups = allowed + 1 + skipped
         edges = np.arange(1, groups, dtype=np.uint64) * np.uint64((1 << 64) // groups)
         ends = np.concatenate([[0], np.searchsorted(tokens, edges), [n]])
         keys = _mixed(_mixed(total[ends[1:]] - total[ends[:-1]]) + np.arange(groups, dtype=np.uint64) + np.uint64(band << 32))
-        filled = ends[1:] > ends[:-1]
-        out.append(keys[filled] if groups - filled.sum() <= EMPTY else keys)
+        sizes = ends[1:] - ends[:-1]
+        # Of the groups that agree, one has more tokens than the smallest ``skipped`` groups of either set.
+        out.append(keys[sizes > np.partition(sizes, skipped)[skipped] - 1])
     return np.concatenate(out).view(np.int64)
 
 
@@ -142,8 +147,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return least * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b: ids of ``docs``) whose sets link. Only the texts of these ids are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +159,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = small_enough(pairs)
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = docs.select("doc_id", "text").join(small_enough(ids), "doc_id", "left_semi")
+    sets = materialize(token_sets(texts, words), "token-sets")
+    left = small_enough(pairs).join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -181,30 +188,40 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
                        .select("node", F.coalesce("root", "part").alias("part")), "parts")
 
 
-def _boxed(rows: DataFrame) -> DataFrame:
-    """``rows`` (cell, node, part, n, counts) with the number of their box in the cell."""
+def _boxed(known: DataFrame) -> DataFrame:
+    """``known`` (node, n, counts) with the number of its box: near sizes and a near share of half the coordinates."""
     half = F.aggregate(F.slice("counts", 1, COORDINATES // 2), F.lit(0), lambda s, x: s + x)
-    return rows.withColumn("box", F.hash(F.floor(F.log("n") / BOX_SIZE), F.floor((half - F.col("n") / 2) / F.sqrt("n") / BOX_SPREAD)))
+    return known.withColumn("box", F.hash(F.floor(F.log("n") / BOX_SIZE), F.floor((half - F.col("n") / 2) / F.sqrt("n") / BOX_SPREAD)))
 
 
-def _boxes(rows: DataFrame) -> DataFrame:
-    """Upper corner, least size, and range of parts of each box."""
+def _boxes(known: DataFrame) -> DataFrame:
+    """Upper corner and least size of each box."""
     corner = [F.max(F.get("counts", F.lit(k))).alias(f"c{k}") for k in range(COORDINATES)]
-    return (rows.groupBy("cell", "box").agg(*corner, F.min("n").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-            .select("cell", "box", "n", "low", "high", F.array(*(f"c{k}" for k in range(COORDINATES))).alias("counts")))
+    return known.groupBy("box").agg(F.min("n").alias("n"), *corner).select(
+        "box", "n", F.array(*(f"c{k}" for k in range(COORDINATES))).alias("counts"))
 
 
-def _rest(few: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``few`` with all ``rows`` of their cell in other parts that the boxes and then the points allow."""
-    few, rows = materialize(_boxed(few), "few"), materialize(_boxed(rows), "boxed")
-    a, b = _boxes(few).alias("a"), _boxes(rows).alias("b")
-    boxes = a.join(b, (F.col("a.cell") == F.col("b.cell")) & _may_link("a", "b", percent) & ~(
-        (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))))
-    boxes = boxes.select(F.col("a.cell").alias("cell"), F.col("a.box").alias("box"), F.col("b.box").alias("other"))
-    left = few.join(boxes, ["cell", "box"]).alias("a")
-    return left.join(rows.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.other") == F.col("b.box"))
-                     & (F.col("a.part") != F.col("b.part")) & _may_link("a", "b", percent)).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+def _rest(few: DataFrame, rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``few`` with all ``rows`` (cell, node, part) of their cell in other parts whose boxes allow a link."""
+    box = known.select("node", "box")
+    few, rows = materialize(few.join(box, "node"), "few"), materialize(rows.join(box, "node"), "boxed")
+    corners = materialize(_boxes(known), "boxes")
+    met = (few.select("cell", F.col("box").alias("p")).distinct().join(rows.select("cell", F.col("box").alias("q")).distinct(), "cell")
+           .select("p", "q").distinct())
+    allowed = materialize(
+        met.join(corners.select(F.col("box").alias("p"), F.struct("n", "counts").alias("a")), "p")
+        .join(corners.select(F.col("box").alias("q"), F.struct("n", "counts").alias("b")), "q")
+        .where(_may_link("a", "b", percent)).select("p", "q"), "box-pairs")
+    left = few.select("cell", F.col("node").alias("a"), F.col("part").alias("x"), F.col("box").alias("p")).join(small_enough(allowed), "p")
+    right = rows.select("cell", F.col("node").alias("b"), F.col("part").alias("y"), F.col("box").alias("q"))
+    return left.join(right, ["cell", "q"]).where("x != y").select("a", "b")
+
+
+def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow a link."""
+    a = known.select(F.col("node").alias("a"), F.struct("n", "counts").alias("p"))
+    b = known.select(F.col("node").alias("b"), F.struct("n", "counts").alias("q"))
+    return pairs.join(a, "a").join(b, "b").where(_may_link("p", "q", percent)).select("a", "b")
 
 
 def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -217,34 +234,36 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
                          .where("low != high").select("cell"), "cells")
     members = materialize(spread.join(small_enough(shared), "cell").distinct(), "members")
     inside = materialize(members.select("node").distinct(), "cell-nodes")
-    known = materialize(nodes.join(small_enough(inside), "node").select("node", "n", "counts").distinct(), "cell-points")
-    texts = docs.select("doc_id", "text").join(small_enough(inside.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
-    sets = materialize(token_sets(texts, words).distinct(), "token-sets")
+    known = materialize(_boxed(nodes.join(small_enough(inside), "node").select("node", "n", "counts").distinct()), "cell-points")
     labels = inside.select("node", F.col("node").alias("part"))
     enough = PAIRS_PER_MEMBER * members.count()
     met: DataFrame | None = None
+    stalled = False
     for turn in range(ROUNDS + 1):
-        rows = materialize(members.join(labels, "node"), "cell-rows")
+        rows = members.join(labels, "node")
         sizes = rows.groupBy("cell", "part").count().groupBy("cell").agg(
             F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("n_parts"))
         # The two documents of a cell of two have met in the first round.
-        open_cells = materialize(sizes.where(f"n_parts > 1 and (size > 2 or {turn} = 0)").select("cell", F.col("top.part").alias("main"), "size"), "open-cells")
-        rows = materialize(rows.join(open_cells, "cell").join(known, "node"), "open-rows")
+        open_cells = materialize(sizes.where(f"n_parts > 1 and (size > 2 or {turn} = 0)").select(
+            "cell", F.col("top.part").alias("main"), "size"), "open-cells")
+        rows = materialize(rows.join(small_enough(open_cells), "cell"), "open-rows")
         few = rows.where("part != main")
         load = few.agg(F.sum("size")).first()[0]
         if load is None:
             break
-        last = load <= enough or turn == ROUNDS
+        last = load <= enough or stalled or turn == ROUNDS
+        rows, few = rows.select("cell", "node", "part"), few.select("cell", "node", "part")
         if last:
-            pairs = _rest(few.drop("main", "size"), rows.drop("main", "size"), percent)
+            pairs = _rest(few, rows, known, percent)
         else:
-            centre = few.groupBy("cell").agg(F.min(F.struct("node", "part", "n", "counts")).alias("a"))
-            pairs = (rows.select("cell", F.struct("node", "part", "n", "counts").alias("b")).join(centre, "cell")
-                     .where(F.col("a.part") != F.col("b.part")).where(_may_link("a", "b", percent))
-                     .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
-        linked = materialize(verified(pairs, sets, percent), "linked")
+            centre = few.groupBy("cell").agg(
+                F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part")).alias("a"))
+            pairs = (rows.join(centre, "cell").where(F.col("a.part") != F.col("part"))
+                     .select(F.col("a.node").alias("a"), F.col("node").alias("b")))
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        fresh = pairs if met is None else pairs.join(met, ["a", "b"], "left_anti")
+        possible = materialize(_possible(fresh, known, percent), "possible")
+        linked = materialize(verified(possible, docs, words, percent), "linked")
         met = pairs if met is None else materialize(met.unionByName(pairs), "met")
         between = (linked.join(labels.select(F.col("node").alias("a"), F.col("part").alias("x")), "a")
                    .join(labels.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
@@ -252,6 +271,7 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
         labels = merged(labels, between)
         if last:
             break
+        stalled = STALLED * linked.count() < pairs.count()
     return labels
 
 
