@@ -53,7 +53,7 @@ SYLLABLES = {
 }
 NAME_WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+"
 ANY_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
-NAME = (rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? (?:(?:{ANY_GIVEN}) )?{NAME_WORD}"
+NAME = (rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? (?:(?:{ANY_GIVEN}) )?{NAME_WORD}"
         rf"|(?:{ANY_GIVEN}) {NAME_WORD})")
 SECRET_HEAD = r"(?:(?i:api[_-]?key|access[_-]?key|auth[_-]?token|token|password|passwd|pwd|secret)\b\s{0,3}[=:]\s{0,3}[\"']?)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -71,7 +71,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])",
     "name": NAME,
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Mentions start where a word could, which spares the patterns most places of a text.
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 
 def _kind(raw: Column) -> Column:
