@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
 from foldwright.operators.weights import with_class_weight
-from foldwright.session import materialize, small_table, tasks_for
+from foldwright.session import materialize, small_table
 
-# Rows of one (vector, label) pair that are sampled one by one; see training_rows.
+# Default bound on the rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
 
 # Training rows per task.
@@ -50,20 +50,24 @@ def _learner(params: Mapping):
     return RandomForestClassifier(impurity=impurity, **params)
 
 
-def training_partitions(vectors: DataFrame) -> int:
-    """Tasks for a fit, by the number of training rows."""
-    rows = vectors.selectExpr(f"sum(least(pos, {COPIES}) + least(n - pos, {COPIES})) AS rows").first().rows or 0
-    return tasks_for(vectors.sparkSession, rows, ROWS_PER_TASK)
+def training_partitions(vectors: DataFrame, copies: int = COPIES) -> int:
+    """Tasks for a fit, by the number of training rows alone: Spark seeds its row sampling per
+    partition, so a number that followed the session would change the forest."""
+    rows = vectors.selectExpr(f"sum(least(pos, {copies}) + least(n - pos, {copies})) AS rows").first().rows or 0
+    return max(1, -(-rows // ROWS_PER_TASK))
 
 
 def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, copies: int = COPIES) -> DataFrame:
     """The rows behind a vector table as (features, label, weight).
 
     Trees sample rows, so every copy becomes a row again, with weight one. Only the copies
-    of one (vector, label) pair beyond ``COPIES`` are shared out as weight: the total weight
+    of one (vector, label) pair beyond ``copies`` are shared out as weight: the total weight
     is always the number of rows, and a vector that holds a third of the table trains as
-    ``COPIES`` rows. The explicit repartition spreads the small table before it grows.
+    ``copies`` rows. Beyond that bound a leaf's least number of instances counts such heavier
+    rows, and sampling takes or leaves them whole; a fit without that costs ``copies`` above the
+    largest pair. The explicit repartition spreads the small table before it grows; sorting its
+    partitions makes the rows that a seed samples independent of their arrival.
     """
     labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
               .selectExpr(*[f"`{f}`" for f in features],
@@ -73,15 +77,15 @@ def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool =
         labels = with_class_weight(labels)
     else:
         labels = labels.withColumn("class_weight", F.lit(1.0))
-    spread = labels.repartition(partitions or training_partitions(vectors), *features, LABEL)
-    return spread.selectExpr(
+    spread = labels.repartition(partitions or training_partitions(vectors, copies), *features, LABEL)
+    return spread.sortWithinPartitions(*features, LABEL).selectExpr(
         *[f"`{f}`" for f in features], LABEL,
-        f"explode(array_repeat(class_weight * m / least(m, {COPIES}), int(least(m, {COPIES})))) AS weight")
+        f"explode(array_repeat(class_weight * m / least(m, {copies}), int(least(m, {copies})))) AS weight")
 
 
 def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping, balanced: bool = False,
-               partitions: int | None = None) -> PipelineModel:
-    rows = training_rows(vectors, features, balanced, partitions)
+               partitions: int | None = None, copies: int = COPIES) -> PipelineModel:
+    rows = training_rows(vectors, features, balanced, partitions, copies)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     model = _learner(params).fit(assembler.transform(rows).drop(*features))
     return PipelineModel([assembler, model])
@@ -103,12 +107,13 @@ def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelis
 
 
 def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
-              balanced: bool = False, parallelism: int = N_FOLDS) -> dict[int, PipelineModel]:
+              balanced: bool = False, parallelism: int = N_FOLDS, copies: int = COPIES,
+              partitions: int | None = None) -> dict[int, PipelineModel]:
     """One forest per fold of a fold-tagged vector table, fitted on the other folds."""
-    tasks = training_partitions(vectors)
+    tasks = partitions or training_partitions(vectors, copies)
     models = in_parallel(
         vectors.sparkSession,
-        lambda k: fit_forest(vectors.where(F.col("fold") != k), features, params, balanced, tasks),
+        lambda k: fit_forest(vectors.where(F.col("fold") != k), features, params, balanced, tasks, copies),
         list(folds), parallelism)
     return dict(zip(folds, models))
 
@@ -160,16 +165,16 @@ def spark_params(trial: Mapping, seed: int = SEED) -> tuple[dict, bool]:
 
 
 def search(vectors: DataFrame, features: Sequence[str], folds: Sequence[int],
-           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = N_FOLDS) -> tuple:
+           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = N_FOLDS, copies: int = COPIES) -> tuple:
     """Randomised search by mean fold ROC-AUC; the first trial with the highest mean wins.
 
     Returns (trial table, best trial, its mean AUC, its fold forests). Per trial only one
     AUC per fold reaches the driver.
     """
-    records, best = [], None
+    records, best, tasks = [], None, training_partitions(vectors, copies)
     for i, trial in enumerate(draw_trials(space, n_iter, seed)):
         params, balanced = spark_params(trial, seed)
-        models = fit_folds(vectors, features, params, folds, balanced, parallelism)
+        models = fit_folds(vectors, features, params, folds, balanced, parallelism, copies, tasks)
         aucs = {r.fold: r.auc for r in fold_aucs(models, vectors).collect()}
         mean = sum(aucs.values()) / len(aucs)
         named = {k: str(v) for k, v in trial.items()}

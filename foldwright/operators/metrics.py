@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.constants import (DECISION_THRESHOLD, EVAL_FOLD_PREFIX, EVAL_MEAN, EVAL_OOF, EVAL_STD, LABEL,
-                                  METRIC_COLUMNS, METRIC_LABELS, NEGATIVE_CLASS, POSITIVE_CLASS)
+from foldwright.constants import (DECISION_THRESHOLD, EVAL_FOLD_PREFIX, EVAL_MEAN, EVAL_OOF, EVAL_STD, EVAL_TEST,
+                                  LABEL, METRIC_COLUMNS, METRIC_LABELS, NEGATIVE_CLASS, POSITIVE_CLASS)
 from foldwright.functions.columns import clipped, predicted, round_even
 from foldwright.operators.running import prefix_sums
 
@@ -56,11 +56,11 @@ def _auc_and_precision():
     hits = F.col("pos_before") + pos
     step = pos * F.try_divide(hits, hits + F.col("neg_before") + neg)
     auc = 1 - F.try_divide(lost, positives * negatives)
-    return auc, F.try_divide(F.sum(step), positives)
+    return auc, F.coalesce(F.try_divide(F.sum(step), positives), F.lit(0.0))
 
 
 def ranking_metrics(counts: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision (step sum). Null for a single class."""
+    """ROC-AUC (ties count half; null for a single class) and average precision (step sum; 0 without positives)."""
     auc, precision = _auc_and_precision()
     return _ranked(counts, by).groupBy(*by).agg(auc.alias("roc_auc"), precision.alias("pr_auc"))
 
@@ -111,7 +111,9 @@ THRESHOLD_METRICS = {
     "specificity": _SPECIFICITY,
     "npv": "try_divide(tn, tn + fn)",
     "f1": _F_POS,
-    "f1_macro": f"({_F_POS} + {_F_NEG}) / 2",
+    # The mean over the classes that occur among labels or predictions.
+    "f1_macro": f"CASE WHEN tp + fp + fn = 0 THEN {_F_NEG} WHEN tn + fp + fn = 0 THEN {_F_POS} "
+                f"ELSE ({_F_POS} + {_F_NEG}) / 2 END",
     "f1_weighted": f"({_F_POS} * (tp + fn) + {_F_NEG} * (tn + fp)) / {_N}",
     "f2": "ifnull(try_divide(5 * tp, 5 * tp + 4 * fn + fp), 0D)",
     "false_positive_rate": "try_divide(fp, fp + tn)",
@@ -135,7 +137,7 @@ def compute_metrics(counts: DataFrame, by: Sequence[str] = ("evaluation",),
     """All 26 scalars and the nested confusion matrix, one row per evaluation.
 
     One pass over the distinct scores feeds the threshold counts, the losses and the
-    ranking metrics. Undefined ratios are null here and become NaN in the sinks.
+    ranking metrics. Undefined ratios are null.
     """
     auc, precision = _auc_and_precision()
     log_loss, brier = _losses()
@@ -166,12 +168,25 @@ def metrics_summary(metrics: DataFrame) -> DataFrame:
     return wide.unionByName(fold_statistics(metrics))
 
 
+def summary_order() -> list[Column]:
+    """Sort keys of a summary: hold-out, pooled, folds by number, mean, deviation, comparison runs.
+
+    Runs on all features come before those on the selected ones, the random split before the group split.
+    """
+    name = F.col("evaluation")
+    place = (F.when(name == EVAL_TEST, 0).when(name == EVAL_OOF, 1).when(name.startswith(EVAL_FOLD_PREFIX), 2)
+             .when(name == EVAL_MEAN, 3).when(name == EVAL_STD, 4).otherwise(5))
+    return [place, F.when(place == 5, name.contains("selected_features")),
+            F.when(place == 5, name.contains("group_split")), F.length(name), name]
+
+
 def metrics_display(summary: DataFrame) -> DataFrame:
     """Four-decimal display rows (evaluation, metric, label, text) of the labelled metrics."""
     names = list(METRIC_LABELS)
     label = F.create_map(*[F.lit(x) for pair in METRIC_LABELS.items() for x in pair])[F.col("metric")]
+    text = F.when(F.col("value").isNull(), "nan").otherwise(F.format_string("%.4f", round_even("value", 4)))
     return summary.unpivot(["evaluation"], names, "metric", "value").select(
-        "evaluation", "metric", label.alias("label"), F.format_string("%.4f", round_even("value", 4)).alias("text"))
+        "evaluation", "metric", label.alias("label"), text.alias("text"))
 
 
 def class_report(cells: DataFrame, by: Sequence[str] = ("evaluation",)) -> DataFrame:

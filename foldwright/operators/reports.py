@@ -21,11 +21,11 @@ def texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def leakage_report(profile: DataFrame, removed: DataFrame, diagnostics: DataFrame, kept: Sequence[str],
+def leakage_report(profile: DataFrame, drops: DataFrame, diagnostics: DataFrame, kept: Sequence[str],
                    mode: str) -> DataFrame:
-    """Profile counts, removed features as a map, kept names, diagnostics strongest first."""
-    entries = removed.agg(F.map_from_entries(F.collect_list(
-        F.struct("feature", F.struct("category", "reason")))).alias("m")).scalar()
+    """Profile counts, every registry entry in force as a map, kept names, diagnostics strongest first."""
+    entries = drops.agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("feature", F.struct("category", "reason"))))).alias("m")).scalar()
     return profile.select(
         F.lit(mode).alias("mode"), "n_rows", "exact_duplicate_rows", "conflicting_label_vectors",
         entries.alias("removed"), texts(kept).alias("kept"),
@@ -46,23 +46,23 @@ def selection_report(choice: DataFrame, ranking: DataFrame, curve: DataFrame, se
 
 def forest_report(spark: SparkSession, metrics: DataFrame, importance: DataFrame, selected: Sequence[str],
                   best_params: Mapping, cv_roc_auc: float, prefix: str = "reference: ") -> DataFrame:
-    """Hold-out, pooled and fold records, importances and the comparison runs. Undefined is NaN."""
-    fields = [F.coalesce(F.col(m), F.lit(float("nan"))).alias(m) if t == "double" else F.col(m)
-              for m, t in metrics.select(*METRIC_COLUMNS, "confusion_matrix").dtypes]
+    """Hold-out, pooled and fold records, importances and the comparison runs. Undefined is null, as JSON has no NaN."""
+    fields = [*METRIC_COLUMNS, "confusion_matrix"]
     table = metrics.select("evaluation", F.struct(*fields).alias("record"))
 
     def one(name):
         return table.where(F.col("evaluation") == name).select("record").scalar()
 
     runs = table.where(F.col("evaluation").startswith(prefix)).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.substring("evaluation", len(prefix) + 1, 1000), F.col("record"))))).scalar()
+        F.struct(F.expr(f"substring(evaluation, {len(prefix) + 1})"), F.col("record"))))).scalar()
     folds = metrics.select("evaluation", *fields).where(F.col("evaluation").startswith(EVAL_FOLD_PREFIX))
     weights = importance.agg(F.map_from_entries(F.transform(
         F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("_k"), "feature", "importance"))),
         lambda x: F.struct(x["feature"], x["importance"])))).scalar()
-    params = [x for k, v in best_params.items() for x in (F.lit(k), F.lit(str(v)))]
+    params = F.struct(*[F.lit(v).alias(k) for k, v in best_params.items()])
+    by_number = [F.length("evaluation"), F.col("evaluation")]
     return spark.range(1).select(
-        texts(selected).alias("features"), F.create_map(*params).alias("best_params"),
+        texts(selected).alias("features"), params.alias("best_params"),
         F.lit(cv_roc_auc).alias("cv_roc_auc"), one(EVAL_TEST).alias("test"),
-        one(EVAL_OOF).alias("train_cv_out_of_fold"), records(folds, [F.col("evaluation")]).alias("train_cv_folds"),
+        one(EVAL_OOF).alias("train_cv_out_of_fold"), records(folds, by_number).alias("train_cv_folds"),
         weights.alias("feature_importance"), runs.alias("leakage_references"))

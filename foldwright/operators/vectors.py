@@ -13,6 +13,9 @@ from foldwright.functions.columns import group_key
 # Rows that one task should hold of a single group.
 HOT_ROWS = 5_000_000
 
+# Hot keys that may be broadcast.
+HOT_KEYS = 100_000
+
 
 def with_group_id(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumn(GROUP, group_key(features))
@@ -40,11 +43,13 @@ def attach_by_group(rows: DataFrame, lookup: DataFrame, columns: Sequence[str],
     """Inner join ``columns`` of a lookup (one row per ``on`` key, with its row count ``n``) onto rows.
 
     A key with more than ``hot_rows`` rows is dealt over ceil(n / hot_rows) salted copies of
-    its lookup row. Only those keys are broadcast: there are fewer than rows / hot_rows of them.
+    its lookup row. Those keys, fewer than rows / hot_rows, are counted: up to ``HOT_KEYS`` are
+    broadcast, more are joined by a shuffle that splits skewed keys at run time.
     """
     parts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int")
     hot = lookup.where(F.col("n") > hot_rows).select(*on, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), list(on), "left").withColumn(
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    salted = rows.join(hot, list(on), "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_key), F.col("_parts")).cast("int"), F.lit(0)))
     copies = lookup.select(*on, *columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
     return salted.join(copies, [*on, "_salt"]).select(*rows.columns, *columns)

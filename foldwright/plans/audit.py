@@ -43,6 +43,7 @@ class Audit:
 
     profile: DataFrame
     diagnostics: DataFrame
+    drops: DataFrame
     removed: DataFrame
     kept: DataFrame
     flagged: DataFrame
@@ -73,6 +74,7 @@ def remove_leaky(raw: DataFrame, entries: DataFrame, url_only: bool = False,
     return Audit(
         profile=profile(vectors),
         diagnostics=diag.orderBy(F.desc("single_feature_auc"), "feature"),
+        drops=drops,
         removed=removed_features(diag, drops),
         kept=kept_features(diag, drops, features),
         flagged=flagged_kept(diag, drops),

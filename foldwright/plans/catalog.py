@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, METRIC_COLUMNS, ROW, SEED, SPLIT,
-                                  TARGET)
+from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, ROW, SEED, SPLIT, TARGET)
 from foldwright.functions.columns import label_from_target, round_even
 from foldwright.operators import cube as C
 from foldwright.operators import folds as FO
@@ -24,6 +23,7 @@ from foldwright.plans import evaluate as E
 from foldwright.plans import select as S
 from foldwright.session import materialize, small_table
 from foldwright.sources.orders import FEATURES, KEPT, LEAKY, PAGE, labelled, ternary_features
+from foldwright.sources.tables import six_decimals
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -211,15 +211,14 @@ def _fold_metrics(spark, d):
 
 
 def metrics_summary_text(spark, d):
-    summary = rounded(_summary(spark, d))
-    return summary.select("evaluation", *[F.format_string("%.6f", F.col(m)).alias(m) for m in METRIC_COLUMNS])
+    return six_decimals(_summary(spark, d))
 
 
 def leakage_report(spark, d):
     """The audit as one nested row."""
     folded = materialize(_folded(spark, d), "folds")
     diag = materialize(L.diagnostics(C.contingency_cube(folded, FEATURES), L.registry(spark, LEAKY, PAGE)), "diagnostics")
-    return reports.leakage_report(P.profile(folded), L.removed_features(diag, _drops(spark)), diag, KEPT, "default")
+    return reports.leakage_report(P.profile(folded), _drops(spark), diag, KEPT, "default")
 
 
 def selection_report(spark, d):
@@ -318,7 +317,8 @@ def mean_abs_contribution(spark, d):
 
 
 def rfe_history(spark, d):
-    return small_table(spark, S.eliminate(_train_vectors(spark, d), KEPT, QUERY_FOREST)[0], S.HISTORY_SCHEMA)
+    steps = S.eliminate(_train_vectors(spark, d), KEPT, QUERY_FOREST)
+    return small_table(spark, S.history_rows(steps), S.HISTORY_SCHEMA)
 
 
 def search_trials(spark, d):

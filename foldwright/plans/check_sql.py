@@ -155,7 +155,7 @@ def ranking(name: str, source: str, by: str = "evaluation") -> str:
     return f"""
 {name} AS (
   SELECT {by}, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc_auc,
-         sum(pos * hits / seen) / sum(pos) AS pr_auc
+         CASE WHEN sum(pos) > 0 THEN sum(pos * hits / seen) / sum(pos) ELSE 0 END AS pr_auc
   FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY score
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
                sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS hits,
@@ -205,7 +205,7 @@ def threshold_values() -> dict[str, str]:
         "specificity": spec,
         "npv": _div("tn", "tn + fn"),
         "f1": f1,
-        "f1_macro": f"({f1} + {f0}) / 2",
+        "f1_macro": "list_avg([2 * tp / nullif(2 * tp + fp + fn, 0), 2 * tn / nullif(2 * tn + fn + fp, 0)])",
         "f1_weighted": f"({f1} * (tp + fn) + {f0} * (tn + fp)) / {total}",
         "f2": _zero("5 * tp", "5 * tp + 4 * fn + fp"),
         "false_positive_rate": _div("fp", "fp + tn"),
@@ -462,7 +462,7 @@ FROM diag WHERE feature NOT IN {any_mode}"""),
         "metrics_summary": _with(ALL_EVALUATIONS, f"SELECT evaluation, {_rounded(METRIC_COLUMNS)} FROM s"),
         "metrics_summary_text": _with(ALL_EVALUATIONS, "SELECT evaluation, " + ", ".join(
             f"printf('%.6f', {r(c)}) AS {c}" for c in METRIC_COLUMNS) + " FROM s"),
-        "metrics_display": _with(ALL_EVALUATIONS, f"""SELECT evaluation, metric, label, printf('%.4f', {r('value', 4)})
+        "metrics_display": _with(ALL_EVALUATIONS, f"""SELECT evaluation, metric, label, coalesce(printf('%.4f', {r('value', 4)}), 'nan')
   AS text FROM (UNPIVOT (SELECT evaluation, {values} FROM s) ON {values} INTO NAME metric VALUE value)
 JOIN (VALUES {labels}) AS l(metric, label) USING (metric)"""),
         "selection_curve": _with(SELECTION, f"SELECT n_features, {_rounded(['auc_mean', 'auc_se'])} FROM curve"),

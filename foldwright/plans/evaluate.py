@@ -13,7 +13,7 @@ from foldwright.constants import (EVAL_OOF, EVAL_TEST, GROUP, LABEL, N_FOLDS, RO
                                   SPLIT)
 from foldwright.functions.columns import feature_cols, label_from_target
 from foldwright.operators.folds import random_holdout
-from foldwright.operators.forest import (feature_importance, fit_forest, score, score_folds, search, spark_params)
+from foldwright.operators.forest import (COPIES, feature_importance, fit_forest, score, score_folds, search, spark_params)
 from foldwright.operators.metrics import (class_report, compute_metrics, confusion_matrix, fold_and_pooled,
                                           metrics_summary, union_all, vector_score_counts)
 from foldwright.operators.predictions import prediction_table
@@ -44,16 +44,17 @@ def evaluate(model: PipelineModel, vectors: DataFrame, name: str = EVAL_TEST) ->
     return compute_metrics(vector_score_counts(scored, ["evaluation"]))
 
 
-def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, name: str) -> DataFrame:
+def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, name: str,
+                  copies: int = COPIES) -> DataFrame:
     """Fit on the train side of a split vector table, score the test side: score counts under ``name``."""
     params, balanced = spark_params(trial)
-    model = fit_forest(vectors.where(F.col(SPLIT) == "train"), features, params, balanced)
+    model = fit_forest(vectors.where(F.col(SPLIT) == "train"), features, params, balanced, copies=copies)
     scored = score(model, vectors.where(F.col(SPLIT) == "test")).withColumn("evaluation", F.lit(name))
     return vector_score_counts(scored, ["evaluation"])
 
 
 def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], selected: Sequence[str],
-                 trial: Mapping, prefix: str = "reference: ") -> DataFrame:
+                 trial: Mapping, prefix: str = "reference: ", copies: int = COPIES) -> DataFrame:
     """Score counts of the three comparison runs, refitted with the same parameters.
 
     ``rows`` has all features and the label, ``split`` is the group-split vector table.
@@ -61,9 +62,9 @@ def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], sel
     names = reference_names(len(features))
     loose = materialize(vector_table(random_holdout(rows), features, [SPLIT]), "random-vectors")
     return union_all([
-        reference_run(loose, features, trial, prefix + names["all_random"]),
-        reference_run(split, features, trial, prefix + names["all_group"]),
-        reference_run(loose, selected, trial, prefix + names["selected_random"]),
+        reference_run(loose, features, trial, prefix + names["all_random"], copies),
+        reference_run(split, features, trial, prefix + names["all_group"], copies),
+        reference_run(loose, selected, trial, prefix + names["selected_random"], copies),
     ])
 
 
@@ -80,15 +81,19 @@ def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]
 
 def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str],
                        n_iter: int = SEARCH_DRAWS, space: Mapping = SEARCH_SPACE, k: int = N_FOLDS,
-                       parallelism: int = N_FOLDS) -> Evaluation:
-    """``clean`` is the output of step 1, ``raw`` its input, ``selected`` the outcome of step 2."""
+                       parallelism: int = N_FOLDS, copies: int = COPIES) -> Evaluation:
+    """``clean`` is the output of step 1, ``raw`` its input, ``selected`` the outcome of step 2.
+
+    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``.
+    """
     spark, selected = clean.sparkSession, list(selected)
     vectors = train_vectors(clean, selected, k)
     test = clean.where(F.col(SPLIT) == "test")
 
-    trials, best, cv_auc, fold_models = search(vectors, selected, range(k), space, n_iter, parallelism=parallelism)
+    trials, best, cv_auc, fold_models = search(vectors, selected, range(k), space, n_iter, parallelism=parallelism,
+                                                copies=copies)
     params, balanced = spark_params(best)
-    model = fit_forest(vectors, selected, params, balanced)
+    model = fit_forest(vectors, selected, params, balanced, copies=copies)
 
     # The fold forests of the winning trial are the out-of-fold forests: same rows, same seed.
     scored = materialize(score_folds(fold_models, vectors), "oof-scores")
@@ -103,7 +108,7 @@ def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str]
         vector_score_counts(held_out, ["evaluation"]),
         fold_and_pooled(vector_score_counts(scored.withColumn("cv_fold", F.col("fold") + 1), ["cv_fold"]),
                         pooled=EVAL_OOF),
-        leakage_runs(rows, split, features, selected, best),
+        leakage_runs(rows, split, features, selected, best, copies=copies),
     ]), "score-counts")
     metrics = materialize(compute_metrics(counts), "metrics")
     return Evaluation(

@@ -22,7 +22,7 @@ METHOD = "SHAP-based RFE, random forest, 5-fold StratifiedGroupKFold, 1-SE rule"
 
 def write_audit(audit: Audit, folder: str, mode: str = "default", fmt: str = "parquet") -> None:
     write_clean(audit.clean, f"{folder}/{CLEAN}", fmt)
-    write_report(leakage_report(audit.profile, audit.removed, audit.diagnostics, audit.kept_names, mode),
+    write_report(leakage_report(audit.profile, audit.drops, audit.diagnostics, audit.kept_names, mode),
                  f"{folder}/{LEAKAGE}")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from foldwright.constants import GROUP, N_FOLDS, SELECTION_FOREST, SPLIT
 from foldwright.functions.columns import feature_cols
 from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution
 from foldwright.operators.cube import contingency_cube, mutual_information
-from foldwright.operators.forest import fit_forest, fold_aucs, in_parallel, training_partitions
+from foldwright.operators.forest import COPIES, fit_forest, fold_aucs, in_parallel, training_partitions
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
 from foldwright.operators.vectors import count_rows
 from foldwright.plans.audit import tag_folds
@@ -30,12 +31,12 @@ def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -
 
 
 def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
-            parallelism: int = N_FOLDS) -> tuple[DataFrame, DataFrame]:
+            parallelism: int = N_FOLDS, copies: int = COPIES) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
-    spark, tasks = vectors.sparkSession, training_partitions(vectors)
+    spark, tasks = vectors.sparkSession, training_partitions(vectors, copies)
 
     def fit(fold):
-        model = fit_forest(vectors.where(F.col("fold") != fold), features, params, partitions=tasks)
+        model = fit_forest(vectors.where(F.col("fold") != fold), features, params, partitions=tasks, copies=copies)
         return model, leaf_paths(spark, model)
 
     fitted = dict(zip(folds, in_parallel(spark, fit, list(folds), parallelism)))
@@ -54,45 +55,71 @@ class Selection:
     dropped: list[str]
 
 
+@dataclass(frozen=True)
+class Step:
+    """What one feature subset achieved: an AUC per fold and a strength per feature, in feature order."""
+
+    aucs: dict[int, float]
+    strength: dict[str, float]
+
+    @property
+    def features(self) -> list[str]:
+        return list(self.strength)
+
+    @property
+    def weakest(self) -> str:
+        """The first of the features with the least strength."""
+        return min(self.strength, key=self.strength.__getitem__)
+
+
+def measured(vectors: DataFrame, subset: Sequence[str], params: Mapping, folds: Sequence[int],
+             parallelism: int = N_FOLDS, copies: int = COPIES) -> Step:
+    """The step of one subset. One AUC per fold and one number per feature reach the driver."""
+    both = cv_step(vectors, subset, params, folds, parallelism, copies)
+    aucs, shap = (dict(map(tuple, rows))
+                  for rows in in_parallel(vectors.sparkSession, lambda df: df.collect(), both, 2))
+    return Step(aucs, {f: shap[f] for f in subset})
+
+
 def eliminate(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int] = range(N_FOLDS),
-              parallelism: int = N_FOLDS):
-    """Drop the weakest feature until none is left.
+              parallelism: int = N_FOLDS, copies: int = COPIES) -> list[Step]:
+    """One step per subset size, largest first; each subset is the one before without its weakest feature."""
 
-    Returns (history rows, elimination order, importances of the full set). A step sends one
-    AUC per fold and one number per feature to the driver; the first column wins a tie.
-    """
-    remaining, history, order, initial = list(features), [], [], None
-    while remaining:
-        aucs, shap = cv_step(vectors, remaining, params, folds, parallelism)
-        shap_rows, auc_rows = in_parallel(vectors.sparkSession, lambda df: df.collect(), [shap, aucs], 2)
-        strength = {r.feature: r.mean_abs_shap for r in shap_rows}
-        initial = initial or strength
-        weakest = min(remaining, key=lambda f: strength[f])
-        history += [(len(remaining), r.fold, r.auc, list(remaining), weakest) for r in auc_rows]
-        order.append(weakest)
-        remaining.remove(weakest)
-    return history, order, initial
+    def narrower(step: Step, _size: int) -> Step:
+        subset = [f for f in step.features if f != step.weakest]
+        return measured(vectors, subset, params, folds, parallelism, copies)
+
+    widest = measured(vectors, features, params, folds, parallelism, copies)
+    return list(accumulate(range(len(features) - 1, 0, -1), narrower, initial=widest))
 
 
 HISTORY_SCHEMA = "n_features int, fold int, auc double, features array<string>, weakest string"
 
 
+def history_rows(steps: Sequence[Step]) -> list[tuple]:
+    """The rows of ``HISTORY_SCHEMA``: one per step and fold."""
+    return [(len(s.features), fold, auc, s.features, s.weakest) for s in steps for fold, auc in s.aucs.items()]
+
+
 def select_features(clean: DataFrame, params: Mapping = SELECTION_FOREST, k: int = N_FOLDS,
-                    parallelism: int = N_FOLDS) -> Selection:
-    """Selection on the train side of a clean table; the test side is never read."""
+                    parallelism: int = N_FOLDS, copies: int = COPIES) -> Selection:
+    """Selection on the train side of a clean table; the test side is never read.
+
+    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``.
+    """
     spark = clean.sparkSession
     features = feature_cols(clean)
     vectors = train_vectors(clean, features, k)
-    rows, order, initial = eliminate(vectors, features, params, range(k), parallelism)
-    history = small_table(spark, rows, HISTORY_SCHEMA)
+    steps = eliminate(vectors, features, params, range(k), parallelism, copies)
+    history = small_table(spark, history_rows(steps), HISTORY_SCHEMA)
     curve = selection_curve(history)
     choice = one_se_choice(curve)
-    steps = small_table(spark, [(f, i) for i, f in enumerate(order, 1)], "feature string, elim_step int")
-    importance = small_table(spark, list(initial.items()), "feature string, initial_mean_abs_shap double")
-    ranking = feature_ranking(steps, importance,
+    dropped = small_table(spark, [(s.weakest, i) for i, s in enumerate(steps, 1)], "feature string, elim_step int")
+    importance = small_table(spark, list(steps[0].strength.items()), "feature string, initial_mean_abs_shap double")
+    ranking = feature_ranking(dropped, importance,
                               mutual_information(contingency_cube(vectors, features, tags=())), choice)
     size = choice.first().chosen_n_features
-    survivors = set(order[len(order) - size:])
+    survivors = next(set(s.features) for s in steps if len(s.features) == size)
     return Selection(history, curve, choice, ranking,
                      selected=[f for f in features if f in survivors],
                      dropped=[f for f in features if f not in survivors])

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from foldwright.constants import METRIC_COLUMNS, SPLIT
 from foldwright.functions.columns import round_even
+from foldwright.operators.metrics import summary_order
 
 
 def write_clean(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -39,7 +40,8 @@ def six_decimals(summary: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    six_decimals(summary).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One file in the order of ``summary_order``; a summary has one row per evaluation."""
+    six_decimals(summary.coalesce(1).sortWithinPartitions(*summary_order())).write.mode("overwrite").csv(path, header=True)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -47,5 +49,7 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A report. With the schema it was written with, undefined metrics keep their type."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("multiLine", True).json(path)

@@ -53,6 +53,8 @@ def test_reports_agree(spark, run):
     out, audit, selection, result = run
     leakage = read_report(spark, f"{out}/{O.LEAKAGE}").first()
     assert (leakage.mode, leakage.n_rows, leakage.kept) == ("default", 100, FEATURES)
+    in_force = {r.feature for r in L.drop_set(L.registry(spark), False).collect()}
+    assert set(leakage.removed.__fields__) == in_force and len(in_force) == 10
     assert sorted(d.feature for d in leakage.diagnostics) == sorted(FEATURES)
     aucs = [d.single_feature_auc for d in leakage.diagnostics]
     assert aucs == sorted(aucs, reverse=True)
@@ -95,6 +97,7 @@ def test_predictions(spark, run, name, side):
 def test_summary(spark, run):
     out, _, _, result = run
     summary = spark.read.csv(f"{out}/{O.SUMMARY}", header=True)
+    assert summary.first().evaluation == "test_holdout"
     assert summary.count() == 12 and "confusion_matrix" not in summary.columns
     test = result.metrics.where("evaluation = 'test_holdout'").first()
     row = summary.where("evaluation = 'test_holdout'").first()
@@ -109,4 +112,6 @@ def test_report_is_valid_json(run):
     part = [f for f in os.listdir(f"{run[0]}/{O.METRICS}") if f.startswith("part-")][0]
     with open(f"{run[0]}/{O.METRICS}/{part}") as f:
         record = json.loads(f.read())
+    assert record["best_params"] == {"n_estimators": 2, "max_depth": 2}
+    assert [f["evaluation"] for f in record["train_cv_folds"]] == [f"cv_fold_{k}" for k in range(1, 6)]
     assert record["test"]["n_samples"] > 0 and set(record["feature_importance"]) == set(run[2].selected)

@@ -80,6 +80,29 @@ def test_training_rows_keep_the_weight_of_every_copy(spark):
     assert {r.is_phishing: r.w for r in balanced.collect()} == pytest.approx({0: 2503 / 2, 1: 2503 / 2})
 
 
+@pytest.mark.parametrize("copies", [1, 7, 5000])
+def test_copies_bound_the_rows_and_keep_the_weight(spark, copies):
+    df = spark.createDataFrame([(1, 2500, 2200), (0, 3, 0)], "a int, n long, pos long")
+    got = {(r.a, r.is_phishing): (r.rows, r.weight) for r in R.training_rows(df, ["a"], copies=copies).groupBy(
+        "a", "is_phishing").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight")).collect()}
+    assert got == {key: (min(n, copies), pytest.approx(n)) for key, n in {(1, 1): 2200, (1, 0): 300, (0, 0): 3}.items()}
+
+
+@pytest.mark.parametrize("copies", [2, 1000])
+def test_a_seed_gives_one_forest_whatever_the_session_and_the_arrival(spark, vectors, monkeypatch, copies):
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 30)
+    params = {"numTrees": 4, "maxDepth": 4, "subsamplingRate": 0.8, "seed": 5, "featureSubsetStrategy": "sqrt"}
+    old, trees = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for width in (1, 4, 8, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(width))
+            arrival = vectors.repartition(width + 1).orderBy(F.xxhash64(*FEATURES, F.lit(width)))
+            trees.add(R.fit_forest(arrival, FEATURES, params, copies=copies).stages[-1].toDebugString.split("\n", 1)[1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(trees) == 1
+
+
 def test_search_reports_every_fold_and_the_first_best_trial(spark, vectors):
     space = {"n_estimators": range(2, 4), "max_depth": [2, None], "class_weight": [None, "balanced"],
              "max_features": ["sqrt", 0.5, None], "criterion": ["gini", "entropy"], "min_samples_split": range(2, 20)}

@@ -186,6 +186,25 @@ def test_single_class_evaluation(spark):
     assert m.roc_auc is None and m.false_negative_rate is None and m.npv == 1.0
     assert (m.precision, m.recall, m.f1, m.f2, m.mcc) == (0.0, 0.0, 0.0, 0.0, 0.0)
     assert (m.specificity, m.balanced_accuracy) == (0.5, 0.5)
+    assert m.pr_auc == 0.0 and m.f1_macro == pytest.approx((0 + 2 / 3) / 2)
+
+
+def test_macro_f1_averages_the_classes_that_occur(spark):
+    for rows in ([(0, 0.2), (0, 0.3)], [(1, 0.7), (1, 0.9)]):
+        assert M.compute_metrics(counts(spark, rows)).first().f1_macro == 1.0
+
+
+def test_undefined_metric_is_displayed_as_nan(spark):
+    summary = M.metrics_summary(M.compute_metrics(counts(spark, [(0, 0.2), (0, 0.7)])))
+    shown = {r.metric: r.text for r in M.metrics_display(summary.where("evaluation = 'e'")).collect()}
+    assert shown["roc_auc"] == "nan" and shown["accuracy"] == "0.5000"
+
+
+def test_summary_order(spark):
+    want = ["test_holdout", "train_cv_out_of_fold", "cv_fold_1", "cv_fold_2", "cv_fold_10", "cv_mean", "cv_std",
+            *(f"reference: {n}" for n in rates.reference_names(30).values())]
+    df = spark.createDataFrame([(n,) for n in sorted(want)], "evaluation string")
+    assert [r.evaluation for r in df.orderBy(*M.summary_order()).collect()] == want
 
 
 def test_ranking_agrees_with_a_sorted_scan_when_scores_crowd_one_bucket(spark):

@@ -69,6 +69,8 @@ def test_report_round_trip_creates_parents_and_surfaces_errors(spark, tmp_path):
     write_report(df, path)
     back = read_report(spark, path).first()
     assert back.score == 0.5 and back.gap is None and back.m.x == [1.5]
+    assert read_report(spark, path, df.schema).schema == df.schema
+    assert read_report(spark, path, df.schema).first() == df.first()
     (tmp_path / "file").write_text("in the way")
     with pytest.raises(Exception):
         write_report(df, str(tmp_path / "file" / "report"))
