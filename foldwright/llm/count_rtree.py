@@ -11,9 +11,9 @@ for two boxes, and then for two points, the sum over the groups of the smaller c
 above. The pairs that survive are verified on their sets.
 
 Cells can be large, so links are found without all pairs of a cell. Equal sets are one point. In rounds, one document of
-a cell meets the others; what it links to becomes one component, and only documents outside the largest component of
-their cell go on. When few are left they meet all others of their cell, through the boxes. Documents of one component
-never need to meet, so no link between components is missed.
+a cell meets the others; what it links to becomes one part, and only documents outside the largest part of their cell go
+on. When few are left they meet all others of their cell, through the boxes. Documents of one part are connected and
+never need to meet, so no link between parts is missed. All links found together make the components at the end.
 
 Sets are compared by 64-bit hashes of shingles and 128-bit digests of sets. Defined results: a document without words or
 with a null text has an empty set and links with nothing; with fewer words than a shingle its whole sequence is one;
@@ -167,25 +167,58 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``links`` (a, b: nodes) as pairs of different parts (a, b) in both directions."""
+    found = (links.join(labels.select(F.col("node").alias("a"), F.col("part").alias("x")), "a")
+             .join(labels.select(F.col("node").alias("b"), F.col("part").alias("y")), "b").where("x != y")
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                        .alias("p")).select("p.a", "p.b")
+
+
+def _lowered(both: DataFrame, root: DataFrame) -> DataFrame:
+    """``root`` (a, root) with the least root of a part and its neighbours."""
+    near = both.join(root.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+    return root.join(near, "a").select("a", F.least("root", "near").alias("lower"), "root")
+
+
+def _renamed(labels: DataFrame, root: DataFrame) -> DataFrame:
+    return materialize(labels.join(small_enough(root.withColumnRenamed("a", "part")), "part", "left")
+                       .select("node", F.coalesce("root", "part").alias("part")), "parts")
+
+
+def _first_roots(both: DataFrame) -> DataFrame:
+    return both.groupBy("a").agg(F.min("b").alias("root")).select("a", F.least("a", "root").alias("root"))
+
+
+def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, part) with parts joined over at most two ``links`` (a, b: nodes).
+
+    Nodes of one part are always connected, and the parts around one centre become one; longer chains may stay apart
+    until ``merged``.
+    """
+    both = materialize(_between(links, labels), "links")
+    if both.isEmpty():
+        return labels
+    root = _lowered(both, _first_roots(both)).select("a", F.col("lower").alias("root"))
+    return _renamed(labels, materialize(root, "roots"))
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, part) with the parts that ``links`` (a, b: parts) connect made one, under the least of them."""
-    links = materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    if links.isEmpty():
+    """``labels`` (node, part) with the parts that ``links`` (a, b: nodes) connect made one, under the least of them."""
+    both = materialize(_between(links, labels), "links")
+    if both.isEmpty():
         return labels
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    root = materialize(both.groupBy("a").agg(F.min("b").alias("root")).select("a", F.least("a", "root").alias("root")), "roots")
+    root = materialize(_first_roots(both), "roots")
     while True:
-        near = both.join(root.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = root.join(near, "a").select("a", F.least("root", "near").alias("lower"), "root")
+        lower = _lowered(both, root)
         jump = lower.select(F.col("a").alias("lower"), F.col("lower").alias("jumped"))
         after = materialize(lower.join(jump, "lower", "left").select(
             "a", F.least("lower", F.coalesce("jumped", "lower")).alias("next"), "root"), "roots")
         done = after.where(F.col("next") != F.col("root")).isEmpty()
         root = after.select("a", F.col("next").alias("root"))
         if done:
-            break
-    return materialize(labels.join(root.withColumnRenamed("a", "part"), "part", "left")
-                       .select("node", F.coalesce("root", "part").alias("part")), "parts")
+            return _renamed(labels, root)
 
 
 def _boxed(known: DataFrame) -> DataFrame:
@@ -225,7 +258,7 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """node and part of the nodes that share a cell with another one; a part is a component of links.
+    """node and part of the nodes that share a cell with another one; the parts at the end are components of links.
 
     ``nodes``: node (the smallest doc_id with that set), n, counts, cells.
     """
@@ -237,7 +270,7 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
     known = materialize(_boxed(nodes.join(small_enough(inside), "node").select("node", "n", "counts").distinct()), "cell-points")
     labels = inside.select("node", F.col("node").alias("part"))
     enough = PAIRS_PER_MEMBER * members.count()
-    met: DataFrame | None = None
+    links: DataFrame | None = None
     stalled = False
     for turn in range(ROUNDS + 1):
         rows = members.join(labels, "node")
@@ -261,18 +294,14 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
             pairs = (rows.join(centre, "cell").where(F.col("a.part") != F.col("part"))
                      .select(F.col("a.node").alias("a"), F.col("node").alias("b")))
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        fresh = pairs if met is None else pairs.join(met, ["a", "b"], "left_anti")
-        possible = materialize(_possible(fresh, known, percent), "possible")
-        linked = materialize(verified(possible, docs, words, percent), "linked")
-        met = pairs if met is None else materialize(met.unionByName(pairs), "met")
-        between = (linked.join(labels.select(F.col("node").alias("a"), F.col("part").alias("x")), "a")
-                   .join(labels.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
-                   .select(F.col("x").alias("a"), F.col("y").alias("b")))
-        labels = merged(labels, between)
+        linked = verified(materialize(_possible(pairs, known, percent), "possible"), docs, words, percent)
+        linked = materialize(linked, "linked")
+        links = linked if links is None else links.unionByName(linked)
         if last:
             break
+        labels = hooked(labels, linked)
         stalled = STALLED * linked.count() < pairs.count()
-    return labels
+    return labels if links is None else merged(labels, links)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
