@@ -15,8 +15,9 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
 
     Groups are ranked by how far and to which side they tilt the class balance, then by
     size, then by a seeded draw, and dealt back and forth over the folds. The rank is a
-    running count: tilt and size form one bucket level, four hex digits of the draw the
-    next, so the many groups of equal size spread over 65536 buckets.
+    running count: tilt, size and four hex digits of the draw are bucket levels, so the many
+    groups of equal size spread over 65536 buckets. A window over tilts, or over the sizes of one
+    tilt, has at most sqrt(2 x rows) buckets, as d different ones take d^2 / 2 rows.
     """
     tilt = 2 * F.col("pos") - F.col("n")
     ranked = prefix_sums(
@@ -24,7 +25,7 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
                       seeded_draw(seed, F.col(GROUP)).alias("_draw"), F.lit(1).cast("long").alias("_one"))
         .withColumn("_bucket", F.substring("_draw", 1, 4)),
         by=["_side"],
-        levels=[[("_tilt", "desc"), ("n", "desc")], [("_bucket", "asc")]],
+        levels=[[("_tilt", "desc")], [("n", "desc")], [("_bucket", "asc")]],
         order=[("_draw", "asc"), (GROUP, "asc")],
         measures=["_one"],
     )

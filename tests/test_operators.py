@@ -75,6 +75,27 @@ def test_fold_dealing(spark, k):
     assert {r.group_id: r.fold for r in FO.deal_folds(df, k).collect()} == brute_folds(groups, k)
 
 
+def test_dealing_with_thousands_of_sizes_and_bounded_windows(spark, monkeypatch):
+    groups = spark.range(20000).selectExpr("id AS group_id", "id * 7919 % 997 + 1 AS n").selectExpr(
+        "*", "group_id * 104729 % (n + 1) AS pos").cache()
+    taken = {}
+
+    def spied(df, by, levels, order, measures):
+        keys = list(by)
+        for level in levels:
+            names = [c for c, _ in level]
+            widths = df.select(*keys, *names).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0]
+            taken[tuple(names)] = widths
+            keys += names
+        return prefix_sums(df, by, levels, order, measures)
+
+    monkeypatch.setattr(FO, "prefix_sums", spied)
+    folds = FO.deal_folds(groups, 5).groupBy("fold").agg(F.count("*").alias("m"), F.sum("n").alias("n")).collect()
+    rows = groups.agg(F.sum("n")).first()[0]
+    assert len(taken) == 3 and max(taken[("_tilt",)], taken[("n",)]) <= math.sqrt(2 * rows)
+    assert max(f.m for f in folds) - min(f.m for f in folds) <= 4 and sum(f.n for f in folds) == rows
+
+
 def test_more_folds_than_groups(spark):
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 0)], "group_id long, n long, pos long")
     assert {r.fold for r in FO.deal_folds(df, 5).collect()} <= set(range(5))
