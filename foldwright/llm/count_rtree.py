@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +37,20 @@ from foldwright.llm.common import bounded_batches, materialize, small_enough
 
 WORDS, PERCENT = 3, 90
 #: Coordinates of a point, ratio of the sizes of a band, share of further groups, so that small groups need no cell.
-COORDINATES, BAND, SKIPPED = 32, 1.5, 0.33
+COORDINATES, BAND, SKIPPED = 64, 1.5, 0.33
 #: Rounds of one against all before the rest of a cell meets, and the pairs for each cell and member at which it meets.
 ROUNDS, PAIRS_PER_MEMBER = 8, 4
 #: A round that links fewer than one pair in so many is the last of its kind.
 STALLED = 50
-CACHED_WORDS = 500_000
 #: Width of a box in logarithms of the set size, and in standard deviations of half the coordinates.
 BOX_SIZE, BOX_SPREAD = 0.03, 0.5
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Bytes hashed at once, up to the end of a word: bounds the work arrays of a long text.
+PIECE = 1 << 20
+#: A word hashes to the sum of a random number for each byte times a power for its place; a shingle likewise of its words.
+_draw = random.Random(20).getrandbits
+CODES = np.array([_draw(64) | 1 for _ in range(256)], np.uint64)
+BASE, STEP = np.uint64(_draw(64) | 1), np.uint64(_draw(64) | 1)
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,17 +58,55 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int, known: WordHashes) -> np.ndarray:
+def _powers(count: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count - 1, BASE)]), dtype=np.uint64)
+
+
+#: The powers for words of usual length.
+POWERS = _powers(64)
+
+
+def _piece_hashes(piece: np.ndarray) -> np.ndarray:
+    """A hash for each word of a piece that cuts no word."""
+    gap = np.concatenate([[True], SPACES[piece], [True]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    powers = POWERS if lengths.max() <= len(POWERS) else _powers(lengths.max())
+    terms = CODES[piece[~gap[1:-1]]] * powers[place]
+    return _mixed(np.add.reduceat(terms, first))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of a text, A-Z in lower case."""
+    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
+    out, start = [np.zeros(0, np.uint64)], 0
+    while start < len(raw):
+        end = start + PIECE
+        while end < len(raw) and not SPACES[raw[end]]:
+            ahead = np.flatnonzero(SPACES[raw[end:end + PIECE]])
+            end += int(ahead[0]) if len(ahead) else PIECE
+        out.append(_piece_hashes(raw[start:end]))
+        start = end
+    return np.concatenate(out)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct hashes of the shingles of a text."""
-    split = (text or "").encode().lower().split()
-    hashes = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+    hashes = word_hashes(text)
     if not len(hashes):
         return hashes
     width = min(words, len(hashes))
-    out = np.full(len(hashes) - width + 1, width, np.uint64)
+    count = len(hashes) - width + 1
+    out = np.full(count, width, np.uint64)
     for k in range(width):
-        out = _mixed(out + hashes[k:len(hashes) - width + 1 + k])
-    return np.unique(out)
+        out = out * STEP + hashes[k:count + k]
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def spare(size_a: int, size_b: int, percent: int) -> int:
@@ -108,9 +144,8 @@ def _tokenised(docs: DataFrame, words: int, schema: str, made: Callable[[list, l
     """``made`` of the ids and sets of each batch of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), words, known) for t in batch.column(1)]
+            sets = [shingles(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict(made(batch.column(0), sets))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -235,9 +270,8 @@ def _boxes(known: DataFrame) -> DataFrame:
 
 
 def _rest(few: DataFrame, rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``few`` with all ``rows`` (cell, node, part) of their cell in other parts whose boxes allow a link."""
-    box = known.select("node", "box")
-    few, rows = materialize(few.join(box, "node"), "few"), materialize(rows.join(box, "node"), "boxed")
+    """Pairs of ``few`` with all ``rows`` (cell, node, part) of their cell in other parts whose boxes and points allow a link."""
+    few, rows = (materialize(part.join(known, "node"), name) for part, name in ((few, "few"), (rows, "boxed")))
     corners = materialize(_boxes(known), "boxes")
     met = (few.select("cell", F.col("box").alias("p")).distinct().join(rows.select("cell", F.col("box").alias("q")).distinct(), "cell")
            .select("p", "q").distinct())
@@ -245,9 +279,11 @@ def _rest(few: DataFrame, rows: DataFrame, known: DataFrame, percent: int) -> Da
         met.join(corners.select(F.col("box").alias("p"), F.struct("n", "counts").alias("a")), "p")
         .join(corners.select(F.col("box").alias("q"), F.struct("n", "counts").alias("b")), "q")
         .where(_may_link("a", "b", percent)).select("p", "q"), "box-pairs")
-    left = few.select("cell", F.col("node").alias("a"), F.col("part").alias("x"), F.col("box").alias("p")).join(small_enough(allowed), "p")
-    right = rows.select("cell", F.col("node").alias("b"), F.col("part").alias("y"), F.col("box").alias("q"))
-    return left.join(right, ["cell", "q"]).where("x != y").select("a", "b")
+    left = few.select("cell", F.col("node").alias("a"), F.col("part").alias("x"), F.col("box").alias("p"),
+                      F.struct("n", "counts").alias("one")).join(small_enough(allowed), "p")
+    right = rows.select("cell", F.col("node").alias("b"), F.col("part").alias("y"), F.col("box").alias("q"),
+                        F.struct("n", "counts").alias("other"))
+    return left.join(right, ["cell", "q"]).where("x != y").where(_may_link("one", "other", percent)).select("a", "b")
 
 
 def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -263,8 +299,7 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
     ``nodes``: node (the smallest doc_id with that set), n, counts, cells.
     """
     spread = nodes.select("node", F.explode("cells").alias("cell"))
-    shared = materialize(spread.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                         .where("low != high").select("cell"), "cells")
+    shared = materialize(spread.groupBy("cell").count().where("count > 1").select("cell"), "cells")
     members = materialize(spread.join(small_enough(shared), "cell").distinct(), "members")
     inside = materialize(members.select("node").distinct(), "cell-nodes")
     known = materialize(_boxed(nodes.join(small_enough(inside), "node").select("node", "n", "counts").distinct()), "cell-points")
@@ -294,7 +329,8 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
             pairs = (rows.join(centre, "cell").where(F.col("a.part") != F.col("part"))
                      .select(F.col("a.node").alias("a"), F.col("node").alias("b")))
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        linked = verified(materialize(_possible(pairs, known, percent), "possible"), docs, words, percent)
+        possible = pairs if last else materialize(_possible(pairs, known, percent), "possible")
+        linked = verified(possible, docs, words, percent)
         linked = materialize(linked, "linked")
         links = linked if links is None else links.unionByName(linked)
         if last:
