@@ -183,7 +183,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b: ids of ``docs``) whose sets link. Only the texts of these ids are read into sets."""
+    """The rows of ``pairs`` (a, b: ids of ``docs``) whose sets link. Only the texts of these ids are read into sets.
+
+    Sets that are no ``a`` are not shuffled by themselves, so ``a`` should be the side with fewer different ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +201,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     texts = docs.select("doc_id", "text").join(small_enough(ids), "doc_id", "left_semi")
     sets = materialize(token_sets(texts, words), "token-sets")
     left = small_enough(pairs).join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
+    firsts = materialize(pairs.select("a").distinct(), "first-ids")
+    right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(small_enough(firsts), "a", "left_semi")
+    both = left.join(right, "a").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -328,7 +333,9 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
                 F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part")).alias("a"))
             pairs = (rows.join(centre, "cell").where(F.col("a.part") != F.col("part"))
                      .select(F.col("a.node").alias("a"), F.col("node").alias("b")))
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if last:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialize(pairs.distinct(), "pairs")
         possible = pairs if last else materialize(_possible(pairs, known, percent), "possible")
         linked = verified(possible, docs, words, percent)
         linked = materialize(linked, "linked")

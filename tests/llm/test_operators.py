@@ -241,6 +241,23 @@ def test_shards_are_minimax(spark):
     assert minimax_shards.minimax_shards(documents(spark, rows).limit(0), 7).count() == 0
 
 
+@pytest.mark.parametrize("piece", [5, 1 << 20])
+def test_words_hash_alike_in_any_pieces(monkeypatch, piece):
+    monkeypatch.setattr(count_rtree, "PIECE", piece)
+    draw = random.Random(1)
+    for _ in range(500):
+        text = "".join(draw.choice("aB\u00e9 \t\x0bx\x85\u3000") for _ in range(draw.randrange(40)))
+        words = text.encode().lower().split()
+        hashes = count_rtree.word_hashes(text)
+        assert len(hashes) == len(words) and len(set(words)) == len(set(hashes.tolist()))
+        assert (hashes == count_rtree._piece_hashes(np.frombuffer(text.encode().lower(), np.uint8))).all()
+        for width in (1, 3, 5):
+            wide = min(width, len(words))
+            expected = {tuple(words[i:i + wide]) for i in range(len(words) - wide + 1)} if words else set()
+            assert len(count_rtree.shingles(text, width)) == len(expected)
+
+
+
 @pytest.mark.parametrize("words,percent,patience", [(3, 90, 4), (5, 80, 0)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, words, percent, patience):
     monkeypatch.setattr(count_rtree, "PAIRS_PER_MEMBER", patience)
