@@ -13,6 +13,7 @@ The integrand is a polynomial of degree d - 1, so Gauss-Legendre nodes give it e
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Mapping, Sequence
 
@@ -40,7 +41,8 @@ VECTORS_PER_TASK = 500
 def leaf_paths(spark: SparkSession, model: PipelineModel) -> list[dict]:
     """Per tree, the box and the shares of every leaf as padded arrays (leaves x path features).
 
-    The node table is as large as the model (trees x 2^depth at most), never as the data.
+    Trees are walked on the executors. What reaches the driver, to be broadcast, is as large as the
+    model (trees x 2^depth leaves at most), never as the data.
     """
     forest = model.stages[-1]
     path = scratch_path(spark, "forest")
@@ -55,8 +57,14 @@ def leaf_paths(spark: SparkSession, model: PipelineModel) -> list[dict]:
         "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", weight.alias("weight"),
         F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).toPandas()
-    return [_tree_leaves(tree.set_index("id").sort_index()) for _, tree in nodes.groupby("treeID")]
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
+    walked = nodes.groupBy("treeID").applyInPandas(_walked, "tree int, leaves binary")
+    return [pickle.loads(r.leaves) for r in sorted(walked.collect(), key=lambda r: r.tree)]
+
+
+def _walked(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+    leaves = pickle.dumps(_tree_leaves(nodes.set_index("id").sort_index()))
+    return pd.DataFrame({"tree": [key[0]], "leaves": [leaves]})
 
 
 def _tree_leaves(nodes: pd.DataFrame) -> dict:

@@ -34,8 +34,8 @@ from foldwright.session import materialize, small_table
 # Default bound on the rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
 
-# Training rows per task.
-ROWS_PER_TASK = 20_000
+# Training rows per task: each is walked down every tree at every level, so few rows are much work.
+ROWS_PER_TASK = 1500
 
 # Deepest tree Spark trains; stands for "unlimited".
 MAX_DEPTH = 30

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, ROW, SEED, SPLIT, TARGET)
+from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, ROW, SELECTION_FOREST, SPLIT,
+                                  TARGET)
 from foldwright.functions.columns import label_from_target, round_even
 from foldwright.operators import cube as C
 from foldwright.operators import folds as FO
@@ -21,7 +22,7 @@ from foldwright.operators.weights import class_weights
 from foldwright.plans import audit, rates
 from foldwright.plans import evaluate as E
 from foldwright.plans import select as S
-from foldwright.session import materialize, small_table
+from foldwright.session import materialize
 from foldwright.sources.orders import FEATURES, KEPT, LEAKY, PAGE, labelled, ternary_features
 from foldwright.sources.tables import six_decimals
 
@@ -286,15 +287,10 @@ def sql_checked() -> dict:
     }
 
 
-# Learned models: whole tables, forests kept small in trees and depth -------------------------
+# Learned models: whole tables, forests of the size that the selection uses ------------------
 
-QUERY_FOREST = {"numTrees": 8, "maxDepth": 4, "subsamplingRate": 0.8, "bootstrap": False,
-                "featureSubsetStrategy": "0.6", "seed": SEED}
-QUERY_SPACE = {"n_estimators": range(5, 13), "max_depth": [3, 4, 5], "min_samples_leaf": range(1, 10),
-               "max_features": ["sqrt", "log2", 0.5, 0.75, None], "class_weight": [None, "balanced"],
-               "criterion": ["gini", "entropy"]}
-QUERY_TRIAL = {"n_estimators": 8, "max_depth": 4, "max_features": 0.75, "criterion": "gini"}
-QUERY_DRAWS = 2
+TRIAL = {"n_estimators": SELECTION_FOREST["numTrees"], "max_depth": SELECTION_FOREST["maxDepth"],
+         "max_features": SELECTION_FOREST["featureSubsetStrategy"], "criterion": "gini"}
 
 
 def _clean(spark, d):
@@ -309,45 +305,36 @@ def _train_vectors(spark, d):
 
 def forest_fold_auc(spark, d):
     vectors = _train_vectors(spark, d)
-    return R.fold_aucs(R.fit_folds(vectors, KEPT, QUERY_FOREST, range(5)), vectors)
+    return R.fold_aucs(R.fit_folds(vectors, KEPT, SELECTION_FOREST, range(5)), vectors)
 
 
 def mean_abs_contribution(spark, d):
-    return S.cv_step(_train_vectors(spark, d), KEPT, QUERY_FOREST, range(5))[1]
-
-
-def rfe_history(spark, d):
-    steps = S.eliminate(_train_vectors(spark, d), KEPT, QUERY_FOREST)
-    return small_table(spark, S.history_rows(steps), S.HISTORY_SCHEMA)
-
-
-def search_trials(spark, d):
-    return R.search(_train_vectors(spark, d), KEPT, range(5), QUERY_SPACE, QUERY_DRAWS)[0]
+    return S.cv_step(_train_vectors(spark, d), KEPT, SELECTION_FOREST, range(5))[1]
 
 
 def forest_importance(spark, d):
-    return R.feature_importance(spark, R.fit_forest(_train_vectors(spark, d), KEPT, R.spark_params(QUERY_TRIAL)[0]))
+    return R.feature_importance(spark, R.fit_forest(_train_vectors(spark, d), KEPT, R.spark_params(TRIAL)[0]))
 
 
 def forest_test_predictions(spark, d):
     clean = _clean(spark, d)
     train = V.count_rows(clean.where(F.col(SPLIT) == "train"), KEPT)
-    model = R.fit_forest(train, KEPT, R.spark_params(QUERY_TRIAL)[0])
+    model = R.fit_forest(train, KEPT, R.spark_params(TRIAL)[0])
     return prediction_table(R.score(model, clean.where(F.col(SPLIT) == "test")), KEPT, "test")
 
 
 def forest_oof_predictions(spark, d):
     clean = _clean(spark, d)
     vectors = S.train_vectors(clean, KEPT)
-    models = R.fit_folds(vectors, KEPT, R.spark_params(QUERY_TRIAL)[0], range(5))
+    models = R.fit_folds(vectors, KEPT, R.spark_params(TRIAL)[0], range(5))
     return E.oof_predictions(clean, materialize(R.score_folds(models, vectors), "oof-scores"), KEPT)
 
 
 def leakage_comparison(spark, d):
     rows = _rows(spark, d)
     split = rates.split_vectors(rows, FEATURES)
-    counts = E.leakage_runs(rows, split, FEATURES, KEPT, QUERY_TRIAL).unionByName(
-        E.reference_run(split, KEPT, QUERY_TRIAL, EVAL_TEST))
+    counts = E.leakage_runs(rows, split, FEATURES, KEPT, TRIAL).unionByName(
+        E.reference_run(split, KEPT, TRIAL, EVAL_TEST))
     return rounded(M.compute_metrics(materialize(counts, "score-counts")).drop("confusion_matrix"))
 
 
@@ -355,5 +342,5 @@ def without_twin() -> dict:
     """Nested reports and learned models: rows only."""
     return {f.__name__: f for f in (
         leakage_report, selection_report,
-        forest_fold_auc, mean_abs_contribution, rfe_history, search_trials, forest_importance,
+        forest_fold_auc, mean_abs_contribution, forest_importance,
         forest_test_predictions, forest_oof_predictions, leakage_comparison)}
