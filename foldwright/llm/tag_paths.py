@@ -3,9 +3,10 @@
 A page is read as a sequence of text blocks, each with the path of block elements from the root to it. Over the blocks
 of a path, text length and punctuation per block are aggregated and fused; the fused values are smoothed along the page
 and a path is content if its mean reaches a share of their spread. Blocks below elements that announce themselves as
-menus, headers, footers, sidebars, notices, adverts, forms or comments have the value 0 and are never content. If the
-content lies in an ``article`` or ``main`` element, all its other blocks belong to it, short ones included; without one,
-the blocks beside a content path do.
+menus, headers, footers, sidebars, notices, adverts, forms or comments have the value 0 and are never content. The
+blocks of content paths are the text, wherever they lie; the other blocks beside a content path belong to it, and those of an
+``article`` or ``main`` element that holds one, short ones included. If no path is content, an ``article`` or ``main`` element
+with the most text is taken.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 Defined results: null or empty html and pages without content give an empty text; unclosed and stray tags are
@@ -166,24 +167,29 @@ def _tag(label: str) -> str:
     return label.partition(".")[0]
 
 
+def _article(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The path of the outermost article or main element of ``path``."""
+    return next((path[:k + 1] for k, label in enumerate(path) if _tag(label) in CONTENT_TAGS), None)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     found = blocks(page or "")
     if not found:
         return ""
     chosen = content_paths(found)
-    weight = defaultdict(int)
-    for path, text, _, away in found:
-        for k, label in enumerate(path):
-            if not away and _tag(label) in CONTENT_TAGS:
-                weight[path[:k + 1]] += len(text) * (2 if path in chosen else 1)
-                break
-    if weight:
-        top = max(sorted(weight), key=weight.__getitem__)
-        return "\n\n".join(text for path, text, _, away in found if not away and path[:len(top)] == top)
+    if not chosen:
+        weight = defaultdict(int)
+        for path, text, _, away in found:
+            if not away and (top := _article(path)):
+                weight[top] += len(text)
+        top = max(sorted(weight), key=weight.__getitem__, default=None)
+        return "\n\n".join(text for path, text, _, away in found if top and not away and path[:len(top)] == top)
     beside = {p[:-1] for p in chosen}
+    articles = {_article(p) for p in chosen} - {None}
     return "\n\n".join(text for path, text, in_links, away in found
-                       if not away and (path in chosen or path[:-1] in beside and 2 * in_links < len(text)))
+                       if not away and (path in chosen or path[:-1] in beside and 2 * in_links < len(text)
+                                        or _article(path) in articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:

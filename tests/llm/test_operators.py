@@ -43,6 +43,16 @@ def test_main_text_without_semantic_elements():
     assert tag_paths.main_text(page).count("\n\n") == 3 and "End" not in tag_paths.main_text(page)
 
 
+def test_content_paths_outside_the_heaviest_article_are_kept():
+    post = "".join(f"<p>{prose(k, 40)}, and more. So it goes; yes.</p>" for k in range(4))
+    cards = "".join(f'<article class="card"><p><a href="/{k}">{prose(k, 4)}</a></p></article>' for k in range(3))
+    text = tag_paths.main_text(f'<div class="post">{post}</div><div>{cards}</div>')
+    assert text.count("So it goes; yes.") == 4 and prose(1, 4) not in text.split("\n\n")
+    several = "".join(f'<article class="post" id="p{k}"><h2>Head {k}</h2><p>{prose(k, 40 + k)}, and more.</p></article>' for k in range(3))
+    text = tag_paths.main_text(several)
+    assert all(f"Head {k}" in text and prose(k, 40 + k) in text for k in range(3))
+
+
 def test_main_text_is_linear_in_odd_markup():
     assert tag_paths.main_text("<a" * 200_000 + "<p>x") is not None
 
