@@ -3,7 +3,10 @@
 A page is read as a sequence of text blocks, each with the path of block elements from the root to it. Over the blocks
 of a path, text length and punctuation per block are aggregated and fused; the fused values are smoothed along the page
 and a path is content if its mean reaches a share of their spread. Blocks below elements that announce themselves as
-menus, headers, footers, sidebars, notices, adverts, forms or comments have the value 0 and are never content. The
+menus, headers, footers, sidebars, notices, adverts, forms or comments have the value 0 and are never content. A word in a
+class, id or role, or a form, announces nothing about an element that holds the ``main`` or longest ``article`` element, or
+most of the unlinked text of a page (unless one article outside it is there, or it holds comments), nor does a word behind
+``has``, ``no``, ``with`` or ``without``; the ratios decide there. The
 blocks of content paths are the text, wherever they lie; the other blocks beside a content path belong to it, and those of an
 ``article`` or ``main`` element that holds one, short ones included. If no path is content, an ``article`` or ``main`` element
 with the most text is taken.
@@ -20,6 +23,8 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,7 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fiel
 IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
                 "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
                 "option": ({"option"}, {"select"})}
-BOILERPLATE_TAGS = frozenset("head title nav header footer aside form button select textarea menu dialog script style noscript "
+BOILERPLATE_TAGS = frozenset("head title nav header footer aside button select textarea menu dialog script style noscript "
                              "template iframe svg object canvas audio video".split())
 CONTENT_TAGS = frozenset("article main".split())
 #: Words of class, id and role that announce what is not the article.
@@ -47,6 +52,10 @@ BOILERPLATE_WORDS = frozenset(
     "modal dialog overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond "
     "disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal "
     "disclaimer search form".split())
+#: Words of what may be longer than the article.
+DISCUSSION_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Words behind these, in the same class, tell of another element.
+ABOUT_OTHERS = frozenset("has no with without".split())
 NEVER_BOILERPLATE = frozenset("html body main article".split())
 
 TOKEN = re.compile(
@@ -66,12 +75,35 @@ SMOOTHING = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 SHARE = 0.5
 
 
+@dataclass(eq=False)
+class Element:
+    """An open element. ``marked``: its words announce boilerplate, which its text decides at the end of the page."""
+
+    tag: str
+    label: str
+    away: bool
+    marked: bool
+    counts: bool
+    discussion: bool
+    #: The nearest marked element and the nearest article or main above.
+    holder: Element | None
+    article: Element | None
+    #: Unlinked text inside; of an article without that of marked elements in it.
+    size: int = 0
+    inside: bool = False
+    freed: bool = False
+    removed: bool = False
+
+
 class Blocks:
     """The text blocks of a page: path, text, characters inside links, whether an element above is boilerplate."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[tuple[str, ...], str, int, bool]] = []
-        self.open: list[tuple[str, str, bool]] = []
+        self.read: list[tuple[tuple[str, ...], str, int, bool, Element | None]] = []
+        self.open: list[Element] = []
+        self.marked: list[Element] = []
+        self.articles: list[Element] = []
+        self.size = 0
         self.buffer: list[str] = []
         self.linked, self.links = 0, 0
 
@@ -79,9 +111,25 @@ class Blocks:
         if self.buffer:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             if text:
-                self.found.append((tuple(x[1] for x in self.open), text, self.linked, any(x[2] for x in self.open)))
+                away = any(x.away for x in self.open)
+                holder, article = self.nearest()
+                if not away:
+                    size = max(0, len(text) - self.linked)
+                    self.size += size
+                    if holder:
+                        holder.size += size
+                    if article and article.holder is holder:
+                        article.size += size
+                self.read.append((tuple(x.label for x in self.open), text, self.linked, away, holder))
             self.buffer, self.linked = [], 0
 
+    def nearest(self) -> tuple[Element | None, Element | None]:
+        """The nearest marked element and the nearest article or main that are open."""
+        if not self.open:
+            return None, None
+        last = self.open[-1]
+        return last if last.marked else last.holder, last if last.counts else last.article
+
     def start(self, tag: str, rest: str) -> None:
         if tag in INLINE:
             if tag == "br":
@@ -96,20 +144,30 @@ class Blocks:
             self.close(*IMPLIED_ENDS[tag])
         if tag in VOID:
             return
-        words = set()
+        words, announced = set(), set()
         for value in MARKS.findall(rest):
-            words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
-        away = tag in BOILERPLATE_TAGS or tag not in NEVER_BOILERPLATE and (
-            not words.isdisjoint(BOILERPLATE_WORDS) or bool(rest) and bool(HIDDEN.search(rest)))
+            for name in CAMEL.sub("-", value).lower().split():
+                found = WORD.findall(name)
+                words.update(found)
+                announced.update(takewhile(lambda word: word not in ABOUT_OTHERS, found))
+        away = tag in BOILERPLATE_TAGS or tag not in NEVER_BOILERPLATE and bool(rest) and bool(HIDDEN.search(rest))
+        announced &= BOILERPLATE_WORDS
+        marked = not away and tag not in NEVER_BOILERPLATE and (bool(announced) or tag == "form")
         label = ".".join([tag, *sorted(words)]) if words else tag
-        self.open.append((tag, label, away))
+        counts = tag in CONTENT_TAGS and not announced
+        element = Element(tag, label, away, marked, counts, not announced.isdisjoint(DISCUSSION_WORDS), *self.nearest())
+        if marked:
+            self.marked.append(element)
+        elif counts:
+            self.articles.append(element)
+        self.open.append(element)
 
     def close(self, tags: set[str], up_to: set[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
+            if self.open[k].tag in tags:
                 del self.open[k:]
                 return
-            if self.open[k][0] in up_to:
+            if self.open[k].tag in up_to:
                 return
 
     def end(self, tag: str) -> None:
@@ -120,7 +178,7 @@ class Blocks:
         self.flush()
         self.links = 0
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 del self.open[k:]
                 return
 
@@ -129,6 +187,32 @@ class Blocks:
         if self.links:
             self.linked += len(text)
 
+    def free(self) -> None:
+        """Find the marked elements that are no boilerplate after all."""
+        for x in reversed(self.marked):
+            if x.holder:
+                x.holder.size += x.size
+        for x in reversed(self.articles):
+            if x.article and x.article.holder is x.holder:
+                x.article.size += x.size
+        longest = max((x for x in self.articles if x.tag == "article"), key=lambda x: x.size, default=None)
+        filled = [x for x in self.articles if x.size]
+        for x in filled:
+            holder = x.holder if x.tag == "main" or x is longest else None
+            while holder and not holder.freed:
+                holder.freed, holder = True, holder.holder
+        for x in self.articles:
+            x.inside = len(filled) != 1 or x is filled[0] or bool(x.article and x.article.inside)
+        for x in self.marked:
+            elsewhere = len(filled) == 1 and not (x.article and x.article.inside)
+            x.freed |= 2 * x.size > self.size and not x.discussion and not elsewhere
+            x.removed = not x.freed or bool(x.holder and x.holder.removed)
+
+    def found(self) -> list[tuple[tuple[str, ...], str, int, bool]]:
+        self.flush()
+        self.free()
+        return [(path, text, linked, away or bool(holder and holder.removed)) for path, text, linked, away, holder in self.read]
+
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     reader = Blocks()
@@ -140,8 +224,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 reader.end(tag.lower())
             else:
                 reader.start(tag.lower(), match["rest"] or match["rest2"] or "")
-    reader.flush()
-    return reader.found
+    return reader.found()
 
 
 def content_paths(found: list[tuple[tuple[str, ...], str, int, bool]]) -> set[tuple[str, ...]]:

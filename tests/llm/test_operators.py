@@ -53,6 +53,20 @@ def test_content_paths_outside_the_heaviest_article_are_kept():
     assert all(f"Head {k}" in text and prose(k, 40 + k) in text for k in range(3))
 
 
+@pytest.mark.parametrize("wrapper", ["div class='site has-sidebar'", "div class='content-with-sidebar'", "div class=noSidebar",
+                                     "div class='legal-news'", "form action=/", "div id=search-page"])
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_words_of_a_wrapper_do_not_remove_the_article(wrapper, element):
+    body = "".join(f"<p>{prose(k, 40)}, and more. So it goes; yes.</p>" for k in range(4))
+    page = (f"<{wrapper}><div class=sidebar><p>Aside, short.</p></div><{element}><h1>Head</h1>{body}</{element}>"
+            f"<div class=comments><p>{prose(7, 300)}, nice.</p></div></{wrapper.split()[0]}>")
+    text = tag_paths.main_text(page)
+    assert text.count("So it goes; yes.") == 4 and text.startswith("Head") and "Aside" not in text and "nice." not in text
+    notice = f"<article><p>{prose(1, 9)}.</p></article><div class=cookie-notice><p>{prose(2, 90)}.</p></div>"
+    assert tag_paths.main_text(notice) == prose(1, 9) + "."
+    assert tag_paths.main_text("<div class=ad><article>" * 50_000 + "<p>x") is not None
+
+
 def test_main_text_is_linear_in_odd_markup():
     assert tag_paths.main_text("<a" * 200_000 + "<p>x") is not None
 
