@@ -7,6 +7,10 @@ at the placeholders must then agree along the best alignment: wherever the item
 the value that it put in its place. So a question with other numbers and names is caught, and a text that shares only
 the pattern is not.
 
+A capitalised word behind a lower-case word or a comma is a name. Elsewhere, as at the start of a text, sentence or line and
+behind a title, it may be one or not: such a word counts both ways, and a window is found if either way agrees. It takes part
+in the comparison of values if it is a name elsewhere in the item or never lower-case in the benchmark.
+
 All of this is DataFrame expressions. The windows of the benchmark are broadcast up to ``BROADCAST_WINDOWS`` of them, and
 joined by a shuffle beyond.
 
@@ -29,7 +33,9 @@ WINDOW, LEAST, COVERAGE = 8, 5, 0.5
 BROADCAST_WINDOWS = 1_000_000
 #: Placeholders: private code points, one for each kind.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
-MARKS = NAME + NUMBER + UNIT
+#: Before a word that may be a name; the word stays.
+MAYBE = "\ue004"
+MARKS = NAME + NUMBER + UNIT + MAYBE
 #: Units behind a number.
 UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l hl gal s sec ms min h hr hrs d hz khz mhz ghz w kw mw kwh v a "
          "j kj cal kcal pa kpa bar k c f mph kmh kph usd eur gbp jpy meters metres meter metre kilometers kilometres miles "
@@ -41,34 +47,60 @@ CURRENCY_BEFORE = r"([$€£¥])(?= ?\p{Nd})"
 NUMBERS = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 #: A capitalised word inside a sentence.
 NAMES = r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}++"
+#: Any other capitalised word.
+OTHERS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}\p{{Ll}}++"
+SPACES = r"[\s\p{Z}]++"
 
 
 def tokens(text: Column, keep: bool = False) -> Column:
     """The tokens of ``text`` with placeholders; with ``keep``, the values stand behind their placeholders."""
-    plain = F.translate(F.coalesce(text, F.lit("")), MARKS, "")
-    for pattern, before, value, after in ((NAMES, "", "$0", ""), (UNIT_AFTER, "$1 ", "$2", " "),
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARKS, ""), SPACES, " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, NAMES, NAME + ("$0" if keep else "")), OTHERS, MAYBE + "$0")
+    for pattern, before, value, after in ((UNIT_AFTER, "$1 ", "$2", " "),
                                           (CURRENCY_BEFORE, " ", "$1", " "), (NUMBERS, " ", "$0", " ")):
-        mark = {NAMES: NAME, NUMBERS: NUMBER}.get(pattern, UNIT)
+        mark = NUMBER if pattern == NUMBERS else UNIT
         plain = F.regexp_replace(plain, pattern, before + mark + (value if keep else "") + after)
     plain = F.regexp_replace(F.lower(plain), rf"[^\p{{L}}\p{{N}}\s{MARKS}]++", "")
     return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
 
 
-def _is_mark(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(*MARKS)
+def _mark(token: Column) -> Column:
+    """The placeholder of a token, if any."""
+    first = F.substring(token, 1, 1)
+    return F.when(first == MAYBE, NAME).when(first.isin(*MARKS), first)
+
+
+def _plain(token: Column) -> Column:
+    """A token in which a word that may be a name is none."""
+    return F.translate(token, MAYBE, "")
+
+
+def _named(token: Column) -> Column:
+    """A token in which a word that may be a name is one."""
+    return F.when(F.substring(token, 1, 1).isin(NAME, MAYBE), NAME).otherwise(_plain(token))
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """``at`` and ``window`` (hash) of all windows of ``length`` tokens; ``rows`` has ``hashes``, one for each token."""
+    """``at`` and ``window`` (hash) of all windows of ``length`` tokens; ``rows`` has ``hashes``, one for each token.
+
+    With a column ``named``, the other hash of each token, windows that differ by it are there with both.
+    """
     places = F.when(F.size("hashes") >= length, F.sequence(F.lit(0), F.size("hashes") - length)).otherwise(
         F.array().cast("array<int>"))
-    at_place = F.transform(places, lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(length))))
-    keys = [c for c in rows.columns if c not in ("hashes", "tokens")]
-    return rows.select(*keys, F.posexplode(at_place).alias("at", "window"))
+    def at_places(hashes: str) -> Column:
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(F.col(hashes), i + k) for k in range(length))))
+
+    keys = [c for c in rows.columns if c not in ("hashes", "named", "tokens")]
+    if "named" not in rows.columns:
+        return rows.select(*keys, F.posexplode(at_places("hashes")).alias("at", "window"))
+    both = F.zip_with(at_places("hashes"), at_places("named"), lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
+    return rows.select(*keys, F.posexplode(both).alias("at", "either")).select(*keys, "at", F.explode("either").alias("window"))
 
 
-def _hashed(text: Column) -> Column:
-    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hashes of its ``tokens``, either way."""
+    return (rows.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(_plain(t))))
+            .withColumn("named", F.transform("tokens", lambda t: F.xxhash64(_named(t)))))
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -80,15 +112,14 @@ def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     found = []
     for length in sorted(lengths):
         own = items.where(F.least(F.size("tokens"), F.lit(window)) == length)
-        cut = _windows(own.select("item", "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
-                       .drop("tokens"), length).withColumn("length", F.lit(length))
-        marks = F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(length)), _is_mark))
+        cut = _windows(_hashed(own.select("item", "tokens")), length).withColumn("length", F.lit(length))
+        marks = F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(length)), lambda t: _mark(_plain(t)).isNotNull()))
         found.append(cut.join(own.select("item", "tokens"), "item").where(2 * marks <= length).drop("tokens"))
     if not found:
         return items.select("item", F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("window"),
                             F.lit(0).cast("long").alias("n_windows"))
     every = reduce(DataFrame.unionByName, found)
-    return every.withColumn("n_windows", F.count("*").over(Window.partitionBy("item")))
+    return every.withColumn("n_windows", F.size(F.collect_set("at").over(Window.partitionBy("item"))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -99,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     known = materialize(_item_windows(benchmark, window), "item-windows")
     small = known.count() <= BROADCAST_WINDOWS
     lengths = [r["length"] for r in known.select("length").distinct().collect()]
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _hashed(F.col("text")).alias("hashes"))
+    texts = _hashed(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), tokens(F.col("text")).alias("tokens")))
     hits = []
     for length in sorted(lengths) or [window]:
         own = known.where(F.col("length") == length).select("item", "n_windows", F.col("at").alias("item_at"), "window")
@@ -129,9 +160,17 @@ def _consistent(best: DataFrame, docs: DataFrame, benchmark: DataFrame, window:
     length = F.col("line.last") - F.col("line.first") + F.least(F.lit(window), F.size("own"))
     pairs = F.arrays_zip(F.slice("own", F.col("line.first") + 1, length).alias("a"),
                          F.slice("theirs", F.col("line.first") + F.col("line.shift") + 1, length).alias("b"))
-    slots = F.filter(pairs, lambda x: _is_mark(x["a"]) & (F.substring(x["a"], 1, 1) == F.substring(x["b"], 1, 1)))
+    words = items.select("item", F.explode("own").alias("word"))
+    common = (benchmark.select(F.explode(tokens(F.col("text"), True)).alias("word")).where(_mark(F.col("word")).isNull())
+              .select(F.concat(F.lit(MAYBE), "word").alias("word")).distinct())
+    names = words.where(F.col("word").startswith(NAME)).select("item", F.translate("word", NAME, MAYBE).alias("word"))
+    loose = (words.where(F.col("word").startswith(MAYBE)).join(common, "word", "left_semi").join(names, ["item", "word"], "left_anti")
+             .groupBy("item").agg(F.collect_set("word").alias("loose")))
+    slots = F.filter(pairs, lambda x: (_mark(x["a"]) == _mark(x["b"])) & ~F.array_contains("loose", x["a"]))
+    bare = F.transform(slots, lambda x: F.struct(*(F.translate(x[c], NAME, MAYBE).alias(c) for c in "ab")))
     return (best.join(items, "item").join(texts, "text_hash")
-            .withColumn("pairs", slots)
+            .join(loose, "item", "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<string>")))
+            .withColumn("pairs", bare)
             .withColumn("slots", F.size("pairs"))
             .withColumn("changed", F.size(F.filter("pairs", lambda x: x["a"] != x["b"])))
             .where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))))
