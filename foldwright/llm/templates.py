@@ -16,8 +16,10 @@ joined by a shuffle beyond.
 
 Defined results: null and empty texts have no windows; repeated rows and equal texts are judged alike, a repeated doc_id
 by each of its texts; windows with placeholders in more than half of their places do not count; items with fewer tokens
-than a window are one window of their own length, and take no part below ``LEAST`` tokens; of a repeated item_id each
-text is an item; empty tables give an empty result. Columns other than doc_id, item_id and text are not read.
+than a window are one window of their own length; items below ``LEAST`` tokens or without a window that counts are found where
+they occur literally, with all numbers, names and signs in order, whatever the case and white space; letters of scripts
+without spaces are tokens of their own; of a repeated item_id each text is an item; items without any sign are never found;
+empty tables give an empty result. Columns other than doc_id, item_id and text are not read.
 """
 
 from __future__ import annotations
@@ -50,6 +52,9 @@ NAMES = r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}++"
 #: Any other capitalised word.
 OTHERS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}\p{{Ll}}++"
 SPACES = r"[\s\p{Z}]++"
+#: Scripts without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LITERAL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]++|{NUMBERS}|[^\s\p{{Z}}]"
 
 
 def tokens(text: Column, keep: bool = False) -> Column:
@@ -61,9 +66,15 @@ def tokens(text: Column, keep: bool = False) -> Column:
         mark = NUMBER if pattern == NUMBERS else UNIT
         plain = F.regexp_replace(plain, pattern, before + mark + (value if keep else "") + after)
     plain = F.regexp_replace(F.lower(plain), rf"[^\p{{L}}\p{{N}}\s{MARKS}]++", "")
+    plain = F.regexp_replace(plain, f"[{UNSPACED}]", " $0 ")
     return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
 
 
+def literal_tokens(text: Column) -> Column:
+    """The words, numbers and signs of ``text`` as they stand, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LITERAL), F.lit(0))
+
+
 def _mark(token: Column) -> Column:
     """The placeholder of a token, if any."""
     first = F.substring(token, 1, 1)
@@ -145,7 +156,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                                      F.max("n_windows").alias("n_windows"))
             .withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= coverage))
     best = materialize(best, "held-items")
-    return _consistent(best, docs, benchmark, window).select("doc_id", "text_hash", "item_id", "coverage", "slots", "changed")
+    columns = ["doc_id", "text_hash", "item_id", "coverage", "slots", "changed"]
+    held = _consistent(best, docs, benchmark, window).select(*columns)
+    exact = _occurrences(docs, benchmark, known)
+    return held if exact is None else held.unionByName(exact.select(*columns))
+
+
+def _occurrences(docs: DataFrame, benchmark: DataFrame, known: DataFrame) -> DataFrame | None:
+    """The literal occurrences of the items without windows in ``known``; None without such items."""
+    every = (benchmark.select("item_id", "text").dropDuplicates().withColumn("item", F.xxhash64("item_id", "text"))
+             .join(known.select("item").distinct(), "item", "left_anti"))
+    bare = materialize(every.withColumn("hashes", F.transform(literal_tokens(F.col("text")), lambda t: F.xxhash64(t)))
+                       .withColumn("slots", F.size(F.filter(tokens(F.col("text")), lambda t: _mark(_plain(t)).isNotNull())))
+                       .where(F.size("hashes") > 0).withColumn("length", F.least(F.size("hashes"), F.lit(WINDOW)))
+                       .select("item", "item_id", "hashes", "length", "slots"), "items-without-windows")
+    lengths = [r["length"] for r in bare.select("length").distinct().collect()]
+    if not lengths:
+        return None
+    small = bare.select(F.sum(F.size("hashes"))).first()[0] <= BROADCAST_WINDOWS
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+                        F.transform(literal_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
+    hits = []
+    for length in sorted(lengths):
+        own = _windows(bare.where(F.col("length") == length).select(
+            "item", (F.size("hashes") - length + 1).alias("n_windows"), "hashes"), length).withColumnRenamed("at", "item_at")
+        hits.append(_windows(texts, length).join(F.broadcast(own) if small else own, "window"))
+    # A run is there as a whole if all its windows are, at one distance.
+    return (reduce(DataFrame.unionByName, hits)
+            .groupBy("doc_id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+            .agg(F.size(F.collect_set("item_at")).alias("n"), F.max("n_windows").alias("n_windows")).where("n = n_windows")
+            .select("doc_id", "text_hash", "item").distinct().join(bare.select("item", "item_id", "slots"), "item")
+            .withColumn("coverage", F.lit(1.0)).withColumn("changed", F.lit(0)))
 
 
 def _consistent(best: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
