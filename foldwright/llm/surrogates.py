@@ -71,8 +71,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])",
     "name": NAME,
 }
-#: Mentions start where a word could, which spares the patterns most places of a text.
-ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: No pattern matches behind one of these letters, which spares them most places of a text.
+ANY = r"(?<![A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 
 def _kind(raw: Column) -> Column:
