@@ -15,7 +15,8 @@ entities are replaced once.
 
 Defined results: a null text stays null and an empty one empty; rows are neither lost nor merged, whatever repeats;
 an empty table gives an empty result; other columns pass through ``replaced`` unchanged, but for n_chars, which follows
-the text.
+the text. Phone numbers of two or three groups that could be quantities, and those in one run of digits, are found behind a word
+for a phone only; compressed network addresses from four hexadecimal digits on.
 """
 
 from __future__ import annotations
@@ -63,21 +64,30 @@ PATTERNS = {
     "secret": rf"(?<![A-Za-z0-9]){SECRET_HEAD}[A-Za-z0-9+/_.-]{{8,}}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:gh[pousr]_|sk[-_]|pk[-_]|xox[abprs]-)[A-Za-z0-9_-]{16,})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"
+            r"|(?<![0-9A-Za-z:])(?=(?::{0,2}[0-9a-fA-F]){4})(?=[a-fA-F:]*\d)(?:(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}"
+            r"|::[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}|(?:[0-9a-fA-F]{1,4}:){1,7}:)(?![0-9A-Za-z:]|\.\d)",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.\d)",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{8,15}"
-             r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])",
+             r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])"
+             r"|(?<![0-9A-Za-z+])(?<!\d[ .,/-])(?:\d{3} \d{3} \d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /]\d{5,8}|[6-9]\d{2}(?: \d{2}){3})"
+             r"(?![0-9A-Za-z]|[ .,/-]\d)",
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])",
     "name": NAME,
 }
+#: National numbers that a quantity could look like too, and a word in front that tells them apart.
+NATIONAL = r"(?=(?:[ ./-]?\d){7,13}(?![ ./-]?\d))(?:\d{2,5}(?:[ ./-]\d{2,8}){1,5}|\d{7,13})(?![0-9A-Za-z])"
+PHONE_WORDS = ("tel telefon telefono teléfono telefonnummer téléphone telephone phone mobile mobil móvil handy fax call cell "
+               "rufen appelez llame").split()
+CALLED = rf"(?=\d)(?<=\b(?iu:{'|'.join(PHONE_WORDS)})[.:]{{0,2}}[ ]{{0,2}}){NATIONAL}"
 #: No pattern matches behind one of these letters, which spares them most places of a text.
-ANY = r"(?<![A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+ANY = r"(?<![A-Za-z])(?:" + "|".join(f"(?:{p})" for p in [*PATTERNS.values(), CALLED]) + ")"
 
 
 def _kind(raw: Column) -> Column:
     """The first type whose pattern the whole mention matches."""
-    return F.coalesce(*(F.when(raw.rlike(f"^(?:{p})$"), k) for k, p in PATTERNS.items()))
+    return F.coalesce(*(F.when(raw.rlike(f"^(?:{p})$"), k) for k, p in [*PATTERNS.items(), ("phone", NATIONAL)]))
 
 
 def _parts(mentions: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def _core(kind: Column, norm: Column, tries: Column, key: str) -> Column:
              .when(norm.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), F.array(F.lit("172"), F.substring_index(F.substring_index(norm, ".", 2), ".", -1)))
              .otherwise(F.array((11 + _draw(seed, F.lit(9), 110)).cast("string"))))
     address = F.array_join(F.slice(F.concat(start, F.array(*(o.cast("string") for o in octets))), 1, 4), ".")
-    american = norm.rlike(r"^1?\d{10}$")
+    american = norm.rlike(r"^1?[1-9]\d{9}$")
     body = F.when(american, F.expr("right(norm, 10)"))
     phone = F.when(american, F.concat(
         F.expr("substring(norm, 1, length(norm) - 10)"), (2 + _draw(seed, F.lit(0), 8)).cast("string"), _letter(seed, F.lit(1), DIGITS),

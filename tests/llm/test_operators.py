@@ -173,6 +173,18 @@ def test_entities_behind_other_letters_are_replaced(spark):
         assert r["n"] == 1 and r["text"] != old and r["text"][0] == old[0] and not any(e in r["text"] for e in [*entities, "Schmidt"])
 
 
+def test_national_phone_numbers_and_compressed_addresses_are_replaced(spark):
+    entities = ["06 12 34 56 78", "030 12345678", "Tel. 612 345 678", "555 123 4567", "612 34 56 78", "Teléfono: 912345678", "2001:db8::1",
+                "fe80::1ff:fe23:4567:890a", "2001:db8:1::"]
+    others = ["12 345 678 people", "612 345 678 people", "::1", "std::vector a::b", "::ffff:", "1 555 123 4567 890"]
+    docs = documents(spark, [(k, f"so {t} now") for k, t in enumerate(entities + others)])
+    for r in surrogates.replaced(docs, counted="n").collect():
+        old, new = f"so {(entities + others)[r['doc_id']]} now", r["text"]
+        assert r["n"] == (r["doc_id"] < len(entities)) and (new == old) == (r["n"] == 0)
+        assert re.sub("[0-9a-f]", "0", new[3:-4]) == re.sub("[0-9a-f]", "0", old[3:-4])
+    assert {r["text"][3:5] for r in surrogates.replaced(docs).where("doc_id = 0").collect()} == {"06"}
+
+
 def test_surrogates_of_a_crowded_format_stay_distinct(spark):
     numbers = [f"900-0{k % 10}-{k:04d}" for k in range(3000)]
     entities = spark.createDataFrame([("ssn", n.replace("-", "")) for n in numbers], "kind string, norm string")
