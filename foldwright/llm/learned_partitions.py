@@ -3,7 +3,7 @@
 The driver takes a bounded sample of vectors, links each to its nearest ones by inner product, and cuts this graph into
 equal parts with few links between them. A small network learns from a vector which parts its neighbours are in. Every
 vector of the table is stored in its most probable part and every query is sent to so many of its most probable parts
-as reach ``RECALL`` on the sample, found there by brute force. In a part the query meets all vectors, in blocks, and
+as reach ``RECALL`` on the sample, found there by brute force, and to more if these hold too few vectors. In a part the query meets all vectors, in blocks, and
 the best are ranked by inner products in double precision over the original vectors, summed in the order of components.
 
 The fit sees at most ``SAMPLE_ROWS`` vectors; the index holds all. A part with more vectors or queries than a block is
@@ -101,6 +101,12 @@ class Router:
     def route(self, rows: np.ndarray) -> np.ndarray:
         return np.argsort(-self.logits(rows), axis=1, kind="stable")[:, :self.probes]
 
+    def route_to(self, rows: np.ndarray, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """The parts of every row: its most probable ones, so many that they hold at least ``least`` vectors."""
+        order = np.argsort(-self.logits(rows), axis=1, kind="stable")
+        needed = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+        return [own[:max(self.probes, n)].tolist() for own, n in zip(order, needed)]
+
 
 def _biased(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows, np.ones((len(rows), 1))])
@@ -217,18 +223,23 @@ def search(vectors: DataFrame, query_step: int = 20, nearest: int = 20) -> DataF
         for batch in batches:
             if batch.num_rows:
                 matrix = _matrix(batch.column(1))
-                routed = shared.value.route(matrix) if queries else shared.value.part_of(matrix)[:, None]
+                routed = (shared.value.route_to(matrix, held, least) if queries
+                          else shared.value.part_of(matrix)[:, None].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(routed.tolist(), pa.list_(pa.int32()))],
+                    [batch.column(0), batch.column(1), pa.array(routed, pa.list_(pa.int32()))],
                     names=["vec_id", "embedding", "parts"])
 
     schema = "vec_id long, embedding array<double>, parts array<int>"
+    held, least = np.zeros(router.parts), 0
     index = materialize(rows.mapInArrow(lambda b: parts(b, False), schema)
                         .select("vec_id", "embedding", F.col("parts")[0].alias("part")), "index")
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    held = np.array([sizes.get(p, 0) for p in range(router.parts)])
+    # A query does not meet the rows of its own vec_id.
+    least = nearest + (index.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
     asked = materialize(rows.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
                         .mapInArrow(lambda b: parts(b, True), schema)
                         .select("vec_id", "embedding", F.explode("parts").alias("part")), "queries")
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     loads = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     blocks = {p: max(1, -(-sizes.get(p, 0) // CANDIDATE_BLOCK)) for p in range(router.parts)}
     turns = {p: max(1, -(-loads.get(p, 0) // QUERY_BLOCK)) for p in range(router.parts)}

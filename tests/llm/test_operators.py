@@ -259,6 +259,15 @@ def test_nearest_vectors(spark):
     assert learned_partitions.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_queries_of_small_parts_meet_enough_vectors(spark, monkeypatch):
+    # Parts 0 and 1 hold five vectors each, part 2 the rest; one part is probed.
+    first, second = np.vstack([np.eye(3), np.zeros((1, 3))]), np.vstack([np.eye(3), np.zeros((1, 3))])
+    monkeypatch.setattr(learned_partitions, "fit_router", lambda sample: learned_partitions.Router(first, second, 3, 1))
+    rows = [(k, [float(j == (0 if k < 5 else 1 if k < 10 else 2)) + 0.001 * k * (j == 2) for j in range(3)]) for k in range(100)]
+    out = learned_partitions.search(spark.createDataFrame(rows + [rows[0]], "vec_id long, embedding array<double>"), query_step=5)
+    assert {r["query_id"]: r["count"] for r in out.groupBy("query_id").count().collect()} == {k: 20 for k in range(0, 100, 5)}
+
+
 def test_tokens_are_those_of_the_library(spark):
     entries = two_tier_bpe.read_ranks(RANKS)
     whole = two_tier_bpe.PerfectHash(entries)
