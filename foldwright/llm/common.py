@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from foldwright.session import materialize, scratch_path
 
-__all__ = ["bounded_batches", "bounded_sample", "free_name", "materialize", "scratch_path", "small_enough", "table"]
+__all__ = ["bounded_batches", "bounded_sample", "broadcast_within", "free_name", "materialize", "scratch_path", "small_enough", "table"]
 
 #: Rows of a narrow table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast when its values are of any length.
+BROADCAST_BYTES = 32 << 20
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -49,3 +51,10 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
 def small_enough(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few narrow columns, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def broadcast_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its values as text, with 16 bytes for each, are within ``limit`` bytes."""
+    each = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns]
+    size = df.agg(F.sum(sum(each[1:], each[0]).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
