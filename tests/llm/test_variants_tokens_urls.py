@@ -63,7 +63,7 @@ def found_forms(df):
 def variants():
     """Words of few letters, so that many are near; chains of forms; letters outside ASCII; a frequent start."""
     draws = random.Random(3)
-    stems = ["".join(draws.choice("abÈé×") for _ in range(draws.randrange(7, 10))) for _ in range(60)]
+    stems = ["".join(draws.choice("abÈ×") for _ in range(draws.randrange(7, 9))) for _ in range(500)]
     rows = [(None, None), (1, ""), (2, "!? 12 x"), (None, "Anderswo anderswo")]
     rows += [(k, " ".join(draws.choice(stems) for _ in range(60))) for k in range(40)]
     rows += [(100 + k, "Settlement " * 30 + "settlemint " * 2) for k in range(5)] * 2
