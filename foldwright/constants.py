@@ -82,6 +82,9 @@ METRIC_COLUMNS = [
     "tp", "fp", "tn", "fn",
 ]
 
+# Those of them that count rows.
+METRIC_COUNTS = ["n_samples", "n_phishing", "n_legitimate", "tp", "fp", "tn", "fn"]
+
 # Leading columns of a prediction table, in output order.
 PREDICTION_COLUMNS = [
     "row_index", "group_id", "split", "true_label", "true_class", "predicted_label",

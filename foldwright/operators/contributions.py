@@ -1,4 +1,4 @@
-"""Per-row feature contributions (Shapley values) of a forest, over distinct vectors.
+"""Per-row feature contributions (Shapley values) of forests, over distinct vectors.
 
 A tree's expected score for a known subset S of features is a sum over its leaves:
 leaf value x product over the features on the leaf's path of either "does the row satisfy
@@ -9,11 +9,15 @@ z (share) is
     value * (o_i - z_i) * integral over t in [0, 1] of prod_{j != i} (z_j (1 - t) + o_j t) dt
 
 The integrand is a polynomial of degree d - 1, so Gauss-Legendre nodes give it exactly.
+
+Leaves and vectors both stay in tables. A fold's trees are dealt into groups and its vectors
+into blocks, both of bounded size; each pair of a group and a block meets in one task, which adds
+up its trees, and the partial sums of a vector are added in the order of the groups. Nothing
+of a tree or a vector passes through the driver.
 """
 
 from __future__ import annotations
 
-import pickle
 import sys
 from collections.abc import Mapping, Sequence
 
@@ -26,45 +30,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.operators.metrics import union_all
-from foldwright.session import scratch_path, tasks_for
+from foldwright.session import materialize, scratch_path
 
 # Ship the functions of this module with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Vectors handled at once by one task; bounds the size of its work arrays.
+# Vectors handled at once inside a task; bounds the size of its work arrays.
 BLOCK = 256
 
-# Vectors per task: a forest of 300 deep trees takes some seconds for this many.
-VECTORS_PER_TASK = 500
+# Vectors of a block and leaves of a group of trees: what one task holds of both tables.
+BLOCK_VECTORS, GROUP_LEAVES = 1000, 100_000
+
+# Leaves of one row of the leaf table; a tree of more has several rows.
+PART_LEAVES = 20_000
 
+# The arrays of a leaf table row, each leaves x width but the values.
+ARRAYS = {"feature": np.int16, "low": np.float32, "high": np.float32, "share": np.float64, "value": np.float64}
+LEAVES = "fold int, tree int, part int, leaves int, width int, " + ", ".join(f"{a} binary" for a in ARRAYS)
 
-def leaf_paths(spark: SparkSession, model: PipelineModel) -> list[dict]:
-    """Per tree, the box and the shares of every leaf as padded arrays (leaves x path features).
 
-    Trees are walked on the executors. What reaches the driver, to be broadcast, is as large as the
-    model (trees x 2^depth leaves at most), never as the data.
+def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> DataFrame:
+    """The stored leaves of the forests by fold: the box and the shares of every leaf as padded arrays.
+
+    Saved trees are walked on the executors, one task per tree.
     """
-    forest = model.stages[-1]
-    path = scratch_path(spark, "forest")
-    forest.save(path)
-    # Node statistics hold (weight, sum, sum of squares) or one weight per class.
-    stats = F.col("nodeData.impurityStats")
-    if isinstance(forest, RandomForestRegressionModel):
-        weight, positive = stats[0], stats[1]
-    else:
-        weight, positive = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b), F.get(stats, 1)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", weight.alias("weight"),
-        F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
-    walked = nodes.groupBy("treeID").applyInPandas(_walked, "tree int, leaves binary")
-    return [pickle.loads(r.leaves) for r in sorted(walked.collect(), key=lambda r: r.tree)]
+    walked = []
+    for fold, model in models.items():
+        forest = model.stages[-1]
+        path = scratch_path(spark, "forest")
+        forest.save(path)
+        # Node statistics hold (weight, sum, sum of squares) or one weight per class.
+        stats = F.col("nodeData.impurityStats")
+        if isinstance(forest, RandomForestRegressionModel):
+            weight, positive = stats[0], stats[1]
+        else:
+            weight, positive = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b), F.get(stats, 1)
+        walked.append(spark.read.parquet(f"{path}/data").select(
+            F.lit(fold).cast("int").alias("fold"), "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
+            weight.alias("weight"), F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")))
+    return materialize(union_all(walked).groupBy("fold", "treeID").applyInPandas(_walked, LEAVES), "leaves")
 
 
 def _walked(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    leaves = pickle.dumps(_tree_leaves(nodes.set_index("id").sort_index()))
-    return pd.DataFrame({"tree": [key[0]], "leaves": [leaves]})
+    tree = _tree_leaves(nodes.set_index("id").sort_index())
+    count, width = tree["share"].shape
+    rows = []
+    for part, start in enumerate(range(0, count, PART_LEAVES)):
+        cut = {a: v[start:start + PART_LEAVES] for a, v in tree.items()}
+        rows.append((*map(int, key), part, len(cut["value"]), width,
+                     *[cut[a].astype(kind).tobytes() for a, kind in ARRAYS.items()]))
+    return pd.DataFrame(rows, columns=["fold", "tree", "part", "leaves", "width", *ARRAYS])
+
+
+def unpacked(rows: pd.DataFrame) -> list[dict]:
+    """The arrays of leaf table rows."""
+    out = []
+    for row in rows.itertuples():
+        arrays = {a: np.frombuffer(getattr(row, a), kind) for a, kind in ARRAYS.items()}
+        out.append({a: v if a == "value" else v.reshape(row.leaves, row.width) for a, v in arrays.items()})
+    return out
 
 
 def _tree_leaves(nodes: pd.DataFrame) -> dict:
@@ -96,7 +122,7 @@ def _tree_leaves(nodes: pd.DataFrame) -> dict:
 
 
 def shapley(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Contributions (rows x features) and bias of the mean over the trees."""
+    """Sums over the trees of their contributions (rows x features) and biases."""
     phi, bias = np.zeros(x.shape), 0.0
     for t in trees:
         width = t["share"].shape[1]
@@ -111,37 +137,47 @@ def shapley(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
         to_feature = np.eye(x.shape[1])[t["feature"].ravel()]
         phi += part.reshape(len(x), -1) @ to_feature
         bias += float((t["value"] * t["share"].prod(axis=1)).sum())
-    return phi / len(trees), bias / len(trees)
+    return phi, bias
 
 
-def contributions(vectors: DataFrame, forests: Mapping[int, list[dict]], features: Sequence[str]) -> DataFrame:
+def contributions(vectors: DataFrame, leaves: DataFrame, features: Sequence[str],
+                  block_vectors: int = BLOCK_VECTORS, group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """(fold, features, n, phi, bias) for every distinct vector of a fold, by that fold's forest.
 
-    Vectors are first collapsed to the given features, then spread by their number, as the
-    table is small and the work is not. A task only fetches the forest
-    of its fold: at most trees x 2^depth leaves of 18 bytes per path feature.
+    Vectors are first collapsed to the given features. ``leaves`` is the ``leaf_table`` of the
+    forests. Its trees travel once per block, the vectors once per group of trees; the numbers of blocks and
+    groups follow from the size of the largest fold, and a group and a block are what one task holds.
     """
-    spark = vectors.sparkSession
     names = list(features)
     distinct = vectors.groupBy("fold", *names).agg(F.sum("n").alias("n"))
-    tasks = tasks_for(spark, vectors.count() // max(1, len(forests)), VECTORS_PER_TASK)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
-
-    def explain_with(forest):
-        def explain(batches):
-            for batch in batches:
-                for start in range(0, len(batch), BLOCK):
-                    block = batch.iloc[start:start + BLOCK]
-                    phi, bias = shapley(forest.value, block[names].to_numpy(float))
-                    yield block.assign(phi=list(phi), bias=bias)
-        return explain
-
-    def one(fold, trees):
-        part = distinct.where(F.col("fold") == fold).repartition(tasks, *names)
-        return part.mapInPandas(explain_with(spark.sparkContext.broadcast(trees)),
-                                f"{fields}, phi array<double>, bias double")
-
-    return union_all([one(k, trees) for k, trees in forests.items()])
+    largest = vectors.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
+    sizes = leaves.groupBy("fold").agg(F.sum("leaves").alias("leaves"), F.countDistinct("tree").alias("trees"))
+    most = sizes.agg(F.max("leaves"), F.max("trees")).first()
+    blocks = max(1, -(-largest // block_vectors))
+    groups = max(1, min(most[1] or 1, -(-(most[0] or 0) // group_leaves)))
+
+    def explain(key: tuple, part: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(trees):
+            return pd.DataFrame(columns=[*part.columns, "phi", "bias"]).drop(columns="block")
+        forest, out = unpacked(trees.sort_values(["tree", "part"])), []
+        for start in range(0, len(part), BLOCK):
+            rows = part.iloc[start:start + BLOCK]
+            phi, bias = shapley(forest, rows[names].to_numpy(float))
+            out.append(rows.assign(phi=list(phi), bias=bias))
+        return pd.concat(out).drop(columns="block")
+
+    block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
+    met = distinct.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = leaves.withColumn("group", F.col("tree") % groups).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.drop("block").schema)
+    keys = ["fold", "group", "block"]
+    parts = met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(explain, f"{fields}, phi array<double>, bias double")
+    added = parts.groupBy("fold", *names, "n").agg(F.sort_array(F.collect_list(F.struct("group", "phi", "bias"))).alias("parts"))
+    zero = F.array(*[F.lit(0.0) for _ in names])
+    phi = F.aggregate("parts", zero, lambda a, p: F.zip_with(a, p["phi"], lambda x, y: x + y))
+    bias = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["bias"])
+    return added.join(F.broadcast(sizes.select("fold", "trees")), "fold").select(
+        "fold", *names, "n", F.transform(phi, lambda x: x / F.col("trees")).alias("phi"), (bias / F.col("trees")).alias("bias"))
 
 
 def mean_abs_contribution(explained: DataFrame, features: Sequence[str]) -> DataFrame:

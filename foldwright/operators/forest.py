@@ -12,12 +12,16 @@ Forests are fitted and evaluated on distinct vectors with row count ``n`` and po
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
 from foldwright.operators.weights import with_class_weight
-from foldwright.session import materialize, small_table
+from foldwright.session import materialize, scratch_path, small_table
 
 # Default bound on the rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
@@ -92,8 +96,13 @@ def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping, bal
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``score``, the probability of the positive class (0 if training saw no positive)."""
-    if isinstance(model.stages[-1], RandomForestRegressionModel):
+    """Add ``score``, the probability of the positive class (0 if training saw no positive).
+
+    A saved model adds it itself, see ``sources.models``.
+    """
+    if len(model.stages) > 2:
+        return model.transform(df).select(*df.columns, "score")
+    if isinstance(model.stages[1], RandomForestRegressionModel):
         p = F.col("prediction")
     else:
         p = F.coalesce(F.try_element_at(vector_to_array("probability"), F.lit(2)), F.lit(0.0))
@@ -164,23 +173,68 @@ def spark_params(trial: Mapping, seed: int = SEED) -> tuple[dict, bool]:
     return out, trial.get("class_weight") == "balanced"
 
 
-def search(vectors: DataFrame, features: Sequence[str], folds: Sequence[int],
-           space: Mapping, n_iter: int, seed: int = SEED, parallelism: int = N_FOLDS, copies: int = COPIES) -> tuple:
+@dataclass
+class Search:
+    """What a search found: a row per trial and fold, the winner, and how many fits this run made and how many it found done."""
+
+    trials: DataFrame
+    best: dict
+    best_auc: float
+    fits: int
+    resumed: int
+
+
+def run_key(vectors: DataFrame, *about) -> str:
+    """A name for the work on these vectors with these arguments: only the same work finds the same ledger."""
+    columns = sorted(vectors.columns)
+    rows = vectors.select(F.xxhash64(*columns).alias("h")).agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.md5(json.dumps([columns, [str(v) for v in rows], *about], default=str).encode()).hexdigest()
+
+
+def recorded(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    """The records of a ledger, one folder each; None if there are none. A write that was cut off has left no record."""
+    try:
+        found = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return found
+
+
+def search(vectors: DataFrame, features: Sequence[str], folds: Sequence[int], space: Mapping, n_iter: int, seed: int = SEED,
+           parallelism: int = N_FOLDS, copies: int = COPIES, ledger: str | None = None) -> Search:
     """Randomised search by mean fold ROC-AUC; the first trial with the highest mean wins.
 
-    Returns (trial table, best trial, its mean AUC, its fold forests). Per trial only one
-    AUC per fold reaches the driver.
+    All (trial, fold) fits are submitted at once, each trial to a scheduler pool of its own, ``parallelism`` at a time, so no fit
+    waits for the slowest of its trial. A fit leaves the score counts of its fold in ``ledger``; a run that starts with the ledger of
+    one that was cut off makes the fits that are missing. The metrics of all fits are then one pass over the ledger, from which
+    one AUC per fit reaches the driver. No forest is kept: ``fit_folds`` makes those of the winner again.
     """
-    records, best, tasks = [], None, training_partitions(vectors, copies)
-    for i, trial in enumerate(draw_trials(space, n_iter, seed)):
-        params, balanced = spark_params(trial, seed)
-        models = fit_folds(vectors, features, params, folds, balanced, parallelism, copies, tasks)
-        aucs = {r.fold: r.auc for r in fold_aucs(models, vectors).collect()}
-        mean = sum(aucs.values()) / len(aucs)
-        named = {k: str(v) for k, v in trial.items()}
-        records += [(i, named, k, aucs[k], mean) for k in sorted(aucs)]
-        if best is None or mean > best[1]:
-            best = (trial, mean, models)
-    table = small_table(
-        vectors.sparkSession, records, "trial int, params map<string,string>, fold int, auc double, mean_auc double")
-    return table, *best
+    spark, drawn, tasks = vectors.sparkSession, draw_trials(space, n_iter, seed), training_partitions(vectors, copies)
+    root = ledger or scratch_path(spark, "search")
+    folder = f"{root}/{run_key(vectors, list(features), list(folds), [spark_params(t, seed) for t in drawn], copies)}"
+    schema = "score double, pos bigint, neg bigint, trial int, fold int"
+    before = recorded(spark, folder, schema)
+    done = set() if before is None else {(r.trial, r.fold) for r in before.select("trial", "fold").distinct().collect()}
+    todo = [(i, k) for i in range(len(drawn)) for k in folds if (i, k) not in done]
+
+    def fit(job: tuple[int, int]) -> None:
+        trial, fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial}")
+        params, balanced = spark_params(drawn[trial], seed)
+        model = fit_forest(vectors.where(F.col("fold") != fold), features, params, balanced, tasks, copies)
+        counts = vector_score_counts(score(model, vectors.where(F.col("fold") == fold)), ["fold"])
+        counts.drop("fold").write.mode("overwrite").parquet(f"{folder}/trial={trial}/fold={fold}")
+
+    in_parallel(spark, fit, todo, parallelism)
+    aucs = ranking_metrics(spark.read.schema(schema).parquet(folder), ["trial", "fold"]).select("trial", "fold", "roc_auc")
+    found = {(r.trial, r.fold): r.roc_auc for r in aucs.collect()}
+    # A fold without rows or with one class has no AUC, whatever the trial.
+    defined = [k for k in folds if found.get((0, k)) is not None]
+    means = [sum(found[i, k] for k in defined) / max(1, len(defined)) for i in range(len(drawn))]
+    best = max(range(len(drawn)), key=lambda i: (means[i], -i))
+    rows = [(i, {name: str(v) for name, v in t.items()}, k, found.get((i, k)), means[i]) for i, t in enumerate(drawn) for k in folds]
+    table = small_table(spark, rows, "trial int, params map<string,string>, fold int, auc double, mean_auc double")
+    return Search(table, drawn[best], means[best], len(todo), len(done))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from foldwright.constants import EVAL_FOLD_PREFIX, EVAL_OOF, EVAL_TEST, METRIC_COLUMNS
 
+REPORT_ROW = ("section", "name", "position", "text", "value")
+REPORT_COUNTS = ("n_rows", "exact_duplicate_rows", "conflicting_label_vectors")
+
 
 def records(df: DataFrame, order: Sequence[Column], columns: Sequence[str] | None = None) -> Column:
     """All rows of a small table as a sorted array of structs, as a scalar subquery."""
@@ -66,3 +69,57 @@ def forest_report(spark: SparkSession, metrics: DataFrame, importance: DataFrame
         F.lit(cv_roc_auc).alias("cv_roc_auc"), one(EVAL_TEST).alias("test"),
         one(EVAL_OOF).alias("train_cv_out_of_fold"), records(folds, by_number).alias("train_cv_folds"),
         weights.alias("feature_importance"), runs.alias("leakage_references"))
+
+
+def leakage_report_rows(reports: DataFrame) -> DataFrame:
+    """(section, name, position, text, value): a leakage report in a VARIANT column ``report``, one row per entry."""
+    def rows(array: Column, row) -> Column:
+        return F.transform(array, lambda x, k: F.struct(*[c.alias(n) for n, c in zip(REPORT_ROW, row(x, k))]))
+
+    def field(value: Column, path: str, kind: str) -> Column:
+        return F.variant_get(value, path, kind)
+
+    none, report = F.lit(None), F.col("report")
+    counts = rows(F.array(*[F.lit(c) for c in REPORT_COUNTS]), lambda x, k: (
+        F.lit("profile"), x, none.cast("int"), none.cast("string"),
+        F.try_element_at(F.array(*[field(report, f"$.{c}", "double") for c in REPORT_COUNTS]), k + 1)))
+    removed = rows(F.map_entries(field(report, "$.removed", "map<string,variant>")), lambda x, k: (
+        F.lit("removed"), x["key"], none.cast("int"),
+        F.concat_ws(": ", field(x["value"], "$.category", "string"), field(x["value"], "$.reason", "string")), none.cast("double")))
+    kept = rows(field(report, "$.kept", "array<string>"), lambda x, k: (
+        F.lit("kept"), x, k.cast("int"), none.cast("string"), none.cast("double")))
+    parts = [counts, removed, kept]
+    for measure in ("single_feature_auc", "mutual_info"):
+        parts.append(rows(field(report, "$.diagnostics", "array<variant>"), lambda x, k, measure=measure: (
+            F.lit(measure), field(x, "$.feature", "string"), k.cast("int"),
+            F.concat_ws("/", field(x, "$.documented_leaky", "string"), field(x, "$.suspicious", "string")), field(x, f"$.{measure}", "double"))))
+    return reports.select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
+
+
+def selection_report_rows(reports: DataFrame) -> DataFrame:
+    """(section, name, position, value): a selection report in a VARIANT column ``report``, one row per entry."""
+    def field(value: Column, path: str, kind: str) -> Column:
+        return F.variant_get(value, path, kind)
+
+    def row(section: str, name: Column, position: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), position.cast("int").alias("position"), value.cast("double").alias("value"))
+
+    def texts_of(section: str) -> Column:
+        return F.transform(field(report, f"$.{section}", "array<string>"), lambda x, k: row(section, x, k, F.lit(None)))
+
+    def point(section: str) -> Column:
+        return F.array(row(section, F.lit("cv_auc"), field(report, f"$.{section}.n_features", "int"),
+                           field(report, f"$.{section}.cv_auc", "double")))
+
+    def ranked(measure: str) -> Column:
+        return F.transform(field(report, "$.ranking", "array<variant>"), lambda x: row(
+            measure, field(x, "$.feature", "string"), field(x, "$.rfe_rank", "int"), field(x, f"$.{measure}", "double")))
+
+    def curve(measure: str) -> Column:
+        return F.transform(field(report, "$.curve", "array<variant>"), lambda x, k: row(
+            measure, k.cast("string"), field(x, "$.n_features", "int"), field(x, f"$.{measure}", "double")))
+
+    report = F.col("report")
+    parts = [*map(texts_of, ("selected_features", "dropped_features")), *map(point, ("best", "chosen")),
+             *map(ranked, ("initial_mean_abs_shap", "mutual_info")), *map(curve, ("auc_mean", "auc_se"))]
+    return reports.select(F.explode(F.concat(*parts)).alias("r")).select("r.*")

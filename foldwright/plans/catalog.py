@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_TEST, GROUP, LABEL, ROW, SELECTION_FOREST, SPLIT,
-                                  TARGET)
+from foldwright.constants import (EVAL_FOLD_PREFIX, EVAL_OOF, EVAL_TEST, GROUP, LABEL, N_FOLDS, ROW, SEARCH_DRAWS, SEARCH_SPACE,
+                                  SELECTION_FOREST, SPLIT, TARGET)
 from foldwright.functions.columns import label_from_target, round_even
 from foldwright.operators import cube as C
 from foldwright.operators import folds as FO
@@ -15,15 +15,18 @@ from foldwright.operators import forest as R
 from foldwright.operators import leakage as L
 from foldwright.operators import metrics as M
 from foldwright.operators import profile as P
-from foldwright.operators import reports
+from foldwright.operators import reports, sketches
 from foldwright.operators import vectors as V
 from foldwright.operators.predictions import prediction_table
+from foldwright.operators.rate_model import TargetRates, TargetRatesModel
 from foldwright.operators.weights import class_weights
 from foldwright.plans import audit, rates
 from foldwright.plans import evaluate as E
 from foldwright.plans import select as S
-from foldwright.session import materialize
+from foldwright.session import materialize, scratch_path, small_table
+from foldwright.sources import attributes, tables
 from foldwright.sources.orders import FEATURES, KEPT, LEAKY, PAGE, labelled, ternary_features
+from foldwright.sources.publication import published
 from foldwright.sources.tables import six_decimals
 
 
@@ -232,6 +235,81 @@ def selection_report(spark, d):
                                     [f for f in KEPT if f not in names], "mean-rate RFE, 5 group folds, 1-SE rule")
 
 
+# Files: written whole, read back ---------------------------------------------------------------
+
+def attribute_file(spark, d):
+    path = scratch_path(spark, "attributes")
+    attributes.write_ternary(ternary_features(spark, d), path, "orders")
+    return attributes.load_ternary(spark, path)
+
+
+def _clean_file(fmt):
+    def run(spark, d):
+        path = scratch_path(spark, "clean-files")
+        tables.write_clean(clean_dataset(spark, d), path, fmt)
+        return tables.load_clean(spark, path)
+    return run
+
+
+def prediction_files(spark, d):
+    path = scratch_path(spark, "prediction-files")
+    tables.write_predictions(predictions(spark, d), path)
+    return published(spark, path)
+
+
+def summary_file(spark, d):
+    path = scratch_path(spark, "summary-file")
+    tables.write_summary(_summary(spark, d), path)
+    return published(spark, path)
+
+
+def _reread(report, name):
+    path = scratch_path(report.sparkSession, name)
+    tables.write_report(report, path)
+    return tables.read_variant(report.sparkSession, path)
+
+
+def forest_report_metrics(spark, d):
+    """Metric records of the mean-rate score, written as a forest report and read back as VARIANT."""
+    metrics = materialize(rates.evaluate_rates(_rows(spark, d), FEATURES, KEPT), "metrics")
+    importance = small_table(spark, [(f, 1.0 / len(KEPT)) for f in KEPT], "feature string, importance double")
+    report = reports.forest_report(spark, metrics, importance, KEPT, {"score": "mean rate", "folds": N_FOLDS}, 0.5)
+    return rounded(tables.metric_records(_reread(report, "forest-report")))
+
+
+def leakage_report_entries(spark, d):
+    return rounded(reports.leakage_report_rows(_reread(leakage_report(spark, d), "leakage-report")))
+
+
+def selection_report_entries(spark, d):
+    return rounded(reports.selection_report_rows(_reread(selection_report(spark, d), "selection-report")))
+
+
+def saved_rates(spark, d):
+    folded = materialize(_folded(spark, d), "folds")
+    path = scratch_path(spark, "saved-rates")
+    TargetRates(features=FEATURES).fit(folded).save(path)
+    return rounded(TargetRatesModel.load(path).rates())
+
+
+def saved_rates_predictions(spark, d):
+    """Hold-out rows scored by the saved and reloaded rates of the train vectors."""
+    clean = materialize(clean_dataset(spark, d), "clean", [SPLIT])
+    train = V.count_rows(clean.where(F.col(SPLIT) == "train"), KEPT).withColumn("fold", F.lit(0))
+    path = scratch_path(spark, "saved-rates")
+    TargetRates(features=KEPT).fit(train).save(path)
+    return prediction_table(TargetRatesModel.load(path).transform(clean.where(F.col(SPLIT) == "test")), KEPT, "test")
+
+
+def sketched_ranking(spark, d):
+    """Ranking metrics from summaries of each fold that are merged for the pooled evaluation."""
+    scored = _scored_vectors(spark, d).withColumn("cv_fold", F.col("fold") + 1)
+    folds = materialize(sketches.score_sketch(M.vector_score_counts(scored, ["cv_fold"]), ["cv_fold"]), "sketches")
+    tags = F.array(F.lit(EVAL_OOF), F.concat(F.lit(EVAL_FOLD_PREFIX), F.col("cv_fold").cast("string")))
+    each = folds.select(F.explode(tags).alias("evaluation"), "bucket", "pos", "neg")
+    return rounded(sketches.sketched_ranking(sketches.merged(each)))
+
+
 def _selection(part):
     def run(spark, d):
         return rounded(rates.select_by_rates(labelled(spark, d), FEATURES, KEPT)[part])
@@ -284,6 +362,17 @@ def sql_checked() -> dict:
         "selection_curve": _selection(0),
         "one_se_choice": _selection(1),
         "feature_ranking": _selection(2),
+        "attribute_file": attribute_file,
+        "clean_file_csv": _clean_file("csv"),
+        "clean_file_parquet": _clean_file("parquet"),
+        "prediction_files": prediction_files,
+        "summary_file": summary_file,
+        "forest_report_metrics": forest_report_metrics,
+        "leakage_report_entries": leakage_report_entries,
+        "selection_report_entries": selection_report_entries,
+        "saved_rates": saved_rates,
+        "saved_rates_predictions": saved_rates_predictions,
+        "sketched_ranking": sketched_ranking,
     }
 
 
@@ -338,6 +427,17 @@ def leakage_comparison(spark, d):
     return rounded(M.compute_metrics(materialize(counts, "score-counts")).drop("confusion_matrix"))
 
 
+def rfe_history(spark, d):
+    """Every step of the elimination with the forest of the selection: an AUC per subset and fold, and what it drops."""
+    steps = S.eliminate(_train_vectors(spark, d), KEPT, SELECTION_FOREST)
+    return small_table(spark, S.history_rows(steps), S.HISTORY_SCHEMA)
+
+
+def search_trials(spark, d):
+    """All draws of the search: an AUC per trial and fold."""
+    return R.search(_train_vectors(spark, d), KEPT, range(N_FOLDS), SEARCH_SPACE, SEARCH_DRAWS).trials
+
+
 def without_twin() -> dict:
     """Nested reports and learned models: rows only."""
     return {f.__name__: f for f in (

@@ -56,15 +56,40 @@ def groups(name: str, source: str) -> str:
 
 
 def deal(name: str, source: str, k: int = 5) -> str:
-    """Fold of every group: tilt, size and draw rank within the side, dealt back and forth."""
+    """Fold of every group: heavy groups to the least loaded folds, the others by tilt, size and draw rank within the
+    side, dealt back and forth, or behind heavy groups in proportion to what is left of the folds."""
+    zeros = ", ".join(["CAST(0 AS BIGINT)"] * k)
     return f"""
-{name} AS (
-  SELECT group_id, n, pos,
-         CAST(CASE WHEN (rk // {k}) % 2 = 0 THEN rk % {k} ELSE {k - 1} - rk % {k} END AS INTEGER) AS fold
-  FROM (SELECT *, row_number() OVER (
+{name}_rows AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM {source}),
+{name}_heavy AS (
+  SELECT group_id, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, md5('{SEED}:' || group_id), group_id) AS turn
+  FROM {source} WHERE n * {4 * k} > (SELECT total FROM {name}_rows)),
+{name}_greedy AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS group_id, CAST(NULL AS INTEGER) AS fold, [{zeros}] AS loads
+  UNION ALL
+  SELECT h.turn, h.group_id, CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INTEGER),
+         list_transform(g.loads, lambda x, i: CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN x + h.n ELSE x END)
+  FROM {name}_greedy g JOIN {name}_heavy h ON h.turn = g.turn + 1),
+{name}_level AS (
+  SELECT loads, list_min([(total - list_sum(loads) + list_sum(list_sort(loads)[1:m])) // m FOR m IN range(1, {k + 1})]) AS level
+  FROM (SELECT loads FROM {name}_greedy ORDER BY turn DESC LIMIT 1), {name}_rows),
+{name}_room AS (
+  SELECT CASE WHEN list_sum(room) > 0 THEN room ELSE [1 FOR x IN room] END AS room
+  FROM (SELECT [greatest(0, level - x) FOR x IN loads] AS room FROM {name}_level)),
+{name}_bounds AS (
+  SELECT [CAST(list_sum(room[1:m]) * {1 << 20} // list_sum(room) AS BIGINT) FOR m IN range(1, {k + 1})] AS bounds FROM {name}_room),
+{name}_ranked AS (
+  SELECT *, row_number() OVER (
           PARTITION BY sign(2 * pos - n)
           ORDER BY abs(2 * pos - n) DESC, n DESC, md5('{SEED}:' || group_id), group_id) - 1 AS rk
-        FROM {source}))"""
+  FROM {source} WHERE group_id NOT IN (SELECT group_id FROM {name}_heavy)),
+{name} AS (
+  SELECT group_id, n, pos, CAST(CASE WHEN EXISTS (SELECT 1 FROM {name}_heavy)
+           THEN (SELECT len([b FOR b IN bounds IF b <= (((rk % {1 << 31}) * {2654435769}) % {1 << 32}) >> 12]) FROM {name}_bounds)
+           WHEN (rk // {k}) % 2 = 0 THEN rk % {k} ELSE {k - 1} - rk % {k} END AS INTEGER) AS fold
+  FROM {name}_ranked
+  UNION ALL
+  SELECT s.group_id, s.n, s.pos, g.fold FROM {source} s JOIN {name}_greedy g ON g.group_id = s.group_id)"""
 
 
 def cube(name: str, source: str, tags: str = "fold", features=FEATURES) -> str:
@@ -332,7 +357,7 @@ choice AS (
 
 
 def _with(blocks: list[str], select: str) -> str:
-    return "WITH " + ",".join(blocks) + "\n" + select
+    return "WITH RECURSIVE " + ",".join(blocks) + "\n" + select
 
 
 def _drops(condition: str) -> str:
@@ -384,12 +409,60 @@ def _predictions(source: str, split: str, extra: str = "") -> str:
   {extra}{_names(KEPT)} FROM {source}"""
 
 
+def _leakage_entries() -> str:
+    def part(section, name, position="NULL", text="NULL", value="NULL", source=""):
+        return (f"SELECT '{section}' AS section, {name} AS name, CAST({position} AS INTEGER) AS position, CAST({text} AS VARCHAR) AS text, "
+                f"CAST({value} AS DOUBLE) AS value{source}")
+
+    counts = {"n_rows": "(SELECT count(*) FROM labelled)",
+              "exact_duplicate_rows": f"(SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM labelled GROUP BY {_names()}, is_phishing))",
+              "conflicting_label_vectors": "(SELECT count(*) FROM groups WHERE pos > 0 AND pos < n)"}
+    parts = [part("profile", f"'{n}'", value=v) for n, v in counts.items()]
+    parts.append(part("removed", "feature", text="category || ': ' || reason", source=" FROM registry WHERE mode = 'default'"))
+    parts += [part("kept", f"'{f}'", str(k)) for k, f in enumerate(KEPT)]
+    place = "row_number() OVER (ORDER BY single_feature_auc DESC, feature) - 1"
+    flags = "documented_leaky || '/' || suspicious"
+    parts += [part(m, "feature", place, flags, r(m), " FROM diag") for m in ("single_feature_auc", "mutual_info")]
+    return " UNION ALL ".join(parts)
+
+
+def _selection_entries() -> str:
+    def part(section, name, position, value, source):
+        return (f"SELECT '{section}' AS section, {name} AS name, CAST({position} AS INTEGER) AS position, "
+                f"CAST({value} AS DOUBLE) AS value FROM {source}")
+
+    chosen = f"SELECT *, {len(KEPT) + 1} - elim_step <= chosen_n_features AS chosen, list_position({KEPT}, feature) AS place FROM steps, choice"
+    parts = [part(f"{s}_features", "feature", "row_number() OVER (ORDER BY place) - 1", "NULL", f"({chosen}) WHERE {'' if s == 'selected' else 'NOT '}chosen")
+             for s in ("selected", "dropped")]
+    parts += [part(s, "'cv_auc'", f"{s}_n_features", r(f"{s}_cv_auc"), "choice") for s in ("best", "chosen")]
+    parts += [part(m, "feature", f"{len(KEPT) + 1} - elim_step", r(m), "steps JOIN mi USING (feature)") for m in ("initial_mean_abs_shap", "mutual_info")]
+    parts += [part(m, "CAST(row_number() OVER (ORDER BY n_features DESC) - 1 AS VARCHAR)", "n_features", r(m), "curve") for m in ("auc_mean", "auc_se")]
+    return " UNION ALL ".join(parts)
+
+
+def _sketched(width: str = "0.01::DOUBLE") -> str:
+    ahead = "PARTITION BY evaluation ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def least(place):
+        return f"coalesce((p + {place}) / nullif(p + {place} + q + neg, 0), 0)"
+
+    return f"""SELECT evaluation, {r("sum(neg * (p + pos / 2)) / (sum(pos) * sum(neg))")} AS roc_auc,
+  {r("sum(pos * neg) / 2 / (sum(pos) * sum(neg))")} AS roc_auc_error,
+  {r(f"sum(CASE WHEN pos > 0 THEN pos * ({least('1.0::DOUBLE')} + {least('pos')}) / 2 ELSE 0 END) / sum(pos)")} AS pr_auc_low,
+  {r("sum(coalesce(pos * (p + pos) / nullif(p + pos + q, 0), 0)) / sum(pos)")} AS pr_auc_high
+FROM (SELECT *, coalesce(sum(pos) OVER ({ahead}), 0::DOUBLE) AS p, coalesce(sum(neg) OVER ({ahead}), 0::DOUBLE) AS q
+      FROM (SELECT evaluation, CAST(floor(ln(s / (1 - s)) / {width}) AS INTEGER) AS bucket, sum(is_phishing)::DOUBLE AS pos,
+                   sum(1 - is_phishing)::DOUBLE AS neg
+            FROM (SELECT evaluation, is_phishing, greatest(least(score, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE) AS s FROM evaluations) GROUP BY ALL))
+GROUP BY evaluation"""
+
+
 def statements() -> dict[str, str]:
     diag_columns = f"feature, {r('single_feature_auc')} AS single_feature_auc, {r('mutual_info')} AS mutual_info"
     default, any_mode = _drops("mode = 'default'"), _drops("true")
     labels = ", ".join(f"('{m}', '{t.replace(chr(39), chr(39) * 2)}')" for m, t in METRIC_LABELS.items())
     values = ", ".join(METRIC_LABELS)
-    return {
+    found = {
         "ternary_features": _with([TERNARY], "SELECT * FROM ternary"),
         "label_encode": _with([TERNARY], 'SELECT row_index, "Result", '
                               'CASE WHEN "Result" = -1 THEN 1 ELSE 0 END AS is_phishing FROM ternary'),
@@ -473,4 +546,13 @@ JOIN (VALUES {labels}) AS l(metric, label) USING (metric)"""),
   {_rounded(['initial_mean_abs_shap', 'mutual_info'])},
   {len(KEPT) + 1} - elim_step <= chosen_n_features AS selected
 FROM steps JOIN mi USING (feature), choice"""),
+        "forest_report_metrics": _with(ALL_EVALUATIONS, f"SELECT evaluation, {_record()} FROM m"),
+        "leakage_report_entries": _with(DIAG, _leakage_entries()),
+        "selection_report_entries": _with(SELECTION, _selection_entries()),
+        "sketched_ranking": _with(SCORED, _sketched()),
     }
+    # What is written and read back, or saved and reloaded, is what was there before.
+    same = {"attribute_file": "ternary_features", "clean_file_csv": "clean_dataset", "clean_file_parquet": "clean_dataset",
+            "prediction_files": "prediction_table", "summary_file": "metrics_summary_text", "saved_rates": "oof_target_rate",
+            "saved_rates_predictions": "test_prediction_table"}
+    return {**found, **{name: found[original] for name, original in same.items()}}

@@ -13,7 +13,8 @@ from foldwright.constants import (EVAL_OOF, EVAL_TEST, GROUP, LABEL, N_FOLDS, RO
                                   SPLIT)
 from foldwright.functions.columns import feature_cols, label_from_target
 from foldwright.operators.folds import random_holdout
-from foldwright.operators.forest import (COPIES, feature_importance, fit_forest, score, score_folds, search, spark_params)
+from foldwright.operators.forest import (COPIES, feature_importance, fit_folds, fit_forest, score, score_folds, search,
+                                         spark_params)
 from foldwright.operators.metrics import (class_report, compute_metrics, confusion_matrix, fold_and_pooled,
                                           metrics_summary, union_all, vector_score_counts)
 from foldwright.operators.predictions import prediction_table
@@ -39,9 +40,8 @@ class Evaluation:
 
 
 def evaluate(model: PipelineModel, vectors: DataFrame, name: str = EVAL_TEST) -> DataFrame:
-    """Metric record of a model on a vector table with ``n`` and ``pos``."""
-    scored = score(model, vectors).withColumn("evaluation", F.lit(name))
-    return compute_metrics(vector_score_counts(scored, ["evaluation"]))
+    """Score counts under ``name`` of a model on a vector table with ``n`` and ``pos``, from which its metric record follows."""
+    return vector_score_counts(score(model, vectors).withColumn("evaluation", F.lit(name)), ["evaluation"])
 
 
 def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, name: str,
@@ -49,8 +49,7 @@ def reference_run(vectors: DataFrame, features: Sequence[str], trial: Mapping, n
     """Fit on the train side of a split vector table, score the test side: score counts under ``name``."""
     params, balanced = spark_params(trial)
     model = fit_forest(vectors.where(F.col(SPLIT) == "train"), features, params, balanced, copies=copies)
-    scored = score(model, vectors.where(F.col(SPLIT) == "test")).withColumn("evaluation", F.lit(name))
-    return vector_score_counts(scored, ["evaluation"])
+    return evaluate(model, vectors.where(F.col(SPLIT) == "test"), name)
 
 
 def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], selected: Sequence[str],
@@ -81,23 +80,23 @@ def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]
 
 def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str],
                        n_iter: int = SEARCH_DRAWS, space: Mapping = SEARCH_SPACE, k: int = N_FOLDS,
-                       parallelism: int = N_FOLDS, copies: int = COPIES) -> Evaluation:
+                       parallelism: int = N_FOLDS, copies: int = COPIES, ledger: str | None = None) -> Evaluation:
     """``clean`` is the output of step 1, ``raw`` its input, ``selected`` the outcome of step 2.
 
-    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``.
+    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``; ``ledger`` is a folder
+    from which a search that was cut off goes on, see ``forest.search``.
     """
     spark, selected = clean.sparkSession, list(selected)
     vectors = train_vectors(clean, selected, k)
     test = clean.where(F.col(SPLIT) == "test")
 
-    trials, best, cv_auc, fold_models = search(vectors, selected, range(k), space, n_iter, parallelism=parallelism,
-                                                copies=copies)
-    params, balanced = spark_params(best)
+    found = search(vectors, selected, range(k), space, n_iter, parallelism=parallelism, copies=copies, ledger=ledger)
+    best, (params, balanced) = found.best, spark_params(found.best)
     model = fit_forest(vectors, selected, params, balanced, copies=copies)
 
     # The fold forests of the winning trial are the out-of-fold forests: same rows, same seed.
+    fold_models = fit_folds(vectors, selected, params, range(k), balanced, parallelism, copies)
     scored = materialize(score_folds(fold_models, vectors), "oof-scores")
-    held_out = score(model, count_rows(test, selected)).withColumn("evaluation", F.lit(EVAL_TEST))
 
     rows = raw.withColumn(LABEL, label_from_target())
     features = feature_cols(raw)
@@ -105,14 +104,14 @@ def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str]
     sides = clean.groupBy(GROUP).agg(F.min(SPLIT).alias(SPLIT))
     split = materialize(vector_table(rows, features).join(sides, GROUP), "split-vectors")
     counts = materialize(union_all([
-        vector_score_counts(held_out, ["evaluation"]),
+        evaluate(model, count_rows(test, selected)),
         fold_and_pooled(vector_score_counts(scored.withColumn("cv_fold", F.col("fold") + 1), ["cv_fold"]),
                         pooled=EVAL_OOF),
         leakage_runs(rows, split, features, selected, best, copies=copies),
     ]), "score-counts")
     metrics = materialize(compute_metrics(counts), "metrics")
     return Evaluation(
-        model=model, features=selected, best_params=best, cv_roc_auc=cv_auc, trials=trials,
+        model=model, features=selected, best_params=best, cv_roc_auc=found.best_auc, trials=found.trials,
         test_predictions=prediction_table(score(model, test), selected, "test"),
         oof_predictions=oof_predictions(clean, scored, selected),
         metrics=metrics, summary=metrics_summary(metrics),

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.constants import GROUP, N_FOLDS, SELECTION_FOREST, SPLIT
 from foldwright.functions.columns import feature_cols
-from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution
+from foldwright.operators.contributions import contributions, leaf_table, mean_abs_contribution
 from foldwright.operators.cube import contingency_cube, mutual_information
-from foldwright.operators.forest import COPIES, fit_forest, fold_aucs, in_parallel, training_partitions
+from foldwright.operators.forest import COPIES, fit_folds, fold_aucs, in_parallel, recorded, run_key
 from foldwright.operators.selection import feature_ranking, one_se_choice, selection_curve
 from foldwright.operators.vectors import count_rows
 from foldwright.plans.audit import tag_folds
-from foldwright.session import materialize, small_table
+from foldwright.session import materialize, scratch_path, small_table
 
 
 def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -> DataFrame:
@@ -33,16 +32,16 @@ def train_vectors(clean: DataFrame, features: Sequence[str], k: int = N_FOLDS) -
 def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
             parallelism: int = N_FOLDS, copies: int = COPIES) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
-    spark, tasks = vectors.sparkSession, training_partitions(vectors, copies)
+    models = fit_folds(vectors, features, params, folds, parallelism=parallelism, copies=copies)
+    leaves = leaf_table(vectors.sparkSession, models)
+    return (fold_aucs(models, vectors),
+            mean_abs_contribution(contributions(vectors, leaves, features), features))
 
-    def fit(fold):
-        model = fit_forest(vectors.where(F.col("fold") != fold), features, params, partitions=tasks, copies=copies)
-        return model, leaf_paths(spark, model)
 
-    fitted = dict(zip(folds, in_parallel(spark, fit, list(folds), parallelism)))
-    models, paths = ({k: pair[i] for k, pair in fitted.items()} for i in (0, 1))
-    return (fold_aucs(models, vectors),
-            mean_abs_contribution(contributions(vectors, paths, features), features))
+def rolled_up(vectors: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Fold counts of the vectors of a subset, stored by fold, from those of a wider one."""
+    narrow = vectors.groupBy("fold", *features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return materialize(narrow, f"subset-{len(features)}", ["fold"])
 
 
 @dataclass
@@ -81,16 +80,33 @@ def measured(vectors: DataFrame, subset: Sequence[str], params: Mapping, folds:
     return Step(aucs, {f: shap[f] for f in subset})
 
 
-def eliminate(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int] = range(N_FOLDS),
-              parallelism: int = N_FOLDS, copies: int = COPIES) -> list[Step]:
-    """One step per subset size, largest first; each subset is the one before without its weakest feature."""
+STEP_SCHEMA = "aucs map<int,double>, features array<string>, strengths array<double>, size int"
 
-    def narrower(step: Step, _size: int) -> Step:
-        subset = [f for f in step.features if f != step.weakest]
-        return measured(vectors, subset, params, folds, parallelism, copies)
 
-    widest = measured(vectors, features, params, folds, parallelism, copies)
-    return list(accumulate(range(len(features) - 1, 0, -1), narrower, initial=widest))
+def eliminate(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int] = range(N_FOLDS),
+              parallelism: int = N_FOLDS, copies: int = COPIES, ledger: str | None = None) -> list[Step]:
+    """One step per subset size, largest first; each subset is the one before without its weakest feature.
+
+    The full vectors are read once: the table of each subset is rolled up from that of the step before, so it shrinks
+    with the subsets. Each step leaves its record in ``ledger``; a run that starts with the ledger of one that was cut off
+    goes on behind its last step.
+    """
+    spark = vectors.sparkSession
+    root = ledger or scratch_path(spark, "elimination")
+    folder = f"{root}/{run_key(vectors, list(features), params, list(folds), copies)}"
+    before = recorded(spark, folder, STEP_SCHEMA)
+    done = [] if before is None else sorted(before.collect(), key=lambda r: -r.size)
+    steps = [Step(r.aucs, dict(zip(r.features, r.strengths))) for r in done]
+    table = vectors
+    while len(steps) < len(features):
+        subset = [f for f in steps[-1].features if f != steps[-1].weakest] if steps else list(features)
+        table = rolled_up(table, subset)
+        step = measured(table, subset, params, folds, parallelism, copies)
+        record = (step.aucs, step.features, list(step.strength.values()))
+        small_table(spark, [record], "aucs map<int,double>, features array<string>, strengths array<double>").coalesce(1).write.mode(
+            "overwrite").parquet(f"{folder}/size={len(subset)}")
+        steps.append(step)
+    return steps
 
 
 HISTORY_SCHEMA = "n_features int, fold int, auc double, features array<string>, weakest string"
@@ -102,15 +118,16 @@ def history_rows(steps: Sequence[Step]) -> list[tuple]:
 
 
 def select_features(clean: DataFrame, params: Mapping = SELECTION_FOREST, k: int = N_FOLDS,
-                    parallelism: int = N_FOLDS, copies: int = COPIES) -> Selection:
+                    parallelism: int = N_FOLDS, copies: int = COPIES, ledger: str | None = None) -> Selection:
     """Selection on the train side of a clean table; the test side is never read.
 
-    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``.
+    ``copies`` bounds the rows of one (vector, label) pair in every fit, see ``forest.training_rows``; ``ledger`` is a folder
+    from which a run that was cut off goes on, see ``eliminate``.
     """
     spark = clean.sparkSession
     features = feature_cols(clean)
     vectors = train_vectors(clean, features, k)
-    steps = eliminate(vectors, features, params, range(k), parallelism, copies)
+    steps = eliminate(vectors, features, params, range(k), parallelism, copies, ledger)
     history = small_table(spark, history_rows(steps), HISTORY_SCHEMA)
     curve = selection_curve(history)
     choice = one_se_choice(curve)

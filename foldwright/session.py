@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -49,8 +50,34 @@ def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
     return max(1, min(widest, -(-items // per_task)))
 
 
+# Folders of the runs that are under way, innermost last; tables written meanwhile lie below the last one.
+_runs: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/foldwright/{name}-{uuid.uuid4().hex}"
+    folder = _runs[-1] if _runs else f"{scratch_dir(spark)}/foldwright"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any store that Spark writes to; False if there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder of its own for the intermediate tables written inside the block, deleted when it ends, also by an error.
+
+    Tables that read from it must be written elsewhere, or collected, before the block ends.
+    """
+    folder = scratch_path(spark, name)
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        delete_path(spark, folder)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,17 @@ def load_ternary(spark: SparkSession, path: str) -> DataFrame:
     values = [F.trim(F.translate(parts[i], "'\"", "")).cast("tinyint").alias(n) for i, n in enumerate(names)]
     return data.join(offsets, "_block").select(
         (F.col("_offset") + F.col("_id") - F.col("_first")).alias(ROW), *values)
+
+
+def write_ternary(df: DataFrame, path: str, relation: str, row: str = ROW, files: int | None = None) -> None:
+    """Small-integer columns as attribute-relation files in the order of ``row``, each file with the header."""
+    names = [c for c in df.columns if c != row]
+    header = [f"@relation {relation}", "", *[f"@attribute '{n}' {{ -1,0,1 }}" for n in names], "", "@data"]
+
+    def with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": header})
+        yield from batches
+
+    lines = F.concat_ws(",", *[F.col(f"`{n}`").cast("string") for n in names]).alias("value")
+    ordered = df.repartitionByRange(*([files] if files else []), row).sortWithinPartitions(row).select(lines)
+    ordered.mapInPandas(with_header, "value string").write.mode("overwrite").text(path)

@@ -15,7 +15,8 @@ from foldwright.plans.audit import remove_leaky
 from foldwright.plans.evaluate import train_and_evaluate
 from foldwright.plans.select import select_features
 from foldwright.sources.models import load_model
-from foldwright.sources.tables import read_report
+from foldwright.sources.publication import is_whole, published
+from foldwright.sources.tables import metric_records, parameters, read_report, read_variant
 
 FEATURES = ["URL_Length", "having_IP_Address", "Prefix_Suffix"]
 
@@ -73,7 +74,8 @@ def test_reports_agree(spark, run):
 @pytest.mark.parametrize("name,side", [(O.TEST_PREDICTIONS, "test"), (O.OOF_PREDICTIONS, "train_oof")])
 def test_predictions(spark, run, name, side):
     out, audit, selection, result = run
-    got = spark.read.csv(f"{out}/{name}", header=True, inferSchema=True)
+    got = published(spark, f"{out}/{name}")
+    assert is_whole(spark, f"{out}/{name}")
     extra = ["cv_fold"] if side == "train_oof" else []
     assert got.columns == [*PREDICTION_COLUMNS, *extra, *selection.selected]
     clean = {r.row_index: r for r in audit.clean.collect()}
@@ -90,13 +92,17 @@ def test_predictions(spark, run, name, side):
         assert {r.cv_fold for r in rows} == {1, 2, 3, 4, 5}
     else:
         model, _, _ = load_model(spark, f"{out}/{O.MODEL}")
-        again = {r.row_index: r.score for r in score(model, audit.clean.where("split = 'test'")).collect()}
+        held = audit.clean.where("split = 'test'")
+        again = {r.row_index: r.score for r in score(model, held).collect()}
         assert all(abs(again[r.row_index] - r.prob_phishing) <= 5.1e-7 for r in rows)
+        # The saved pipeline decides by itself.
+        decided = {r.row_index: (r.predicted_label, r.predicted_class) for r in model.transform(held).collect()}
+        assert decided == {r.row_index: (r.predicted_label, r.predicted_class) for r in rows}
 
 
 def test_summary(spark, run):
     out, _, _, result = run
-    summary = spark.read.csv(f"{out}/{O.SUMMARY}", header=True)
+    summary = published(spark, f"{out}/{O.SUMMARY}")
     assert summary.first().evaluation == "test_holdout"
     assert summary.count() == 12 and "confusion_matrix" not in summary.columns
     test = result.metrics.where("evaluation = 'test_holdout'").first()
@@ -108,6 +114,18 @@ def test_summary(spark, run):
     assert oof.n_samples + test.n_samples == 100
 
 
+def test_report_as_variant_gives_the_typed_metrics(spark, run):
+    out, _, _, result = run
+    report = read_variant(spark, f"{out}/{O.METRICS}")
+    got = {r.evaluation: r for r in metric_records(report).collect()}
+    want = {r.evaluation: r for r in result.metrics.drop("confusion_matrix").collect()}
+    assert set(got) == set(want)
+    for name, r in want.items():
+        assert all(getattr(got[name], c) == (pytest.approx(v) if v is not None else None) for c, v in r.asDict().items() if c != "evaluation")
+    assert {(r.name, r.value) for r in parameters(report).collect()} == {("n_estimators", "2"), ("max_depth", "2")}
+    assert {r.kind for r in parameters(report).collect()} == {"BIGINT"}
+
+
 def test_report_is_valid_json(run):
     part = [f for f in os.listdir(f"{run[0]}/{O.METRICS}") if f.startswith("part-")][0]
     with open(f"{run[0]}/{O.METRICS}/{part}") as f:

@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldwright.operators import contributions as contributions_module
 from foldwright.operators import forest as R
-from foldwright.operators.contributions import contributions, leaf_paths, mean_abs_contribution, shapley
+from foldwright.operators.contributions import contributions, leaf_table, mean_abs_contribution, shapley, unpacked
 from foldwright.operators.vectors import count_rows
-from foldwright.sources.models import load_model, save_model
+from foldwright.plans import select as S
+from foldwright.sources.models import decision_of, load_model, save_model
 from foldwright.session import scratch_path
 
 FEATURES = ["a", "b", "c"]
@@ -26,10 +28,11 @@ def vectors(spark):
     return count_rows(df, ["fold", *FEATURES]).cache()
 
 
-@pytest.mark.parametrize("impurity", ["gini", "entropy"])
-def test_contributions_add_up_to_the_score(spark, vectors, impurity):
+@pytest.mark.parametrize("impurity,block,group", [("gini", 1000, 100_000), ("entropy", 1000, 100_000), ("gini", 5, 20)])
+def test_contributions_add_up_to_the_score(spark, vectors, impurity, block, group, monkeypatch):
+    monkeypatch.setattr(contributions_module, "PART_LEAVES", 4)
     models = R.fit_folds(vectors, FEATURES, {"numTrees": 4, "maxDepth": 4, "seed": 1, "impurity": impurity}, range(3))
-    explained = contributions(vectors, {k: leaf_paths(spark, m) for k, m in models.items()}, FEATURES)
+    explained = contributions(vectors, leaf_table(spark, models), FEATURES, block, group)
     both = explained.join(R.score_folds(models, vectors).select("fold", *FEATURES, "score"), ["fold", *FEATURES])
     rows = both.collect()
     assert len(rows) == vectors.count()
@@ -56,7 +59,8 @@ def tree_value(tree, x, known):
 
 def test_contributions_are_shapley_values(spark, vectors):
     model = R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 5, "seed": 3, "featureSubsetStrategy": "all"})
-    trees = leaf_paths(spark, model)
+    trees = unpacked(leaf_table(spark, {0: model}).orderBy("tree").toPandas())
+    assert len(trees) == 3
     for x in ([-1, 0, 1], [1, 1, -1], [0, 0, 0]):
         phi, bias = shapley(trees, np.array([x], float))
         for i in range(3):
@@ -66,8 +70,8 @@ def test_contributions_are_shapley_values(spark, vectors):
                 for known in itertools.combinations(others, size):
                     gain = sum(tree_value(t, x, {*known, i}) - tree_value(t, x, set(known)) for t in trees) / 3
                     want += math.factorial(size) * math.factorial(2 - size) / 6 * gain
-            assert phi[0, i] == pytest.approx(want, abs=1e-6)
-        assert bias == pytest.approx(sum(tree_value(t, x, set()) for t in trees) / 3, abs=1e-6)
+            assert phi[0, i] / 3 == pytest.approx(want, abs=1e-6)
+        assert bias / 3 == pytest.approx(sum(tree_value(t, x, set()) for t in trees) / 3, abs=1e-6)
 
 
 def test_training_rows_keep_the_weight_of_every_copy(spark):
@@ -103,18 +107,75 @@ def test_a_seed_gives_one_forest_whatever_the_session_and_the_arrival(spark, vec
     assert len(trees) == 1
 
 
+SPACE = {"n_estimators": range(2, 4), "max_depth": [2, None], "class_weight": [None, "balanced"],
+         "max_features": ["sqrt", 0.5, None], "criterion": ["gini", "entropy"], "min_samples_split": range(2, 20)}
+
+
 def test_search_reports_every_fold_and_the_first_best_trial(spark, vectors):
-    space = {"n_estimators": range(2, 4), "max_depth": [2, None], "class_weight": [None, "balanced"],
-             "max_features": ["sqrt", 0.5, None], "criterion": ["gini", "entropy"], "min_samples_split": range(2, 20)}
-    trials, best, auc, models = R.search(vectors, FEATURES, range(3), space, 3)
-    rows = trials.collect()
-    assert len(rows) == 9 and set(models) == {0, 1, 2}
+    found = R.search(vectors, FEATURES, range(3), SPACE, 3)
+    rows = found.trials.collect()
+    assert len(rows) == 9 and (found.fits, found.resumed) == (9, 0)
     means = {r.trial: r.mean_auc for r in rows}
     first = min(t for t, m in means.items() if m == max(means.values()))
-    assert auc == means[first] and next(r.params for r in rows if r.trial == first) == {
-        k: str(v) for k, v in best.items()}
+    assert found.best_auc == means[first] and next(r.params for r in rows if r.trial == first) == {
+        k: str(v) for k, v in found.best.items()}
     for t, mean in means.items():
         assert mean == pytest.approx(np.mean([r.auc for r in rows if r.trial == t]))
+    params, balanced = R.spark_params(found.best)
+    again = R.fold_aucs(R.fit_folds(vectors, FEATURES, params, range(3), balanced), vectors)
+    assert {r.fold: r.auc for r in again.collect()} == pytest.approx({r.fold: r.auc for r in rows if r.trial == first})
+
+
+def test_an_interrupted_search_goes_on_where_it_was(spark, vectors, monkeypatch):
+    whole = R.search(vectors, FEATURES, range(3), SPACE, 4)
+    ledger, fit, made = scratch_path(spark, "ledger"), R.fit_forest, []
+
+    def failing(*args, **more):
+        if len(made) >= 5:
+            raise RuntimeError("executor lost")
+        made.append(1)
+        return fit(*args, **more)
+
+    monkeypatch.setattr(R, "fit_forest", failing)
+    with pytest.raises(RuntimeError):
+        R.search(vectors, FEATURES, range(3), SPACE, 4, parallelism=2, ledger=ledger)
+    monkeypatch.setattr(R, "fit_forest", fit)
+    again = R.search(vectors, FEATURES, range(3), SPACE, 4, ledger=ledger)
+    assert 0 < again.resumed <= 5 and again.fits + again.resumed == 12
+    assert (again.best, again.best_auc) == (whole.best, whole.best_auc)
+    assert sorted(map(str, again.trials.collect())) == sorted(map(str, whole.trials.collect()))
+    once_more = R.search(vectors, FEATURES, range(3), SPACE, 4, ledger=ledger)
+    assert (once_more.fits, once_more.resumed, once_more.best) == (0, 12, whole.best)
+    other = R.search(vectors.withColumn("n", F.col("n") + 1), FEATURES, range(3), SPACE, 1, ledger=ledger)
+    assert other.resumed == 0  # other rows are other work
+
+
+def test_an_interrupted_elimination_goes_on_and_reads_the_full_vectors_once(spark, vectors, monkeypatch):
+    params, ledger = {"numTrees": 3, "maxDepth": 3, "seed": 4}, scratch_path(spark, "ledger")
+    whole = S.eliminate(vectors, FEATURES, params, range(3))
+    assert [len(s.features) for s in whole] == [3, 2, 1]
+    measured, seen = S.measured, []
+
+    def failing(table, subset, *args):
+        seen.append((len(subset), table.columns))
+        if len(subset) == 1:
+            raise RuntimeError("executor lost")
+        return measured(table, subset, *args)
+
+    monkeypatch.setattr(S, "measured", failing)
+    with pytest.raises(RuntimeError):
+        S.eliminate(vectors, FEATURES, params, range(3), ledger=ledger)
+    assert [set(c) - {"fold", "n", "pos"} for _, c in seen] == [set(FEATURES), set(whole[1].features), set(whole[2].features)]
+    monkeypatch.setattr(S, "measured", lambda table, subset, *args: seen.append(len(subset)) or measured(table, subset, *args))
+    assert S.eliminate(vectors, FEATURES, params, range(3), ledger=ledger) == whole
+    assert seen[3:] == [1]
+
+
+def test_a_step_on_rolled_up_vectors_is_that_on_the_full_ones(spark, vectors):
+    params = {"numTrees": 3, "maxDepth": 3, "seed": 4}
+    full = S.measured(vectors, ["a", "b"], params, range(3))
+    rolled = S.measured(S.rolled_up(vectors, ["a", "b"]), ["a", "b"], params, range(3))
+    assert rolled.aucs == pytest.approx(full.aucs) and rolled.strength == pytest.approx(full.strength)
 
 
 def test_parameter_mapping():
@@ -135,3 +196,16 @@ def test_reloaded_model_scores_the_same(spark, vectors):
     key = ["fold", *FEATURES, "score"]
     a, b = (sorted(R.score(m, vectors).select(*key).collect()) for m in (model, again))
     assert a == b
+    assert decision_of(again).value("threshold") == 0.5 and again.transform(vectors).columns == [
+        *vectors.columns, "score", "predicted_label", "predicted_class"]
+
+
+@pytest.mark.parametrize("impurity", ["gini", "entropy"])
+def test_a_saved_threshold_decides(spark, vectors, impurity):
+    model = R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 3, "seed": 1, "impurity": impurity})
+    path = scratch_path(spark, "model")
+    save_model(spark, model, path, threshold=0.3)
+    rows = load_model(spark, path)[0].transform(vectors).collect()
+    scores = {(r.fold, r.a, r.b, r.c): r.score for r in R.score(model, vectors).collect()}
+    assert all(r.score == scores[r.fold, r.a, r.b, r.c] and r.predicted_label == int(r.score >= 0.3) for r in rows)
+    assert {(r.predicted_label, r.predicted_class) for r in rows} == {(0, "legitimate"), (1, "phishing")}

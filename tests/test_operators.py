@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,11 +14,14 @@ from foldwright.operators import folds as FO
 from foldwright.operators import leakage as L
 from foldwright.operators import metrics as M
 from foldwright.operators import profile as P
+from foldwright.operators import sketches
 from foldwright.operators import vectors as V
 from foldwright.operators.predictions import prediction_table
 from foldwright.operators.running import prefix_sums
 from foldwright.operators.weights import class_weights
-from foldwright.plans import audit, rates
+from foldwright.operators.rate_model import TargetRates, TargetRatesModel
+from foldwright.plans import audit, check_sql, rates
+from foldwright.session import scratch_path
 from tests.conftest import SMALL
 
 FEATURES = ["a", "b"]
@@ -56,17 +60,56 @@ def test_group_key_is_the_hash_of_the_row_text(spark):
 
 
 def brute_folds(groups, k, seed=42):
-    out = {}
+    def draw(g):
+        return hashlib.md5(f"{seed}:{g[0]}".encode()).hexdigest()
+
+    total, out, loads = sum(g[1] for g in groups), {}, [0] * k
+    heavy = sorted((g for g in groups if g[1] * 4 * k > total), key=lambda g: (-g[1], draw(g), g[0]))
+    for g in heavy:
+        out[g[0]] = loads.index(min(loads))
+        loads[out[g[0]]] += g[1]
+    left, order = total - sum(loads), sorted(loads)
+    level = min((left + sum(order[:m])) // m for m in range(1, k + 1))
+    room = [max(0, level - x) for x in loads]
+    room = room if any(room) else [1] * k
+    bounds = [sum(room[:f + 1]) * 2 ** 20 // sum(room) for f in range(k)]
     for side in (-1, 0, 1):
-        mine = [g for g in groups if (2 * g[2] - g[1] > 0) - (2 * g[2] - g[1] < 0) == side]
-        mine.sort(key=lambda g: (-abs(2 * g[2] - g[1]), -g[1],
-                                 hashlib.md5(f"{seed}:{g[0]}".encode()).hexdigest(), g[0]))
+        mine = [g for g in groups if g not in heavy and (2 * g[2] - g[1] > 0) - (2 * g[2] - g[1] < 0) == side]
+        mine.sort(key=lambda g: (-abs(2 * g[2] - g[1]), -g[1], draw(g), g[0]))
         for rank, g in enumerate(mine):
             place = rank % k
-            out[g[0]] = place if rank // k % 2 == 0 else k - 1 - place
+            at = rank * 2654435769 % 2 ** 32 >> 12
+            out[g[0]] = (sum(b <= at for b in bounds) if heavy else place if rank // k % 2 == 0 else k - 1 - place)
     return out
 
 
+@pytest.mark.parametrize("heavy", [[], [900], [600, 500, 70], [10 ** 12], [200] * 9])
+def test_folds_with_heavy_groups(spark, heavy):
+    rng = random.Random(len(heavy))
+    sizes = heavy + [rng.choice([1, 1, 2, 3]) for _ in range(800)]
+    groups = [(2 ** 40 + i, n, rng.randint(0, n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(groups, "group_id long, n long, pos long")
+    got = {r.group_id: r.fold for r in FO.deal_folds(df, 5).collect()}
+    assert got == brute_folds(groups, 5)
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE g (group_id BIGINT, n BIGINT, pos BIGINT)")
+        con.executemany("INSERT INTO g VALUES (?, ?, ?)", groups)
+        assert dict(con.sql("WITH RECURSIVE " + check_sql.deal("f", "g") + " SELECT group_id, fold FROM f").fetchall()) == got
+
+
+def test_a_group_with_a_third_of_the_rows_leaves_the_other_folds_equal(spark):
+    rng = random.Random(1)
+    groups = [(i, rng.choice([1, 1, 2, 3]), 0) for i in range(26_000)]
+    groups = [(i, n, rng.randint(0, n)) for i, n, _ in groups]
+    third = sum(n for _, n, _ in groups) // 2
+    df = spark.createDataFrame([*groups, (99_999, third, third // 3)], "group_id long, n long, pos long")
+    folds = {r.fold: (r.n, r.pos) for r in FO.deal_folds(df, 5).groupBy("fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()}
+    heavy = next(f for f, (n, _) in folds.items() if n == third)
+    others = [x for f, x in folds.items() if f != heavy]
+    mean, share = sum(n for n, _ in others) / 4, sum(p for _, p in others) / sum(n for n, _ in others)
+    assert all(abs(n / mean - 1) < 0.01 and abs(p / n - share) < 0.01 for n, p in others)
+
+
 @pytest.mark.parametrize("k", [2, 5, 7])
 def test_fold_dealing(spark, k):
     rng = random.Random(k)
@@ -274,3 +317,53 @@ def test_leaky_feature_lifts_the_scores(spark):
     names = rates.reference_names(len(ALL))
     assert got[f"reference: {names['all_group']}"] > got["test_holdout"]
     assert got[f"reference: {names['all_random']}"] > got[f"reference: {names['selected_random']}"]
+
+
+def test_sketched_metrics_bound_the_exact_ones_on_skewed_scores(spark):
+    rng = random.Random(4)
+    rows = []
+    for name, scale in (("skewed", 12), ("wide", 2), ("ties", 0)):
+        for _ in range(3000):
+            z = rng.gauss(-scale, 1 + scale / 4) if scale else rng.choice([-1.0, 0.0, 2.0])
+            p = 1 / (1 + math.exp(-z))
+            rows.append((name, 0.0 if rng.random() < 0.01 else p, *((1, 0) if rng.random() < min(0.9, 5 * p) else (0, 1))))
+    rows += [("one class", 0.5, 0, 3), ("one class", 1.0, 0, 1)]
+    df = spark.createDataFrame(rows, "evaluation string, score double, pos long, neg long")
+    counts = df.groupBy("evaluation", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    exact = {r.evaluation: r for r in M.ranking_metrics(counts).collect()}
+    halves = [sketches.score_sketch(df.where(f"xxhash64(score) % 2 {op} 0")) for op in ("=", "<>")]
+    both = sketches.merged(halves[0].unionByName(halves[1]))
+    assert sorted(both.collect()) == sorted(sketches.score_sketch(df).collect())
+    for r in sketches.sketched_ranking(both).collect():
+        want = exact[r.evaluation]
+        if want.roc_auc is None:
+            assert r.roc_auc is None and r.pr_auc_low == r.pr_auc_high == want.pr_auc == 0
+            continue
+        assert abs(r.roc_auc - want.roc_auc) <= r.roc_auc_error + 1e-12 and r.roc_auc_error < 0.25 * (r.evaluation == "ties") + 0.005
+        assert r.pr_auc_low - 1e-12 <= want.pr_auc <= r.pr_auc_high + 1e-12
+        assert r.pr_auc_high - r.pr_auc_low < 0.05 or r.evaluation == "ties"
+    assert sketches.score_sketch(df.withColumn("score", F.rand(1))).groupBy("evaluation").count().agg(F.max("count")).first()[0] < 6908
+
+
+def test_distinct_sketches_of_parts_merge_to_that_of_the_whole(spark):
+    df = spark.range(60_000).selectExpr("cast(id % 20011 as int) AS a", "cast(id % 20011 % 7 as int) AS b", "id % 2 AS half")
+    parts = sketches.distinct_sketch(df, ["a", "b"], ["half"])
+    merged = sketches.distinct_vectors(parts).first().distinct_vectors
+    whole = sketches.distinct_vectors(sketches.distinct_sketch(df, ["a", "b"])).first().distinct_vectors
+    bound = 4 * 1.04 / 2 ** (sketches.LG / 2) * 20011
+    assert abs(merged - 20011) < bound and abs(whole - 20011) < bound
+    copies = df.unionByName(df)
+    assert sketches.distinct_vectors(sketches.distinct_sketch(copies, ["a", "b"])).first().distinct_vectors == whole
+
+
+def test_saved_rates_score_as_the_fitted_ones(spark):
+    df = skewed(spark)
+    folded = audit.tag_folds(V.vector_table(df, FEATURES))
+    model = TargetRates(features=FEATURES).fit(folded)
+    path = scratch_path(spark, "rates")
+    model.save(path)
+    again = TargetRatesModel.load(path)
+    assert again.getFeatures() == FEATURES
+    assert sorted(again.out_of_fold(folded).collect()) == sorted(model.out_of_fold(folded).collect())
+    want = C.held_out_score(df, C.contingency_cube(folded, FEATURES, tags=()), FEATURES)
+    assert sorted(again.transform(df).collect()) == sorted(want.collect())

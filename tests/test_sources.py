@@ -5,8 +5,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foldwright.constants import METRIC_COLUMNS
-from foldwright.sources.attributes import attribute_names, load_ternary
-from foldwright.sources.tables import (load_clean, read_report, six_decimals, write_clean, write_report,
+from foldwright.session import materialize, scratch_path, scratch_run
+from foldwright.sources.attributes import attribute_names, load_ternary, write_ternary
+from foldwright.sources.publication import is_whole, manifests, publish, published
+from foldwright.sources.tables import (load_clean, read_report, read_variant, six_decimals, write_clean, write_report,
                                        write_summary)
 
 HEADER = """% a comment
@@ -59,8 +61,10 @@ def test_clean_round_trip(spark, tmp_path, fmt):
     write_clean(df, path, fmt)
     back = load_clean(spark, path, df.schema, fmt).select(*df.columns)
     assert back.schema.simpleString() == df.schema.simpleString() and sorted(back.collect()) == sorted(df.collect())
-    inferred = load_clean(spark, path, fmt=fmt)
-    assert inferred.agg(F.max("group_id")).first()[0] == 2 ** 47
+    assert load_clean(spark, path).dtypes == df.dtypes  # the manifest knows the types
+    plain = str(tmp_path / "plain")
+    df.write.format(fmt).option("header", True).save(plain)
+    assert load_clean(spark, plain, fmt=fmt).agg(F.max("group_id")).first()[0] == 2 ** 47
 
 
 def test_report_round_trip_creates_parents_and_surfaces_errors(spark, tmp_path):
@@ -82,5 +86,74 @@ def test_summary_text_has_six_decimals(spark, tmp_path):
     row = six_decimals(df).first()
     assert row.accuracy == "0.500000" and row.fn is None
     write_summary(df, str(tmp_path / "summary"))
-    back = spark.read.csv(str(tmp_path / "summary"), header=True)
+    back = published(spark, str(tmp_path / "summary"))
+    assert manifests(spark, str(tmp_path / "summary"))[-1].files == 1
     assert back.columns == ["evaluation", *METRIC_COLUMNS] and back.first().mcc == "0.500000"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet", "json"])
+def test_a_manifest_counts_what_was_written(spark, tmp_path, fmt):
+    path = str(tmp_path / "table")
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS text", "if(id % 3 = 0, null, id / 4.0D) AS value").repartition(3)
+    record = publish(df, path, fmt)
+    assert (record.version, record.rows, record.files) == (1, 1000, 3) and record.bytes > 0
+    assert sorted(published(spark, path).collect(), key=str) == sorted(df.collect(), key=str) and is_whole(spark, path)
+    assert publish(df.limit(0), path, fmt).rows == 0
+    assert published(spark, path).dtypes == df.dtypes and published(spark, path).count() == 0
+    assert published(spark, path, version=1).count() == 1000
+    publish(df.limit(5), path, fmt)
+    assert [m.version for m in manifests(spark, path)] == [2, 3] and len(list((tmp_path / "table" / "data").iterdir())) == 2
+    with pytest.raises(FileNotFoundError):
+        published(spark, path, version=1)
+
+
+def test_a_run_that_is_cut_off_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "table")
+    publish(spark.range(10), path)
+    broken = spark.range(1000).select(F.when(F.col("id") == 999, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        publish(broken, path)
+    assert published(spark, path).count() == 10 and is_whole(spark, path)
+    # Files without a manifest, as a run leaves that ends between the two, are not seen either.
+    spark.range(50).write.parquet(f"{path}/data/2-half")
+    assert published(spark, path).count() == 10
+    assert publish(spark.range(20), path).version == 2 and published(spark, path).count() == 20
+
+
+def test_damaged_files_are_told_by_the_checksum(spark, tmp_path):
+    path = str(tmp_path / "table")
+    record = publish(spark.range(10), path, "json")
+    spark.range(1, 11).write.mode("overwrite").json(f"{path}/{record.folder}")
+    assert published(spark, path).count() == 10 and not is_whole(spark, path)
+
+
+def test_scratch_of_a_run_is_empty_afterwards(spark, tmp_path):
+    with scratch_run(spark) as folder:
+        outer = materialize(spark.range(5), "outer")
+        with pytest.raises(RuntimeError):
+            with scratch_run(spark, "inner") as inner:
+                assert inner.startswith(folder) and materialize(spark.range(3), "x").count() == 3
+                raise RuntimeError("lost")
+        assert outer.count() == 5
+        publish(outer, str(tmp_path / "kept"))
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert store.exists(where) and [f.getPath().getName()[:5] for f in store.listStatus(where)] == ["outer"]
+    assert not store.exists(where) and published(spark, str(tmp_path / "kept")).count() == 5
+    assert not scratch_path(spark, "later").startswith(folder)
+
+
+def test_attribute_files_round_trip(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id AS row_index", "cast(id % 3 - 1 as tinyint) AS a", "cast(id * id % 3 - 1 as tinyint) AS `b c`")
+    write_ternary(df.repartition(5), str(tmp_path / "out"), "sites", files=4)
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    assert load_ternary(spark, str(tmp_path / "out")).orderBy("row_index").collect() == df.collect()
+
+
+def test_variant_report_keeps_types_without_a_schema(spark, tmp_path):
+    df = spark.createDataFrame([(0.5, None, {"x": 7})], "score double, gap double, m map<string,long>")
+    write_report(df, str(tmp_path / "r"))
+    got = read_variant(spark, str(tmp_path / "r")).select(
+        F.variant_get("report", "$.score", "double"), F.variant_get("report", "$.gap", "double"),
+        F.variant_get("report", "$.m.x", "long"), F.schema_of_variant("report")).first()
+    assert tuple(got)[:3] == (0.5, None, 7) and "gap: VOID" in got[3]
