@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Sequence
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.constants import GROUP, LABEL, ROW, SEED, SPLIT, TEST_SHARE
 from foldwright.functions.columns import seeded_draw
 from foldwright.operators.running import prefix_sums
+from foldwright.session import materialize
+
+
+# A group is heavy if it holds more than 1 / (HEAVY x folds) of the rows; fewer than HEAVY x folds can.
+HEAVY = 4
+
+# The tail of unequal shares is dealt by the fractional parts of multiples of the golden ratio, as whole numbers of 20 bits.
+GOLDEN, TURN, PLACES = 2654435769, 1 << 32, 1 << 20
+
+
+def deal_heavy(heavy: Sequence[tuple[int, int]], rows: int, k: int) -> tuple[dict[int, int], list[int]]:
+    """The fold of every heavy group, and the upper bound of each fold in the ``PLACES`` over which the tail is dealt.
+
+    ``heavy`` is (key, rows) in the order of assignment: each goes to the fold with the fewest rows so far, the first of
+    equal ones. The tail fills the folds up to one common level, as far as they lie below it.
+    """
+    loads = [(0, fold) for fold in range(k)]
+    placed = {}
+    for key, n in heavy:
+        least, fold = loads[0]
+        heapq.heapreplace(loads, (least + n, fold))
+        placed[key] = fold
+    filled = sorted(loads)
+    tail = rows - sum(n for n, _ in filled)
+    level = min((tail + sum(n for n, _ in filled[:m])) // m for m in range(1, k + 1))
+    room = {fold: max(0, level - n) for n, fold in loads}
+    if not any(room.values()):
+        room = dict.fromkeys(room, 1)
+    upto = accumulate(room[fold] for fold in range(k))
+    return placed, [x * PLACES // sum(room.values()) for x in upto]
 
 
 def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
@@ -18,11 +52,23 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     running count: tilt, size and four hex digits of the draw are bucket levels, so the many
     groups of equal size spread over 65536 buckets. A window over tilts, or over the sizes of one
     tilt, has at most sqrt(2 x rows) buckets, as d different ones take d^2 / 2 rows.
+
+    Heavy groups (see ``HEAVY``), which alone can unbalance folds, are placed first, the largest first, each in the
+    least loaded fold; the others, the tail, are then dealt by their rank in proportion to what is left of each fold.
+    The groups are stored, as they are counted before they are ranked.
     """
+    groups = materialize(groups, "groups")
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    # Fewer than HEAVY x k rows.
+    found = groups.where(F.col("n") * (HEAVY * k) > rows).select(GROUP, "n", seeded_draw(seed, F.col(GROUP)).alias("_draw")).collect()
+    order = sorted(found, key=lambda r: (-r.n, r["_draw"], r[GROUP]))
+    placed, bounds = deal_heavy([(r[GROUP], r.n) for r in order], rows, k)
+    is_heavy = F.col(GROUP).isin(list(placed)) if placed else F.lit(False)
+    tail = groups.where(~is_heavy)
     tilt = 2 * F.col("pos") - F.col("n")
     ranked = prefix_sums(
-        groups.select("*", F.signum(tilt).cast("int").alias("_side"), F.abs(tilt).alias("_tilt"),
-                      seeded_draw(seed, F.col(GROUP)).alias("_draw"), F.lit(1).cast("long").alias("_one"))
+        tail.select("*", F.signum(tilt).cast("int").alias("_side"), F.abs(tilt).alias("_tilt"),
+                    seeded_draw(seed, F.col(GROUP)).alias("_draw"), F.lit(1).cast("long").alias("_one"))
         .withColumn("_bucket", F.substring("_draw", 1, 4)),
         by=["_side"],
         levels=[[("_tilt", "desc")], [("n", "desc")], [("_bucket", "asc")]],
@@ -30,10 +76,16 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
         measures=["_one"],
     )
     rank = F.col("_one_before")
-    place = F.pmod(rank, F.lit(k))
-    backwards = F.pmod(F.floor(rank / F.lit(k)), F.lit(2)) == 1
-    fold = F.when(backwards, F.lit(k - 1) - place).otherwise(place).cast("int")
-    return ranked.select(*groups.columns, fold.alias("fold"))
+    if not placed:
+        place = F.pmod(rank, F.lit(k))
+        backwards = F.pmod(F.floor(rank / F.lit(k)), F.lit(2)) == 1
+        fold = F.when(backwards, F.lit(k - 1) - place).otherwise(place).cast("int")
+        return ranked.select(*groups.columns, fold.alias("fold"))
+    at = F.shiftright(F.pmod(F.pmod(rank, F.lit(1 << 31)) * F.lit(GOLDEN), F.lit(TURN)), 12)
+    fold = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at))
+    own = F.create_map(*[x for key, fold in placed.items() for x in (F.lit(key).cast("long"), F.lit(fold).cast("int"))])
+    return (ranked.select(*groups.columns, fold.alias("fold"))
+            .unionByName(groups.where(is_heavy).select("*", own[F.col(GROUP)].alias("fold"))))
 
 
 def holdout_groups(groups: DataFrame, n_folds: int, seed: int = SEED) -> DataFrame:

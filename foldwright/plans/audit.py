@@ -20,10 +20,8 @@ from foldwright.session import materialize
 
 
 def tag_folds(vectors: DataFrame, k: int = N_FOLDS) -> DataFrame:
-    """Add ``fold`` to a vector table through its groups.
-
-    Both sides of the join start from the same aggregate, whose shuffle is run once.
-    """
+    """Add ``fold`` to a vector table through its groups. The vectors are stored, as they are read again for their groups."""
+    vectors = materialize(vectors, "vectors")
     folds = deal_folds(group_table(vectors), k).select(GROUP, "fold")
     return vectors.join(folds, GROUP).select(*vectors.columns, "fold")
 

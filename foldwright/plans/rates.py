@@ -31,7 +31,7 @@ def reference_names(n_features: int) -> dict[str, str]:
 
 def split_vectors(df: DataFrame, features: Sequence[str], n_folds: int = N_FOLDS) -> DataFrame:
     """Stored vectors with their hold-out side."""
-    vectors = vector_table(df, features)
+    vectors = materialize(vector_table(df, features), "vectors")
     sides = holdout_groups(group_table(vectors), n_folds).select("group_id", SPLIT)
     return materialize(vectors.join(sides, "group_id").select(*vectors.columns, SPLIT), "split-vectors")
 
