@@ -131,7 +131,8 @@ def found_alignment(df):
 
 
 TEXTS = ["the river and the stone", "", None, "a", " two  spaces\tand\nlines ", "<|endoftext|> </s> <unk> <0x41>", "Über die Brücke, ñandú! 東京 😀",
-         "trailing ", "a▁b", "e\u0301clair", "x" * 300, "\u0000 null", "the river and the stone"]
+         "trailing ", "a▁b", "e\u0301clair", "x" * 300, "\u0000 null", "the river and the stone", " ", "  ", "\n", "a \n b", "a\n b\t c  d",
+         "x\u00a0 y \u00a0z", "a\u3000 b \x1c c\x85 d", "n 's 't 're ' s", "a ² b ½ c _ d ٣ e", "é ﬁ ﬁ", "one " * 300 + "\u2581two", "word" * 3000 + " end"]
 
 
 def test_token_alignment(spark):
@@ -141,7 +142,7 @@ def test_token_alignment(spark):
     rows += [(50 + k, " ".join(draws.choice(words) for _ in range(draws.randrange(1, 400)))) for k in range(30)]
     want = alignment(rows)
     assert found_alignment(token_alignment.align_tokens(documents(spark, rows), A, B)) == want
-    assert found_alignment(token_alignment.align_tokens(documents(spark, rows), A, B, piece=40)) == want
+    assert found_alignment(token_alignment.align_tokens(documents(spark, rows).repartition(1), A, B, words=5)) == want
     assert any(x[1] == 0 for x in want) and any(x[3] < min(x[1], x[2]) for x in want)
     assert found_alignment(token_alignment.align_tokens(documents(spark, []), A, B)) == []
     text_ids = [("k", "the river"), (None, None)]
@@ -160,9 +161,23 @@ def test_lockstep_against_sets_of_ends():
 
 
 def test_linked_ids_are_bounded_by_the_vocabularies():
-    a, b = token_alignment.sides(A, B)
+    pair = token_alignment.tokenizers_of(A, B)
+    a, b = pair.a, pair.b
     assert a.lengths.sum() + b.lengths.sum() < 600_000 and (a.lengths > 0).all() and (b.lengths > 0).all()
-    assert not any(" " in e.decode(errors="replace").lstrip(" ") for e in b.entries)  # so a cut at a space between letters is safe
+
+
+def test_words_give_the_ids_of_whole_texts(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + TEXTS
+    texts = [t for t in texts if t]
+    pair = token_alignment.tokenizers_of(A, B)
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    for text in texts:
+        words, counts = pair.numbered([text])
+        if not counts[0]:
+            continue
+        assert pair.a.of(words)[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids
+        assert pair.b.of(words)[0].tolist() == b.encode(text)
 
 
 PAGES = [(1, "https://a.example.com/de/1"), (2, "http://A.Example.COM/en/x?y#z"), (3, "https://www.example.com/en/"), (4, "ftp://x.net/es/a"),
