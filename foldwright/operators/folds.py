@@ -55,21 +55,21 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
 
     Heavy groups (see ``HEAVY``), which alone can unbalance folds, are placed first, the largest first, each in the
     least loaded fold; the others, the tail, are then dealt by their rank in proportion to what is left of each fold.
-    The groups are stored, as they are counted before they are ranked.
+    The groups are stored with their draw, as they are counted before they are ranked.
     """
-    groups = materialize(groups, "groups")
-    rows = groups.agg(F.sum("n")).first()[0] or 0
+    draw = seeded_draw(seed, F.col(GROUP))
+    stored = materialize(groups.select("*", draw.alias("_draw"), F.substring(draw, 1, 4).alias("_bucket")), "groups")
+    rows = stored.agg(F.sum("n")).first()[0] or 0
     # Fewer than HEAVY x k rows.
-    found = groups.where(F.col("n") * (HEAVY * k) > rows).select(GROUP, "n", seeded_draw(seed, F.col(GROUP)).alias("_draw")).collect()
+    found = stored.where(F.col("n") * (HEAVY * k) > rows).select(GROUP, "n", "_draw").collect()
     order = sorted(found, key=lambda r: (-r.n, r["_draw"], r[GROUP]))
     placed, bounds = deal_heavy([(r[GROUP], r.n) for r in order], rows, k)
     is_heavy = F.col(GROUP).isin(list(placed)) if placed else F.lit(False)
-    tail = groups.where(~is_heavy)
+    tail = stored.where(~is_heavy)
     tilt = 2 * F.col("pos") - F.col("n")
     ranked = prefix_sums(
         tail.select("*", F.signum(tilt).cast("int").alias("_side"), F.abs(tilt).alias("_tilt"),
-                    seeded_draw(seed, F.col(GROUP)).alias("_draw"), F.lit(1).cast("long").alias("_one"))
-        .withColumn("_bucket", F.substring("_draw", 1, 4)),
+                    F.lit(1).cast("long").alias("_one")),
         by=["_side"],
         levels=[[("_tilt", "desc")], [("n", "desc")], [("_bucket", "asc")]],
         order=[("_draw", "asc"), (GROUP, "asc")],
@@ -85,7 +85,7 @@ def deal_folds(groups: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     fold = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= at))
     own = F.create_map(*[x for key, fold in placed.items() for x in (F.lit(key).cast("long"), F.lit(fold).cast("int"))])
     return (ranked.select(*groups.columns, fold.alias("fold"))
-            .unionByName(groups.where(is_heavy).select("*", own[F.col(GROUP)].alias("fold"))))
+            .unionByName(stored.where(is_heavy).select(*groups.columns, own[F.col(GROUP)].alias("fold"))))
 
 
 def holdout_groups(groups: DataFrame, n_folds: int, seed: int = SEED) -> DataFrame:

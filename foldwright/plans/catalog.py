@@ -378,6 +378,9 @@ def sql_checked() -> dict:
 
 # Learned models: whole tables, forests of the size that the selection uses ------------------
 
+# Rows that stand for the copies of one (vector, label) pair in the fits of the elimination, which keep the weight of all.
+ELIMINATION_COPIES = 32
+
 TRIAL = {"n_estimators": SELECTION_FOREST["numTrees"], "max_depth": SELECTION_FOREST["maxDepth"],
          "max_features": SELECTION_FOREST["featureSubsetStrategy"], "criterion": "gini"}
 
@@ -429,7 +432,7 @@ def leakage_comparison(spark, d):
 
 def rfe_history(spark, d):
     """Every step of the elimination with the forest of the selection: an AUC per subset and fold, and what it drops."""
-    steps = S.eliminate(_train_vectors(spark, d), KEPT, SELECTION_FOREST)
+    steps = S.eliminate(_train_vectors(spark, d), KEPT, SELECTION_FOREST, copies=ELIMINATION_COPIES)
     return small_table(spark, S.history_rows(steps), S.HISTORY_SCHEMA)
 
 
