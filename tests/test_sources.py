@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwright.constants import METRIC_COLUMNS
 from foldwright.session import materialize, scratch_path, scratch_run
-from foldwright.sources.attributes import attribute_names, load_ternary, write_ternary
+from foldwright.sources.attributes import attribute_names, load_checked, load_ternary, write_ternary
 from foldwright.sources.publication import is_whole, manifests, publish, published
 from foldwright.sources.tables import (load_clean, read_report, read_variant, six_decimals, write_clean, write_report,
                                        write_summary)
@@ -53,6 +53,35 @@ def test_malformed_value_is_an_error(spark, tmp_path):
         load_ternary(spark, str(tmp_path / "bad.arff")).collect()
 
 
+def test_bad_lines_are_set_aside_with_file_and_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = [(i % 3 - 1, 1 - 2 * (i % 2), 1) for i in range(3000)]
+    lines = [",".join(map(str, r)) for r in good]
+    for at, text in ((2500, "1,1"), (1200, "1,x,1"), (7, "1,1,1,1"), (0, "400,1,1")):
+        lines.insert(at, text)
+    (tmp_path / "in" / "a.arff").write_text(HEADER + "% inside\n" + "\n".join(lines) + "\n")
+    (tmp_path / "in" / "b.arff").write_text(HEADER + "1,1,\n0,1,1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = load_checked(spark, str(tmp_path / "in"))
+        rows, bad = got.rows.orderBy("row_index").collect(), got.bad.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert (got.n_rows, got.n_bad) == (len(rows), len(bad)) == (3001, 5)
+    assert [tuple(r)[1:] for r in rows] == [*good, (0, 1, 1)] and len({r.row_index for r in rows}) == 3001
+    shift = HEADER.count("\n") + 2
+    want = {("a.arff", lines.index(t) + shift, t) for t in ("1,1", "1,x,1", "1,1,1,1", "400,1,1")} | {("b.arff", shift - 1, "1,1,")}
+    assert {(r.file.rsplit("/", 1)[1], r.line, r.text) for r in bad} == want
+
+
+def test_a_file_without_bad_lines_has_an_empty_side_table(spark, tmp_path):
+    (tmp_path / "data.arff").write_text(HEADER + "1,1,1\n0,-1,1\n")
+    got = load_checked(spark, str(tmp_path / "data.arff"))
+    assert (got.n_rows, got.n_bad, got.bad.count()) == (2, 0, 0)
+    assert sorted(got.rows.collect()) == sorted(load_ternary(spark, str(tmp_path / "data.arff")).collect())
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_clean_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(0, 1, 1, 77, "train"), (1, -1, 0, 2 ** 47, "test")],
