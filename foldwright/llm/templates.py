@@ -49,25 +49,30 @@ CURRENCY_BEFORE = r"([$€£¥])(?= ?\p{Nd})"
 NUMBERS = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 #: A capitalised word inside a sentence.
 NAMES = r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}++"
-#: Any other capitalised word.
-OTHERS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}\p{{Ll}}++"
+#: Any other capitalised word. What stands before it is looked at behind its capital, as capitals are few.
+OTHERS = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{MARKS}]\p{{Lu}})\p{{Ll}}++"
 SPACES = r"[\s\p{Z}]++"
-#: Scripts without spaces between words.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-LITERAL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]++|{NUMBERS}|[^\s\p{{Z}}]"
+#: Scripts without spaces between words; none has letters below U+0E00, which is known before the script is looked up.
+SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNSPACED = rf"[\u0E00-\x{{10FFFF}}&&[{SCRIPTS}]]"
+LITERAL = rf"[{SCRIPTS}]|[\p{{L}}\p{{M}}&&[^{SCRIPTS}]]++|{NUMBERS}|[^\s\p{{Z}}]"
 
 
-def tokens(text: Column, keep: bool = False) -> Column:
-    """The tokens of ``text`` with placeholders; with ``keep``, the values stand behind their placeholders."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARKS, ""), SPACES, " ")
+def marked(text: Column, keep: bool = False) -> Column:
+    """The tokens of ``text`` with placeholders, a space between them; with ``keep``, values stand behind their placeholders."""
+    plain = F.regexp_replace(reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("")), MARKS, F.coalesce(text, F.lit(""))), SPACES, " ")
     plain = F.regexp_replace(F.regexp_replace(plain, NAMES, NAME + ("$0" if keep else "")), OTHERS, MAYBE + "$0")
     for pattern, before, value, after in ((UNIT_AFTER, "$1 ", "$2", " "),
                                           (CURRENCY_BEFORE, " ", "$1", " "), (NUMBERS, " ", "$0", " ")):
         mark = NUMBER if pattern == NUMBERS else UNIT
         plain = F.regexp_replace(plain, pattern, before + mark + (value if keep else "") + after)
     plain = F.regexp_replace(F.lower(plain), rf"[^\p{{L}}\p{{N}}\s{MARKS}]++", "")
-    plain = F.regexp_replace(plain, f"[{UNSPACED}]", " $0 ")
-    return F.split(F.trim(F.regexp_replace(plain, r"\s++", " ")), " ")
+    plain = F.regexp_replace(plain, UNSPACED, " $0 ")
+    return F.trim(F.regexp_replace(plain, r"\s++", " "))
+
+
+def tokens(text: Column, keep: bool = False) -> Column:
+    return F.split(marked(text, keep), " ")
 
 
 def literal_tokens(text: Column) -> Column:
@@ -86,44 +91,41 @@ def _plain(token: Column) -> Column:
     return F.translate(token, MAYBE, "")
 
 
-def _named(token: Column) -> Column:
-    """A token in which a word that may be a name is one."""
-    return F.when(F.substring(token, 1, 1).isin(NAME, MAYBE), NAME).otherwise(_plain(token))
-
-
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """``at`` and ``window`` (hash) of all windows of ``length`` tokens; ``rows`` has ``hashes``, one for each token.
+    """``at`` and ``window`` (hash) of all windows of ``length`` tokens; ``rows`` has ``plain``, an array of the tokens.
 
-    With a column ``named``, the other hash of each token, windows that differ by it are there with both.
+    With a column ``named``, the other reading of each token, windows that differ by it are there with both. A window is
+    hashed behind the explosion of its place, where it is compiled; a lambda over an array would be interpreted.
     """
-    places = F.when(F.size("hashes") >= length, F.sequence(F.lit(0), F.size("hashes") - length)).otherwise(
-        F.array().cast("array<int>"))
-    def at_places(hashes: str) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(*(F.get(F.col(hashes), i + k) for k in range(length))))
-
-    keys = [c for c in rows.columns if c not in ("hashes", "named", "tokens")]
-    if "named" not in rows.columns:
-        return rows.select(*keys, F.posexplode(at_places("hashes")).alias("at", "window"))
-    both = F.zip_with(at_places("hashes"), at_places("named"), lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
-    return rows.select(*keys, F.posexplode(both).alias("at", "either")).select(*keys, "at", F.explode("either").alias("window"))
+    places = F.when(F.size("plain") >= length, F.sequence(F.lit(0), F.size("plain") - length))
+    readings = [c for c in ("plain", "named") if c in rows.columns]
+    keys = [c for c in rows.columns if c not in readings]
+    cut = rows.select(*keys, *readings, F.explode(places).alias("at"))
+    hashes = [F.xxhash64(*(F.get(F.col(c), F.col("at") + k) for k in range(length))).alias(f"as_{c}") for c in readings]
+    cut = cut.select(*keys, "at", *hashes)
+    if "named" not in readings:
+        return cut.withColumnRenamed("as_plain", "window")
+    either = F.when(F.col("as_plain") == F.col("as_named"), F.array("as_plain")).otherwise(F.array("as_plain", "as_named"))
+    return cut.select(*keys, "at", F.explode(either).alias("window"))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """``rows`` with the hashes of its ``tokens``, either way."""
-    return (rows.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(_plain(t))))
-            .withColumn("named", F.transform("tokens", lambda t: F.xxhash64(_named(t)))))
+def _read(rows: DataFrame) -> DataFrame:
+    """``rows`` with the two readings of their ``marked`` text: a word that may be a name is none, or is one."""
+    names = F.regexp_replace("marked", f"(?<![^ ])[{NAME}{MAYBE}][^ ]*+", NAME)
+    return (rows.withColumn("plain", F.split(F.replace("marked", F.lit(MAYBE), F.lit("")), " "))
+            .withColumn("named", F.split(F.replace(names, F.lit(MAYBE), F.lit("")), " ")).drop("marked"))
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item, n_windows, length, at, window of the benchmark windows that count."""
     items = materialize(benchmark.select("item_id", "text").dropDuplicates()
-                        .withColumn("tokens", tokens(F.col("text")))
+                        .withColumn("marked", marked(F.col("text"))).withColumn("tokens", F.split("marked", " "))
                         .withColumn("item", F.xxhash64("item_id", "text")).where(F.size("tokens") >= LEAST), "items")
     lengths = [r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().collect()]
     found = []
     for length in sorted(lengths):
         own = items.where(F.least(F.size("tokens"), F.lit(window)) == length)
-        cut = _windows(_hashed(own.select("item", "tokens")), length).withColumn("length", F.lit(length))
+        cut = _windows(_read(own.select("item", "marked")), length).withColumn("length", F.lit(length))
         marks = F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(length)), lambda t: _mark(_plain(t)).isNotNull()))
         found.append(cut.join(own.select("item", "tokens"), "item").where(2 * marks <= length).drop("tokens"))
     if not found:
@@ -141,7 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     known = materialize(_item_windows(benchmark, window), "item-windows")
     small = known.count() <= BROADCAST_WINDOWS
     lengths = [r["length"] for r in known.select("length").distinct().collect()]
-    texts = _hashed(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), tokens(F.col("text")).alias("tokens")))
+    texts = _read(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), marked(F.col("text")).alias("marked")))
     hits = []
     for length in sorted(lengths) or [window]:
         own = known.where(F.col("length") == length).select("item", "n_windows", F.col("at").alias("item_at"), "window")
@@ -166,20 +168,20 @@ def _occurrences(docs: DataFrame, benchmark: DataFrame, known: DataFrame) -> Dat
     """The literal occurrences of the items without windows in ``known``; None without such items."""
     every = (benchmark.select("item_id", "text").dropDuplicates().withColumn("item", F.xxhash64("item_id", "text"))
              .join(known.select("item").distinct(), "item", "left_anti"))
-    bare = materialize(every.withColumn("hashes", F.transform(literal_tokens(F.col("text")), lambda t: F.xxhash64(t)))
+    bare = materialize(every.withColumn("plain", literal_tokens(F.col("text")))
                        .withColumn("slots", F.size(F.filter(tokens(F.col("text")), lambda t: _mark(_plain(t)).isNotNull())))
-                       .where(F.size("hashes") > 0).withColumn("length", F.least(F.size("hashes"), F.lit(WINDOW)))
-                       .select("item", "item_id", "hashes", "length", "slots"), "items-without-windows")
+                       .where(F.size("plain") > 0).withColumn("length", F.least(F.size("plain"), F.lit(WINDOW)))
+                       .select("item", "item_id", "plain", "length", "slots"), "items-without-windows")
     lengths = [r["length"] for r in bare.select("length").distinct().collect()]
     if not lengths:
         return None
-    small = bare.select(F.sum(F.size("hashes"))).first()[0] <= BROADCAST_WINDOWS
+    small = bare.select(F.sum(F.size("plain"))).first()[0] <= BROADCAST_WINDOWS
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-                        F.transform(literal_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
+                        literal_tokens(F.col("text")).alias("plain"))
     hits = []
     for length in sorted(lengths):
         own = _windows(bare.where(F.col("length") == length).select(
-            "item", (F.size("hashes") - length + 1).alias("n_windows"), "hashes"), length).withColumnRenamed("at", "item_at")
+            "item", (F.size("plain") - length + 1).alias("n_windows"), "plain"), length).withColumnRenamed("at", "item_at")
         hits.append(_windows(texts, length).join(F.broadcast(own) if small else own, "window"))
     # A run is there as a whole if all its windows are, at one distance.
     return (reduce(DataFrame.unionByName, hits)
