@@ -56,7 +56,7 @@ def _same(x, y):
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
-    from foldwright.session import local_session
+    from foldwright.session import local_session, scratch_run
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     only = sys.argv[2:]
@@ -67,8 +67,9 @@ if __name__ == "__main__":
             continue
         start = time.time()
         try:
-            df = run(spark, folder)
-            found = differences(df, con, twins[name]) if name in twins else [f"rows only: {df.count()}"]
+            with scratch_run(spark, "compare"):
+                df = run(spark, folder)
+                found = differences(df, con, twins[name]) if name in twins else [f"rows only: {df.count()}"]
         except Exception as e:  # report and go on with the next query
             found = [f"{type(e).__name__}: {str(e)[:600]}"]
         print(f"{name:28s} {time.time() - start:6.1f}s  {found or 'equal'}", flush=True)
