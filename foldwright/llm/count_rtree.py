@@ -3,12 +3,14 @@
 A document's set are the hashes of its distinct shingles. Two documents link when
 ``100 * intersection >= percent * union``; the result names the component of links that a document is in.
 
-Tokens are hashed into groups and the counts of the groups are a document's point. Two linked sets differ in at most
-``spare`` tokens, a number that follows from their sizes, so of more than ``spare`` groups at least one holds the same
-tokens in both. The root of the tree therefore splits the points by the content of one group: a cell holds the documents
-of a band of sizes that agree in a group, and every link lies in a cell. Inside a cell the points are packed into boxes;
-for two boxes, and then for two points, the sum over the groups of the smaller coordinate bounds the intersection from
-above. The pairs that survive are verified on their sets.
+Tokens are hashed into groups and the counts of the groups are a document's point. Two linked sets have at least
+``percent`` per cent of the larger one's tokens in common, so in any order of all tokens the first common one stands
+among the first ``n - ceil(percent * n / 100) + 1`` of either. The root of the tree therefore splits the points by these
+first tokens: a cell holds the documents that have its token there, and every link lies in a cell. The order puts rare
+tokens first, by counts of all documents' tokens in a table of fixed size (``BUCKETS``); the counts decide how large
+cells get and nothing else. Inside a cell the points are packed into boxes; for two boxes, and then for two points, the
+sum over the groups of the smaller coordinate bounds the intersection from above. The pairs that survive are verified on
+their sets.
 
 Cells can be large, so links are found without all pairs of a cell. Equal sets are one point. In rounds, one document of
 a cell meets the others; what it links to becomes one part, and only documents outside the largest part of their cell go
@@ -24,7 +26,6 @@ stands; an empty table gives an empty result. Columns other than doc_id and text
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 from collections.abc import Callable, Iterator
 
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from foldwright.llm.common import bounded_batches, materialize, small_enough
 
 WORDS, PERCENT = 3, 90
-#: Coordinates of a point, ratio of the sizes of a band, share of further groups, so that small groups need no cell.
-COORDINATES, BAND, SKIPPED = 64, 1.5, 0.33
+#: Coordinates of a point.
+COORDINATES = 64
+#: Counters of tokens, a power of two, and the chunks that they are added up in: 1 MB of ranks goes to the tasks, whatever the table.
+BUCKETS, CHUNKS = 1 << 20, 64
 #: Rounds of one against all before the rest of a cell meets, and the pairs for each cell and member at which it meets.
 ROUNDS, PAIRS_PER_MEMBER = 8, 4
 #: A round that links fewer than one pair in so many is the last of its kind.
@@ -114,30 +117,50 @@ def spare(size_a: int, size_b: int, percent: int) -> int:
     return (size_a + size_b) * (100 - percent) // (100 + percent)
 
 
-def band_of(size: int) -> int:
-    return int(math.log(size) / math.log(BAND) + 1e-9)
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
 
-def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set: for its band and the next one that its partners reach, the content of each group."""
+def commonness(docs: DataFrame, words: int) -> np.ndarray:
+    """A rank from 0 to 255 for each bucket of tokens, in steps of an eighth of a doubling of the documents' tokens in it."""
+    width = BUCKETS // CHUNKS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, _bucket(shingles(text.as_py(), words)), 1)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()),
+                                          "counts": [part.tobytes() for part in total.reshape(CHUNKS, width)]})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()),
+                                          "ranks": pa.array([np.floor(np.log2(1 + c) * 8).clip(0, 255).astype(np.uint8).tobytes()
+                                                             for c in sums.values()], pa.binary())})
+
+    found = (docs.select("text").mapInArrow(counted, "chunk int, counts binary").repartition("chunk")
+             .mapInArrow(added, "chunk int, ranks binary"))
+    ranks = np.zeros((CHUNKS, width), np.uint8)
+    for row in found.collect():
+        ranks[row["chunk"]] = np.frombuffer(row["ranks"], np.uint8)
+    return ranks.reshape(-1)
+
+
+def cells(tokens: np.ndarray, percent: int, ranks: np.ndarray) -> np.ndarray:
+    """The cells of a set, in order: its first tokens, rare ones first, as many as must hold one that a linked set has too.
+
+    Tokens whose keys are equal stand or fall together.
+    """
     n = len(tokens)
-    largest = n * 100 // percent if n else 0
-    if not n or not spare(n, largest, percent):
+    if not n or not spare(n, n * 100 // percent, percent):
         return np.zeros(0, np.int64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    out = []
-    for band in range(band_of(n), band_of(largest) + 1):
-        top = int(BAND ** (band + 1)) + 1
-        allowed = spare(top, top, percent)
-        skipped = max(1, int(SKIPPED * allowed))
-        groups = allowed + 1 + skipped
-        edges = np.arange(1, groups, dtype=np.uint64) * np.uint64((1 << 64) // groups)
-        ends = np.concatenate([[0], np.searchsorted(tokens, edges), [n]])
-        keys = _mixed(_mixed(total[ends[1:]] - total[ends[:-1]]) + np.arange(groups, dtype=np.uint64) + np.uint64(band << 32))
-        sizes = ends[1:] - ends[:-1]
-        # Of the groups that agree, one has more tokens than the smallest ``skipped`` groups of either set.
-        out.append(keys[sizes > np.partition(sizes, skipped)[skipped] - 1])
-    return np.concatenate(out).view(np.int64)
+    keys = (ranks[_bucket(tokens)].astype(np.uint64) << np.uint64(56)) | (_mixed(tokens) >> np.uint64(8))
+    last = n - (percent * n + 99) // 100
+    return np.unique(keys[keys <= np.partition(keys, last)[last]]).view(np.int64)
 
 
 def _tokenised(docs: DataFrame, words: int, schema: str, made: Callable[[list, list[np.ndarray]], dict]) -> DataFrame:
@@ -151,13 +174,13 @@ def _tokenised(docs: DataFrame, words: int, schema: str, made: Callable[[list, l
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def points(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def points(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """doc_id, n, node (64 bits of the set's digest), counts, cells of every row."""
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> dict:
         digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
         counts = [np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES) for s in sets]
-        keys = [cells(s, percent) for s in sets]
+        keys = [cells(s, percent, ranks) for s in sets]
         ends = np.cumsum([0, *map(len, keys)])
         return {"doc_id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(digests, pa.binary()),
                 "counts": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES,
@@ -274,23 +297,6 @@ def _boxes(known: DataFrame) -> DataFrame:
         "box", "n", F.array(*(f"c{k}" for k in range(COORDINATES))).alias("counts"))
 
 
-def _rest(few: DataFrame, rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``few`` with all ``rows`` (cell, node, part) of their cell in other parts whose boxes and points allow a link."""
-    few, rows = (materialize(part.join(known, "node"), name) for part, name in ((few, "few"), (rows, "boxed")))
-    corners = materialize(_boxes(known), "boxes")
-    met = (few.select("cell", F.col("box").alias("p")).distinct().join(rows.select("cell", F.col("box").alias("q")).distinct(), "cell")
-           .select("p", "q").distinct())
-    allowed = materialize(
-        met.join(corners.select(F.col("box").alias("p"), F.struct("n", "counts").alias("a")), "p")
-        .join(corners.select(F.col("box").alias("q"), F.struct("n", "counts").alias("b")), "q")
-        .where(_may_link("a", "b", percent)).select("p", "q"), "box-pairs")
-    left = few.select("cell", F.col("node").alias("a"), F.col("part").alias("x"), F.col("box").alias("p"),
-                      F.struct("n", "counts").alias("one")).join(small_enough(allowed), "p")
-    right = rows.select("cell", F.col("node").alias("b"), F.col("part").alias("y"), F.col("box").alias("q"),
-                        F.struct("n", "counts").alias("other"))
-    return left.join(right, ["cell", "q"]).where("x != y").where(_may_link("one", "other", percent)).select("a", "b")
-
-
 def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose points allow a link."""
     a = known.select(F.col("node").alias("a"), F.struct("n", "counts").alias("p"))
@@ -298,12 +304,39 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_may_link("p", "q", percent)).select("a", "b")
 
 
+def _met(few: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, p, q: nodes and their boxes) of ``few`` with all ``rows`` of their cell in other parts.
+
+    A pair is left to the cells that can be that of its first common token: the tokens in front of it are in one set only.
+    """
+    one, other = (F.struct("node", "box", "n", "place", "part").alias(side) for side in ("one", "other"))
+    pairs = few.select("cell", one).join(rows.select("cell", other), "cell").where(
+        (F.col("one.part") != F.col("other.part"))
+        & (F.least("one.n", "other.n") * 100 >= F.greatest("one.n", "other.n") * percent)
+        & ((F.col("one.place") + F.col("other.place")) * (100 + percent) <= (F.col("one.n") + F.col("other.n")) * (100 - percent)))
+    ends = [F.struct(f"{side}.node", f"{side}.box") for side in ("one", "other")]
+    return (pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.box").alias("p"), F.col("b.box").alias("q")).distinct())
+
+
+def _rest(few: DataFrame, rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``few`` with all ``rows`` (cell, node, n, place, box, part) of their cell whose boxes and then points allow a link."""
+    met = materialize(_met(few, rows, percent), "met")
+    corners = materialize(_boxes(known), "boxes")
+    allowed = (met.select("p", "q").distinct()
+               .join(corners.select(F.col("box").alias("p"), F.struct("n", "counts").alias("a")), "p")
+               .join(corners.select(F.col("box").alias("q"), F.struct("n", "counts").alias("b")), "q")
+               .where(_may_link("a", "b", percent)).select("p", "q"))
+    near = met.join(small_enough(materialize(allowed, "box-pairs")), ["p", "q"], "left_semi")
+    return _possible(near.select("a", "b").distinct(), known, percent)
+
+
 def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """node and part of the nodes that share a cell with another one; the parts at the end are components of links.
 
     ``nodes``: node (the smallest doc_id with that set), n, counts, cells.
     """
-    spread = nodes.select("node", F.explode("cells").alias("cell"))
+    spread = _boxed(nodes).select("node", "n", "box", F.posexplode("cells").alias("place", "cell"))
     shared = materialize(spread.groupBy("cell").count().where("count > 1").select("cell"), "cells")
     members = materialize(spread.join(small_enough(shared), "cell").distinct(), "members")
     inside = materialize(members.select("node").distinct(), "cell-nodes")
@@ -325,7 +358,6 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
         if load is None:
             break
         last = load <= enough or stalled or turn == ROUNDS
-        rows, few = rows.select("cell", "node", "part"), few.select("cell", "node", "part")
         if last:
             pairs = _rest(few, rows, known, percent)
         else:
@@ -333,8 +365,6 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
                 F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part")).alias("a"))
             pairs = (rows.join(centre, "cell").where(F.col("a.part") != F.col("part"))
                      .select(F.col("a.node").alias("a"), F.col("node").alias("b")))
-        if last:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialize(pairs.distinct(), "pairs")
         possible = pairs if last else materialize(_possible(pairs, known, percent), "possible")
         linked = verified(possible, docs, words, percent)
@@ -352,7 +382,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bounded_batches(docs.sparkSession)
-    every = materialize(points(docs, words, percent), "points")
+    every = materialize(points(docs, words, percent, commonness(docs, words)), "points")
     firsts = materialize(every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
     nodes = every.join(small_enough(firsts), ["node", "doc_id"], "left_semi").select(
         F.col("doc_id").alias("node"), "n", "counts", "cells")
