@@ -43,8 +43,8 @@ COORDINATES = 64
 BUCKETS, CHUNKS = 1 << 20, 64
 #: Rounds of one against all before the rest of a cell meets, and the pairs for each cell and member at which it meets.
 ROUNDS, PAIRS_PER_MEMBER = 8, 4
-#: A round that links fewer than one pair in so many is the last of its kind.
-STALLED = 50
+#: A round that leaves more than this share of the pairs to meet is the last of its kind.
+STALLED = 0.75
 #: Width of a box in logarithms of the set size, and in standard deviations of half the coordinates.
 BOX_SIZE, BOX_SPREAD = 0.03, 0.5
 #: Bytes hashed at once, up to the end of a word: bounds the work arrays of a long text.
@@ -344,7 +344,7 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
     labels = inside.select("node", F.col("node").alias("part"))
     enough = PAIRS_PER_MEMBER * members.count()
     links: DataFrame | None = None
-    stalled = False
+    before = None
     for turn in range(ROUNDS + 1):
         rows = members.join(labels, "node")
         sizes = rows.groupBy("cell", "part").count().groupBy("cell").agg(
@@ -357,7 +357,8 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
         load = few.agg(F.sum("size")).first()[0]
         if load is None:
             break
-        last = load <= enough or stalled or turn == ROUNDS
+        last = load <= enough or turn == ROUNDS or (before is not None and load > STALLED * before)
+        before = load
         if last:
             pairs = _rest(few, rows, known, percent)
         else:
@@ -373,7 +374,6 @@ def parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
         if last:
             break
         labels = hooked(labels, linked)
-        stalled = STALLED * linked.count() < pairs.count()
     return labels if links is None else merged(labels, links)
 
 
