@@ -7,7 +7,9 @@ agree on the majority class, which coarsens the probabilities and with them ever
 metric; the regression trees only merge leaves that predict the same share.
 
 Forests are fitted and evaluated on distinct vectors with row count ``n`` and positives
-``pos``; rows are read once, when that table is built, however many fits follow.
+``pos``; rows are read once, when that table is built, however many fits follow. Regression trees
+are grown by ``trees``, which draws how many copies of a vector a tree samples; classification trees (entropy)
+by Spark, over the rows behind the vectors.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
+from foldwright.operators.trees import fit_trees
 from foldwright.operators.weights import with_class_weight
 from foldwright.session import materialize, scratch_path, small_table
 
@@ -61,6 +64,15 @@ def training_partitions(vectors: DataFrame, copies: int = COPIES) -> int:
     return max(1, -(-rows // ROWS_PER_TASK))
 
 
+def training_pairs(vectors: DataFrame, features: Sequence[str], balanced: bool = False) -> DataFrame:
+    """(features, label, m, class_weight): the row count and the weight of a row of every (vector, label) pair."""
+    labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+              .selectExpr(*[f"`{f}`" for f in features],
+                          f"inline(array(struct(1 AS {LABEL}, pos AS m), struct(0 AS {LABEL}, n - pos AS m)))")
+              .where("m > 0"))
+    return with_class_weight(labels) if balanced else labels.withColumn("class_weight", F.lit(1.0))
+
+
 def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False,
                   partitions: int | None = None, copies: int = COPIES) -> DataFrame:
     """The rows behind a vector table as (features, label, weight).
@@ -73,14 +85,7 @@ def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool =
     largest pair. The explicit repartition spreads the small table before it grows; sorting its
     partitions makes the rows that a seed samples independent of their arrival.
     """
-    labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-              .selectExpr(*[f"`{f}`" for f in features],
-                          f"inline(array(struct(1 AS {LABEL}, pos AS m), struct(0 AS {LABEL}, n - pos AS m)))")
-              .where("m > 0"))
-    if balanced:
-        labels = with_class_weight(labels)
-    else:
-        labels = labels.withColumn("class_weight", F.lit(1.0))
+    labels = training_pairs(vectors, features, balanced)
     spread = labels.repartition(partitions or training_partitions(vectors, copies), *features, LABEL)
     return spread.sortWithinPartitions(*features, LABEL).selectExpr(
         *[f"`{f}`" for f in features], LABEL,
@@ -89,9 +94,13 @@ def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool =
 
 def fit_forest(vectors: DataFrame, features: Sequence[str], params: Mapping, balanced: bool = False,
                partitions: int | None = None, copies: int = COPIES) -> PipelineModel:
-    rows = training_rows(vectors, features, balanced, partitions, copies)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    model = _learner(params).fit(assembler.transform(rows).drop(*features))
+    """The forest of a vector table. Regression trees grow over its vectors, classification trees over the rows behind them."""
+    assembler, learner = VectorAssembler(inputCols=list(features), outputCol="_x"), _learner(params)
+    if isinstance(learner, RandomForestRegressor):
+        model = fit_trees(training_pairs(vectors, features, balanced), assembler, learner, copies)
+    else:
+        rows = training_rows(vectors, features, balanced, partitions, copies)
+        model = learner.fit(assembler.transform(rows).drop(*features))
     return PipelineModel([assembler, model])
 
 

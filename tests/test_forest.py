@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwright.operators import contributions as contributions_module
 from foldwright.operators import forest as R
 from foldwright.operators.contributions import contributions, leaf_table, mean_abs_contribution, shapley, unpacked
+from foldwright.operators.trees import subset_size
 from foldwright.operators.vectors import count_rows
 from foldwright.plans import select as S
 from foldwright.sources.models import decision_of, load_model, save_model
@@ -107,6 +108,41 @@ def test_a_seed_gives_one_forest_whatever_the_session_and_the_arrival(spark, vec
     assert len(trees) == 1
 
 
+def test_trees_without_sampling_are_those_of_spark(spark, vectors):
+    params = {"numTrees": 2, "maxDepth": 5, "bootstrap": False, "featureSubsetStrategy": "all", "seed": 3, "minInstancesPerNode": 3}
+    model, rows = R.fit_forest(vectors, FEATURES, params), R.training_rows(vectors, FEATURES)
+    want = R._learner(params).fit(model.stages[0].transform(rows).drop(*FEATURES))
+    assert model.stages[1].totalNumNodes == want.totalNumNodes
+    assert model.stages[1].featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+    both = R.score(model, vectors).withColumnRenamed("score", "own")
+    for r in want.transform(model.stages[0].transform(both)).collect():
+        assert r.own == pytest.approx(r.prediction, abs=1e-12)
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_a_fit_costs_no_row_per_copy_and_samples_the_share_of_them(spark, bootstrap):
+    df = spark.createDataFrame([(1, 10**9, 8 * 10**8), (0, 10**9, 10**8)], "a int, n long, pos long")
+    params = {"numTrees": 3, "maxDepth": 2, "subsamplingRate": 0.5, "bootstrap": bootstrap, "seed": 1}
+    model = R.fit_forest(df, ["a"], params, copies=10**9)
+    for r in leaf_table(spark, {0: model}).collect():
+        assert r.leaves == 2
+    for tree in model.stages[1].trees:
+        root = tree._call_java("rootNode").impurityStats()
+        assert root.count() == pytest.approx(10**9, rel=1e-3) and root.count() != 10**9
+    assert {r.a: r.score for r in R.score(model, df).collect()} == pytest.approx({1: 0.8, 0: 0.1}, abs=1e-3)
+
+
+def test_a_forest_does_not_depend_on_tasks(spark, vectors):
+    params = {"numTrees": 4, "maxDepth": 4, "subsamplingRate": 0.8, "bootstrap": False, "seed": 5}
+    one, other = (R.fit_forest(vectors, FEATURES, params, partitions=n).stages[-1].toDebugString.split("\n", 1)[1] for n in (1, 3))
+    assert one == other
+
+
+def test_features_that_a_node_looks_at():
+    sizes = {s: subset_size(s, 7, 300) for s in ("all", "auto", "sqrt", "log2", "onethird", "0.6", "0.5", "3", "9")}
+    assert sizes == {"all": 7, "auto": 3, "sqrt": 3, "log2": 3, "onethird": 3, "0.6": 5, "0.5": 4, "3": 3, "9": 7}
+
+
 SPACE = {"n_estimators": range(2, 4), "max_depth": [2, None], "class_weight": [None, "balanced"],
          "max_features": ["sqrt", 0.5, None], "criterion": ["gini", "entropy"], "min_samples_split": range(2, 20)}
 
