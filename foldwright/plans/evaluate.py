@@ -13,7 +13,7 @@ from foldwright.constants import (EVAL_OOF, EVAL_TEST, GROUP, LABEL, N_FOLDS, RO
                                   SPLIT)
 from foldwright.functions.columns import feature_cols, label_from_target
 from foldwright.operators.folds import random_holdout
-from foldwright.operators.forest import (COPIES, feature_importance, fit_folds, fit_forest, score, score_folds, search,
+from foldwright.operators.forest import (COPIES, feature_importance, fit_folds, fit_forest, in_parallel, score, score_folds, search,
                                          spark_params)
 from foldwright.operators.metrics import (class_report, compute_metrics, confusion_matrix, fold_and_pooled,
                                           metrics_summary, union_all, vector_score_counts)
@@ -60,11 +60,9 @@ def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], sel
     """
     names = reference_names(len(features))
     loose = materialize(vector_table(random_holdout(rows), features, [SPLIT]), "random-vectors")
-    return union_all([
-        reference_run(loose, features, trial, prefix + names["all_random"], copies),
-        reference_run(split, features, trial, prefix + names["all_group"], copies),
-        reference_run(loose, selected, trial, prefix + names["selected_random"], copies),
-    ])
+    runs = [(loose, features, "all_random"), (split, features, "all_group"), (loose, selected, "selected_random")]
+    return union_all(in_parallel(
+        rows.sparkSession, lambda run: reference_run(run[0], run[1], trial, prefix + names[run[2]], copies), runs, len(runs)))
 
 
 def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]) -> DataFrame:

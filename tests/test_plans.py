@@ -1,6 +1,7 @@
 """What the plans must look like to hold at scale."""
 
 import re
+import threading
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -8,7 +9,9 @@ from pyspark.sql import DataFrameWriter
 import __spark_entry__ as entry
 from foldwright.operators.vectors import count_rows
 from foldwright.plans import audit, catalog
+from foldwright.plans import evaluate as E
 from foldwright.operators.vectors import vector_table
+from foldwright.plans.rates import reference_names
 from foldwright.session import materialize
 from foldwright.sources.orders import FEATURES, labelled
 from tests.conftest import SMALL
@@ -71,3 +74,17 @@ def test_rows_are_hashed_once(spark, stored):
     rows = materialize(labelled(spark, SMALL), "rows")
     text = "\n".join([plan(audit.tag_folds(vector_table(rows, FEATURES))), *stored])
     assert not re.search(r"Filter [^\n]*md5", text)
+
+
+def test_the_comparison_fits_run_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3, i % 2, int(i % 3 == 0)) for i in range(60)], "row_index long, a int, b int, is_phishing int")
+    met = threading.Barrier(3, timeout=60)
+
+    def reference(vectors, features, trial, name, copies):
+        met.wait()
+        return vectors.sparkSession.createDataFrame([(name, len(features))], "evaluation string, features int")
+
+    monkeypatch.setattr(E, "reference_run", reference)
+    got = E.leakage_runs(rows, rows, ["a", "b"], ["a"], {}, prefix="").collect()
+    names = reference_names(2)
+    assert [tuple(r) for r in got] == [(names["all_random"], 2), (names["all_group"], 2), (names["selected_random"], 1)]
