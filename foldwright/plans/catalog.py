@@ -412,7 +412,7 @@ def forest_test_predictions(spark, d):
     clean = _clean(spark, d)
     train = V.count_rows(clean.where(F.col(SPLIT) == "train"), KEPT)
     model = R.fit_forest(train, KEPT, R.spark_params(TRIAL)[0])
-    return prediction_table(R.score(model, clean.where(F.col(SPLIT) == "test")), KEPT, "test")
+    return E.test_predictions(clean, model, KEPT)
 
 
 def forest_oof_predictions(spark, d):

@@ -65,6 +65,13 @@ def leakage_runs(rows: DataFrame, split: DataFrame, features: Sequence[str], sel
         rows.sparkSession, lambda run: reference_run(run[0], run[1], trial, prefix + names[run[2]], copies), runs, len(runs)))
 
 
+def test_predictions(clean: DataFrame, model: PipelineModel, selected: Sequence[str]) -> DataFrame:
+    """Prediction of every test row. Trees are walked once per distinct (group, vector); its rows get the score by a join."""
+    test = clean.where(F.col(SPLIT) == "test").select(ROW, *selected, LABEL, GROUP)
+    scored = materialize(score(model, count_rows(test, [GROUP, *selected])), "test-scores")
+    return prediction_table(attach_by_group(test, scored, ["score"], on=[GROUP, *selected]), selected, "test")
+
+
 def oof_predictions(clean: DataFrame, scored: DataFrame, selected: Sequence[str]) -> DataFrame:
     """Out-of-fold prediction of every train row.
 
@@ -110,7 +117,7 @@ def train_and_evaluate(clean: DataFrame, raw: DataFrame, selected: Sequence[str]
     metrics = materialize(compute_metrics(counts), "metrics")
     return Evaluation(
         model=model, features=selected, best_params=best, cv_roc_auc=found.best_auc, trials=found.trials,
-        test_predictions=prediction_table(score(model, test), selected, "test"),
+        test_predictions=test_predictions(clean, model, selected),
         oof_predictions=oof_predictions(clean, scored, selected),
         metrics=metrics, summary=metrics_summary(metrics),
         class_report=class_report(confusion_matrix(counts.where(F.col("evaluation") == EVAL_TEST))),

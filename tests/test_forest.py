@@ -12,6 +12,8 @@ from foldwright.operators import forest as R
 from foldwright.operators.contributions import contributions, leaf_table, mean_abs_contribution, shapley, unpacked
 from foldwright.operators.trees import subset_size
 from foldwright.operators.vectors import count_rows
+from foldwright.operators.predictions import prediction_table
+from foldwright.plans import evaluate as E
 from foldwright.plans import select as S
 from foldwright.sources.models import decision_of, load_model, save_model
 from foldwright.session import scratch_path
@@ -143,6 +145,17 @@ def test_features_that_a_node_looks_at():
     assert sizes == {"all": 7, "auto": 3, "sqrt": 3, "log2": 3, "onethird": 3, "0.6": 5, "0.5": 4, "3": 3, "9": 7}
 
 
+def test_hold_out_rows_are_scored_once_per_vector(spark, vectors, monkeypatch):
+    rows = [(i, i % 4 // 2 - 1, 0, 1, int(i % 3 == 0), i % 4 // 2, "test" if i % 5 else "train") for i in range(400)]
+    clean = spark.createDataFrame(rows, "row_index long, a byte, b byte, c byte, is_phishing int, group_id long, split string")
+    model, scored = R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 3, "seed": 1}), []
+    want = prediction_table(R.score(model, clean.where("split = 'test'")), FEATURES, "test")
+    monkeypatch.setattr(E, "score", lambda m, df: scored.append(df.count()) or R.score(m, df))
+    got = E.test_predictions(clean, model, FEATURES)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert scored == [2] and got.count() == 320
+
+
 SPACE = {"n_estimators": range(2, 4), "max_depth": [2, None], "class_weight": [None, "balanced"],
          "max_features": ["sqrt", 0.5, None], "criterion": ["gini", "entropy"], "min_samples_split": range(2, 20)}
 
