@@ -374,6 +374,34 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, words, percent, p
     assert count_rtree.components(docs.limit(0), words, percent).count() == 0
 
 
+def test_pairs_that_meet_grow_with_a_group_of_copies_and_not_with_its_square(spark, monkeypatch):
+    asked, draws, base = [], random.Random(3), prose(77, 150).split()
+    whole = count_rtree.verified
+    monkeypatch.setattr(count_rtree, "verified", lambda pairs, *about: asked.append(pairs.count()) or whole(pairs, *about))
+    rows = [(0, " ".join(base))]
+    for copy in range(1, 601):
+        split = list(base)
+        for k in range(1 + copy % 4):
+            split[draws.randrange(len(split))] = f"new{copy}x{k}"
+        rows.append((copy, " ".join(split)))
+    out = {r["doc_id"]: r["component_id"] for r in count_rtree.components(documents(spark, rows)).collect()}
+    of = [{tuple(t.split()[k:k + 3]) for k in range(148)} for _, t in rows]
+    assert all(out[i] == 0 for i, s in enumerate(of) if 100 * len(s & of[0]) >= 90 * len(s | of[0]))
+    assert 150 < len(set(out.values())) < 450 and sum(asked) < 5 * len(rows)
+
+
+def test_sets_that_agree_on_no_group_with_tokens_still_share_a_cell():
+    draws, ranks = np.random.default_rng(4), np.zeros(count_rtree.BUCKETS, np.uint8)
+    for percent, most in ((90, 40), (80, 60), (50, 20)):
+        for _ in range(3000):
+            a = np.unique(draws.integers(0, 2**64, draws.integers(2, most), np.uint64))
+            b = draws.permutation(a)[draws.integers(0, 1 + len(a) * (100 - percent) // 100):]
+            b = np.unique(np.concatenate([b, draws.integers(0, 2**64, draws.integers(0, 1 + len(a) // 2), np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if not np.array_equal(a, b) and 100 * both >= percent * (len(a) + len(b) - both):
+                assert set(count_rtree.cells(a, percent, ranks)) & set(count_rtree.cells(b, percent, ranks))
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
