@@ -461,8 +461,13 @@ def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Of rows that repeat both doc_id and text, one stays.
     """
     found = materialize(components(docs, words, percent).where("doc_id is not null"), "near-copies")
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.unionAll(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    gone = F.max(F.col("component_id") != F.col("doc_id")).alias("gone")
+    marked = found.groupBy("doc_id").agg(gone, (F.count("*") > 1).alias("repeated")).where("gone or repeated")
+    marked = materialize(marked, "marked-ids")
+    # Texts are dealt by doc_id at most once, and only for more marked ids than may be broadcast.
+    kept = docs.join(small_enough(marked.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    repeated = materialize(marked.where("not gone").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(small_enough(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionAll(once.select(docs.columns))

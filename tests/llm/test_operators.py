@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from foldwright.llm import (count_rtree, learned_partitions, minimax_shards, role_repair, semantic_votes, surrogates, tag_paths,
+from foldwright.llm import (common, count_rtree, learned_partitions, minimax_shards, role_repair, semantic_votes, surrogates, tag_paths,
                             templates, two_tier_bpe, warc_zstd)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -390,6 +390,24 @@ def test_pairs_that_meet_grow_with_a_group_of_copies_and_not_with_its_square(spa
     assert 150 < len(set(out.values())) < 450 and sum(asked) < 5 * len(rows)
 
 
+@pytest.mark.parametrize("limit,deals", [(1_000_000, 0), (1, 1)])
+def test_texts_are_dealt_out_at_most_once_to_drop_copies(spark, monkeypatch, limit, deals):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    rows = [(k, prose(k // 3, 40)) for k in range(60)] + [(100, prose(7, 40)), (200, prose(200, 30)), (200, prose(200, 30)), (201, None), (None, "a b c")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = count_rtree.one_of_each(documents(spark, rows), 3, 90)
+        found = [r["doc_id"] for r in kept.collect()]
+        alone = count_rtree.one_of_each(documents(spark, rows[:61]), 3, 90)
+        plan = alone._jdf.queryExecution().optimizedPlan().toString(), alone._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(i for i in found if i is not None) == [*range(0, 60, 3), 200, 201] and found.count(None) == 1
+    assert sorted(r["doc_id"] for r in alone.collect()) == [*range(0, 60, 3)]
+    assert "text" in plan[0] and plan[1].count("SortMergeJoin") == deals
+
+
 def test_sets_that_agree_on_no_group_with_tokens_still_share_a_cell():
     draws, ranks = np.random.default_rng(4), np.zeros(count_rtree.BUCKETS, np.uint8)
     for percent, most in ((90, 40), (80, 60), (50, 20)):
