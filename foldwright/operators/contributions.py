@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.operators.metrics import union_all
-from foldwright.session import materialize, scratch_path
+from foldwright.session import in_parallel, materialize, scratch_path
 
 # Ship the functions of this module with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Vectors handled at once inside a task; bounds the size of its work arrays.
-BLOCK = 256
+# Vectors handled at once inside a task; bounds the size of its work arrays, which should stay in the cache of a core.
+BLOCK = 64
 
 # Vectors of a block and leaves of a group of trees: what one task holds of both tables.
-BLOCK_VECTORS, GROUP_LEAVES = 1000, 100_000
+BLOCK_VECTORS, GROUP_LEAVES = 1000, 25_000
 
 # Leaves of one row of the leaf table; a tree of more has several rows.
 PART_LEAVES = 20_000
@@ -54,11 +54,15 @@ def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> Data
 
     Saved trees are walked on the executors, one task per tree.
     """
+    def saved(model: PipelineModel) -> str:
+        path = scratch_path(spark, "forest")
+        model.stages[-1].save(path)
+        return path
+
     walked = []
-    for fold, model in models.items():
+    paths = in_parallel(spark, saved, list(models.values()), len(models))
+    for (fold, model), path in zip(models.items(), paths):
         forest = model.stages[-1]
-        path = scratch_path(spark, "forest")
-        forest.save(path)
         # Node statistics hold (weight, sum, sum of squares) or one weight per class.
         stats = F.col("nodeData.impurityStats")
         if isinstance(forest, RandomForestRegressionModel):
@@ -125,17 +129,18 @@ def shapley(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Sums over the trees of their contributions (rows x features) and biases."""
     phi, bias = np.zeros(x.shape), 0.0
     for t in trees:
-        width = t["share"].shape[1]
-        nodes, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
-        v = x[:, t["feature"]]
-        inside = ((v > t["low"]) & (v <= t["high"])).astype(float)
+        # Path features first and rows last: products then run over whole arrays, one path feature after the other.
+        feature, low, high, share = (np.ascontiguousarray(t[a].T) for a in ("feature", "low", "high", "share"))
+        nodes, weights = np.polynomial.legendre.leggauss((len(share) + 1) // 2)
+        v, share = x.T[feature], share[:, :, None]
+        inside = ((v > low[:, :, None]) & (v <= high[:, :, None])).astype(float)
         mass = np.zeros(inside.shape)
         for node, weight in zip((nodes + 1) / 2, weights / 2):
-            factor = t["share"] * (1 - node) + inside * node
-            mass += weight * factor.prod(axis=2, keepdims=True) / factor
-        part = t["value"][:, None] * (inside - t["share"]) * mass
-        to_feature = np.eye(x.shape[1])[t["feature"].ravel()]
-        phi += part.reshape(len(x), -1) @ to_feature
+            factor = share * (1 - node) + inside * node
+            mass += weight * factor.prod(axis=0) / factor
+        mass *= t["value"][:, None] * (inside - share)
+        to_feature = np.eye(x.shape[1])[feature.ravel()]
+        phi += (to_feature.T @ mass.reshape(len(to_feature), -1)).T
         bias += float((t["value"] * t["share"].prod(axis=1)).sum())
     return phi, bias
 

@@ -18,11 +18,9 @@ import hashlib
 import json
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -34,9 +32,9 @@ from pyspark.sql import functions as F
 
 from foldwright.constants import LABEL, N_FOLDS, SEED
 from foldwright.operators.metrics import ranking_metrics, union_all, vector_score_counts
-from foldwright.operators.trees import fit_trees
+from foldwright.operators.trees import ForestLearner, fit_forests, fit_trees
 from foldwright.operators.weights import with_class_weight
-from foldwright.session import materialize, scratch_path, small_table
+from foldwright.session import in_parallel, materialize, scratch_path, small_table
 
 # Default bound on the rows of one (vector, label) pair that are sampled one by one; see training_rows.
 COPIES = 1000
@@ -53,7 +51,7 @@ def _learner(params: Mapping):
               **params}
     impurity = params.pop("impurity", "gini")
     if impurity == "gini":
-        return RandomForestRegressor(**params)
+        return ForestLearner(**params)
     return RandomForestClassifier(impurity=impurity, **params)
 
 
@@ -118,16 +116,15 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, p.alias("score"))
 
 
-def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
-    """Submit independent Spark jobs from a few driver threads; results keep the item order."""
-    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(work), items)
-
-
 def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, folds: Sequence[int],
               balanced: bool = False, parallelism: int = N_FOLDS, copies: int = COPIES,
               partitions: int | None = None) -> dict[int, PipelineModel]:
-    """One forest per fold of a fold-tagged vector table, fitted on the other folds."""
+    """One forest per fold of a fold-tagged vector table, fitted on the other folds. Regression trees of all folds grow at once."""
+    assembler, learner = VectorAssembler(inputCols=list(features), outputCol="_x"), _learner(params)
+    if isinstance(learner, RandomForestRegressor):
+        pairs = union_all([training_pairs(vectors.where(F.col("fold") != k), features, balanced).withColumn("forest", F.lit(k)) for k in folds])
+        grown = fit_forests(pairs, assembler, learner, copies)
+        return {k: PipelineModel([assembler, grown[k]]) for k in folds}
     tasks = partitions or training_partitions(vectors, copies)
     models = in_parallel(
         vectors.sparkSession,
@@ -138,7 +135,8 @@ def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, fold
 
 def score_folds(models: Mapping[int, PipelineModel], df: DataFrame) -> DataFrame:
     """Every row of a fold-tagged table (rows or vectors) scored by the forest that never saw its fold."""
-    return union_all([score(m, df.where(F.col("fold") == k)) for k, m in models.items()])
+    # Scoring sends a forest to the executors at once, so that of one fold does not wait for the others.
+    return union_all(in_parallel(df.sparkSession, lambda k: score(models[k], df.where(F.col("fold") == k)), list(models), len(models)))
 
 
 def fold_aucs(models: Mapping[int, PipelineModel], vectors: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ not meet them one by one: the number of them that it samples is one draw, binomi
 replacement and Poisson with it, which is how the sum of the single draws is distributed.
 A fit costs pairs x trees x levels, however many rows are behind the pairs.
 
-The sampled vectors of all trees are one table with their node. A level is an aggregation per
-(tree, node, feature, bin), running sums over the bins, the best cut of every node, and a join that
-sends the vectors to its children. Draws follow from the seed and the pair, so a forest does
-not depend on partitions.
+The sampled vectors of all trees of all forests that are fitted together (those of the folds)
+are one table with their node. A level is an aggregation per
+(forest, tree, node, feature, bin), running sums over the bins, the best cut of every node, and a join that
+sends the vectors to its children, so the jobs of a fit follow from its levels, not from its forests. Draws follow
+from the seed and the pair, so a forest does not depend on partitions or on the forests beside it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.constants import LABEL
-from foldwright.operators.metrics import union_all
-from foldwright.session import materialize, scratch_path
+from foldwright.session import in_parallel, materialize, scratch_path, small_table, tasks_for
 
 # Ship the functions of this module with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,7 +36,36 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Digits to which gains are compared: the last bits of a sum follow the order of its rows.
 GAIN_DIGITS = 12
 
-NODE = ["tree", "node"]
+# Draws of one task, a draw for every tree and pair.
+DRAWS_PER_TASK = 200_000
+
+NODE = ["forest", "tree", "node"]
+SUMS = ["rows", "weight", "positive"]
+
+
+class GrownForest(RandomForestRegressionModel):
+    """A forest whose trees become Python objects only for those who ask for them.
+
+    Spark keeps them in an attribute that every look at the parameters of a model fills: a call per tree and parameter on the driver.
+    """
+
+    @property
+    def trees(self) -> list[DecisionTreeRegressionModel]:
+        return [DecisionTreeRegressionModel(tree) for tree in self._call_java("trees")]
+
+
+class ForestLearner(RandomForestRegressor):
+    """The regressor of Spark, with models that are a ``GrownForest``."""
+
+    def _create_model(self, java_model) -> GrownForest:
+        return GrownForest(java_model)
+
+
+def load_forest(path: str) -> GrownForest:
+    """A saved regression forest, with its parameters."""
+    model = GrownForest(RandomForestRegressionModel.read()._jread.load(path))
+    model._transfer_params_from_java()
+    return model
 
 
 def subset_size(strategy: str, features: int, trees: int) -> int:
@@ -48,13 +77,15 @@ def subset_size(strategy: str, features: int, trees: int) -> int:
     return min(features, int(strategy)) if strategy.isdigit() else max(1, math.ceil(float(strategy) * features))
 
 
-def thresholds(pairs: DataFrame, bins: int) -> list[list[float]]:
-    """The cuts of every feature: between all its values if they are at most ``bins``, else between that many quantiles of them."""
-    size = len(pairs.first()["_x"])
-    values = pairs.select(F.posexplode(vector_to_array("_x")).alias("feature", "value")).distinct()
-    found = values.groupBy("feature").agg(F.percentile_approx("value", [i / bins for i in range(1, bins + 1)]).alias("values"))
-    marks = {r.feature: sorted(set(r["values"])) for r in found.collect()}
-    return [[(a + b) / 2 for a, b in zip(marks[f], marks[f][1:])] for f in range(size)]
+def thresholds(pairs: DataFrame, bins: int) -> dict[int, list[list[float]]]:
+    """The cuts of every feature by forest: between all its values if they are at most ``bins``, else between that many quantiles of them."""
+    values = pairs.select("forest", F.posexplode(vector_to_array("_x")).alias("feature", "value")).distinct()
+    found = values.groupBy("forest", "feature").agg(F.percentile_approx("value", [i / bins for i in range(1, bins + 1)]).alias("values"))
+    cuts = {}
+    for r in found.orderBy("forest", "feature").collect():
+        marks = sorted(set(r["values"]))
+        cuts.setdefault(r.forest, []).append([(a + b) / 2 for a, b in zip(marks, marks[1:])])
+    return cuts
 
 
 def _draws(rate: float, bootstrap: bool, trees: int, seed: int):
@@ -70,19 +101,18 @@ def _draws(rate: float, bootstrap: bool, trees: int, seed: int):
     return drawn
 
 
-def _nested(values: Sequence[Sequence[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(v) for v in row]).cast("array<double>") for row in values])
-
-
-def sampled(pairs: DataFrame, cuts: Sequence[Sequence[float]], learner: RandomForestRegressor, copies: int) -> DataFrame:
-    """(tree, bins, rows, weight, positive): what every tree samples of the vectors, bins being their values by number of cuts below."""
-    drawn = _draws(learner.getSubsamplingRate(), learner.getBootstrap(), learner.getNumTrees(), learner.getSeed())
-    bins = F.zip_with(vector_to_array("_x"), _nested(cuts), lambda x, c: F.size(F.filter(c, lambda t: t < x)))
-    each = pairs.select(
-        bins.alias("bins"), F.col(LABEL), (F.col("class_weight") * F.col("m") / F.least("m", F.lit(copies))).alias("each"),
-        F.posexplode(drawn(F.least("m", F.lit(copies)), F.xxhash64(vector_to_array("_x"), LABEL))).alias("tree", "drawn"))
+def sampled(pairs: DataFrame, cuts: DataFrame, learner: RandomForestRegressor, copies: int) -> DataFrame:
+    """(forest, tree, bins, rows, weight, positive): what every tree samples of the vectors, bins being their values by number of cuts below."""
+    trees = learner.getNumTrees()
+    drawn = _draws(learner.getSubsamplingRate(), learner.getBootstrap(), trees, learner.getSeed())
+    bins = F.zip_with(vector_to_array("_x"), F.col("cuts"), lambda x, c: F.size(F.filter(c, lambda t: t < x)))
+    # Bins are found before the draws multiply the pairs.
+    each = pairs.join(F.broadcast(cuts), "forest").select(
+        "forest", bins.alias("bins"), F.col(LABEL), (F.col("class_weight") * F.col("m") / F.least("m", F.lit(copies))).alias("each"),
+        drawn(F.least("m", F.lit(copies)), F.xxhash64(vector_to_array("_x"), LABEL)).alias("all_drawn"))
+    each = each.select("forest", "bins", LABEL, "each", F.posexplode("all_drawn").alias("tree", "drawn"))
     weight = F.col("drawn") * F.col("each")
-    return each.where("drawn > 0").groupBy("tree", "bins").agg(
+    return each.where("drawn > 0").groupBy("forest", "tree", "bins").agg(
         F.sum("drawn").alias("rows"), F.sum(weight).alias("weight"), F.sum(weight * F.col(LABEL)).alias("positive"))
 
 
@@ -93,19 +123,18 @@ def _variance(weight: Column, positive: Column) -> Column:
 
 def best_cuts(state: DataFrame, least: int, min_gain: float) -> DataFrame:
     """The cut of highest gain of every node that has one, with the sums of its sides: the first of equal features and cuts."""
-    sums = ["rows", "weight", "positive"]
-    each = state.repartition(*NODE).select(*NODE, "bins", *sums, F.explode("looked_at").alias("feature"))
-    hist = each.groupBy(*NODE, "feature", F.get("bins", F.col("feature")).alias("bin")).agg(*[F.sum(s).alias(s) for s in sums])
+    each = state.repartition(*NODE).select(*NODE, "bins", *SUMS, F.explode("looked_at").alias("feature"))
+    hist = each.groupBy(*NODE, "feature", F.get("bins", F.col("feature")).alias("bin")).agg(*[F.sum(s).alias(s) for s in SUMS])
     whole = Window.partitionBy(*NODE, "feature")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sides = hist.select(*NODE, "feature", "bin", *[F.sum(s).over(upto).alias(f"left_{s}") for s in sums],
-                        *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums])
-    sides = sides.select("*", *[(F.col(f"all_{s}") - F.col(f"left_{s}")).alias(f"right_{s}") for s in sums]).where(
+    sides = hist.select(*NODE, "feature", "bin", *[F.sum(s).over(upto).alias(f"left_{s}") for s in SUMS],
+                        *[F.sum(s).over(whole).alias(f"all_{s}") for s in SUMS])
+    sides = sides.select("*", *[(F.col(f"all_{s}") - F.col(f"left_{s}")).alias(f"right_{s}") for s in SUMS]).where(
         (F.col("left_rows") >= least) & (F.col("right_rows") >= least))
     impurity = {side: _variance(F.col(f"{side}_weight"), F.col(f"{side}_positive")) for side in ("left", "right", "all")}
     lost = sum(F.col(f"{side}_weight") / F.col("all_weight") * impurity[side] for side in ("left", "right"))
     gain = F.round(impurity["all"] - lost, GAIN_DIGITS)
-    about = [f"{side}_{s}" for side in ("left", "right") for s in sums]
+    about = [f"{side}_{s}" for side in ("left", "right") for s in SUMS]
     first = F.max(F.struct(gain.alias("gain"), (-F.col("feature")).alias("_feature"), (-F.col("bin")).alias("_bin"), *about))
     return sides.groupBy(*NODE).agg(first.alias("best")).where(
         (F.col("best.gain") > 0) & (F.col("best.gain") >= min_gain)).select(
@@ -114,64 +143,77 @@ def best_cuts(state: DataFrame, least: int, min_gain: float) -> DataFrame:
 
 def fit_trees(pairs: DataFrame, assembler: Transformer, learner: RandomForestRegressor, copies: int) -> RandomForestRegressionModel:
     """The forest of ``learner`` on (features, label, m, class_weight), of which up to ``copies`` are sampled one by one."""
+    return fit_forests(pairs.withColumn("forest", F.lit(0)), assembler, learner, copies)[0]
+
+
+def fit_forests(pairs: DataFrame, assembler: Transformer, learner: RandomForestRegressor, copies: int,
+                ) -> dict[int, RandomForestRegressionModel]:
+    """One forest of ``learner`` for each ``forest`` of the pairs, all grown at once: each is the one that ``fit_trees`` makes of its pairs."""
     spark, trees = pairs.sparkSession, learner.getNumTrees()
-    pairs = materialize(assembler.transform(pairs).select("_x", LABEL, "m", "class_weight"), "pairs")
-    cuts = thresholds(pairs, learner.getMaxBins())
-    numbers = F.sequence(F.lit(0), F.lit(len(cuts) - 1))
-    size = subset_size(learner.getFeatureSubsetStrategy(), len(cuts), trees)
+    pairs = materialize(assembler.transform(pairs).select("forest", "_x", LABEL, "m", "class_weight"), "pairs")
+    by_forest = thresholds(pairs, learner.getMaxBins())
+    if not by_forest:
+        raise ValueError("a forest needs training rows")
+    cuts = small_table(spark, list(by_forest.items()), "forest int, cuts array<array<double>>")
+    features = len(assembler.getInputCols())
+    numbers = F.sequence(F.lit(0), F.lit(features - 1))
+    size = subset_size(learner.getFeatureSubsetStrategy(), features, trees)
 
     def looked_at(node: Column) -> Column:
         ranked = F.array_sort(F.transform(numbers, lambda f: F.struct(
             F.xxhash64(F.lit(learner.getSeed()), "tree", node, f).alias("h"), f.alias("f"))))
         return F.slice(F.transform(ranked, lambda x: x["f"]), 1, size)
 
-    roots = spark.range(trees).select(F.col("id").cast("int").alias("tree"), F.lit(1).cast("long").alias("node"))
-    state = materialize(sampled(pairs, cuts, learner, copies).join(
-        F.broadcast(roots.withColumn("looked_at", looked_at(F.col("node")))), "tree"), "sampled")
-    sums = ["rows", "weight", "positive"]
-    nodes = [roots.join(state.groupBy(*NODE).agg(*[F.sum(s).alias(s) for s in sums]), NODE, "left").fillna(0, sums)]
-    levels = []
+    root = F.lit(1).cast("long")
+    first = spark.range(trees).select(F.col("id").cast("int").alias("tree")).withColumn("looked_at", looked_at(root))
+    spread = pairs.repartition(tasks_for(spark, pairs.count() * trees, DRAWS_PER_TASK))
+    state = materialize(sampled(spread, cuts, learner, copies).join(F.broadcast(first), "tree").withColumn("node", root), "sampled")
+    roots = cuts.select("forest", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), root.alias("node")).join(
+        state.groupBy(*NODE).agg(*[F.sum(s).alias(s) for s in SUMS]), NODE, "left").fillna(0, SUMS)
+    # The cuts of all levels lie in one folder, which is read once in the end.
+    levels, schema = scratch_path(spark, "levels"), None
     for depth in range(learner.getMaxDepth()):
-        found = materialize(best_cuts(state, learner.getMinInstancesPerNode(), learner.getMinInfoGain()), "cuts")
-        if found.isEmpty():
+        cut = best_cuts(state, learner.getMinInstancesPerNode(), learner.getMinInfoGain())
+        cut.write.parquet(f"{levels}/level={depth}")
+        schema = cut.schema
+        found = spark.read.schema(schema).parquet(f"{levels}/level={depth}")
+        if depth + 1 == learner.getMaxDepth() or found.isEmpty():
             break
-        levels.append(found)
         left, right = 2 * F.col("node"), 2 * F.col("node") + 1
-        for child, side in ((left, "left"), (right, "right")):
-            nodes.append(found.select("tree", child.alias("node"), *[F.col(f"{side}_{s}").alias(s) for s in sums]))
-        if depth + 1 == learner.getMaxDepth():
-            break
         mixed = {side: (F.col(f"{side}_positive") > 0) & (F.col(f"{side}_positive") < F.col(f"{side}_weight")) for side in ("left", "right")}
         sent = found.select(*NODE, "feature", "bin", mixed["left"].alias("left_mixed"), mixed["right"].alias("right_mixed"),
                             looked_at(left).alias("left_at"), looked_at(right).alias("right_at"))
         goes_left = F.get("bins", F.col("feature")) <= F.col("bin")
         state = materialize(
             state.drop("looked_at").join(sent, NODE).where(F.when(goes_left, F.col("left_mixed")).otherwise(F.col("right_mixed"))).select(
-                "tree", F.when(goes_left, left).otherwise(right).alias("node"), "bins", *sums,
+                "forest", "tree", F.when(goes_left, left).otherwise(right).alias("node"), "bins", *SUMS,
                 F.when(goes_left, F.col("left_at")).otherwise(F.col("right_at")).alias("looked_at")), "sampled")
-    return _model(union_all(nodes), union_all(levels) if levels else None, cuts, assembler, learner)
+    return _models(roots, spark.read.schema(schema).parquet(levels) if schema else None, cuts, assembler, learner, list(by_forest))
 
 
-def _model(nodes: DataFrame, found: DataFrame | None, cuts: Sequence[Sequence[float]], assembler: Transformer,
-           learner: RandomForestRegressor) -> RandomForestRegressionModel:
-    """The model of the grown nodes: the saved form of a forest of the learner, with these nodes in it."""
-    spark, path = nodes.sparkSession, scratch_path(nodes.sparkSession, "grown")
+def _models(roots: DataFrame, found: DataFrame | None, cuts: DataFrame, assembler: Transformer, learner: RandomForestRegressor,
+            forests: Sequence[int]) -> dict[int, RandomForestRegressionModel]:
+    """The models of the grown nodes by forest: the saved form of a forest of the learner, with these nodes in it."""
+    spark, path = roots.sparkSession, scratch_path(roots.sparkSession, "grown")
     names = assembler.getInputCols()
     one = spark.range(1).select(*[F.lit(0.0).alias(f) for f in names], F.lit(0).alias(LABEL), F.lit(1.0).alias("weight"))
-    learner.fit(assembler.transform(one)).write().save(path)
+    form = learner.fit(assembler.transform(one))
     if found is None:
-        full = nodes.select("*", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"),
+        full = roots.select("*", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"),
                             F.lit(None).cast("double").alias("gain"))
     else:
-        full = nodes.join(found.select(*NODE, "feature", "bin", "gain"), NODE, "left")
+        below = found.select("forest", "tree", F.inline(F.array(*[
+            F.struct((2 * F.col("node") + at).alias("node"), *[F.col(f"{side}_{s}").alias(s) for s in SUMS])
+            for at, side in enumerate(("left", "right"))])))
+        full = roots.unionByName(below).join(found.select(*NODE, "feature", "bin", "gain"), NODE, "left")
     # Numbered level by level, the children of the n-th node that is cut are the nodes 2n + 1 and 2n + 2.
-    order = Window.partitionBy("tree").orderBy("node")
+    order = Window.partitionBy("forest", "tree").orderBy("node")
     is_cut = F.col("feature").isNotNull()
     cut_before = F.sum(is_cut.cast("int")).over(order) - 1
     leaf = F.lit(-1)
-    threshold = F.get(F.get(_nested(cuts), F.col("feature")), F.col("bin"))
+    threshold = F.get(F.get("cuts", F.col("feature")), F.col("bin"))
     share = F.when(F.col("weight") > 0, F.col("positive") / F.col("weight")).otherwise(0.0)
-    full.select(F.col("tree").alias("treeID"), F.struct(
+    nodes = materialize(full.join(F.broadcast(cuts), "forest").select("forest", F.col("tree").alias("treeID"), F.struct(
         (F.row_number().over(order) - 1).alias("id"), share.alias("prediction"), (share - share * share).alias("impurity"),
         F.array("weight", "positive", "positive").alias("impurityStats"), F.col("rows").alias("rawCount"),
         F.coalesce("gain", F.lit(-1.0)).alias("gain"),
@@ -179,6 +221,11 @@ def _model(nodes: DataFrame, found: DataFrame | None, cuts: Sequence[Sequence[fl
         F.when(is_cut, 2 * cut_before + 2).otherwise(leaf).cast("int").alias("rightChild"),
         F.struct(F.coalesce("feature", leaf).alias("featureIndex"),
                  F.when(is_cut, F.array(threshold)).otherwise(F.array().cast("array<double>")).alias("leftCategoriesOrThreshold"),
-                 leaf.alias("numCategories")).alias("split")).alias("nodeData")
-    ).write.mode("overwrite").parquet(f"{path}/data")
-    return RandomForestRegressionModel.load(path)
+                 leaf.alias("numCategories")).alias("split")).alias("nodeData")), "nodes", ["forest"])
+
+    def saved(forest: int) -> RandomForestRegressionModel:
+        form.write().save(f"{path}/{forest}")
+        nodes.where(F.col("forest") == forest).select("treeID", "nodeData").write.mode("overwrite").parquet(f"{path}/{forest}/data")
+        return load_forest(f"{path}/{forest}")
+
+    return dict(zip(forests, in_parallel(spark, saved, forests, len(forests))))

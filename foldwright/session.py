@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -44,6 +46,12 @@ def scratch_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def in_parallel(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """Submit independent Spark jobs from a few driver threads; results keep the item order."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
 def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
     """Tasks for a small but compute-heavy table: by its size, up to the width of the session."""
     widest = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

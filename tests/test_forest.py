@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwright.operators import contributions as contributions_module
 from foldwright.operators import forest as R
 from foldwright.operators.contributions import contributions, leaf_table, mean_abs_contribution, shapley, unpacked
+from foldwright.operators import trees
 from foldwright.operators.trees import subset_size
 from foldwright.operators.vectors import count_rows
 from foldwright.operators.predictions import prediction_table
@@ -140,6 +141,26 @@ def test_a_forest_does_not_depend_on_tasks(spark, vectors):
     assert one == other
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_forests_of_folds_grow_at_once_and_are_those_of_single_fits(spark, vectors, monkeypatch, balanced):
+    params, levels, best_cuts = {"numTrees": 3, "maxDepth": 3, "subsamplingRate": 0.8, "bootstrap": False, "seed": 5}, [], trees.best_cuts
+    single = {k: R.fit_forest(vectors.where(F.col("fold") != k), FEATURES, params, balanced) for k in range(3)}
+    monkeypatch.setattr(trees, "best_cuts", lambda *args: levels.append(1) or best_cuts(*args))
+    together = R.fit_folds(vectors, FEATURES, params, range(3), balanced)
+    assert len(levels) <= 3
+    text = [{k: m.stages[1].toDebugString.split("\n", 1)[1] for k, m in models.items()} for models in (single, together)]
+    assert text[0] == text[1] and len(set(text[0].values())) == 3
+
+
+def test_trees_of_a_model_become_objects_only_when_asked_for(spark, vectors):
+    model = R.fit_forest(vectors, FEATURES, {"numTrees": 4, "maxDepth": 2, "seed": 5})
+    forest = model.stages[1]
+    R.score(model, vectors).collect()
+    forest.save(scratch_path(spark, "model"))
+    assert "trees" not in vars(forest)
+    assert len(forest.trees) == forest.getNumTrees == 4 and forest.getOrDefault("maxDepth") == 2
+
+
 def test_features_that_a_node_looks_at():
     sizes = {s: subset_size(s, 7, 300) for s in ("all", "auto", "sqrt", "log2", "onethird", "0.6", "0.5", "3", "9")}
     assert sizes == {"all": 7, "auto": 3, "sqrt": 3, "log2": 3, "onethird": 3, "0.6": 5, "0.5": 4, "3": 3, "9": 7}
