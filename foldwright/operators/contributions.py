@@ -8,7 +8,9 @@ z (share) is
 
     value * (o_i - z_i) * integral over t in [0, 1] of prod_{j != i} (z_j (1 - t) + o_j t) dt
 
-The integrand is a polynomial of degree d - 1, so Gauss-Legendre nodes give it exactly.
+The integrand is a polynomial of degree d - 1, so Gauss-Legendre nodes give it exactly. A factor of it
+depends only on which cuts of its feature the value lies between, so factors are made once for every such
+interval, multiplied for the distinct combinations of each half of the features, and vectors multiply two of those products.
 
 Leaves and vectors both stay in tables. A fold's trees are dealt into groups and its vectors
 into blocks, both of bounded size; each pair of a group and a block meets in one task, which adds
@@ -23,6 +25,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import RandomForestRegressionModel
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.operators.metrics import union_all
-from foldwright.session import in_parallel, materialize, scratch_path
+from foldwright.session import in_parallel, materialize, path_exists, scratch_path
 
 # Ship the functions of this module with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Vectors handled at once inside a task; bounds the size of its work arrays, which should stay in the cache of a core.
-BLOCK = 64
+# Vectors, and leaves times nodes, handled at once inside a task; they bound its work arrays, which should stay in the cache of a core.
+BLOCK, CELLS = 64, 1024
 
 # Vectors of a block and leaves of a group of trees: what one task holds of both tables.
 BLOCK_VECTORS, GROUP_LEAVES = 1000, 25_000
@@ -52,9 +55,12 @@ LEAVES = "fold int, tree int, part int, leaves int, width int, " + ", ".join(f"{
 def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> DataFrame:
     """The stored leaves of the forests by fold: the box and the shares of every leaf as padded arrays.
 
-    Saved trees are walked on the executors, one task per tree.
+    Saved trees are walked on the executors, tree by tree. A forest that its fit has written is not written again.
     """
     def saved(model: PipelineModel) -> str:
+        stored = getattr(model.stages[-1], "stored", None)
+        if stored and path_exists(spark, stored):
+            return stored
         path = scratch_path(spark, "forest")
         model.stages[-1].save(path)
         return path
@@ -74,18 +80,20 @@ def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> Data
             weight.alias("weight"), F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
             F.col("nodeData.split.featureIndex").alias("feature"),
             F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")))
-    return materialize(union_all(walked).groupBy("fold", "treeID").applyInPandas(_walked, LEAVES), "leaves")
+    return materialize(union_all(walked).groupBy("fold", "treeID").applyInArrow(_walked, LEAVES), "leaves")
 
 
-def _walked(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    tree = _tree_leaves(nodes.set_index("id").sort_index())
+def _walked(key: tuple, nodes: pa.Table) -> pa.Table:
+    nodes = nodes.sort_by("id")
+    tree = _tree_leaves(*(nodes[c].to_numpy() for c in ("leftChild", "rightChild", "weight", "value", "feature", "cut")))
     count, width = tree["share"].shape
     rows = []
     for part, start in enumerate(range(0, count, PART_LEAVES)):
         cut = {a: v[start:start + PART_LEAVES] for a, v in tree.items()}
-        rows.append((*map(int, key), part, len(cut["value"]), width,
+        rows.append((*(k.as_py() for k in key), part, len(cut["value"]), width,
                      *[cut[a].astype(kind).tobytes() for a, kind in ARRAYS.items()]))
-    return pd.DataFrame(rows, columns=["fold", "tree", "part", "leaves", "width", *ARRAYS])
+    kinds = [pa.int32()] * 5 + [pa.binary()] * len(ARRAYS)
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["fold", "tree", "part", "leaves", "width", *ARRAYS])
 
 
 def unpacked(rows: pd.DataFrame) -> list[dict]:
@@ -97,51 +105,78 @@ def unpacked(rows: pd.DataFrame) -> list[dict]:
     return out
 
 
-def _tree_leaves(nodes: pd.DataFrame) -> dict:
-    """Walk one tree; node numbers run from 0 without gaps."""
-    left, right, weight, value, feature, cut = (
-        nodes[c].to_numpy() for c in ("leftChild", "rightChild", "weight", "value", "feature", "cut"))
-    leaves = []
-    todo = [(0, {})]
-    while todo:
-        at, box = todo.pop()
-        if left[at] < 0:
-            leaves.append((box, value[at]))
-            continue
-        f = int(feature[at])
-        low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
-        for child, side in ((left[at], (low, min(high, cut[at]))), (right[at], (max(low, cut[at]), high))):
-            todo.append((child, {**box, f: (*side, share * weight[child] / weight[at])}))
-    width = max(1, max(len(box) for box, _ in leaves))
-    shape = (len(leaves), width)
-    # Padding acts as a feature that every row satisfies with share one: it changes nothing.
-    out = {"feature": np.zeros(shape, np.int16), "low": np.full(shape, -np.inf, np.float32),
-           "high": np.full(shape, np.inf, np.float32), "share": np.ones(shape),
-           "value": np.array([v for _, v in leaves])}
-    for i, (box, _) in enumerate(leaves):
-        for j, (f, (low, high, share)) in enumerate(box.items()):
-            for name, v in (("feature", f), ("low", low), ("high", high), ("share", share)):
-                out[name][i, j] = v
-    return out
+def _tree_leaves(left: np.ndarray, right: np.ndarray, weight: np.ndarray, value: np.ndarray, feature: np.ndarray,
+                 cut: np.ndarray) -> dict:
+    """Walk one tree, level by level; node numbers run from 0 without gaps."""
+    features = max(1, int(feature.max()) + 1)
+    at, found = np.zeros(1, int), []
+    low, high, share = (np.full((1, features), x) for x in (-np.inf, np.inf, 1.0))
+    while len(at):
+        leaf = left[at] < 0
+        found.append((low[leaf], high[leaf], share[leaf], value[at[leaf]]))
+        at, low, high, share = at[~leaf], low[~leaf], high[~leaf], share[~leaf]
+        n, f = np.arange(len(at)), feature[at]
+        children = np.concatenate([left[at], right[at]])
+        sides = [a.repeat(2, axis=0).reshape(len(at), 2, features).swapaxes(0, 1).copy() for a in (low, high, share)]
+        sides[1][0, n, f] = np.minimum(high[n, f], cut[at])
+        sides[0][1, n, f] = np.maximum(low[n, f], cut[at])
+        for side, child in enumerate((left[at], right[at])):
+            sides[2][side, n, f] *= weight[child] / weight[at]
+        at, (low, high, share) = children, (a.reshape(-1, features) for a in sides)
+    low, high, share, value = (np.concatenate(a) for a in zip(*found))
+    # Path features first. Padding acts as a feature that every row satisfies with share one: it changes nothing.
+    on_path = np.isfinite(low) | np.isfinite(high)
+    order = np.argsort(~on_path, axis=1, kind="stable")[:, :max(1, on_path.sum(axis=1).max())]
+    low, high, share, on_path = (np.take_along_axis(a, order, 1) for a in (low, high, share, on_path))
+    return {"feature": np.where(on_path, order, 0), "low": low, "high": high, "share": share, "value": value}
+
+
+def _combined(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of some codes, and the place of every row among them."""
+    rows, place = np.unique(codes, axis=0, return_inverse=True)
+    return rows, place.ravel()
 
 
 def shapley(trees: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Sums over the trees of their contributions (rows x features) and biases."""
-    phi, bias = np.zeros(x.shape), 0.0
+    phi, bias, numbers = np.zeros(x.shape), 0.0, range(x.shape[1])
+    bounds = [np.concatenate(c) for c in zip(*((np.tile(t["feature"].ravel(), 2), np.r_[t["low"].ravel(), t["high"].ravel()]) for t in trees))]
+    cuts = [np.unique(bounds[1][(bounds[0] == f) & np.isfinite(bounds[1])]).astype(float) for f in numbers]
+    # A value by the number of cuts below it, and one value of each number.
+    codes = np.array([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)]).T
+    values = [np.append(c, np.inf) for c in cuts]
+    first = np.cumsum([0, *map(len, values)])
+    halves = [h for h in (numbers[:(len(numbers) + 1) // 2], numbers[(len(numbers) + 1) // 2:]) if h]
+    combined = [_combined(codes[:, h]) for h in halves]
     for t in trees:
-        # Path features first and rows last: products then run over whole arrays, one path feature after the other.
-        feature, low, high, share = (np.ascontiguousarray(t[a].T) for a in ("feature", "low", "high", "share"))
-        nodes, weights = np.polynomial.legendre.leggauss((len(share) + 1) // 2)
-        v, share = x.T[feature], share[:, :, None]
-        inside = ((v > low[:, :, None]) & (v <= high[:, :, None])).astype(float)
-        mass = np.zeros(inside.shape)
-        for node, weight in zip((nodes + 1) / 2, weights / 2):
-            factor = share * (1 - node) + inside * node
-            mass += weight * factor.prod(axis=0) / factor
-        mass *= t["value"][:, None] * (inside - share)
-        to_feature = np.eye(x.shape[1])[feature.ravel()]
-        phi += (to_feature.T @ mass.reshape(len(to_feature), -1)).T
+        nodes, weights = np.polynomial.legendre.leggauss((t["share"].shape[1] + 1) // 2)
+        nodes, weights, step = (nodes + 1) / 2, weights / 2, max(1, CELLS // len(nodes))
         bias += float((t["value"] * t["share"].prod(axis=1)).sum())
+        for start in range(0, len(t["value"]), step):
+            feature, low, high, share, value = (t[a][start:start + step] for a in ("feature", "low", "high", "share", "value"))
+            factors, parts = [], []
+            on_path = np.isfinite(low) | np.isfinite(high)
+            for f in numbers:
+                leaf, place = np.nonzero(on_path & (feature == f))
+                own = share[leaf, place][:, None]
+                inside = ((values[f][:, None] > low[leaf, place]) & (values[f][:, None] <= high[leaf, place]))[:, :, None].astype(float)
+                factor, part = np.ones((len(values[f]), len(value), len(nodes))), np.zeros((len(values[f]), len(value), len(nodes)))
+                factor[:, leaf] = own * (1 - nodes) + inside * nodes
+                part[:, leaf] = (inside - own) * (weights * value[leaf][:, None]) / factor[:, leaf]
+                factors.append(factor.reshape(len(factor), -1))
+                parts.append(part.reshape(len(part), -1))
+            products = []
+            for h, (rows, _) in zip(halves, combined):
+                product = factors[h[0]][rows[:, 0]]
+                for f, code in zip(h[1:], rows.T[1:]):
+                    product *= factors[f][code]
+                products.append(product)
+            by_value = np.concatenate(parts).T
+            for some in (slice(i, i + BLOCK) for i in range(0, len(x), BLOCK)):
+                product = products[0][combined[0][1][some]]
+                if len(products) > 1:
+                    product *= products[1][combined[1][1][some]]
+                phi[some] += np.take_along_axis(product @ by_value, first[:-1] + codes[some], 1)
     return phi, bias
 
 
@@ -164,12 +199,8 @@ def contributions(vectors: DataFrame, leaves: DataFrame, features: Sequence[str]
     def explain(key: tuple, part: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(trees):
             return pd.DataFrame(columns=[*part.columns, "phi", "bias"]).drop(columns="block")
-        forest, out = unpacked(trees.sort_values(["tree", "part"])), []
-        for start in range(0, len(part), BLOCK):
-            rows = part.iloc[start:start + BLOCK]
-            phi, bias = shapley(forest, rows[names].to_numpy(float))
-            out.append(rows.assign(phi=list(phi), bias=bias))
-        return pd.concat(out).drop(columns="block")
+        phi, bias = shapley(unpacked(trees.sort_values(["tree", "part"])), part[names].to_numpy(float))
+        return part.assign(phi=list(phi), bias=bias).drop(columns="block")
 
     block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
     met = distinct.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

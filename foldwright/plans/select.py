@@ -33,9 +33,10 @@ def cv_step(vectors: DataFrame, features: Sequence[str], params: Mapping, folds:
             parallelism: int = N_FOLDS, copies: int = COPIES) -> tuple[DataFrame, DataFrame]:
     """Fold AUCs and mean absolute contributions of the forest on one feature subset."""
     models = fit_folds(vectors, features, params, folds, parallelism=parallelism, copies=copies)
-    leaves = leaf_table(vectors.sparkSession, models)
-    return (fold_aucs(models, vectors),
-            mean_abs_contribution(contributions(vectors, leaves, features), features))
+    spark = vectors.sparkSession
+    # Neither needs the other.
+    aucs, leaves = in_parallel(spark, lambda part: part(), [lambda: fold_aucs(models, vectors), lambda: leaf_table(spark, models)], 2)
+    return aucs, mean_abs_contribution(contributions(vectors, leaves, features), features)
 
 
 def rolled_up(vectors: DataFrame, features: Sequence[str]) -> DataFrame:

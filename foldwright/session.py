@@ -67,6 +67,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def replace_path(spark: SparkSession, path: str, by: str) -> None:
+    """Put a scratch file or folder in the place of another one, without reading it."""
+    delete_path(spark, by)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, by))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{path} could not become {by}")
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a file or folder of any store that Spark writes to; False if there was none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,6 +21,7 @@ from foldwright.sources.models import decision_of, load_model, save_model
 from foldwright.session import scratch_path
 
 FEATURES = ["a", "b", "c"]
+FEATURE_NUMBERS = range(3)
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +156,75 @@ def test_forests_of_folds_grow_at_once_and_are_those_of_single_fits(spark, vecto
     assert text[0] == text[1] and len(set(text[0].values())) == 3
 
 
+def test_hashes_of_arrays_are_those_of_spark(spark):
+    seeds = {"int": (np.int32, [42, -7]), "bigint": (np.int64, [2**40, -2**62])}
+    for kind, (dtype, values) in seeds.items():
+        rows = [(s, t, n, f) for s in values for t in (0, 299) for n in (1, 2**30 + 5) for f in range(3)]
+        df = spark.createDataFrame(rows, f"s {kind}, t int, n bigint, f int")
+        columns = [np.array(c, d) for c, d in zip(zip(*rows), (dtype, np.int32, np.int64, np.int32))]
+        assert [r.h for r in df.select(F.xxhash64("s", "t", "n", "f").alias("h")).collect()] == trees.hashed(*columns).tolist()
+
+
+def forest_text(model):
+    return re.sub(r"\d+\.\d+", lambda n: f"{float(n[0]):.9f}", model.stages[1].toDebugString.split("\n", 1)[1])
+
+
+@pytest.mark.parametrize("params", [{"seed": 5}, {"seed": 2**40, "minInstancesPerNode": 4, "minInfoGain": 0.01, "bootstrap": True}])
+def test_small_nodes_need_no_levels_and_give_the_same_forest(spark, vectors, monkeypatch, params):
+    params = {"numTrees": 3, "maxDepth": 5, "subsamplingRate": 0.8, "bootstrap": False, "featureSubsetStrategy": "0.6", **params}
+    levels, best_cuts, texts = [], trees.best_cuts, {}
+    monkeypatch.setattr(trees, "best_cuts", lambda *args: levels.append(1) or best_cuts(*args))
+    # All nodes grow in tasks, in lots of one node or more; those of up to 15 pairs do; none does.
+    for nodes, lots, sums in ((20_000, 20_000, 10**6), (100, 1, 1), (15, 20, 10), (0, 20, 10)):
+        for name, value in (("NODE_PAIRS", nodes), ("LOT_PAIRS", lots), ("LOT_SUMS", sums)):
+            monkeypatch.setattr(trees, name, value)
+        levels.clear()
+        texts[nodes] = {k: forest_text(m) for k, m in R.fit_folds(vectors, FEATURES, params, range(3), True).items()}
+        assert (len(levels) > 0) == (nodes < 100)
+    assert len(set(texts[0].values())) == 3 and all(t == texts[0] for t in texts.values())
+
+
+def test_trees_without_cuts_and_rows_are_roots(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 1)], "a int, n long, pos long")
+    for nodes in (20_000, 0):
+        monkeypatch.setattr(trees, "NODE_PAIRS", nodes)
+        for depth in (0, 2):
+            model = R.fit_forest(df, ["a"], {"numTrees": 8, "maxDepth": depth, "subsamplingRate": 0.5, "bootstrap": False, "seed": 1}).stages[1]
+            assert model.totalNumNodes == 8
+            assert {t._call_java("rootNode").prediction() for t in model.trees} == {0.0, 1.0}
+
+
+def test_draws_are_made_once_and_behind_the_spread(spark, vectors):
+    learner = R._learner({"numTrees": 3, "seed": 1})
+    pairs = R.VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(R.training_pairs(vectors, FEATURES)).withColumn("forest", F.lit(0))
+    cuts = spark.createDataFrame([(0, [[0.5]] * 3)], "forest int, cuts array<array<double>>")
+    plan = trees.sampled(pairs.repartition(4), cuts, learner, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("drawn(") == 1
+
+
+def test_a_fitted_forest_is_not_written_again_for_its_leaves(spark, vectors, monkeypatch):
+    model, written = R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 3, "seed": 1}), []
+    monkeypatch.setattr(contributions_module, "scratch_path", lambda s, name: written.append(name) or scratch_path(s, name))
+    key = ["fold", "tree", "part"]
+    got = leaf_table(spark, {0: model}).orderBy(key).collect()
+    assert written == []
+    # A folder that is gone is no reason to fail.
+    model.stages[1].stored += "-gone"
+    assert leaf_table(spark, {0: model}).orderBy(key).collect() == got and written == ["forest"]
+
+
+@pytest.mark.parametrize("block,cells", [(2, 3), (64, 8), (1000, 10**6)])
+def test_contributions_do_not_depend_on_the_blocks_of_a_task(spark, vectors, monkeypatch, block, cells):
+    leaves = unpacked(leaf_table(spark, {0: R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 5, "seed": 3})}).toPandas())
+    x = np.array(list(itertools.product([-1, 0, 1], repeat=3)), float)
+    want = np.array([[sum(tree_value(t, row, set(FEATURE_NUMBERS)) - tree_value(t, row, set()) for t in leaves)] for row in x])
+    monkeypatch.setattr(contributions_module, "BLOCK", block)
+    monkeypatch.setattr(contributions_module, "CELLS", cells)
+    phi, bias = shapley(leaves, x)
+    assert phi.sum(axis=1) == pytest.approx(want[:, 0], abs=1e-9)
+    assert phi == pytest.approx(np.concatenate([shapley(leaves, row[None])[0] for row in x]), abs=1e-12)
+
+
 def test_trees_of_a_model_become_objects_only_when_asked_for(spark, vectors):
     model = R.fit_forest(vectors, FEATURES, {"numTrees": 4, "maxDepth": 2, "seed": 5})
     forest = model.stages[1]
