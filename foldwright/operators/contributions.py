@@ -67,6 +67,7 @@ def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> Data
 
     walked = []
     paths = in_parallel(spark, saved, list(models.values()), len(models))
+    schema = spark.read.parquet(f"{paths[0]}/data").schema
     for (fold, model), path in zip(models.items(), paths):
         forest = model.stages[-1]
         # Node statistics hold (weight, sum, sum of squares) or one weight per class.
@@ -75,7 +76,7 @@ def leaf_table(spark: SparkSession, models: Mapping[int, PipelineModel]) -> Data
             weight, positive = stats[0], stats[1]
         else:
             weight, positive = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b), F.get(stats, 1)
-        walked.append(spark.read.parquet(f"{path}/data").select(
+        walked.append(spark.read.schema(schema).parquet(f"{path}/data").select(
             F.lit(fold).cast("int").alias("fold"), "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
             weight.alias("weight"), F.coalesce(positive / weight, F.lit(0.0)).alias("value"),
             F.col("nodeData.split.featureIndex").alias("feature"),
@@ -190,10 +191,10 @@ def contributions(vectors: DataFrame, leaves: DataFrame, features: Sequence[str]
     """
     names = list(features)
     distinct = vectors.groupBy("fold", *names).agg(F.sum("n").alias("n"))
-    largest = vectors.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
     sizes = leaves.groupBy("fold").agg(F.sum("leaves").alias("leaves"), F.countDistinct("tree").alias("trees"))
-    most = sizes.agg(F.max("leaves"), F.max("trees")).first()
-    blocks = max(1, -(-largest // block_vectors))
+    (largest,), most = in_parallel(vectors.sparkSession, lambda df: df.first(), [
+        vectors.groupBy("fold").count().agg(F.max("count")), sizes.agg(F.max("leaves"), F.max("trees"))], 2)
+    blocks = max(1, -(-(largest or 0) // block_vectors))
     groups = max(1, min(most[1] or 1, -(-(most[0] or 0) // group_leaves)))
 
     def explain(key: tuple, part: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:

@@ -62,13 +62,20 @@ def training_partitions(vectors: DataFrame, copies: int = COPIES) -> int:
     return max(1, -(-rows // ROWS_PER_TASK))
 
 
-def training_pairs(vectors: DataFrame, features: Sequence[str], balanced: bool = False) -> DataFrame:
-    """(features, label, m, class_weight): the row count and the weight of a row of every (vector, label) pair."""
-    labels = (vectors.groupBy(*features).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-              .selectExpr(*[f"`{f}`" for f in features],
+def training_pairs(vectors: DataFrame, features: Sequence[str], balanced: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """(by, features, label, m, class_weight): the row count and the weight of a row of every (vector, label) pair, for each value of ``by``."""
+    keys = [*by, *features]
+    labels = (vectors.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+              .selectExpr(*[f"`{f}`" for f in keys],
                           f"inline(array(struct(1 AS {LABEL}, pos AS m), struct(0 AS {LABEL}, n - pos AS m)))")
               .where("m > 0"))
-    return with_class_weight(labels) if balanced else labels.withColumn("class_weight", F.lit(1.0))
+    return with_class_weight(labels, by) if balanced else labels.withColumn("class_weight", F.lit(1.0))
+
+
+def fold_pairs(vectors: DataFrame, features: Sequence[str], folds: Sequence[int], balanced: bool = False) -> DataFrame:
+    """The training pairs of all fold fits: those of ``forest`` k are the pairs of the other folds. The vectors are read once."""
+    others = F.filter(F.lit(list(folds)), lambda k: k != F.col("fold"))
+    return training_pairs(vectors.withColumn("forest", F.explode(others)), features, balanced, ["forest"])
 
 
 def training_rows(vectors: DataFrame, features: Sequence[str], balanced: bool = False,
@@ -122,8 +129,7 @@ def fit_folds(vectors: DataFrame, features: Sequence[str], params: Mapping, fold
     """One forest per fold of a fold-tagged vector table, fitted on the other folds. Regression trees of all folds grow at once."""
     assembler, learner = VectorAssembler(inputCols=list(features), outputCol="_x"), _learner(params)
     if isinstance(learner, RandomForestRegressor):
-        pairs = union_all([training_pairs(vectors.where(F.col("fold") != k), features, balanced).withColumn("forest", F.lit(k)) for k in folds])
-        grown = fit_forests(pairs, assembler, learner, copies)
+        grown = fit_forests(fold_pairs(vectors, features, folds, balanced), assembler, learner, copies)
         return {k: PipelineModel([assembler, grown[k]]) for k in folds}
     tasks = partitions or training_partitions(vectors, copies)
     models = in_parallel(

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -276,13 +276,25 @@ def fit_trees(pairs: DataFrame, assembler: Transformer, learner: RandomForestReg
 def fit_forests(pairs: DataFrame, assembler: Transformer, learner: RandomForestRegressor, copies: int,
                 ) -> dict[int, RandomForestRegressionModel]:
     """One forest of ``learner`` for each ``forest`` of the pairs, all grown at once: each is the one that ``fit_trees`` makes of its pairs."""
-    spark, trees = pairs.sparkSession, learner.getNumTrees()
+    spark = pairs.sparkSession
     pairs = materialize(assembler.transform(pairs).select("forest", "_x", LABEL, "m", "class_weight"), "pairs")
-    by_forest = thresholds(pairs, learner.getMaxBins())
+    by_forest, most = in_parallel(spark, lambda find: find(), [
+        lambda: thresholds(pairs, learner.getMaxBins()),
+        lambda: {r["forest"]: r["count"] for r in pairs.groupBy("forest").count().collect()}], 2)
     if not by_forest:
         raise ValueError("a forest needs training rows")
+    # The forms of the models are saved while the cuts are found.
+    found, path = in_parallel(spark, lambda part: part(), [
+        lambda: _found_cuts(pairs, by_forest, most, len(assembler.getInputCols()), learner, copies),
+        lambda: _saved_forms(spark, list(by_forest), assembler, learner)], 2)
+    return _models(found, path, by_forest)
+
+
+def _found_cuts(pairs: DataFrame, by_forest: Mapping[int, list[list[float]]], most: Mapping[int, int], features: int,
+                learner: RandomForestRegressor, copies: int) -> DataFrame:
+    """(``CUTS``): the cuts and roots of all trees of all forests; ``most`` is the number of pairs by forest."""
+    spark, trees = pairs.sparkSession, learner.getNumTrees()
     cuts = small_table(spark, list(by_forest.items()), "forest int, cuts array<array<double>>")
-    features = len(assembler.getInputCols())
     numbers = F.sequence(F.lit(0), F.lit(features - 1))
     size = subset_size(learner.getFeatureSubsetStrategy(), features, trees)
 
@@ -294,7 +306,6 @@ def fit_forests(pairs: DataFrame, assembler: Transformer, learner: RandomForestR
     root = F.lit(1).cast("long")
     first = spark.range(trees).select(F.col("id").cast("int").alias("tree")).withColumn("looked_at", looked_at(root))
     # The pairs of a forest bound those that a tree of it samples.
-    most = {r["forest"]: r["count"] for r in pairs.groupBy("forest").count().collect()}
     bound = small_table(spark, list(most.items()), "forest int, node_pairs bigint")
     spread = pairs.repartition(tasks_for(spark, sum(most.values()) * trees, DRAWS_PER_TASK))
     state = sampled(spread, cuts, learner, copies).join(F.broadcast(first), "tree").join(F.broadcast(bound), "forest").withColumn("node", root)
@@ -338,23 +349,23 @@ def fit_forests(pairs: DataFrame, assembler: Transformer, learner: RandomForestR
     # A tree that samples nothing is a root without rows.
     roots = as_cuts(spark.range(trees).select(F.explode(F.lit(list(by_forest))).alias("forest"), F.col("id").cast("int").alias("tree"),
                                               F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("positive")))
-    return _models(spark.read.schema(CUTS).parquet(*paths).unionByName(roots), by_forest, assembler, learner)
+    return spark.read.schema(CUTS).parquet(*paths).unionByName(roots)
 
 
-def _models(found: DataFrame, by_forest: Mapping[int, list[list[float]]], assembler: Transformer,
-            learner: RandomForestRegressor) -> dict[int, RandomForestRegressionModel]:
-    """The models of the cuts by forest: the saved form of a forest of the learner, with the nodes of these cuts in it."""
-    spark, path = found.sparkSession, scratch_path(found.sparkSession, "grown")
-    names, nodes = assembler.getInputCols(), scratch_path(spark, "nodes")
-    one = spark.range(1).select(*[F.lit(0.0).alias(f) for f in names], F.lit(0).alias(LABEL), F.lit(1.0).alias("weight"))
+def _saved_forms(spark: SparkSession, forests: Sequence[int], assembler: Transformer, learner: RandomForestRegressor) -> str:
+    """A folder with a saved forest of the learner for each of the forests, whose nodes are still to come."""
+    path = scratch_path(spark, "grown")
+    one = spark.range(1).select(*[F.lit(0.0).alias(f) for f in assembler.getInputCols()], F.lit(0).alias(LABEL), F.lit(1.0).alias("weight"))
+    form = learner.fit(assembler.transform(one))
+    in_parallel(spark, lambda forest: form.write().save(f"{path}/{forest}"), forests, len(forests))
+    return path
 
-    def save_nodes() -> None:
-        made = found.groupBy("forest", "tree").applyInArrow(_numbered(by_forest), f"forest int, {NODES}")
-        made.write.partitionBy("forest").parquet(nodes)
 
-    def save_forms() -> None:
-        form = learner.fit(assembler.transform(one))
-        in_parallel(spark, lambda forest: form.write().save(f"{path}/{forest}"), list(by_forest), len(by_forest))
+def _models(found: DataFrame, path: str, by_forest: Mapping[int, list[list[float]]]) -> dict[int, RandomForestRegressionModel]:
+    """The models of the cuts by forest: the forms saved in ``path``, with the nodes of these cuts in them."""
+    spark, nodes = found.sparkSession, scratch_path(found.sparkSession, "nodes")
+    made = found.groupBy("forest", "tree").applyInArrow(_numbered(by_forest), f"forest int, {NODES}")
+    made.write.partitionBy("forest").parquet(nodes)
 
     def saved(forest: int) -> RandomForestRegressionModel:
         replace_path(spark, f"{nodes}/forest={forest}", f"{path}/{forest}/data")
@@ -362,7 +373,6 @@ def _models(found: DataFrame, by_forest: Mapping[int, list[list[float]]], assemb
         model.stored = f"{path}/{forest}"
         return model
 
-    in_parallel(spark, lambda save: save(), [save_nodes, save_forms], 2)
     return dict(zip(by_forest, in_parallel(spark, saved, list(by_forest), len(by_forest))))
 
 

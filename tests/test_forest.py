@@ -202,6 +202,14 @@ def test_draws_are_made_once_and_behind_the_spread(spark, vectors):
     assert plan.count("drawn(") == 1
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_pairs_of_all_folds_are_those_of_each(spark, vectors, balanced):
+    columns = [*FEATURES, "is_phishing", "m", "class_weight"]
+    got = sorted(R.fold_pairs(vectors, FEATURES, range(3), balanced).select("forest", *columns).collect())
+    want = [(k, *r) for k in range(3) for r in R.training_pairs(vectors.where(F.col("fold") != k), FEATURES, balanced).select(columns).collect()]
+    assert got == sorted(want)
+
+
 def test_a_fitted_forest_is_not_written_again_for_its_leaves(spark, vectors, monkeypatch):
     model, written = R.fit_forest(vectors, FEATURES, {"numTrees": 3, "maxDepth": 3, "seed": 1}), []
     monkeypatch.setattr(contributions_module, "scratch_path", lambda s, name: written.append(name) or scratch_path(s, name))
